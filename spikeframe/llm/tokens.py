@@ -79,8 +79,6 @@ class UnitEncoder:
 
     def _learn(self, units: set) -> None:
         """Puts new units into the cache; (unit, bool): whether a space goes before it."""
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
         if len(self.words) > CACHE_UNITS:
             self.words.clear()
         pieces, plain = {}, []
@@ -112,6 +110,8 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list:
         """Counts, or little-endian unsigned 32-bit ids as bytes."""
+        if len(self.units) > CACHE_UNITS:
+            self.units.clear()
         out: list = [None] * len(texts)
         split, whole = [], []
         for i, text in enumerate(texts):
