@@ -34,7 +34,7 @@ TILE = 2048
 SMALL = 12
 #: N-grams with at least LOCAL documents in a batch and HEAVY in total are ordered last; the order
 #: may be any, so the list has a bound (the most frequent stay).
-LOCAL, HEAVY, HEAVY_MAX = 3, 24, 200_000
+LOCAL, HEAVY, HEAVY_MAX = 2, 6, 500_000
 #: Document ids that may be broadcast; above it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -159,8 +159,8 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark)
     often = rows.select("text").mapInArrow(_frequent(k), "key long, found long").groupBy("key").agg(F.sum("found").alias("found"))
-    top = often.where(F.col("found") >= HEAVY).orderBy(F.desc("found"), "key").limit(HEAVY_MAX).collect()
-    values = np.array([r.key for r in top], np.int64).view(np.uint64)
+    top = often.where(F.col("found") >= HEAVY).orderBy(F.desc("found"), "key").limit(HEAVY_MAX).toArrow()
+    values = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(values)
     heavy = spark.sparkContext.broadcast((values[order], -order.astype(np.int64)))  # the most frequent last
 
