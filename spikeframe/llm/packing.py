@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .tokens import encoder, text_batches
 
 #: Remainders in a block, the sequence numbers that a block owns, and the longest part of a document.
-BLOCK, SEQUENCES = 1500, 1 << 24
+BLOCK, SEQUENCES = 500, 1 << 24
 #: A remainder is cut into equal parts of at most this share of a window; smaller parts level better.
-PART = 4
+PART = 3
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units that a worker remembers, and bytes of new units in one library call.
-CACHE_UNITS, BATCH_BYTES = 300_000, 1 << 18
+CACHE_UNITS, BATCH_BYTES = 800_000, 1 << 18
 _UNSAFE = 1 << 50
 _SAFE_SPLIT = regex.compile(r"(?<=\S) ")
 
