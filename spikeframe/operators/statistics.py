@@ -21,8 +21,9 @@ def rayleigh(hist: DataFrame, keys, value="n") -> DataFrame:
 
 def two_sample_steps(df: DataFrame, keys, sample: str, value: str) -> DataFrame:
     """Per distinct value: share of sample 0 and of sample 1 at or below it, and how many rows have it."""
-    counts = df.groupBy(*keys, value).agg(F.sum(F.when(F.col(sample) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(sample) == 1, 1).otherwise(0)).alias("b"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.select(*keys, F.col(sample).alias("__s"), F.col(value).alias("__v"))
+    counts = df.groupBy(*keys, "__v").agg(F.sum(F.when(F.col("__s") == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("__s") == 1, 1).otherwise(0)).alias("b"))
+    w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     counts = counts.withColumns({"n": F.sum("a").over(whole), "m": F.sum("b").over(whole), "ca": F.sum("a").over(w), "cb": F.sum("b").over(w)})
     return counts.withColumn("d", F.try_divide(F.col("ca").cast("double"), F.col("n").cast("double")) - F.try_divide(F.col("cb").cast("double"), F.col("m").cast("double")))
@@ -46,8 +47,9 @@ def watson_u2(df: DataFrame, keys, sample, value) -> DataFrame:
 
 def mann_whitney(df: DataFrame, keys, sample, value) -> DataFrame:
     """U of sample 0 from average ranks."""
-    counts = df.groupBy(*keys, value).agg(F.sum(F.when(F.col(sample) == 0, 1).otherwise(0)).alias("a"), F.count("*").alias("t"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.select(*keys, F.col(sample).alias("__s"), F.col(value).alias("__v"))
+    counts = df.groupBy(*keys, "__v").agg(F.sum(F.when(F.col("__s") == 0, 1).otherwise(0)).alias("a"), F.count("*").alias("t"))
+    w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2
     r = counts.withColumn("rank", rank).groupBy(*keys).agg(F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum("a").alias("n"))
     return r.select(*keys, (F.col("r") - F.col("n") * (F.col("n") + 1) / 2).alias("u"))
