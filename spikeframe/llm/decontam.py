@@ -1,9 +1,11 @@
 """Benchmark decontamination: a BM25 index of test items, queried with every training passage by block-max WAND.
 
 Passages are overlapping word windows that cover every document. Scores are divided by the item's score
-against itself, so one threshold serves all items. A passage whose terms' greatest contributions
-can't reach the threshold is passed over (the list-level bound, taken for all passages of a batch
-at once); the others run block-max WAND, which retrieves every item at or above the threshold. A retrieved item
+against itself, so one threshold serves all items. Items that share their most common word are neighbours in the
+index, and a block is a range of BLOCK items with the greatest contribution of each term there. Passages of a group
+run in lockstep: those whose terms' greatest contributions in any item can't reach the threshold stop at once
+(no pivot); the others skip each block whose bounds can't reach it (no live block) and score
+all items of the blocks left. No item at or above the threshold is missed. A retrieved item
 counts as a leak when the document holds enough of the word 3-grams of its question and of its answer (the
 item's last sentence; the last half of an item of one sentence).
 """
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 
 K1, B, BLOCK = 1.2, 0.75, 16
+#: Passages that run together.
+GROUP = 4096
 THRESHOLD, OVERLAP, GRAM = 0.4, 0.6, 3
 #: An index shard holds at most so many items and characters; a larger benchmark takes several passes.
 SHARD_ITEMS, SHARD_CHARS = 20_000, 32 << 20
@@ -43,17 +47,24 @@ def _grams(h: np.ndarray) -> np.ndarray:
     return np.unique(tv.mix(acc))
 
 
+@dataclass
+class Block:
+    """A range of items: its terms, their contributions (row 0 is no term) and the greatest of each row."""
+
+    first: int
+    terms: np.ndarray
+    gain: np.ndarray
+    most: np.ndarray
+
+
 @dataclass
 class Index:
-    """Postings by term: items in rising order, contributions, and the greatest contribution of each block."""
+    """Terms with their greatest contribution to any item (one more entry stands for all other words), and blocks of items."""
 
     items: list[int]
     terms: np.ndarray
-    first: np.ndarray
-    doc: np.ndarray
-    gain: np.ndarray
-    block_max: list[np.ndarray]
     most: np.ndarray
+    blocks: list[Block]
     question: list[np.ndarray]
     answer: list[np.ndarray]
     window: int
@@ -61,22 +72,31 @@ class Index:
     @staticmethod
     def build(rows: list[tuple[int, str]]) -> Index:
         words = [_one(text).hash for _, text in rows]
+        everything, number, total = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        cuts = np.cumsum([0, *map(len, words)])
+        common = [max(((int(total[t]), int(t)) for t in number[a:b]), default=(0, 0))[1] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        order = sorted(range(len(rows)), key=lambda i: (common[i], rows[i][0]))
+        rows, words = [rows[i] for i in order], [words[i] for i in order]
         length = np.array([len(w) for w in words], float)
         mean = max(1.0, length.mean()) if len(rows) else 1.0
         pairs = [np.unique(w, return_counts=True) for w in words]
-        term = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.uint64)
-        tf = np.concatenate([p[1] for p in pairs]).astype(float) if pairs else np.zeros(0)
+        term = np.searchsorted(everything, np.concatenate([*(p[0] for p in pairs), np.zeros(0, np.uint64)]))
+        tf = np.concatenate([*(p[1] for p in pairs), np.zeros(0)]).astype(float)
         doc = np.repeat(np.arange(len(rows)), [len(p[0]) for p in pairs])
-        order = np.lexsort((doc, term))
-        term, tf, doc = term[order], tf[order], doc[order]
-        terms, first, df = np.unique(term, return_index=True, return_counts=True)
+        df = np.bincount(term, minlength=len(everything))
         idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
-        gain = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+        gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
         own = np.bincount(doc, gain, len(rows))
         gain = gain / np.where(own > 0, own, 1.0)[doc]
-        first = np.append(first, len(term)).astype(np.int64)
-        cuts = list(zip(first[:-1], first[1:], strict=True))
-        block_max = [np.maximum.reduceat(gain[a:b], np.arange(0, b - a, BLOCK)) for a, b in cuts]
+        most = np.zeros(len(everything) + 1)
+        np.maximum.at(most, term, gain)
+        blocks = []
+        for first in range(0, len(rows), BLOCK):
+            here = (doc >= first) & (doc < first + BLOCK)
+            local, row = np.unique(term[here], return_inverse=True)
+            table = np.zeros((len(local) + 1, min(BLOCK, len(rows) - first)))
+            table[row + 1, doc[here] - first] = gain[here]
+            blocks.append(Block(first, local, table, table.max(1)))
         question, answer = [], []
         for (_, text), w in zip(rows, words, strict=True):
             cut = [m.end() for m in re.finditer(r"[.!?]\s+", (text or "").rstrip())]
@@ -90,57 +110,28 @@ class Index:
             question.append(_grams(w[:before]))
             answer.append(_grams(w[before:]))
         window = max(MIN_WINDOW, int(length.max()) if len(rows) else 0)
-        return Index([i for i, _ in rows], terms, first, doc, gain, block_max, np.array([m.max() for m in block_max]), question, answer, window)
-
-    def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of all items at or above threshold for a query of distinct term numbers."""
-        end = len(self.items)
-        lists = [[int(self.doc[self.first[t]]), int(self.first[t]), int(t)] for t in terms]  # current item, position, term
-        found = []
-
-        def seek(entry: list, item: int) -> None:
-            a, b = entry[1], int(self.first[entry[2] + 1])
-            entry[1] = a + int(np.searchsorted(self.doc[a:b], item))
-            entry[0] = int(self.doc[entry[1]]) if entry[1] < b else end
-
-        while True:
-            lists.sort(key=lambda e: e[0])
-            bound, pivot = 0.0, -1
-            for i, e in enumerate(lists):
-                if e[0] == end:
-                    break
-                bound += self.most[e[2]]
-                if bound >= threshold:
-                    pivot = i
-                    break
-            if pivot < 0:
-                return found
-            item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            tight, reach = 0.0, end
-            for e in lists[: pivot + 1]:  # bounds of the blocks in which the pivot item would lie
-                a, b = int(self.first[e[2]]), int(self.first[e[2] + 1])
-                at = a + int(np.searchsorted(self.doc[a:b], item))
-                if at < b:
-                    block = (at - a) // BLOCK
-                    tight += self.block_max[e[2]][block]
-                    reach = min(reach, int(self.doc[min(a + (block + 1) * BLOCK, b) - 1]) + 1)
-            if pivot + 1 < len(lists):
-                reach = min(reach, lists[pivot + 1][0])
-            if tight < threshold:  # no item before the nearest block end or the next list can reach it
-                for e in lists[: pivot + 1]:
-                    seek(e, max(reach, item + 1))
-            elif lists[0][0] == item:
-                score = sum(float(self.gain[e[1]]) for e in lists[: pivot + 1])
-                if score >= threshold:
-                    found.append((item, score))
-                for e in lists[: pivot + 1]:
-                    seek(e, item + 1)
-            else:
-                for e in lists[:pivot]:
-                    if e[0] < item:
-                        seek(e, item)
+        return Index([i for i, _ in rows], everything, most, blocks, question, answer, window)
+
+    def wand(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) at or above threshold of passages given by their distinct terms, in rising order of passages."""
+        starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))[: len(passage)]
+        live = np.add.reduceat(self.most[term], starts) >= threshold - 1e-9 if len(starts) else np.zeros(0, bool)
+        size = np.diff(np.append(starts, len(passage)))
+        keep = np.repeat(live, size)
+        names, size, term = passage[starts][live], size[live], term[keep]
+        starts = np.cumsum(size) - size
+        found, place = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], np.zeros(len(self.most), np.int32)
+        for block in self.blocks if len(names) else []:
+            place[block.terms] = np.arange(1, len(block.terms) + 1)
+            local = place[term]
+            place[block.terms] = 0
+            live = np.add.reduceat(block.most[local], starts) >= threshold - 1e-9
+            if live.any():
+                n = size[live]
+                scores = np.add.reduceat(block.gain[local[np.repeat(live, size)]], np.cumsum(n) - n, axis=0)
+                hit, item = np.nonzero(scores >= threshold)
+                found.append((names[live][hit], item + block.first, scores[hit, item]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def leaks(self, words: tv.Words, texts: int, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap) of all verified leaks in a batch."""
@@ -148,8 +139,8 @@ class Index:
             return []
         at = np.searchsorted(self.terms, words.hash)
         at[at == len(self.terms)] = 0
-        known = self.terms[at] == words.hash
-        total = np.concatenate([[0.0], np.cumsum(np.where(known, self.most[at], 0.0))])
+        at[self.terms[at] != words.hash] = len(self.terms)
+        total = np.concatenate([[0.0], np.cumsum(self.most[at])])
         step = self.window // 2
         count = np.diff(words.first)
         passages = np.maximum(1, -(-(count - self.window) // step) + 1) * (count > 0)
@@ -158,11 +149,17 @@ class Index:
         a = words.first[owner] + number * step
         b = np.minimum(a + self.window, words.first[owner + 1])
         best: dict[tuple[int, int], float] = {}
-        for p in np.flatnonzero(total[b] - total[a] >= threshold - 1e-9):
-            query = np.unique(at[a[p] : b[p]][known[a[p] : b[p]]])
-            for item, score in self.wand(query, threshold):
-                key = (int(owner[p]), item)
-                best[key] = max(best.get(key, 0.0), score)
+        live = np.flatnonzero(total[b] - total[a] >= threshold - 1e-9)
+        for at_once in range(0, len(live), GROUP):
+            p = live[at_once : at_once + GROUP]
+            n = b[p] - a[p]
+            inside = np.arange(n.sum()) + np.repeat(a[p] - (np.cumsum(n) - n), n)
+            term, passage = at[inside], np.repeat(p, n)
+            known = term < len(self.terms)
+            query = np.unique(passage[known] * len(self.most) + term[known])
+            for q, item, score in zip(*self.wand(query // len(self.most), query % len(self.most), threshold), strict=True):
+                key = (int(owner[q]), int(item))
+                best[key] = max(best.get(key, 0.0), float(score))
         grams: dict[int, np.ndarray] = {}
         out = []
         for (text, item), score in sorted(best.items()):

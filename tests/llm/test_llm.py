@@ -70,15 +70,29 @@ def test_ngram_components_equal_brute_force(spark):
 
 
 def test_wand_equals_brute_force():
+    """BM25 of every item from its words alone, for all queries at once."""
     rng = np.random.default_rng(5)
-    index = decontam.Index.build([(i, " ".join(f"t{x}" for x in rng.zipf(1.4, 25) % 60)) for i in range(120)])
-    for _ in range(60):
-        query = np.unique(rng.integers(0, len(index.terms), 12))
-        score = np.zeros(120)
-        for t in query:
-            span = slice(index.first[t], index.first[t + 1])
-            np.add.at(score, index.doc[span], index.gain[span])
-        assert sorted(i for i, _ in index.wand(query, 0.3)) == np.flatnonzero(score >= 0.3).tolist()
+    items = {i: [f"t{x}" for x in rng.zipf(1.4, 25) % 60] for i in range(120)}
+    index = decontam.Index.build([(i, " ".join(w)) for i, w in items.items()])
+    number = {w: int(np.searchsorted(index.terms, decontam._one(w).hash[0])) for ws in items.values() for w in ws}
+    df = {w: sum(w in ws for ws in items.values()) for w in number}
+
+    def gain(w, ws):
+        tf, idf = ws.count(w), np.log1p((120 - df[w] + 0.5) / (df[w] + 0.5))
+        return idf * tf * (decontam.K1 + 1) / (tf + decontam.K1)
+
+    queries = [sorted(set(rng.choice(sorted(number), 12))) for _ in range(60)]
+    want = {}
+    for q, terms in enumerate(queries):
+        for i, ws in items.items():
+            score = sum(gain(w, ws) for w in terms if w in ws) / sum(gain(w, ws) for w in set(ws))
+            if score >= 0.3:
+                want[q, i] = score
+    passage = np.repeat(np.arange(60), [len(q) for q in queries])
+    got = index.wand(passage, np.array([number[w] for q in queries for w in q]), 0.3)
+    found = {(int(q), index.items[i]): s for q, i, s in zip(*got, strict=True)}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert not len(index.wand(passage[:0], passage[:0], 0.3)[0])
 
 
 def test_leaks(spark, odd):
