@@ -90,12 +90,15 @@ def _incidence(k: int, num: int, den: int, heavy) -> Callable:
     return run
 
 
-def _whole_sets(k: int) -> Callable:
+def _similar(k: int, num: int, den: int) -> Callable:
+    """Of rows (a, b, text of a, text of b) those whose whole sets are similar enough."""
+
     def run(batches):
         for batch in batches:
-            for row, sets in _unique_sets(batch.column(1), k):
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), lists], ["doc_id", "grams"])
+            left, right = ([x for _, part in _unique_sets(batch.column(c), k) for x in part] for c in (2, 3))
+            same = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
+            both = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(same * (den + num) >= both * num))
 
     return run
 
@@ -168,7 +171,9 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     named = base.where("n > 0 and doc_id is not null")
     reps = scratch.keep(named.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "sketch", "keys")).alias("r")).select("n", "f1", "f2", "r.*"))
     cells = reps.select("doc_id", F.explode("keys").alias("key"))
-    columns = cells.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("centre")).where("m > 1")
+    columns = cells.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("centre"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("m > 1")
+    # columns of the same members hold the same pairs: one of them stays
+    columns = columns.groupBy("m", "centre", "members").agg(F.min("key").alias("key")).drop("members")
     posting = scratch.keep(cells.join(columns, "key").join(reps.select("doc_id", "n", "sketch"), "doc_id"))
     size = posting.count()
     # sets of different texts under one id are one node
@@ -177,7 +182,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     if size:
         buckets = max(1, size // 20_000)
         pairs = scratch.keep(_pairs(posting.withColumn("label", F.col("doc_id")), (F.col("m") <= SMALL) | (F.col("doc_id") == F.col("centre")), F.lit(1), buckets, num, den))
-        links = scratch.keep(_verified(rows, pairs, k, num, den, scratch))
+        # one partner each comes first; most other pairs lie inside the components that these links make
+        first = scratch.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        links = scratch.keep(_verified(rows, first, k, num, den))
+        rest = scratch.keep(_across(pairs, components(links, scratch)).join(first, ["a", "b"], "left_anti"))
+        links = scratch.keep(links.union(_verified(rows, rest, k, num, den)))
         known = components(links, scratch)
         labelled = posting.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         labelled = scratch.keep(labelled.where(F.col("m") > SMALL))
@@ -186,7 +195,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         left = labelled.join(main.select("key", F.col("x.label").alias("main"), F.col("x.c").alias("c")), "key")
         more = _pairs(left, F.col("label") != F.col("main"), F.ceil((F.col("m") - F.col("c")) / TILE), buckets, num, den)
         pairs = scratch.keep(more.join(pairs, ["a", "b"], "left_anti"))
-        links = links.union(_verified(rows, pairs, k, num, den, scratch))
+        links = links.union(_verified(rows, pairs, k, num, den))
     known = cut(components(edges if links is None else edges.union(links), scratch))
     scratch.clear()
     return (
@@ -210,17 +219,18 @@ def _pairs(posting: DataFrame, is_col, col_tiles, buckets: int, num: int, den: i
     return blocks.groupBy(bucket.alias("bucket")).applyInArrow(_block_pairs(num, den), "a long, b long").distinct()
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Those of pairs whose whole sets are similar enough."""
+def _across(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of pairs that don't lie inside one component of known."""
+    name = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    both = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    return both.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of pairs whose whole sets are similar enough; texts travel, which compress better than their hashes."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     ids = F.broadcast(ids) if pairs.count() <= BROADCAST_IDS // 2 else ids
-    sets = scratch.keep(rows.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(k), "doc_id long, grams array<long>"))
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams"))
-    both = F.size(F.array_intersect("a_grams", "b_grams"))
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .select("a", "b", both.alias("i"), (F.size("a_grams") + F.size("b_grams")).alias("s"))
-        .where(F.col("i") * (den + num) >= F.col("s") * num)
-        .select("a", "b")
-    )
+    texts = rows.join(ids, "doc_id", "left_semi")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+    return both.mapInArrow(_similar(k, num, den), "a long, b long")
