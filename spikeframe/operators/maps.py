@@ -77,3 +77,8 @@ def autocorrelogram(rates: DataFrame, keys, least: int = 20) -> DataFrame:
     b = rates.where("rate > 0").select(*keys, F.col("bin_x").alias("bx"), F.col("bin_y").alias("by"), F.col("rate").alias("v"))
     pairs = a.join(b, keys).groupBy(*keys, (F.col("ax") - F.col("bx")).alias("dx"), (F.col("ay") - F.col("by")).alias("dy"))
     return pairs.agg(F.count("*").alias("n"), safe_corr("u", "v").alias("r")).withColumn("r", F.when(F.col("n") > least, F.col("r")))
+
+
+def sparsity(rates: DataFrame, keys, value="rate") -> DataFrame:
+    """Squared mean rate by the mean squared rate over the bins of a map."""
+    return rates.groupBy(*keys).agg(F.try_divide(F.pow(F.avg(value), F.lit(2)), F.avg(F.col(value) * F.col(value))).alias("sparsity"))

@@ -30,8 +30,10 @@ def two_sample_steps(df: DataFrame, keys, sample: str, value: str) -> DataFrame:
 
 
 def kuiper(df: DataFrame, keys, sample, value) -> DataFrame:
+    """Two-sample Kuiper statistic; null where a sample has no rows."""
     s = two_sample_steps(df, keys, sample, value)
-    return s.groupBy(*keys).agg((F.greatest(F.max("d"), F.lit(0.0)) + F.greatest(F.max(-F.col("d")), F.lit(0.0))).alias("kuiper"))
+    v = F.greatest(F.max("d"), F.lit(0.0)) + F.greatest(F.max(-F.col("d")), F.lit(0.0))
+    return s.groupBy(*keys).agg(F.when(F.max("d").isNotNull(), v).alias("kuiper"))
 
 
 def kolmogorov_smirnov(df: DataFrame, keys, sample, value) -> DataFrame:
