@@ -1,6 +1,7 @@
-"""Registered queries give the rows of their SQL on the smallest tables."""
+"""Registered queries give the rows of their SQL, on the smallest tables or those of $TEST_SF_DIR."""
 
 import math
+import os
 import sys
 from pathlib import Path
 
@@ -9,9 +10,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from spikeframe.plans import analysis, preparation, registry  # noqa: E402, F401
+from spikeframe.plans import analysis, preparation, registry, responses  # noqa: E402, F401
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def rows(names, found):
