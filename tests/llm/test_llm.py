@@ -115,6 +115,22 @@ def test_recurring_lines_go_and_copies_stay(spark):
     assert all(got[100 + i] == (None, copy) for i in range(9)) and got[200][1] is None and got[201][1] == ""
 
 
+def test_copies_repeats_and_passages_hide_no_template(spark):
+    line = "All rights to this very page stay with its holder"
+    words = lambda i, n=12: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(n))
+    rows = [(i, f"{words(i)}\n{line}\n{words(i + 300)}") for i in range(8)]
+    rows += [(1000 + i, rows[0][1] + f" x{i}") for i in range(100)]  # a hot group of near copies
+    rows += [(2000 + i, f"{words(100 + i)}\n" + "Here is a note that comes back often\n" * (100 if i == 0 else 1)) for i in range(5)]
+    passage = "\n".join(words(200 + i) for i in range(4))  # most of each of four unrelated documents
+    rows += [(3000 + i, f"{words(210 + i, 24)}\n{passage}\n{words(220 + i, 24)}") for i in range(4)]
+    rows += [(4000 + i, f"{words(230, 24)} {words(231, 24)}\n{words(232, 24)} {words(233, 24)}\nlast y{i}") for i in range(6)]
+    got = {r.doc_id: r.dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(1 in (got[i] or []) for i, text in rows if line in text)
+    assert all((got[2000 + i] or [])[:1] == [1] for i in range(5)) and len(got[2000]) == 100
+    assert all(got[3000 + i] == [1, 2, 3, 4] for i in range(4))
+    assert all(got[4000 + i] is None for i in range(6))
+
+
 def test_toxicity_learns_and_restores(spark):
     rng = np.random.default_rng(2)
     plain = lambda: [f"wo{'abcdefgh'[x]}{'klmnop'[y]}" for x, y in zip(rng.integers(0, 8, 30), rng.integers(0, 6, 30), strict=True)]
