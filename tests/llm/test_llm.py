@@ -131,6 +131,12 @@ def test_copies_repeats_and_passages_hide_no_template(spark):
     assert all(got[4000 + i] is None for i in range(6))
 
 
+def test_a_name_near_the_front_is_variable_in_a_large_leaf_too(spark):
+    name = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(4))
+    docs = spark.createDataFrame([(i, f"This notice of {name(i)} was filed with the clerks of our court") for i in range(5000)], "doc_id long, text string")
+    assert line_dedup.dedup_lines(docs).where("dropped = array(0)").count() == 5000
+
+
 def test_toxicity_learns_and_restores(spark):
     rng = np.random.default_rng(2)
     plain = lambda: [f"wo{'abcdefgh'[x]}{'klmnop'[y]}" for x, y in zip(rng.integers(0, 8, 30), rng.integers(0, 6, 30), strict=True)]
