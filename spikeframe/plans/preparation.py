@@ -151,6 +151,20 @@ def u3_combined_clusters(spark, d):
     return u.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
+@query("+ r AS (SELECT session_id, count(*) * 1000 AS len FROM position GROUP BY 1), o AS (SELECT session_id, coalesce(sum(len) OVER (PARTITION BY session_id % 2 ORDER BY session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r) SELECT s.session_id % 2 AS animal, cluster_id, count(*) AS n, CAST(min(t_sample + off) AS BIGINT) AS first_t, CAST(max(t_sample + off) AS BIGINT) AS last_t FROM spikes s JOIN o ON s.session_id = o.session_id GROUP BY 1, 2")
+def u3_all_combined_clusters(spark, d):
+    s = u1_stitch(spark, d).join(view(spark, d, "spikes").select("session_id", "spike_idx", "cluster_id"), ["session_id", "spike_idx"])
+    return s.groupBy((F.col("session_id") % 2).alias("animal"), "cluster_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+@query("+ u AS (SELECT session_id, cluster_id FROM cells UNION SELECT session_id, cluster_id FROM spikes), q AS (SELECT DISTINCT u.*, pulse FROM u JOIN pulses p ON u.session_id = p.session_id) SELECT q.session_id, q.cluster_id, q.pulse, s.spike_idx, s.t_sample - (q.pulse - 3000) AS \"offset\" FROM q LEFT JOIN spikes s ON s.session_id = q.session_id AND s.cluster_id = q.cluster_id AND s.t_sample > q.pulse - 3000 AND s.t_sample < q.pulse + 3000")
+def j4_all_pairs(spark, d):
+    s, p = view(spark, d, "spikes").withColumnRenamed("t_sample", "t"), view(spark, d, "pulses").select("session_id", "pulse").distinct()
+    pairs = view(spark, d, "cells").select(*CELL).union(s.select(*CELL)).distinct().join(p, "session_id")
+    found = J.peristimulus(s, p, 6000).select(*CELL, "pulse", "spike_idx", "offset")
+    return pairs.join(found, [*CELL, "pulse"], "left").select(*CELL, "pulse", "spike_idx", "offset")
+
+
 @query("+ m AS (SELECT session_id, (max(synced_time) + min(synced_time)) / 2 AS mid FROM position GROUP BY 1) SELECT p.session_id, pos_idx, CAST(CASE WHEN synced_time < mid THEN 1 ELSE 2 END AS INT) AS half FROM position p JOIN m ON p.session_id = m.session_id")
 def u6_halves(spark, d):
     return T.halves(view(spark, d, "position"), SESSION, "synced_time").select("session_id", "pos_idx", "half")
