@@ -50,7 +50,7 @@ _GAP = np.zeros(256, bool)
 _GAP[[ord(c) for c in " .-_*"]] = True
 
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){2,}[^\W_](?![^\W_])")
-_TOKEN = re.compile(r"[^\s]*(?:[^\W\d_][013457899@$!|+]+[^\W\d_]|\b[013457899@$!|+]+[^\W\d_]{2}|([^\W\d_])\1\1)[^\s]*")
+_TOKEN = re.compile(r"[^\s]*(?:[^\W\d_][013457899@$!|+]+[^\W\d_]|(?<![^\W_])[013457899@$!|+]+[^\W\d_]{2}|[^\W\d_]{2}[013457899@$!|+]+(?![^\W_])|([^\W\d_])\1\1)[^\s]*")
 
 
 def _count_trigrams(batches):
@@ -130,21 +130,30 @@ class CharModel:
 
 
 def disguised(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which of the texts have a span that could be disguised."""
+    """Which of the texts have a span that could be disguised: all that _SPACED or _TOKEN find something in, and some more."""
     n = len(offsets) - 1
-    if len(buf) < 5:
+    if len(buf) < 3:
         return np.ones(n, bool)
     letter, swap, gap = _LETTER[buf], _SWAP[buf], _GAP[buf]
-    hit = np.zeros(len(buf), bool)
-    hit[1:] |= letter[:-1] & swap[1:]  # a swap after a letter: another letter must follow the signs
-    run_end = np.zeros(len(buf), bool)
-    run_end[:-1] = swap[:-1] & letter[1:]
+    marks = np.zeros(len(buf), bool)
+    marks[:-1] = (swap[:-1] & letter[1:]) | (letter[:-1] & swap[1:])  # a swap beside a letter
     low = buf | 0x20
-    triple = np.zeros(len(buf), bool)
-    triple[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    spaced = np.zeros(len(buf), bool)
-    spaced[4:] = letter[4:] & gap[3:-1] & letter[2:-2] & gap[1:-3] & letter[:-4]
-    marks = run_end | triple | spaced
+    marks[2:] |= letter[2:] & (buf[:-2] >= 0x80)  # letters of several bytes may be three alike
+    marks[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+    # three characters, each alone, one or two gaps apart; bytes above ASCII count as either kind
+    char = np.flatnonzero((buf & 0xC0) != 0x80)
+    digit, g = (buf >= 0x30) & (buf <= 0x39), gap[char]
+    plain = ((letter & (buf < 0x80)) | digit)[char]
+    before, after = np.ones(len(char), bool), np.ones(len(char), bool)
+    before[1:], after[:-1] = ~plain[:-1], ~plain[1:]
+    starts = np.searchsorted(char, offsets)
+    before[starts[starts < len(char)]] = True
+    after[starts[starts > 0] - 1] = True
+    alone = (letter | digit)[char] & before & after
+    at = lambda x, k: np.concatenate([np.zeros(min(k, len(x)), bool), x[: max(0, len(x) - k)]])
+    left = at(g, 1) & (at(alone, 2) | (at(g, 2) & at(alone, 3)))
+    right = (at(g[::-1], 1) & (at(alone[::-1], 2) | (at(g[::-1], 2) & at(alone[::-1], 3))))[::-1]
+    marks[char] |= alone & left & right
     total = np.concatenate([[0], np.cumsum(marks)])
     return total[offsets[1:]] > total[offsets[:-1]]
 

@@ -155,6 +155,21 @@ def test_toxicity_learns_and_restores(spark):
     assert got[0] == 1 and got[1] == 0 and got[500] == 1 and got[501] == 0 and got[502] == 0 and got[503] == 1
 
 
+def test_each_disguise_passes_the_gate_and_enters_the_lattice():
+    forms = ["s. t. u. p. i. d", "g r u m", "s.h.1.t", "$tupid", "!diot", "@sshole", "clas$", "stup1d", "stuuupid", "ÄÄÄrger", "é. t. é", "7ool"]
+    for form in forms:
+        raw = [x.encode() for x in ("plain words here.", form, f"so {form} it is", "a word of I and more")]
+        offsets = np.cumsum([0, *map(len, raw)])
+        got = toxicity.disguised(np.frombuffer(b"".join(raw), np.uint8), offsets).tolist()
+        assert got == [False, True, True, False], form
+        assert toxicity._SPACED.search(form.lower()) or toxicity._TOKEN.search(form.lower()), form
+    counts = np.zeros(toxicity._SYMBOLS**3)
+    s = toxicity._SYM[np.frombuffer(b" stupid class idiot" * 99, np.uint8)]
+    np.add.at(counts, (s[:-2] * toxicity._SYMBOLS + s[1:-1]) * toxicity._SYMBOLS + s[2:], 1)
+    model = toxicity.CharModel(counts)
+    assert [model.restored(x) for x in ("a $tupid one", "the clas$ is", "s. t. u. p. i. d", "an !diot")] == ["stupid", "class", "stupid", "idiot"]
+
+
 def test_quality(spark, odd):
     good = "These are quite plain words about many different things of the day"
     rows = [(i, f"{good} {i}" if i % 3 else "BUY!! %%% NOW!! ***" * 5) for i in range(90)]
