@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spikeframe.llm import decontam, line_dedup, ngram_join, packing, toxicity
 from spikeframe.llm.queries import END_ID, WINDOW, id_hash, table, tokenizer
-from spikeframe.llm.storage import Scratch
+from spikeframe.llm.storage import Scratch, cut
 
 ORACLE_SQL = None
 
@@ -25,9 +25,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with 5-word shingles of Jaccard 0.8 or more, the one of the smallest id stays."""
-    found = ngram_join.similar_components(docs, k=5, num=80, den=100)
-    return docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of each component of documents with 5-word shingles of Jaccard 0.8 or more, one row of the smallest id stays.
+
+    A node is a text, named by its hash, so repeated rows, null ids and several texts under one id are each
+    judged by their texts. Rows whose text has no words are in no component and all stay; null ids come last.
+    """
+    keyed = docs.withColumns({"__key": F.xxhash64("text"), "__row": F.xxhash64(*docs.columns)})
+    found = ngram_join.similar_components(keyed.select(F.col("__key").alias("doc_id"), "text"), k=5, num=80, den=100)
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("component")).distinct()
+    rows = keyed.groupBy("__key", "doc_id", "__row").agg(F.count("*").alias("n")).join(groups, "__key")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key", "__row")
+    best = rows.groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.__key").alias("__key"), F.col("best.__row").alias("__row"), F.lit(True).alias("first"))
+    whole = cut(keyed.join(groups, "__key", "left").join(best, ["__key", "__row"], "left"))
+    alone = whole.where("component is null").select(docs.columns)
+    kept = whole.where("component is not null and first").dropDuplicates(["component"]).select(docs.columns)
+    return alone.union(kept)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

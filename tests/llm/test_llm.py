@@ -69,6 +69,18 @@ def test_ngram_components_equal_brute_force(spark):
     assert got == label | {900: 900, 901: 901, 902: 902, 903: 902}
 
 
+def test_the_pipeline_keeps_one_row_of_each_near_copy_group(spark):
+    import corpus_pipeline
+
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(1, words(1)), (1, words(1)), (1, words(1) + " end"), (2, words(2)), (2, words(1)), (None, words(3)), (None, words(3)), (None, words(2)), (7, words(3)), (8, words(4)), (8, words(4)), (9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    texts = [t for i, t in got if i == 1]
+    assert len(got) == 6 and len(texts) == 1 and texts[0].startswith(words(1))
+    assert {x for x in got if x[0] != 1} == {(2, words(2)), (7, words(3)), (8, words(4)), (9, None), (10, "")}
+
+
 def test_wand_equals_brute_force():
     """BM25 of every item from its words alone, for all queries at once."""
     rng = np.random.default_rng(5)
