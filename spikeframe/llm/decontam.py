@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .storage import cut
 
 K1, B, BLOCK = 1.2, 0.75, 16
 #: Passages that run together.
@@ -70,7 +71,8 @@ class Index:
     window: int
 
     @staticmethod
-    def build(rows: list[tuple[int, str]]) -> Index:
+    def build(rows: list[tuple[int, str]], whole: tuple[int, float, int, dict[int, int]] | None = None) -> Index:
+        """whole: the number of items, mean and greatest length, and items by term, of a benchmark of which rows are a shard."""
         words = [_one(text).hash for _, text in rows]
         everything, number, total = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
         cuts = np.cumsum([0, *map(len, words)])
@@ -83,8 +85,11 @@ class Index:
         term = np.searchsorted(everything, np.concatenate([*(p[0] for p in pairs), np.zeros(0, np.uint64)]))
         tf = np.concatenate([*(p[1] for p in pairs), np.zeros(0)]).astype(float)
         doc = np.repeat(np.arange(len(rows)), [len(p[0]) for p in pairs])
-        df = np.bincount(term, minlength=len(everything))
-        idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
+        df, items, longest = np.bincount(term, minlength=len(everything)), len(rows), int(length.max()) if len(rows) else 0
+        if whole:
+            items, mean, longest = whole[0], max(1.0, whole[1]), whole[2]
+            df = np.array([whole[3][t] for t in everything.view(np.int64).tolist()], float)
+        idf = np.log1p((items - df + 0.5) / (df + 0.5))
         gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
         own = np.bincount(doc, gain, len(rows))
         gain = gain / np.where(own > 0, own, 1.0)[doc]
@@ -109,7 +114,7 @@ class Index:
                 continue
             question.append(_grams(w[:before]))
             answer.append(_grams(w[before:]))
-        window = max(MIN_WINDOW, int(length.max()) if len(rows) else 0)
+        window = max(MIN_WINDOW, longest)
         return Index([i for i, _ in rows], everything, most, blocks, question, answer, window)
 
     def wand(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,9 +182,29 @@ def _shards(benchmark: DataFrame, id_col: str, text_col: str):
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and length(trim(t)) > 0")
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     shards = max(1, -(-n // SHARD_ITEMS), -(-chars // SHARD_CHARS))
+    if shards == 1:
+        yield Index.build(sorted((r.i, r.t) for r in rows.collect()))
+        return
+    # statistics of the whole benchmark; a shard gets those of its own terms
+    at = F.pmod(F.xxhash64("i"), F.lit(shards))
+    terms = cut(rows.withColumn("shard", at).select("shard", "t").mapInArrow(_terms, "shard long, term long, words long"))
+    total, longest = terms.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
+    df = cut(terms.groupBy("term").agg(F.count("*").alias("df")))
     for s in range(shards):
-        part = rows.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == s) if shards > 1 else rows
-        yield Index.build(sorted((r.i, r.t) for r in part.collect()))
+        found = df.join(terms.where(F.col("shard") == s).select("term").distinct(), "term").collect()
+        part = rows.where(at == s).collect()
+        yield Index.build(sorted((r.i, r.t) for r in part), (n, total / n, longest, {r.term: r.df for r in found}))
+
+
+def _terms(batches):
+    for batch in batches:
+        for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = _one(text).hash
+            terms = np.unique(h)
+            if len(terms):
+                words = np.zeros(len(terms), np.int64)
+                words[0] = len(h)  # an item's length is in its first row
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), shard, np.int64)), pa.array(terms.view(np.int64)), pa.array(words)], ["shard", "term", "words"])
 
 
 def _find(shared, threshold: float, overlap: float) -> Callable:

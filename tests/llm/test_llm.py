@@ -116,6 +116,16 @@ def test_leaks(spark, odd):
     assert decontam.find_leaks(odd, bench).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_shards(spark, monkeypatch):
+    words = lambda i: " ".join(f"common{j % 3} w{i % 5}x{j} v{i}x{j}" for j in range(10 + i))
+    items = spark.createDataFrame([(i, words(i)) for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(words(i).split()[2:])) for i in range(12)], "doc_id long, text string")
+    find = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontam.find_leaks(docs, items).collect())
+    one = find()
+    monkeypatch.setattr(decontam, "SHARD_ITEMS", 4)
+    assert len(one) >= 12 and find() == one
+
+
 def test_recurring_lines_go_and_copies_stay(spark):
     line = "Copyright holder {} of this very page keeps all of the rights"
     words = lambda i: " ".join(f"u{i}x{j}" for j in range(12))
