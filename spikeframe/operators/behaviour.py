@@ -10,6 +10,11 @@ def over(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def onward(keys: list[str], order: list[str]):
+    """From the row itself to the end, in falling order: last() over it is the next value, in one pass."""
+    return Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def speed(df: DataFrame, keys, order, x="x", y="y", t="t", out="speed") -> DataFrame:
     """Distance to the row before by the time between; null in a session's first row."""
     w = over(keys, order)
@@ -39,11 +44,8 @@ def running(df: DataFrame, keys, order, cut: float, x="x", y="y", t="t") -> Data
 
 def interpolate(df: DataFrame, keys, order, column: str, row="idx") -> DataFrame:
     """Linear by row number between known values; leading gaps stay null, trailing ones hold the last value."""
-    w = over(keys, order)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col(column).isNotNull(), F.struct(F.col(row).alias("i"), F.col(column).alias("v")))
-    a, b = F.last(known, ignorenulls=True).over(past), F.first(known, ignorenulls=True).over(future)
-    df = df.withColumns({"__a": a, "__b": b})
+    known = F.last(F.when(F.col(column).isNotNull(), F.struct(F.col(row).alias("i"), F.col(column).alias("v"))), ignorenulls=True)
+    df = df.withColumns({"__a": known.over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0)), "__b": known.over(onward(keys, order))})
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * F.try_divide(F.col(row) - F.col("__a.i"), F.col("__b.i") - F.col("__a.i"))
     value = F.when(F.col(column).isNotNull(), F.col(column)).otherwise(F.coalesce(line, F.when(F.col("__b").isNull(), F.col("__a.v"))))
     return df.withColumn(column, value).drop("__a", "__b")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .behaviour import onward
+
 
 def spikes_to_positions(spikes: DataFrame, position: DataFrame, ephys_rate: float = 30000.0) -> DataFrame:
     """Each spike with the position sample nearest by index; spikes at or after the last sample are dropped.
@@ -21,8 +23,9 @@ def spikes_to_positions(spikes: DataFrame, position: DataFrame, ephys_rate: floa
 def nearest(probes: DataFrame, values: DataFrame, keys, probe: str, value: str) -> DataFrame:
     """For each probe the nearest value in its group, the smaller on ties: one sort, no range join."""
     both = probes.select(*keys, F.col(probe).alias("__t"), F.lit(1).alias("__p"), F.lit(None).cast("double").alias("__v")).union(values.select(*keys, F.col(value).alias("__t"), F.lit(0).alias("__p"), F.col(value).cast("double").alias("__v")))
-    w = Window.partitionBy(*keys).orderBy("__t", "__p")
-    both = both.withColumns({"before": F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first("__v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    w = Window.partitionBy(*keys).orderBy("__t", "__p").rowsBetween(Window.unboundedPreceding, 0)
+    value_at = F.last("__v", ignorenulls=True)
+    both = both.withColumns({"before": value_at.over(w), "after": value_at.over(onward(keys, ["__t", "__p"]))})
     closer = F.when(F.col("before").isNull() | (F.col("after") - F.col("__t") < F.col("__t") - F.col("before")), F.col("after")).otherwise(F.col("before"))
     return both.where("__p = 1").select(*keys, F.col("__t").alias(probe), closer.alias("nearest"))
 
@@ -37,10 +40,9 @@ def peristimulus(spikes: DataFrame, pulses: DataFrame, window: int) -> DataFrame
 
 
 def first_after(spikes: DataFrame, pulses: DataFrame, limit: int) -> DataFrame:
-    """The first spike after each pulse of its session and its latency, null beyond limit."""
+    """The first spike strictly after each pulse of its session and its latency, null beyond limit."""
     both = pulses.select("session_id", F.col("pulse").alias("t"), F.lit(1).alias("p")).union(spikes.select("session_id", "t", F.lit(0)))
-    w = Window.partitionBy("session_id").orderBy(F.col("t"), F.col("p").desc()).rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("p") == 0, F.col("t")), ignorenulls=True).over(w)
+    nxt = F.last(F.when(F.col("p") == 0, F.col("t")), ignorenulls=True).over(onward(["session_id"], ["t", "p"]))  # from the last spike on; at one time spikes stand before pulses
     out = both.withColumn("next", nxt).where("p = 1").select("session_id", F.col("t").alias("pulse"), "next")
     near = F.col("next") - F.col("pulse") <= limit
     return out.select("session_id", "pulse", F.when(near, F.col("next")).alias("spike"), F.when(near, F.col("next") - F.col("pulse")).alias("latency"))

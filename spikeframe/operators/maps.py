@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import safe_corr
 from .behaviour import rolling_circular
 
 
@@ -39,22 +38,44 @@ def occupancy(df: DataFrame, keys, bin_px: float, radius: float, least: int, x="
     return n.withColumn("occupancy", F.when(F.col("n") >= least, F.col("n"))).drop("n")
 
 
-def rate_map(spikes: DataFrame, position: DataFrame, cell_keys, session_keys, bin_px: float, smooth: float, dt: float, least: int, x="x_px", y="y_px") -> DataFrame:
-    """Gaussian-kernel firing rates per bin, 0 where fewer than least positions lie within smooth of the bin.
+def _kernel_sums(df: DataFrame, keys, bin_px: float, smooth: float, x: str, y: str, name: str) -> DataFrame:
+    """(keys, bin_x, bin_y, name): sums of the kernel over a group's samples, for bins from 0 on."""
+    import numpy as np
+    import pandas as pd
 
-    Both sides are counted per place before the kernel, which reaches 6 * smooth.
-    """
     reach = int(6 * smooth // bin_px) + 1
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
 
-    def spread(df, keys, name):
-        px = df.groupBy(*keys, F.col(x).alias("px"), F.col(y).alias("py")).agg(F.count("*").alias("c"))
-        px = px.withColumn("bin_x", F.explode(F.transform(steps, lambda d: F.floor(F.col("px") / bin_px) + d))).withColumn("bin_y", F.explode(F.transform(steps, lambda d: F.floor(F.col("py") / bin_px) + d))).where((F.col("bin_x") >= 0) & (F.col("bin_y") >= 0))
-        d2 = F.pow(F.col("px") - (F.col("bin_x") + 0.5) * bin_px, F.lit(2)) + F.pow(F.col("py") - (F.col("bin_y") + 0.5) * bin_px, F.lit(2))
-        return px.groupBy(*keys, "bin_x", "bin_y").agg(F.sum(F.col("c") * F.exp(-d2 / (2 * smooth * smooth))).alias(name))
+    def factors(v):
+        at = np.floor(v / bin_px).astype(int)
+        bins = np.arange(max(0, at.min() - reach), max(0, at.max() + reach) + 1)
+        weight = np.exp(-((v[:, None] - (bins + 0.5) * bin_px) ** 2) / (2 * smooth * smooth))
+        return bins, np.where(np.abs(bins - at[:, None]) <= reach, weight, 0.0)
+
+    def partial(batches):
+        for batch in batches:
+            for _, g in batch.groupby(list(keys), dropna=False, sort=False):
+                (bx, gx), (by, gy) = factors(g["px"].to_numpy()), factors(g["py"].to_numpy())
+                sums = gx.T @ gy
+                out = pd.DataFrame({"bin_x": np.repeat(bx, len(by)), "bin_y": np.tile(by, len(bx)), name: sums.ravel()})
+                out = out[out[name] > 0]
+                for k in reversed(list(keys)):
+                    out.insert(0, k, g[k].iloc[0])
+                yield out
+
+    places = df.select(*keys, F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where("px is not null and py is not null")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.select(*keys).schema)
+    parts = places.mapInPandas(partial, f"{kinds}, bin_x long, bin_y long, {name} double")
+    return parts.groupBy(*keys, "bin_x", "bin_y").agg(F.sum(name).alias(name))
+
 
-    top = spread(spikes, cell_keys, "s")
-    base = spread(position, session_keys, "p")
+def rate_map(spikes: DataFrame, position: DataFrame, cell_keys, session_keys, bin_px: float, smooth: float, dt: float, least: int, x="x_px", y="y_px") -> DataFrame:
+    """Gaussian-kernel firing rates per bin, 0 where fewer than least positions lie within smooth of the bin.
+
+    The kernel reaches 6 * smooth and is a product of one factor by column and one by row, so each batch of samples
+    gives its own partial map as a product of two matrices, and partial maps are summed. Samples without a place are left out.
+    """
+    top = _kernel_sums(spikes, cell_keys, bin_px, smooth, x, y, "s")
+    base = _kernel_sums(position, session_keys, bin_px, smooth, x, y, "p")
     seen = occupancy(position, session_keys, bin_px, smooth, least, x, y)
     out = top.join(base, [*session_keys, "bin_x", "bin_y"]).join(seen, [*session_keys, "bin_x", "bin_y"], "left")
     rate = F.when(F.col("occupancy").isNotNull(), F.try_divide(F.col("s"), F.col("p") * dt)).otherwise(0.0)
@@ -72,11 +93,39 @@ def spatial_information(rates: DataFrame, occupied: DataFrame, cell_keys, sessio
 
 
 def autocorrelogram(rates: DataFrame, keys, least: int = 20) -> DataFrame:
-    """Pearson correlation of a map with itself for each shift, over bins above zero in both; null at least or fewer."""
-    a = rates.where("rate > 0").select(*keys, F.col("bin_x").alias("ax"), F.col("bin_y").alias("ay"), F.col("rate").alias("u"))
-    b = rates.where("rate > 0").select(*keys, F.col("bin_x").alias("bx"), F.col("bin_y").alias("by"), F.col("rate").alias("v"))
-    pairs = a.join(b, keys).groupBy(*keys, (F.col("ax") - F.col("bx")).alias("dx"), (F.col("ay") - F.col("by")).alias("dy"))
-    return pairs.agg(F.count("*").alias("n"), safe_corr("u", "v").alias("r")).withColumn("r", F.when(F.col("n") > least, F.col("r")))
+    """Pearson correlation of a map with itself for each shift, over bins above zero in both; null at least or fewer.
+
+    A cell's map (some thousand bins) is one group, and each shift a comparison of two slices of it.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def shifts(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, rate = pdf["bin_x"].to_numpy(), pdf["bin_y"].to_numpy(), pdf["rate"].to_numpy(float)
+        wide, high = x.max() - x.min() + 1, y.max() - y.min() + 1
+        seen, u = np.zeros((wide, high), bool), np.zeros((wide, high))
+        seen[x - x.min(), y - y.min()], u[x - x.min(), y - y.min()] = True, rate
+        out = []
+        for dx in range(1 - wide, wide):
+            for dy in range(1 - high, high):
+                here = slice(max(0, dx), wide + min(0, dx)), slice(max(0, dy), high + min(0, dy))
+                there = slice(max(0, -dx), wide - max(0, dx)), slice(max(0, -dy), high - max(0, dy))
+                both = seen[here] & seen[there]
+                n = int(both.sum())
+                if n:
+                    v, w = u[here][both], u[there][both]
+                    v0, w0 = v.mean(), w.mean()
+                    vv, ww = ((v - v0) ** 2).mean(), ((w - w0) ** 2).mean()
+                    varies = n > least and vv > 1e-20 * v0 * v0 and ww > 1e-20 * w0 * w0
+                    out.append((dx, dy, n, ((v - v0) * (w - w0)).mean() / np.sqrt(vv) / np.sqrt(ww) if varies else np.nan))
+        out = pd.DataFrame(out, columns=["dx", "dy", "n", "r"])
+        for k in reversed(list(keys)):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    df = rates.where("rate > 0").select(*keys, F.col("bin_x").cast("long").alias("bin_x"), F.col("bin_y").cast("long").alias("bin_y"), F.col("rate").cast("double").alias("rate"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    return df.groupBy(*keys).applyInPandas(shifts, f"{kinds}, dx long, dy long, n long, r double").withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
 
 
 def sparsity(rates: DataFrame, keys, value="rate") -> DataFrame:

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .behaviour import over
+from .behaviour import onward, over
 
 
 def interpolate_circular(df: DataFrame, keys, order, column: str, row="idx") -> DataFrame:
     """Angles in degrees over gaps along the shortest arc, from -180 to 180; gaps at the ends hold the nearest value."""
-    w = over(keys, order)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col(column).isNotNull(), F.struct(F.col(row).alias("i"), F.col(column).alias("v")))
-    df = df.withColumns({"__a": F.last(known, ignorenulls=True).over(past), "__b": F.first(known, ignorenulls=True).over(future)})
+    known = F.last(F.when(F.col(column).isNotNull(), F.struct(F.col(row).alias("i"), F.col(column).alias("v"))), ignorenulls=True)
+    df = df.withColumns({"__a": known.over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0)), "__b": known.over(onward(keys, order))})
     arc = F.pmod(F.col("__b.v") - F.col("__a.v") + 180.0, F.lit(360.0)) - 180.0
     part = F.try_divide((F.col(row) - F.col("__a.i")).cast("double"), (F.col("__b.i") - F.col("__a.i")).cast("double"))
     line = F.pmod(F.col("__a.v") + arc * part + 180.0, F.lit(360.0)) - 180.0
@@ -27,9 +25,9 @@ def resample(df: DataFrame, keys, t: str, column: str, rate: float) -> DataFrame
     grid = ends.withColumn("step", step).where(F.col("step") / rate < F.col("__end")).select(*keys, (F.col("step") / rate).alias("__t"), "step", F.lit(None).cast("double").alias("__v"))
     both = grid.union(df.select(*keys, F.col(t), F.lit(None).cast("long"), F.col(column).cast("double")))
     w = Window.partitionBy(*keys).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
-    v = Window.partitionBy(*keys).orderBy("__t").rangeBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("__v").isNotNull(), F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
-    both = both.withColumns({"__a": F.last(at, ignorenulls=True).over(w), "__b": F.first(at, ignorenulls=True).over(v)}).where("step is not null")
+    v = Window.partitionBy(*keys).orderBy(F.desc("__t")).rangeBetween(Window.unboundedPreceding, 0)
+    at = F.last(F.when(F.col("__v").isNotNull(), F.struct(F.col("__t").alias("t"), F.col("__v").alias("v"))), ignorenulls=True)
+    both = both.withColumns({"__a": at.over(w), "__b": at.over(v)}).where("step is not null")
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * F.coalesce(F.try_divide(F.col("__t") - F.col("__a.t"), F.col("__b.t") - F.col("__a.t")), F.lit(0.0))
     return both.select(*keys, "step", F.coalesce(line, F.when(F.col("__b").isNull(), F.col("__a.v"))).alias(column))
 

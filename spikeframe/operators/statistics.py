@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .behaviour import onward
+
 
 def circular_mean(df: DataFrame, keys, angle: str) -> DataFrame:
     """Mean angle in degrees and circular standard deviation in radians."""
@@ -96,6 +98,6 @@ def corrected_p(df: DataFrame, keys, p: str, order: list[str]) -> DataFrame:
     m = F.count("*").over(Window.partitionBy(*keys))
     df = df.withColumns({"__r": F.row_number().over(up), "__m": m})
     df = df.withColumns({"__bh": F.col(p) * F.col("__m") / F.col("__r"), "__h": F.col(p) * (F.col("__m") - F.col("__r") + 1)})
-    bh = F.min("__bh").over(up.rowsBetween(0, Window.unboundedFollowing))
+    bh = F.min("__bh").over(onward(keys, [p, *order]))
     holm = F.max("__h").over(up.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumns({"bh": F.least(F.lit(1.0), bh), "holm": F.least(F.lit(1.0), holm)}).drop("__r", "__m", "__bh", "__h")
