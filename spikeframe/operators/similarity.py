@@ -14,13 +14,14 @@ def speed_score(spikes: DataFrame, speed: DataFrame, session_keys, cell_keys, ro
     One row per sample and cell isn't made: what the empty samples add is known from the session's sums.
     """
     v = speed.where(F.col("speed").isNotNull())
-    whole = v.groupBy(*session_keys).agg(F.count("*").alias("__n"), F.sum("speed").alias("__v"), F.sum(F.col("speed") * F.col("speed")).alias("__vv"))
-    fired = spikes.groupBy(*cell_keys, row).agg(F.count("*").alias("__c")).join(v.select(*session_keys, row, "speed"), [*session_keys, row])
-    sums = fired.groupBy(*cell_keys).agg(F.sum("__c").alias("c"), F.sum(F.col("__c") * F.col("__c")).alias("cc"), F.sum(F.col("__c") * F.col("speed")).alias("cv"))
+    whole = v.groupBy(*session_keys).agg(F.count("*").alias("__n"), F.avg("speed").alias("__v"), F.var_pop("speed").alias("__vv"))
+    fired = spikes.groupBy(*cell_keys, row).agg(F.count("*").alias("__c")).join(v.select(*session_keys, row, "speed"), [*session_keys, row]).join(whole.select(*session_keys, "__v"), session_keys)
+    sums = fired.groupBy(*cell_keys).agg(F.sum("__c").alias("c"), F.sum(F.col("__c") * F.col("__c")).alias("cc"), F.sum(F.col("__c") * (F.col("speed") - F.col("__v"))).alias("cv"))
     sums = spikes.select(*cell_keys).distinct().join(sums, cell_keys, "left").join(whole, session_keys)
-    n, c, v, vv = (F.col(x).cast("double") for x in ("__n", "c", "__v", "__vv"))
-    var_c, var_v = n * F.col("cc") - c * c, n * vv - v * v
-    return sums.select(*cell_keys, F.when((var_c > 1e-9) & (var_v > 1e-9), F.try_divide(n * F.col("cv") - c * v, F.sqrt(var_c * var_v))).alias("speed_score"))
+    n, c = F.col("__n").cast("double"), F.col("c").cast("double")
+    var_c, var_v = F.col("cc") - c * c / n, n * F.col("__vv")
+    varies = (var_c > 0) & (F.col("__vv") > 1e-20 * F.col("__v") * F.col("__v"))
+    return sums.select(*cell_keys, F.when(varies, F.try_divide(F.col("cv"), F.sqrt(var_c * var_v))).alias("speed_score"))
 
 
 def half_stability(spikes: DataFrame, position: DataFrame, session_keys, cell_keys, bins) -> DataFrame:

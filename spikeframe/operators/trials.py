@@ -40,3 +40,30 @@ def interval_sweep(df: DataFrame, keys, low: str, high: str) -> DataFrame:
     ends = df.select(*keys, F.explode(F.array(F.struct(F.col(low).alias("edge"), F.lit(1).alias("w")), F.struct(F.col(high).alias("edge"), F.lit(-1).alias("w")))).alias("e"))
     breaks = ends.groupBy(*keys, F.col("e.edge").alias("edge")).agg(F.sum("e.w").alias("w"))
     return breaks.withColumn("weight", F.sum("w").over(Window.partitionBy(*keys).orderBy("edge"))).drop("w")
+
+
+def goal_aligned(rates: DataFrame, goals: DataFrame, keys, cell_keys, width: float) -> DataFrame:
+    """(cell_keys, trial_type, bin, rate): mean rate by bins relative to each trial's goal. rates: cell_keys, trial, bin, rate; goals: keys, trial, trial_type, goal."""
+    moved = rates.join(goals, [*keys, "trial"]).withColumn("bin", F.col("bin") - F.floor(F.col("goal") / width))
+    return moved.groupBy(*cell_keys, "trial_type", "bin").agg(F.avg(F.when(F.abs("rate") < float("inf"), F.col("rate")).otherwise(0.0)).alias("rate"))
+
+
+def by_goal(goals: DataFrame, keys) -> DataFrame:
+    """place: a trial's number from 1 in falling order of its goal; the earlier of equal ones first."""
+    return goals.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("goal"), "trial")))
+
+
+def shifted_bins(bins: DataFrame, right: int, up: int, wide: int, high: int) -> DataFrame:
+    """Bins of maps of wide columns (bin_x) and high rows (bin_y) moved to the right and up (rows count from the top); those outside go."""
+    moved = bins.withColumns({"bin_x": F.col("bin_x") + right, "bin_y": F.col("bin_y") - up})
+    return moved.where(F.col("bin_x").between(0, wide - 1) & F.col("bin_y").between(0, high - 1))
+
+
+def labelled_times(cells: DataFrame, keys, times: str, label: str) -> DataFrame:
+    """One row (keys, t, label) per firing time of cells with an array of them."""
+    return cells.select(*keys, F.explode(times).alias("t"), F.col(label).alias("label"))
+
+
+def time_arrays(rows: DataFrame, keys, times: str = "firing_times") -> DataFrame:
+    """Rows (keys, t, label) back to one array of rising times per label."""
+    return rows.groupBy(*keys, "label").agg(F.sort_array(F.collect_list("t")).alias(times))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 POSITION = """
@@ -25,17 +27,27 @@ CELLS = """
   FROM customer"""
 WAVES = """
   SELECT vec_id AS snippet_id, label AS cluster_id, embedding FROM embeddings"""
-VIEWS = {"position": POSITION, "spikes": SPIKES, "pulses": PULSES, "track": TRACK, "cells": CELLS, "waves": WAVES}
+#: Cells 0 to 3 fire around a place of their own, cell 4 on a hexagonal grid of 120 pixels.
+PLACES = f"""
+  SELECT session_id, cluster_id, pos_idx, pos_idx * 1000 AS t_sample, synced_time, x_px, y_px, hd FROM ({POSITION}
+  ) q, (SELECT 0 AS cluster_id UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) c
+  WHERE CASE WHEN cluster_id < 4 THEN (x_px - 110 - 60 * cluster_id) * (x_px - 110 - 60 * cluster_id) + (y_px - 280 + 50 * cluster_id) * (y_px - 280 + 50 * cluster_id) < 3600
+        ELSE cos((x_px - 200) * 0.06045997880780726D0) + cos((x_px - 200) * 0.03022998940390363D0 + (y_px - 200) * 0.05235987755982988D0) + cos((x_px - 200) * 0.03022998940390363D0 - (y_px - 200) * 0.05235987755982988D0) > 1.2 END
+     OR pos_idx % 61 = cluster_id * 7"""
+#: One sample of a channel for each line of an order: price steps stand for a signal.
+SIGNAL = """
+  SELECT session_id, CAST(1 AS INT) + CAST(pos_idx % 2 AS INT) AS channel, CAST(floor(pos_idx / 2) AS BIGINT) AS t, y_px AS value, sync_led AS speed FROM (""" + POSITION + """) q"""
+VIEWS = {"places": PLACES, "signal": SIGNAL, "position": POSITION, "spikes": SPIKES, "pulses": PULSES, "track": TRACK, "cells": CELLS, "waves": WAVES}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name].replace("30.0D0", "30.0D")
-    source = sql.rsplit("FROM", 1)[1].split()[0].strip("()") if name != "position" else "lineitem"
+    sql = re.sub(r"(\d\.\d+)D0", r"\1D", VIEWS[name])
+    source = "lineitem" if name in ("position", "places", "signal") else sql.rsplit("FROM", 1)[1].split()[0].strip("()")
     return spark.sql(sql.replace(f"FROM {source}", "FROM {src}"), src=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
 
 
 def with_views(body: str) -> str:
     """SQL that starts with the views its body names."""
     used = [n for n in VIEWS if f" {n} " in f" {body} ".replace("\n", " ").replace(")", " ").replace(",", " ")]
-    ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used).replace("30.0D0", "30.0::DOUBLE")
-    return f"WITH {ctes}{', ' if body.lstrip().startswith('+') else ' '}{body.lstrip().lstrip('+')}"
+    ctes = re.sub(r"(\d\.\d+)D0", r"\1::DOUBLE", ", ".join(f"{n} AS ({VIEWS[n]})" for n in used))
+    return f"WITH RECURSIVE {ctes}{', ' if body.lstrip().startswith('+') else ' '}{body.lstrip().lstrip('+')}"
