@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """wanted, with underscores after it until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+#: Rows that may be broadcast; above it a join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """Marked for a broadcast where its rows (some short columns) are at most BROADCAST_ROWS; else the join shuffles."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 class Scratch:
     """Parquet tables that an operator writes and reads again before it returns."""
 

@@ -2,11 +2,14 @@
 
 A batch of texts is one byte buffer; words are maximal runs of bytes that a 256-entry table calls
 word bytes. Word hashes are 64-bit polynomial hashes taken from prefix sums, so no Python code
-runs per word. Null texts count as empty ones.
+runs per word. Null texts count as empty ones. Memory is a few MB a step; a text longer than a step
+takes about three bytes for each of its bytes and some 40 for each of its words.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +21,7 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 18
 
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,19 +34,23 @@ _CODES = np.random.default_rng(20240607).integers(1, _MASK, 256, dtype=np.uint64
 CODES_LOWER = _CODES.copy()
 CODES_LOWER[0x41:0x5B] = _CODES[0x61:0x7B]
 
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
+#: Bytes that one run of hashing takes; powers are kept for so many.
+CHUNK = STEP_BYTES + (1 << 16)
+_kept: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, STEP_BYTES + (1 << 16))
-        for name, base in (("_pow", _BASE), ("_inv", _INVERSE)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            globals()[name] = np.cumprod(factors, dtype=np.uint64)
-    return _pow, _inv
+    """Powers of the base and of its inverse; those of a word longer than CHUNK aren't kept."""
+    if n <= CHUNK and _kept:
+        return _kept[0], _kept[1]
+    out = []
+    for base in (_BASE, _INVERSE):
+        factors = np.full(max(n, CHUNK), base, np.uint64)
+        factors[0] = 1
+        out.append(np.cumprod(factors, dtype=np.uint64))
+    if n <= CHUNK:
+        _kept[:] = out
+    return out[0], out[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,23 +74,38 @@ class Words:
     doc: np.ndarray
     #: First word of each text, with the number of words at the end.
     first: np.ndarray
-    sums: np.ndarray
-
-    def prefix_hash(self, length: int) -> np.ndarray:
-        """Hashes of the first length bytes of each word (of the whole word where it is shorter)."""
-        return span_hash(self.sums, self.start, np.minimum(self.start + length, self.end))
-
-
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inv = _powers(len(sums))
-    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
-
-
-def prefix_sums(buf: np.ndarray, codes: np.ndarray = CODES_LOWER) -> np.ndarray:
-    power, _ = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(codes[buf] * power[: len(buf)], out=sums[1:])
-    return sums
+    codes: np.ndarray
+
+    def prefix_hashes(self, lengths: tuple[int, ...]) -> list[np.ndarray]:
+        """For each length, hashes of the first so many bytes of each word (of the whole word where it is shorter)."""
+        return _hashes(self.buf, self.start, [np.minimum(self.start + n, self.end) for n in lengths], self.codes)
+
+
+def _hashes(buf: np.ndarray, start: np.ndarray, ends: list[np.ndarray], codes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the spans from start to each of ends, in runs of about STEP_BYTES so that memory doesn't follow the length of a text."""
+    out = [np.empty(len(start), np.uint64) for _ in ends]
+    last = ends[0] if len(ends) == 1 else np.maximum.reduce(ends)
+    i = 0
+    while i < len(start):
+        lo = int(start[i])
+        j = max(i + 1, int(np.searchsorted(start, lo + STEP_BYTES)))
+        hi = int(last[j - 1])
+        power, inverse = _powers(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(codes[buf[lo:hi]] * power[: hi - lo], out=sums[1:])
+        a = start[i:j] - lo
+        for end, values in zip(ends, out, strict=True):
+            b = end[i:j] - lo
+            values[i:j] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
+
+
+def running(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each position, and in all."""
+    out = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, dtype=out.dtype, out=out[1:])
+    return out
 
 
 def split_words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, codes: np.ndarray = CODES_LOWER) -> Words:
@@ -96,18 +118,24 @@ def split_words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, codes:
     left, right = mask[:-1], mask[1:]
     start = np.flatnonzero(right & (~left | bound))
     end = np.flatnonzero(left & (~right | bound))
-    sums = prefix_sums(buf, codes)
     doc = np.searchsorted(offsets, start, side="right") - 1
     first = np.searchsorted(start, offsets, side="left")
-    return Words(buf, offsets, start, end, span_hash(sums, start, end), doc, first, sums)
+    return Words(buf, offsets, start, end, _hashes(buf, start, [end], codes)[0], doc, first, codes)
 
 
 def text_steps(column: pa.Array | pa.ChunkedArray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of consecutive rows of at most limit bytes, or of one row."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if isinstance(column, pa.ChunkedArray):
+        at = 0
+        for chunk in column.chunks:
+            for row, last, buf, offsets in text_steps(chunk, limit):
+                yield at + row, at + last, buf, offsets
+            at += len(chunk)
+        return
     if not len(column):
         return
+    column = column.cast(pa.large_string())
+    column = pc.fill_null(column, "") if column.null_count else column
     _, raw_offsets, data = column.buffers()
     offsets = np.frombuffer(raw_offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -119,6 +147,16 @@ def text_steps(column: pa.Array | pa.ChunkedArray, limit: int = STEP_BYTES) -> I
         row = last
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches of a task, after which unused memory of the worker, which lives on, goes back to the system."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every system's C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of every k-word shingle; a text of 1 to k - 1 words has one, the whole of it."""
     h, doc, count = words.hash, words.doc, np.diff(words.first)
