@@ -74,11 +74,11 @@ def rate_map(spikes: DataFrame, position: DataFrame, cell_keys, session_keys, bi
     The kernel reaches 6 * smooth and is a product of one factor by column and one by row, so each batch of samples
     gives its own partial map as a product of two matrices, and partial maps are summed. Samples without a place are left out.
     """
-    top = _kernel_sums(spikes, cell_keys, bin_px, smooth, x, y, "s")
-    base = _kernel_sums(position, session_keys, bin_px, smooth, x, y, "p")
+    top = _kernel_sums(spikes, cell_keys, bin_px, smooth, x, y, "__s")
+    base = _kernel_sums(position, session_keys, bin_px, smooth, x, y, "__p")
     seen = occupancy(position, session_keys, bin_px, smooth, least, x, y)
     out = top.join(base, [*session_keys, "bin_x", "bin_y"]).join(seen, [*session_keys, "bin_x", "bin_y"], "left")
-    rate = F.when(F.col("occupancy").isNotNull(), F.try_divide(F.col("s"), F.col("p") * dt)).otherwise(0.0)
+    rate = F.when(F.col("occupancy").isNotNull(), F.try_divide(F.col("__s"), F.col("__p") * dt)).otherwise(0.0)
     return out.select(*cell_keys, "bin_x", "bin_y", rate.alias("rate"))
 
 

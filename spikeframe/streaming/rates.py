@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,11 +20,24 @@ def pulse_sessions(on: DataFrame, keys, gap: str, late: str | None = None, ts="t
     return out.drop("w")
 
 
+def complete_sessions(spark: SparkSession, root: str, marker: str = "copied.txt") -> DataFrame:
+    """(session_id): the folders under root that hold the marker which is copied last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{marker}")  # Spark's readers skip empty files, which markers are
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return spark.createDataFrame([(f.getPath().getParent().getName(),) for f in found], "session_id string")
+
+
 def ingest(stream: DataFrame, path: str, quarantine: str, good, checkpoint: str):
-    """Writes a file stream to partitions by session; each batch replaces the sessions it holds, bad rows go aside."""
+    """Writes a file stream to Parquet by session_id and source_file, bad rows to quarantine by source_file.
+
+    A batch replaces only the files it holds, so that a batch run again gives the same rows and a session whose files
+    come in several batches keeps all of them.
+    """
+    named = stream.withColumn("source_file", F.col("_metadata.file_name"))
 
     def batch(df: DataFrame, _: int) -> None:
-        df.where(good).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
-        df.where(~F.coalesce(good, F.lit(False))).write.mode("append").parquet(quarantine)
+        put = lambda part, to, *by: part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(to)
+        put(df.where(good), path, "session_id", "source_file")
+        put(df.where(~F.coalesce(good, F.lit(False))), quarantine, "source_file")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
