@@ -48,10 +48,10 @@ def first_after(spikes: DataFrame, pulses: DataFrame, limit: int) -> DataFrame:
     return out.select("session_id", "pulse", F.when(near, F.col("next")).alias("spike"), F.when(near, F.col("next") - F.col("pulse")).alias("latency"))
 
 
-def in_field_bins(samples: DataFrame, field_bins: DataFrame, bin_px: float, x="x_px", y="y_px") -> DataFrame:
-    """Samples strictly inside the bins of a field, edges excluded."""
+def in_field_bins(samples: DataFrame, field_bins: DataFrame, bin_px: float, x="x_px", y="y_px", keys=("session_id",)) -> DataFrame:
+    """Samples strictly inside the bins of a field, edges excluded. keys: a session's, or a cell's where samples are its spikes."""
     s = samples.withColumns({"bin_x": F.floor(F.col(x) / bin_px), "bin_y": F.floor(F.col(y) / bin_px)}).where((F.col(x) % bin_px != 0) & (F.col(y) % bin_px != 0))
-    return s.join(field_bins, ["session_id", "bin_x", "bin_y"])
+    return s.join(field_bins, [*keys, "bin_x", "bin_y"])
 
 
 def split_stitched(spikes: DataFrame, stitches: DataFrame) -> DataFrame:

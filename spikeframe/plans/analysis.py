@@ -12,7 +12,7 @@ from ..operators import similarity as Y
 from ..operators import trials as L
 from .fixtures import view
 from .preparation import BINS, FIELDS, fields
-from .registry import CELL, HIST, JOINED, SESSION, a6_rate_map, hist, joined, query, r6
+from .registry import CELL, HIST, JOINED, SESSION, coarse_map, hist, joined, query, r6
 
 TRIAL = [*CELL, "trial", "bin"]
 RATES = JOINED + """, dwell AS (SELECT session_id, pos_idx // 200 AS trial, CAST(floor(x_px / 40) AS BIGINT) AS bin, count(*) / 30.0::DOUBLE AS dwell FROM position GROUP BY 1, 2, 3),
@@ -31,7 +31,7 @@ def trial_rates(spark, d):
 
 @query()
 def a7_peak_of_map(spark, d):
-    return a6_rate_map(spark, d).groupBy(*CELL).agg(F.round(F.max("rate"), 6).alias("max_rate"))
+    return coarse_map(spark, d).groupBy(*CELL).agg(F.round(F.max("rate"), 5).alias("max_rate"))
 
 
 @query(FIELDS + " SELECT session_id, cluster_id, round(pow(avg(n), 2) / avg(n * n), 6) AS sparsity FROM bins GROUP BY 1, 2")

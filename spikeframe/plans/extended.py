@@ -15,9 +15,9 @@ from ..operators import spectra as Z
 from ..operators import trials as L
 from ..operators import waveforms as V
 from .analysis import HALF, RATES, trial_rates
-from .fixtures import view
+from .fixtures import view, with_views
 from .preparation import BINS, FIELDS, fields
-from .registry import CELL, JOINED, SESSION, joined, query, r6
+from .registry import CELL, JOINED, ORACLES, SESSION, joined, query, r6
 
 FIELD = [*CELL, "field_id"]
 BIN, SMOOTH = 20.0, 30.0
@@ -422,3 +422,17 @@ def c26_waveform_shape(spark, d):
 def c28_waveform_components(spark, d):
     pc = V.principal_components(view(spark, d, "waves"), ["cluster_id"], "snippet_id", "embedding")
     return pc.select("cluster_id", "snippet_id", F.round(pc.pc[0], 4).alias("pc1"), F.round(pc.pc[1], 4).alias("pc2"))
+
+
+# SQL for the queries on the coarse map, by the same expressions as for the map of place cells
+ORACLES |= {
+    name: with_views(COARSE + sql)
+    for name, sql in {
+        "a6_rate_map": " SELECT session_id, cluster_id, bin_x, bin_y, round(rate, 5) AS rate FROM map",
+        "a7_peak_of_map": " SELECT session_id, cluster_id, round(max(rate), 5) AS max_rate FROM map GROUP BY 1, 2",
+        "a8_spatial_information": ", p_ AS (SELECT *, n / sum(n) OVER (PARTITION BY session_id) AS p FROM seen), m_ AS (SELECT map.session_id, cluster_id, p, rate, sum(p * rate) OVER (PARTITION BY map.session_id, cluster_id) AS mean FROM map JOIN p_ ON p_.session_id = map.session_id AND p_.bin_x = map.bin_x AND p_.bin_y = map.bin_y) SELECT session_id, cluster_id, round(sum(CASE WHEN rate > 0 THEN p * rate * log2(rate / mean) ELSE 0 END) / nullif(max(mean), 0), 5) AS information FROM m_ GROUP BY 1, 2",
+        "c4_autocorrelogram": AUTO + " SELECT session_id, cluster_id, dx, dy, n, round(r, 5) AS r FROM auto",
+        "c5_correlogram_peaks": PEAKS + " SELECT session_id, cluster_id, label, round(cx, 5) AS cx, round(cy, 5) AS cy, area, round(distance, 5) AS distance FROM peaks",
+        "c6_grid_spacing": PEAKS + " SELECT session_id, cluster_id, round(median(CASE WHEN k BETWEEN 2 AND 7 AND many > 7 THEN distance * 2.5 END), 5) AS spacing, round(max(CASE WHEN k = 1 AND many > 7 THEN sqrt(area * 2.5) / pi() END), 5) AS field_size FROM ranked GROUP BY 1, 2",
+    }.items()
+}

@@ -226,20 +226,28 @@ def a5_occupancy(spark, d):
     return M.occupancy(view(spark, d, "position"), SESSION, 40.0, 60.0, 3)
 
 
+def coarse_map(spark, d):
+    return M.rate_map(joined(spark, d), view(spark, d, "position"), CELL, SESSION, 40.0, 60.0, 1 / 30, 3)
+
+
+def coarse_correlogram(spark, d):
+    return M.autocorrelogram(coarse_map(spark, d), CELL)
+
+
 @query()
 def a6_rate_map(spark, d):
-    return M.rate_map(joined(spark, d), view(spark, d, "position"), CELL, SESSION, 40.0, 60.0, 1 / 30, 3)
+    return coarse_map(spark, d).select(*CELL, "bin_x", "bin_y", F.round("rate", 5).alias("rate"))
 
 
 @query()
 def a8_spatial_information(spark, d):
     p = view(spark, d, "position")
-    return M.spatial_information(a6_rate_map(spark, d), M.occupancy(p, SESSION, 40.0, 60.0, 3), CELL, SESSION)
+    return M.spatial_information(coarse_map(spark, d), M.occupancy(p, SESSION, 40.0, 60.0, 3), CELL, SESSION).select(*CELL, F.round("information", 5).alias("information"))
 
 
 @query()
 def c4_autocorrelogram(spark, d):
-    return M.autocorrelogram(a6_rate_map(spark, d), CELL)
+    return coarse_correlogram(spark, d).select(*CELL, "dx", "dy", "n", F.round("r", 5).alias("r"))
 
 
 @query("SELECT session_id, trial_type, CAST(floor(x / 10) AS BIGINT) AS bin, round(avg(speed), 6) AS speed, count(*) AS samples FROM track GROUP BY 1, 2, 3")
@@ -366,7 +374,8 @@ def st2_windowed_counts(spark, d):
     return rates.windowed_counts(e, ["user_id"], "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("+ z AS (SELECT 1 AS one FROM cells LIMIT 1), e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WHERE event_type = 'purchase'), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def st3_pulse_sessions(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp"))
-    return rates.pulse_sessions(e, ["user_id"], "6 hours")
+    out = rates.pulse_sessions(e, ["user_id"], "6 hours")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

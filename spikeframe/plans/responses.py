@@ -9,31 +9,31 @@ from ..operators import joins as J
 from ..operators import maps as M
 from ..operators import responses as R
 from .fixtures import view
-from .registry import CELL, HIST, ORDER, SESSION, a6_rate_map, c4_autocorrelogram, hist, joined, query, r6
+from .registry import CELL, HIST, ORDER, SESSION, coarse_correlogram, coarse_map, hist, joined, query, r6
 
 
 def peaks(spark, d):
-    return P.correlogram_peaks(c4_autocorrelogram(spark, d), CELL)
+    return P.correlogram_peaks(coarse_correlogram(spark, d), CELL)
 
 
 @query()
 def c5_correlogram_peaks(spark, d):
-    return peaks(spark, d).select(*CELL, "label", *r6("cx", "cy"), "area", *r6("distance"))
+    return peaks(spark, d).select(*CELL, "label", *(F.round(c, 5).alias(c) for c in ("cx", "cy")), "area", F.round("distance", 5).alias("distance"))
 
 
 @query()
 def c6_grid_spacing(spark, d):
-    return P.grid_spacing(peaks(spark, d), CELL).select(*CELL, *r6("spacing", "field_size"))
+    return P.grid_spacing(peaks(spark, d), CELL).select(*CELL, F.round("spacing", 5).alias("spacing"), F.round("field_size", 5).alias("field_size"))
 
 
 @query()
 def c7_grid_score(spark, d):
-    return P.grid_score(c4_autocorrelogram(spark, d), peaks(spark, d), CELL).select(*CELL, *r6("grid_score"))
+    return P.grid_score(coarse_correlogram(spark, d), peaks(spark, d), CELL).select(*CELL, *r6("grid_score"))
 
 
 def found_fields(spark, d):
     """Fields of the coarse maps of these tables, whose bins are 40 pixels wide."""
-    return P.firing_fields(a6_rate_map(spark, d), CELL, least_bins=2)
+    return P.firing_fields(coarse_map(spark, d), CELL, least_bins=2)
 
 
 @query()
@@ -43,7 +43,7 @@ def c9_firing_fields(spark, d):
 
 @query()
 def c10_field_directions(spark, d):
-    inside = J.in_field_bins(joined(spark, d), found_fields(spark, d).withColumnRenamed("cluster_id", "owner"), 40.0).where("cluster_id = owner")
+    inside = J.in_field_bins(joined(spark, d), found_fields(spark, d), 40.0, keys=CELL)
     keys = [*CELL, "field_id"]
     n = inside.groupBy(*keys).agg(F.count("*").alias("spikes"))
     return M.hd_score(M.hd_histogram(inside, keys), keys).join(n, keys).select(*keys, *r6("hd_score"), "spikes")
