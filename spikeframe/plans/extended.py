@@ -11,6 +11,7 @@ from ..operators import firing_fields as P
 from ..operators import maps as M
 from ..operators import sessions as T
 from ..operators import shuffles as H
+from ..operators import significance as G
 from ..operators import spectra as Z
 from ..operators import trials as L
 from ..operators import waveforms as V
@@ -424,6 +425,66 @@ def c28_waveform_components(spark, d):
     return pc.select("cluster_id", "snippet_id", F.round(pc.pc[0], 4).alias("pc1"), F.round(pc.pc[1], 4).alias("pc2"))
 
 
+
+def two(spark, d):
+    from .registry import two_samples
+
+    return two_samples(spark, d)
+
+
+VALUES = "+ q AS (SELECT session_id, CAST(cluster_id % 2 AS INT) AS s, floor(value)::DOUBLE AS v FROM spikes)"
+
+
+@query(VALUES + ", m AS (SELECT session_id, count(*) FILTER (s = 0)::DOUBLE AS n0, count(*) FILTER (s = 1)::DOUBLE AS n1, avg(v) FILTER (s = 0) AS m0, avg(v) FILTER (s = 1) AS m1, var_samp(v) FILTER (s = 0) AS v0, var_samp(v) FILTER (s = 1) AS v1 FROM q GROUP BY 1) SELECT session_id, round((m0 - m1) / sqrt(v0 / n0 + v1 / n1), 5) AS t, round(pow(v0 / n0 + v1 / n1, 2) / (pow(v0 / n0, 2) / (n0 - 1) + pow(v1 / n1, 2) / (n1 - 1)), 4) AS df FROM m")
+def c32_welch(spark, d):
+    return G.t_test(two(spark, d), SESSION, "sample", "v").select("session_id", F.round("t", 5).alias("t"), F.round("df", 4).alias("df"))
+
+
+@query(VALUES + ", k AS (SELECT session_id, s, median(v) AS m FROM q GROUP BY 1, 2), z AS (SELECT q.session_id, q.s, abs(v - m) AS z FROM q JOIN k ON q.session_id = k.session_id AND q.s = k.s), g AS (SELECT session_id, avg(z) AS grand, count(*)::DOUBLE AS total FROM z GROUP BY 1), p AS (SELECT session_id, s, count(*)::DOUBLE AS n, avg(z) AS mean, var_pop(z) AS var FROM z GROUP BY 1, 2) SELECT p.session_id, CASE WHEN count(*) = 2 THEN round((max(total) - 2) * sum(n * pow(mean - grand, 2)) / nullif(sum(n * var), 0), 5) END AS levene FROM p JOIN g ON p.session_id = g.session_id GROUP BY 1")
+def c32_levene(spark, d):
+    return G.levene(two(spark, d), SESSION, "sample", "v").select("session_id", F.round("levene", 5).alias("levene"))
+
+
+@query(VALUES + ", c AS (SELECT session_id, v, count(*) FILTER (s = 0)::DOUBLE AS a, count(*)::DOUBLE AS t FROM q GROUP BY 1, 2), r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY session_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rk FROM c), k AS (SELECT session_id, sum(a * rk) AS r, sum(a) AS n, sum(t) AS total, sum(t * t * t - t) AS ties FROM r GROUP BY 1) SELECT session_id, round(r - n * (n + 1) / 2, 3) AS u, round((r - n * (n + 1) / 2 - n * (total - n) / 2) / sqrt(n * (total - n) / 12 * (total + 1 - ties / (total * (total - 1)))), 5) AS z FROM k")
+def c32_rank_sum(spark, d):
+    return G.rank_sum(two(spark, d), SESSION, "sample", "v").select("session_id", F.round("u", 3).alias("u"), F.round("z", 5).alias("z"))
+
+
+@query("+ d_ AS (SELECT session_id, y_px - x_px AS d FROM position WHERE y_px <> x_px), c AS (SELECT session_id, abs(d) AS v, count(*) FILTER (d > 0)::DOUBLE AS up, count(*)::DOUBLE AS t FROM d_ GROUP BY 1, 2), r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY session_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rk FROM c) SELECT session_id, round(least(sum(up * rk), sum((t - up) * rk)), 3) AS w FROM r GROUP BY 1")
+def c32_signed_rank(spark, d):
+    return G.signed_rank(view(spark, d, "position"), SESSION, "y_px", "x_px").select("session_id", F.round("w", 3).alias("w"))
+
+
+UNIT = "+ u AS (SELECT session_id, cluster_id, t_sample / 5000000.0::DOUBLE AS u FROM spikes), i AS (SELECT *, row_number() OVER (PARTITION BY session_id, cluster_id ORDER BY u) AS i, count(*) OVER (PARTITION BY session_id, cluster_id)::DOUBLE AS n FROM u)"
+
+
+@query(UNIT + " SELECT session_id, cluster_id, round(max(i / n - u) + max(u - (i - 1) / n), 6) AS kuiper FROM i GROUP BY 1, 2")
+def c13_kuiper_one_sample(spark, d):
+    return G.kuiper_one(view(spark, d, "spikes"), CELL, F.col("t_sample") / 5000000.0).select(*CELL, *r6("kuiper"))
+
+
+@query(UNIT + " SELECT session_id, cluster_id, round(sum(pow(u - (2 * i - 1) / (2 * n), 2)) + 1 / (12 * max(n)) - max(n) * pow(avg(u) - 0.5, 2), 6) AS u2 FROM i GROUP BY 1, 2")
+def c14_watson_one_sample(spark, d):
+    return G.watson_one(view(spark, d, "spikes"), CELL, F.col("t_sample") / 5000000.0).select(*CELL, *r6("u2"))
+
+
+@query()
+def c32_p_values(spark, d):
+    t = two(spark, d)
+    tests = {"welch": G.t_test, "levene": G.levene, "rank_sum": G.rank_sum, "ks": G.kolmogorov_two, "kuiper": G.kuiper_two}
+    out = None
+    for name, f in tests.items():
+        part = f(t, SESSION, "sample", "v").select("session_id", F.lit(name).alias("test"), F.round("p", 6).alias("p"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("+ f AS (SELECT session_id, t_sample / 1000000.0::DOUBLE AS a, t_sample / 1000000.0::DOUBLE + value / 100 AS b FROM spikes), e AS (SELECT session_id, 0.0::DOUBLE AS x, ceil(b) - floor(a) - 1 AS w FROM f UNION ALL SELECT session_id, a - floor(a), 1 FROM f UNION ALL SELECT session_id, b - floor(b), CASE WHEN b > floor(b) THEN -1 ELSE 0 END FROM f), g AS (SELECT session_id, x, sum(w) AS w FROM e GROUP BY 1, 2) SELECT session_id, round(x, 6) AS start, round(coalesce(lead(x) OVER (PARTITION BY session_id ORDER BY x), 1), 6) AS stop, round(sum(w) OVER (PARTITION BY session_id ORDER BY x), 6)::DOUBLE AS weight FROM g")
+def x8_folded_intervals(spark, d):
+    s = view(spark, d, "spikes").select("session_id", (F.col("t_sample") / 1000000.0).alias("a"), F.lit(1.0).alias("w"), (F.col("t_sample") / 1000000.0 + F.col("value") / 100).alias("b"))
+    return G.folded(s, SESSION, "a", "b", "w").select("session_id", *r6("start", "stop", "weight"))
+
+
 # SQL for the queries on the coarse map, by the same expressions as for the map of place cells
 ORACLES |= {
     name: with_views(COARSE + sql)

@@ -50,4 +50,6 @@ def with_views(body: str) -> str:
     """SQL that starts with the views its body names."""
     used = [n for n in VIEWS if f" {n} " in f" {body} ".replace("\n", " ").replace(")", " ").replace(",", " ")]
     ctes = re.sub(r"(\d\.\d+)D0", r"\1::DOUBLE", ", ".join(f"{n} AS ({VIEWS[n]})" for n in used))
-    return f"WITH RECURSIVE {ctes}{', ' if body.lstrip().startswith('+') else ' '}{body.lstrip().lstrip('+')}"
+    # recursive expressions name their columns; elsewhere the keyword would tie the types of all unions to their first part
+    recursive = "RECURSIVE " if re.search(r"\b\w+\(\w+(, \w+)*\) AS \(SELECT", body) else ""
+    return f"WITH {recursive}{ctes}{', ' if body.lstrip().startswith('+') else ' '}{body.lstrip().lstrip('+')}"
