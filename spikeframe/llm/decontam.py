@@ -1,19 +1,24 @@
 """Benchmark decontamination: a BM25 index of test items, queried with every training passage by block-max WAND.
 
 Passages are overlapping word windows that cover every document. Scores are divided by the item's score
-against itself, so one threshold serves all items. Items that share their most common word are neighbours in the
-index, and a block is a range of BLOCK items with the greatest contribution of each term there. Passages of a group
-run in lockstep: those whose terms' greatest contributions in any item can't reach the threshold stop at once
-(no pivot); the others skip each block whose bounds can't reach it (no live block) and score
-all items of the blocks left. No item at or above the threshold is missed. A retrieved item
+against itself, so one threshold serves all items. Each term has its postings (items in rising order, with their
+contributions), cut at blocks of BLOCK items, and the greatest contribution of each block. Items that share their
+most common word are neighbours.
+
+Passages of a group run together. A passage's terms stand in rising order of their greatest contribution; up to the
+pivot, the first at which their sum reaches the threshold, they can't bring any item there alone, so only
+the blocks in the postings of the pivot and the terms after it are candidates. Of these the blocks whose greatest
+contributions, summed over all terms of the passage, don't reach the threshold are skipped, and the
+postings of the others are scored. No item at or above the threshold is missed. A retrieved item
 counts as a leak when the document holds enough of the word 3-grams of its question and of its answer (the
-item's last sentence; the last half of an item of one sentence).
+item's last sentence; the last half of an item of one sentence). An item of fewer words than that is met
+by its whole run of words.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .storage import cut
+from .storage import Scratch, cut
 
 K1, B, BLOCK = 1.2, 0.75, 16
-#: Passages that run together.
-GROUP = 4096
+#: Passages that run together, and contributions that are looked up at once.
+GROUP, LOOKUPS = 4096, 1 << 20
 THRESHOLD, OVERLAP, GRAM = 0.4, 0.6, 3
 #: An index shard holds at most so many items and characters; a larger benchmark takes several passes.
 SHARD_ITEMS, SHARD_CHARS = 20_000, 32 << 20
@@ -38,9 +43,8 @@ def _one(text: str) -> tv.Words:
     return tv.split_words(raw, np.array([0, len(raw)]), tv.ALNUM)
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    n = min(GRAM, len(h))
-    if not n:
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    if not 0 < n <= len(h):
         return np.zeros(0, np.uint64)
     acc = np.zeros(len(h) - n + 1, np.uint64)
     for j in range(n):
@@ -48,26 +52,33 @@ def _grams(h: np.ndarray) -> np.ndarray:
     return np.unique(tv.mix(acc))
 
 
-@dataclass
-class Block:
-    """A range of items: its terms, their contributions (row 0 is no term) and the greatest of each row."""
-
-    first: int
-    terms: np.ndarray
-    gain: np.ndarray
-    most: np.ndarray
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, position) of all positions of the ranges that begin at start and have size."""
+    owner = np.repeat(np.arange(len(size)), size)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + start[owner]
 
 
 @dataclass
 class Index:
-    """Terms with their greatest contribution to any item (one more entry stands for all other words), and blocks of items."""
+    """Terms with their greatest contribution to any item (one more entry stands for all other words), and postings by term and block.
+
+    key: term * blocks + block of each part of a posting list, in rising order; peak: its greatest
+    contribution; start: where it begins in item and gain, with the end. part: the first part of each term, with the end.
+    """
 
     items: list[int]
     terms: np.ndarray
     most: np.ndarray
-    blocks: list[Block]
+    blocks: int
+    key: np.ndarray
+    peak: np.ndarray
+    start: np.ndarray
+    part: np.ndarray
+    item: np.ndarray
+    gain: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    gram: list[int]
     window: int
 
     @staticmethod
@@ -84,58 +95,79 @@ class Index:
         pairs = [np.unique(w, return_counts=True) for w in words]
         term = np.searchsorted(everything, np.concatenate([*(p[0] for p in pairs), np.zeros(0, np.uint64)]))
         tf = np.concatenate([*(p[1] for p in pairs), np.zeros(0)]).astype(float)
-        doc = np.repeat(np.arange(len(rows)), [len(p[0]) for p in pairs])
+        item = np.repeat(np.arange(len(rows)), [len(p[0]) for p in pairs])
         df, items, longest = np.bincount(term, minlength=len(everything)), len(rows), int(length.max()) if len(rows) else 0
         if whole:
             items, mean, longest = whole[0], max(1.0, whole[1]), whole[2]
             df = np.array([whole[3][t] for t in everything.view(np.int64).tolist()], float)
         idf = np.log1p((items - df + 0.5) / (df + 0.5))
-        gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
-        own = np.bincount(doc, gain, len(rows))
-        gain = gain / np.where(own > 0, own, 1.0)[doc]
+        gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
+        own = np.bincount(item, gain, len(rows))
+        gain = gain / np.where(own > 0, own, 1.0)[item]
         most = np.zeros(len(everything) + 1)
         np.maximum.at(most, term, gain)
-        blocks = []
-        for first in range(0, len(rows), BLOCK):
-            here = (doc >= first) & (doc < first + BLOCK)
-            local, row = np.unique(term[here], return_inverse=True)
-            table = np.zeros((len(local) + 1, min(BLOCK, len(rows) - first)))
-            table[row + 1, doc[here] - first] = gain[here]
-            blocks.append(Block(first, local, table, table.max(1)))
-        question, answer = [], []
+        blocks = max(1, -(-len(rows) // BLOCK))
+        order = np.lexsort((item, term))
+        term, item, gain = term[order], item[order], gain[order]
+        key, start = np.unique(term * blocks + item // BLOCK, return_index=True)
+        peak = np.maximum.reduceat(gain, start) if len(start) else np.zeros(0)
+        part = np.searchsorted(key, np.arange(len(everything) + 2) * blocks)
+        question, answer, gram = [], [], []
         for (_, text), w in zip(rows, words, strict=True):
-            cut = [m.end() for m in re.finditer(r"[.!?]\s+", (text or "").rstrip())]
-            sizes = [len(_one((text or "")[:c]).hash) for c in cut]
+            ends = [m.end() for m in re.finditer(r"[.!?]\s+", (text or "").rstrip())]
+            sizes = [len(_one((text or "")[:c]).hash) for c in ends]
             sizes = [n for n in sizes if 2 * GRAM <= n <= len(w) - 2 * GRAM]
             before = sizes[-1] if sizes else len(w) // 2
+            gram.append(min(GRAM, len(w)))
             if len(w) < 2 * GRAM:  # too short to part: both are the whole
-                question.append(_grams(w))
-                answer.append(_grams(w))
-                continue
-            question.append(_grams(w[:before]))
-            answer.append(_grams(w[before:]))
+                before, w = len(w), np.concatenate([w, w])
+            question.append(_grams(w[:before], gram[-1]))
+            answer.append(_grams(w[before:], gram[-1]))
         window = max(MIN_WINDOW, longest)
-        return Index([i for i, _ in rows], everything, most, blocks, question, answer, window)
+        return Index([i for i, _ in rows], everything, most, blocks, key, peak, np.append(start, len(item)), part, item, gain, question, answer, gram, window)
+
+    def _parts(self, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which pair, part of the posting list) of those pairs of term and block that have one."""
+        wanted = term * self.blocks + block
+        at = np.searchsorted(self.key, wanted)
+        at[at == len(self.key)] = 0
+        there = np.flatnonzero(self.key[at] == wanted)
+        return there, at[there]
 
     def wand(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) at or above threshold of passages given by their distinct terms, in rising order of passages."""
-        starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))[: len(passage)]
-        live = np.add.reduceat(self.most[term], starts) >= threshold - 1e-9 if len(starts) else np.zeros(0, bool)
-        size = np.diff(np.append(starts, len(passage)))
-        keep = np.repeat(live, size)
-        names, size, term = passage[starts][live], size[live], term[keep]
-        starts = np.cumsum(size) - size
-        found, place = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], np.zeros(len(self.most), np.int32)
-        for block in self.blocks if len(names) else []:
-            place[block.terms] = np.arange(1, len(block.terms) + 1)
-            local = place[term]
-            place[block.terms] = 0
-            live = np.add.reduceat(block.most[local], starts) >= threshold - 1e-9
-            if live.any():
-                n = size[live]
-                scores = np.add.reduceat(block.gain[local[np.repeat(live, size)]], np.cumsum(n) - n, axis=0)
-                hit, item = np.nonzero(scores >= threshold)
-                found.append((names[live][hit], item + block.first, scores[hit, item]))
+        enough = threshold - 1e-9
+        order = np.lexsort((self.most[term], passage))
+        passage, term = passage[order], term[order]
+        name, first = np.unique(passage, return_index=True)
+        size = np.diff(np.append(first, len(passage)))
+        owner = np.repeat(np.arange(len(name)), size)
+        total = np.cumsum(self.most[term])
+        reach = total - np.repeat(total[first] - self.most[term[first]], size) if len(name) else total
+        after = reach >= enough  # the pivot and the terms after it
+        before = np.bincount(owner[~after], self.most[term[~after]], len(name))
+        low = self.part[term[after]]
+        pair, part = _spread(low, self.part[term[after] + 1] - low)
+        spot, number = np.unique(owner[after][pair] * self.blocks + self.key[part] % self.blocks, return_inverse=True)
+        bound = np.bincount(number, self.peak[part], len(spot)) + before[spot // self.blocks]
+        spot = spot[bound >= enough]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = 0
+        while step < len(spot):
+            last = max(step + 1, int(np.searchsorted(np.cumsum(size[spot[step:] // self.blocks]), LOOKUPS)) + step)
+            here = spot[step:last]
+            step = last
+            pair, at = _spread(first[here // self.blocks], size[here // self.blocks])
+            there, part = self._parts(term[at], here[pair] % self.blocks)
+            live = np.bincount(pair[there], self.peak[part], len(here)) >= enough
+            keep = live[pair[there]]
+            there, part = there[keep], part[keep]
+            hit, posting = _spread(self.start[part], self.start[part + 1] - self.start[part])
+            place = pair[there[hit]] * (len(self.items) + 1) + self.item[posting]
+            place, number = np.unique(place, return_inverse=True)
+            score = np.bincount(number, self.gain[posting], len(place))
+            good = score >= threshold
+            found.append((name[here[place[good] // (len(self.items) + 1)] // self.blocks], place[good] % (len(self.items) + 1), score[good]))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def leaks(self, words: tv.Words, texts: int, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
@@ -157,20 +189,20 @@ class Index:
         live = np.flatnonzero(total[b] - total[a] >= threshold - 1e-9)
         for at_once in range(0, len(live), GROUP):
             p = live[at_once : at_once + GROUP]
-            n = b[p] - a[p]
-            inside = np.arange(n.sum()) + np.repeat(a[p] - (np.cumsum(n) - n), n)
-            term, passage = at[inside], np.repeat(p, n)
+            which, inside = _spread(a[p], b[p] - a[p])
+            term, passage = at[inside], p[which]
             known = term < len(self.terms)
             query = np.unique(passage[known] * len(self.most) + term[known])
             for q, item, score in zip(*self.wand(query // len(self.most), query % len(self.most), threshold), strict=True):
                 key = (int(owner[q]), int(item))
                 best[key] = max(best.get(key, 0.0), float(score))
-        grams: dict[int, np.ndarray] = {}
+        grams: dict[tuple[int, int], np.ndarray] = {}
         out = []
         for (text, item), score in sorted(best.items()):
-            if text not in grams:
-                grams[text] = _grams(words.hash[words.first[text] : words.first[text + 1]])
-            share = lambda part: float(np.isin(part, grams[text]).mean()) if len(part) else 1.0  # noqa: B023, E731
+            n = self.gram[item]
+            if (text, n) not in grams:
+                grams[text, n] = _grams(words.hash[words.first[text] : words.first[text + 1]], n)
+            share = lambda part: float(np.isin(part, grams[text, n]).mean()) if len(part) else 1.0  # noqa: B023, E731
             q, r = share(self.question[item]), share(self.answer[item])
             if q >= overlap and r >= overlap:
                 out.append((text, self.items[item], score, q, r))
@@ -178,12 +210,12 @@ class Index:
 
 
 def _shards(benchmark: DataFrame, id_col: str, text_col: str):
-    """Indexes of bounded size over all items; null ids and empty texts are left out."""
+    """(index of bounded size, whether others follow) over all items; null ids and empty texts are left out."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and length(trim(t)) > 0")
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     shards = max(1, -(-n // SHARD_ITEMS), -(-chars // SHARD_CHARS))
     if shards == 1:
-        yield Index.build(sorted((r.i, r.t) for r in rows.collect()))
+        yield Index.build(sorted((r.i, r.t) for r in rows.collect())), False
         return
     # statistics of the whole benchmark; a shard gets those of its own terms
     at = F.pmod(F.xxhash64("i"), F.lit(shards))
@@ -193,7 +225,7 @@ def _shards(benchmark: DataFrame, id_col: str, text_col: str):
     for s in range(shards):
         found = df.join(terms.where(F.col("shard") == s).select("term").distinct(), "term").collect()
         part = rows.where(at == s).collect()
-        yield Index.build(sorted((r.i, r.t) for r in part), (n, total / n, longest, {r.term: r.df for r in found}))
+        yield Index.build(sorted((r.i, r.t) for r in part), (n, total / n, longest, {r.term: r.df for r in found})), s < shards - 1
 
 
 def _terms(batches):
@@ -210,7 +242,7 @@ def _terms(batches):
 def _find(shared, threshold: float, overlap: float) -> Callable:
     def run(batches):
         index = shared.value
-        for batch in batches:
+        for batch in tv.released(batches):
             for row, last, buf, offsets in tv.text_steps(batch.column(1)):
                 found = index.leaks(tv.split_words(buf, offsets, tv.ALNUM), last - row, threshold, overlap)
                 cols = list(zip(*found, strict=True)) if found else [[]] * 5
@@ -220,15 +252,17 @@ def _find(shared, threshold: float, overlap: float) -> Callable:
     return run
 
 
-def _drop(shared, column: int, threshold: float, overlap: float) -> Callable:
-    def run(batches):
-        index = shared.value
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for row, last, buf, offsets in tv.text_steps(batch.column(column)):
-                for leak in index.leaks(tv.split_words(buf, offsets, tv.ALNUM), last - row, threshold, overlap):
+def _clean(shared, threshold: float, overlap: float) -> Callable:
+    """A column function: whether a text leaks no item. Only the texts go to Python."""
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in tv.released(batches):
+            keep = np.ones(len(texts), bool)
+            for row, last, buf, offsets in tv.text_steps(texts):
+                for leak in shared.value.leaks(tv.split_words(buf, offsets, tv.ALNUM), last - row, threshold, overlap):
                     keep[row + leak[0]] = False
-            yield batch.filter(pa.array(keep))
+            yield pa.array(keep)
 
     return run
 
@@ -236,22 +270,30 @@ def _drop(shared, column: int, threshold: float, overlap: float) -> Callable:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every leak.
 
-    Null or empty texts and items, and items of fewer than three words, leak nothing; an empty benchmark gives no rows; repeated rows give a
-    row each. Other columns are ignored.
+    Null or empty texts, and items without an id or without words, leak nothing; an empty benchmark or table gives no
+    rows; repeated rows give a row each. doc_id is passed on as it is, item ids are cast to long. Other columns are
+    ignored, whatever their names. A benchmark of several shards takes a pass over docs for each, one after the other.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for index in _shards(benchmark, item_col, item_text):
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
+    out, scratch = None, Scratch(docs.sparkSession)
+    for index, more in _shards(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        part = rows.mapInArrow(_find(shared, threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        part = rows.mapInArrow(_find(shared, threshold, overlap), schema)
+        if more:
+            part = scratch.keep(part)
+            shared.destroy()
         out = part if out is None else out.union(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that leak no test item."""
-    column = docs.columns.index(text_col)
-    for index in _shards(benchmark, item_col, item_text):
+    """The rows of docs, all columns whatever their names, that leak no test item; null and empty texts stay."""
+    scratch = Scratch(docs.sparkSession)
+    for index, more in _shards(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.mapInArrow(_drop(shared, column, threshold, overlap), docs.schema)
+        docs = docs.where(_clean(shared, threshold, overlap)(F.col(text_col).cast("string")))
+        if more:
+            docs = scratch.keep(docs)
+            shared.destroy()
     return docs
