@@ -1,8 +1,12 @@
 """Quality classifier by positive-unlabelled learning.
 
 Minimises the non-negative unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))  of a linear model under
-logistic loss. Positives are trusted rows, unlabelled are all documents, pi is the estimated class prior. Both
+logistic loss. Positives are trusted rows, unlabelled are all documents, pi is the class prior. Both
 expectations run over all rows: each step is one Spark job that sums gradients over blocks of features.
+
+The prior is estimated from positives and unlabelled rows alone (best bin estimation): a first model learns from half of the
+positives; above any score, the share of all rows by the share of the other positives is an upper bound of the prior, and
+the score whose bound, with the error that the counts allow, is the least gives it.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from .storage import cut
 
 STEPS, RATE, BLOCK_ROWS = 40, 0.25, 4096
 CUT = 0.7
+#: Bins of scores for the prior, the prior of the first model, and the chance that the bound of the estimate fails.
+BINS, FIRST_PRIOR, FAIL = 1000, 0.5, 0.1
 _SIGNS = "#*$%&|<>!"
 _CLASSES = np.zeros((256, len(_SIGNS) + 4), bool)
 for _i, _c in enumerate(_SIGNS):
@@ -57,7 +63,7 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in tv.released(batches):
         for row, last, buf, offsets in tv.text_steps(batch.column(1)):
             x = features(buf, offsets)
             sizes = np.arange(last - row + 1, dtype=np.int32) * x.shape[1] * 4
@@ -110,6 +116,44 @@ def fit(table: DataFrame, prior: float, steps: int = STEPS, rate: float = RATE)
     return w
 
 
+def _histogram(weights: np.ndarray) -> Callable:
+    """How many rows (x, held) and held positives have their score in each bin."""
+
+    def run(batches):
+        rows, held = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+        for batch in batches:
+            z = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, FEATURES) @ weights
+            at = np.minimum((BINS / (1 + np.exp(-np.clip(z, -30, 30)))).astype(int), BINS - 1)
+            rows += np.bincount(at, minlength=BINS)
+            held += np.bincount(at, batch.column(1).to_numpy(zero_copy_only=False), BINS).astype(np.int64)
+        some = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rows[some]), pa.array(held[some])], ["bin", "n", "held"])
+
+    return run
+
+
+def best_bin(n: np.ndarray, held: np.ndarray) -> float:
+    """The class prior from counts of all rows and of held positives by rising score; 0.5 without any of either."""
+    if not n.sum() or not held.sum():
+        return 0.5
+    share, own = (np.cumsum(c[::-1]) / c.sum() for c in (n, held))
+    error = np.sqrt(np.log(4 / FAIL) / 2 / n.sum()) + np.sqrt(np.log(4 / FAIL) / 2 / held.sum())
+    safe = np.maximum(own, 1e-12)
+    best = np.argmin(np.where(own > 0, (share + error) / safe, np.inf))
+    return float(np.clip(share[best] / safe[best], 0.01, 0.99))
+
+
+def estimate_prior(table: DataFrame, steps: int = STEPS) -> float:
+    """The share of positives among all rows (x, positive, fold 0 or 1), from trusted positives and unlabelled rows alone."""
+    weights = fit(table.select("x", F.when(F.col("fold") == 0, F.col("positive")).otherwise(0).alias("positive")), FIRST_PRIOR, steps)
+    held = table.select("x", F.when(F.col("fold") == 1, F.col("positive")).otherwise(0).cast("long").alias("held"))
+    counts = held.mapInArrow(_histogram(weights), "bin long, n long, held long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).collect()
+    n, own = np.zeros(BINS), np.zeros(BINS)
+    for r in counts:  # BINS rows at most
+        n[r.bin], own[r.bin] = r.n, r.held
+    return best_bin(n, own)
+
+
 def _scores(weights: np.ndarray) -> Callable:
     def run(batches):
         for batch in batches:
@@ -122,16 +166,17 @@ def _scores(weights: np.ndarray) -> Callable:
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every row of docs, from labels (doc_id, quality); learn: a condition over doc_id.
 
-    The class prior is estimated as the share of positives among the labelled rows that may be learned from (0.5
-    without any). Empty and null texts have zero features and a score like any other; without positives
-    all scores are 0.5. Ids may be null or repeat.
+    Only labels of quality 1 are learned from, as trusted positives; all rows are the unlabelled ones. Empty and null
+    texts have zero features and a score like any other; without positives all scores are 0.5. Ids are cast to long, and
+    may be null (such rows are scored, not learned from as positives) or repeat. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     extracted = cut(rows.mapInArrow(_extract, "doc_id long, x binary"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     marks = marks if learn is None else marks.where(learn)
-    prior = marks.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     trusted = marks.where("quality = 1").select("doc_id").distinct().withColumn("positive", F.lit(1))
-    table = extracted.join(trusted, "doc_id", "left").select("x", F.coalesce("positive", F.lit(0)).alias("positive"))
-    weights = fit(table, 0.5 if prior is None else min(max(prior, 0.01), 0.99), steps)
+    table = cut(extracted.join(trusted, "doc_id", "left").select("x", F.coalesce("positive", F.lit(0)).alias("positive"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")))
+    prior = estimate_prior(table, steps)
+    weights = fit(table.select("x", "positive"), prior, steps)
     return extracted.mapInArrow(_scores(weights), "doc_id long, score double").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
