@@ -3,8 +3,9 @@
 Each document gets measures (native expressions over the whole text). Per language and source a KLL
 sketch of each measure gives its upper fence: median + SPREAD * (median - 10 % quantile), at least
 the measure's slack above the median, so that even a group of which nearly half is junk keeps a
-fence for its clean half. Groups of fewer than MIN_ROWS rows use the merged sketches of their
-language, and languages of fewer the merged sketches of everything. The fences are then joined to the documents.
+fence for its clean half. Both quantiles are a mean of the group's own and its language's, with weights n and PRIOR_ROWS, and the
+language's in the same way one of its own and everything's (from merged sketches): small groups lean on the coarser
+ones, and at every size the group's own rows count. The fences are then joined to the documents.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 
-SPREAD, MIN_ROWS, SKETCH_K = 8.0, 200, 2048
+SPREAD, PRIOR_ROWS, SKETCH_K = 8.0, 50.0, 2048
 #: Measures and the least distance of the fence from the median.
 MEASURES = {"symbol_share": 0.25, "upper_share": 0.08, "bang_share": 0.2, "repeat_share": 0.35}
 SPACE = r"[\x20\x09-\x0D]+"
@@ -61,25 +62,27 @@ def merged(table: DataFrame, keys: tuple[str, ...], k: int = SKETCH_K) -> DataFr
     return table.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, k).alias(m) for m in MEASURES))
 
 
-def fences(table: DataFrame, min_rows: int = MIN_ROWS, spread: float = SPREAD) -> DataFrame:
-    """lang, source and the upper fence of each measure, from a table of sketches by lang and source."""
-    by_lang, overall = merged(table, ("lang",)), merged(table, ())
-    rename = lambda df, tag: df.withColumnsRenamed({c: f"{tag}_{c}" for c in ("n", *MEASURES)})
-    df = table.join(rename(by_lang, "lang"), "lang").crossJoin(rename(overall, "all"))  # overall has one row
-
-    def fence(m: str, slack: float) -> Column:
-        sketch = F.when(F.col("n") >= min_rows, F.col(m)).when(F.col("lang_n") >= min_rows, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
-        at = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
-        return at(0.5) + F.greatest(F.lit(slack), spread * (at(0.5) - at(0.1)))
-
+def fences(table: DataFrame, prior_rows: float = PRIOR_ROWS, spread: float = SPREAD) -> DataFrame:
+    """lang, source and the upper fence of each measure, from a table of sketches by lang and source. No rows: no rows."""
+    quantiles = {f"{m}_{q}": F.kll_sketch_get_quantile_double(m, F.lit(q / 100)) for m in MEASURES for q in (10, 50)}
+    named = lambda df, tag: df.select(*(F.col(c) for c in ("lang", "source") if c in df.columns), F.col("n").alias(f"{tag}_n"), *(c.alias(f"{tag}_{k}") for k, c in quantiles.items()))
+    overall = named(merged(table, ()).where("n > 0"), "all").first()  # one row of numbers
+    if overall is None:
+        return table.select("lang", "source", *(F.lit(0.0).alias(f"{m}_fence") for m in MEASURES))
+    df = named(table, "own").join(F.broadcast(named(merged(table, ("lang",)), "lang")), "lang")  # a row per language
+    lean = lambda tag, k, coarser: (F.col(f"{tag}_n") * F.col(f"{tag}_{k}") + prior_rows * coarser) / (F.col(f"{tag}_n") + prior_rows)
+    df = df.withColumns({f"lang_{k}": lean("lang", k, F.lit(overall[f"all_{k}"])) for k in quantiles})
+    df = df.withColumns({f"own_{k}": lean("own", k, F.col(f"lang_{k}")) for k in quantiles})
+    fence = lambda m, slack: F.col(f"own_{m}_50") + F.greatest(F.lit(slack), spread * (F.col(f"own_{m}_50") - F.col(f"own_{m}_10")))
     return df.select("lang", "source", *(fence(m, slack).alias(f"{m}_fence") for m, slack in MEASURES.items()))
 
 
 def quality_filter(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, **columns: str) -> DataFrame:
     """Every row's measures, base_failed and kept.
 
-    Null or empty texts have no words and fail the base rules; null languages and sources are groups of their
-    own; rows may repeat; other columns are ignored. kept: no base rule fails and no measure is above its group's fence.
+    Null or empty texts have no words and fail the base rules; null languages and sources count as empty strings;
+    ids are passed on and may be null; rows may repeat; other columns are ignored, whatever their names; an empty table
+    gives no rows. kept: no base rule fails and no measure is above its group's fence.
     """
     measured = cut(measures(docs, **columns))
     limits = cut(fences(sketches(measured.where(F.col("n_words") >= min_words))))
