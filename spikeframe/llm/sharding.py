@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import bounded, cut
 
 BITS = 5
 
@@ -65,14 +65,16 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
 def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, size, text_crc32, curve, shard and slot of every row; row counts of shards are at most one apart.
 
-    Null texts count as empty, null languages and sources as empty strings; rows may repeat; ids may be null.
+    Null texts count as empty, null languages and sources as empty strings; rows may repeat; ids are passed on and may be
+    null. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), name(lang_col).alias("lang"), name(source_col).alias("source")))
+    key = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"), name(lang_col).alias("lang"), name(source_col).alias("source")))
     group = ["size", "text_crc32", "key"]
     several = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("lang").alias("glang"), F.min("source").alias("gsource")).where("n > 1")
-    rows = rows.join(several, group, "left").withColumns({"lang": F.coalesce("glang", "lang"), "source": F.coalesce("gsource", "source")})
+    rows = rows.join(bounded(cut(several)), group, "left").withColumns({"lang": F.coalesce("glang", "lang"), "source": F.coalesce("gsource", "source")})
     top = (1 << bits) - 1
     rows = rows.withColumns({"d0": F.pmod(F.crc32("lang"), F.lit(top + 1)), "d1": F.pmod(F.crc32("source"), F.lit(top + 1)), "d2": F.least(F.lit(top), F.floor(F.log2("size") * 2))})
     rows = hilbert_index(rows, ["d0", "d1", "d2"], bits, "curve").select("doc_id", "size", "text_crc32", "key", "curve")

@@ -9,8 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows in an Arrow batch to a Python worker: texts are long, and the JVM and the worker each hold several batches.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on Arrow batches (64 MB by default) to ARROW_BYTES; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = "".join(c for c in spark.conf.get(name) if c.isdigit() or c == "-")
+    if not 0 < int(now) <= ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder; a temporary one is set only where none is, on a local master."""
+    small_batches(spark)
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:

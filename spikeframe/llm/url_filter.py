@@ -1,8 +1,8 @@
 """URL filters: association rules mined by FP-growth from labelled URLs. DataFrame functions only.
 
-A URL becomes a set of tokens (host labels, path segments, query keys). FP-growth over labelled
-URLs finds token combinations; those that imply "block" with enough confidence and support, and
-that no shorter such combination covers, become rules. An inverted index from token to rules
+A URL becomes a set of tokens (host labels, path segments, query keys). FP-growth over the labelled
+URLs that no listed rule decides finds token combinations; those that imply "block" with enough support (a share and a number
+of rows) and confidence (the lower end of its interval), and that no shorter such combination covers, become rules. An inverted index from token to rules
 matches them: a rule fires when all its tokens are met.
 """
 
@@ -12,8 +12,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded, cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "=block", "=allow"
+#: Fewest labelled rows that a rule rests on, and the width of the interval of its confidence.
+LEAST_ROWS, Z = 20, 1.64
 
 
 def host(url: str = "url") -> Column:
@@ -46,14 +50,19 @@ def tokens(url: str = "url") -> Column:
     return F.filter(every, lambda x: F.length(x) > 2)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.2) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, least_rows: int = LEAST_ROWS) -> DataFrame:
     """(rule, confidence, support) from rows (tokens, bad boolean); rule: sorted tokens that imply bad.
 
-    Empty input or none good enough: no rows. Repeated rows count as often as they occur.
+    A rule has least_rows bad rows or more, and min_confidence is reached by the lower end of Wilson's interval of
+    its confidence. Empty input or none good enough: no rows. Repeated rows count as often as they occur.
     """
     items = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(F.concat("tokens", F.array(F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.col("lift") >= min_lift))
+    total = items.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, least_rows / max(1, total))), minConfidence=min_confidence).fit(items)
+    bad = F.round(F.col("support") * total)
+    n, share = F.round(bad / F.col("confidence")), F.col("confidence")
+    lower = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (bad >= least_rows) & (lower >= min_confidence))
     rules = rules.where(~F.array_contains("antecedent", ALLOW)).select(F.sort_array("antecedent").alias("rule"), "confidence", "support")
     # a rule goes when a part of it is a rule: parts meet by their tokens, so only rules that share one are compared
     parts = rules.select(F.col("rule").alias("part"), F.explode("rule").alias("token"))
@@ -65,27 +74,28 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct url values of urls (url, tokens) that some rule matches."""
     index = rules.select("rule", F.size("rule").alias("needs"), F.explode("rule").alias("token"))
-    met = urls.select("url", F.explode("tokens").alias("token")).join(index, "token").groupBy("url", "rule", "needs").agg(F.count("*").alias("met"))
+    # rules are few, so hot tokens aren't shuffled
+    met = urls.select("url", F.explode("tokens").alias("token")).join(bounded(cut(index)), "token").groupBy("url", "rule", "needs").agg(F.count("*").alias("met"))
     return met.where("met = needs").select("url").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
     """page_id, host, path, rule, verdict of every row.
 
-    A listed rule decides where one fits; the mined rules decide the rest. URLs are labelled by the listed
-    rules, and otherwise by labels (id_col, bad). Null or malformed URLs have empty host and path, no
-    tokens, and are allowed unless a listed rule fits. Rows may repeat.
+    A listed rule decides where one fits; rules mined from labels (id_col, bad) of the other URLs decide the rest; without
+    labels the rest is allowed. Null or malformed URLs have empty host and path, no tokens, and are allowed
+    unless a listed rule fits. Ids are passed on and may be null; rows may repeat. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     df = df.withColumns({"host": host(), "path": path()})
     rule, verdict = listed(rules)
     df = df.withColumns({"rule": rule, "listed": verdict})
-    known = df.withColumn("tokens", tokens()).withColumn("bad", F.col("listed") == "block")
-    if labels is not None:
-        marks = labels.select(F.col(id_col).alias("page_id"), F.col("bad").alias("marked")).groupBy("page_id").agg(F.bool_or("marked").alias("marked"))
-        known = known.join(marks, "page_id", "left").withColumn("bad", F.coalesce("bad", "marked"))
-    mined = mine_rules(known, min_support, min_confidence)
+    if labels is None:
+        return df.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"))
+    marks = labels.select(F.col(id_col).alias("page_id"), "bad").where("page_id is not null").groupBy("page_id").agg(F.bool_or("bad").alias("bad"))
+    mined = mine_rules(df.where("listed is null").join(marks, "page_id").withColumn("tokens", tokens()), min_support, min_confidence)
     urls = df.where("listed is null and host <> ''").select("url", "host", "path").distinct().withColumn("tokens", tokens())
     blocked = fired(urls, mined).withColumn("hit", F.lit(True))
-    out = df.join(blocked, "url", "left")
+    out = df.join(bounded(cut(blocked)), "url", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
