@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, tokens, toxicity, url_filter
+from . import decontam, line_dedup, ngram_join, oracles, packing, quality_classifier, quality_rules, sharding, tokens, toxicity, url_filter
 
 TOKEN_LIMIT, WINDOW, END_ID = 512, 2048, 1
 #: The listed URL rules (verdict, host, path).
@@ -80,4 +80,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_packing, op4_ngram_jaccard_join, op5_decontamination, op6_token_counts, op7_line_dedup, op8_toxicity, op9_sharding, op10_url_filters, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.oracles(URL_RULES)
