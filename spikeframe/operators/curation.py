@@ -86,3 +86,39 @@ def square_arena(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     limits = counts.groupBy(*keys).applyInPandas(bounds, schema)
     kept = df.join(limits, keys).where(F.round(x).between(F.col("x0"), F.col("x1")) & F.round(y).between(F.col("y0"), F.col("y1")))
     return kept.drop("x0", "x1", "y0", "y1")
+
+
+def curated(clusters: DataFrame, isolation: float = 0.9, overlap: float = 0.05, snr: float = 1.0, manual: str | None = None) -> DataFrame:
+    """is_good: a cluster above isolation and snr, below overlap of noise, and with spikes; a missing metric means noise.
+
+    manual: a column that is true where a cluster was curated by hand; such clusters are good whatever their metrics.
+    """
+    good = (F.col("isolation") > isolation) & (F.col("noise_overlap") < overlap) & (F.col("peak_snr") > snr) & (F.col("mean_firing_rate") > 0)
+    good = F.coalesce(good, F.lit(False))
+    return clusters.withColumn("is_good", good | F.coalesce(F.col(manual), F.lit(False)) if manual else good)
+
+
+def cell_types(cells: DataFrame, hd: str = "hd_score", grid: str = "grid_score", hd_least: float = 0.5, grid_least: float = 0.4) -> DataFrame:
+    """cell_type: conjunctive, hd, grid or na by the two scores; a missing score is below its bound."""
+    h, g = F.coalesce(F.col(hd) >= hd_least, F.lit(False)), F.coalesce(F.col(grid) >= grid_least, F.lit(False))
+    return cells.withColumn("cell_type", F.when(h & g, "conjunctive").when(h, "hd").when(g, "grid").otherwise("na"))
+
+
+def spatial_labels(scores: DataFrame, cutoffs: DataFrame, keys, border: float = 0.5, hd: float = 0.2) -> DataFrame:
+    """Flags grid, border, hd, hd_rayleigh, spatial and speed of cells, and label G, B, NG, HD or NS by the first that holds.
+
+    scores: grid_score, border_score, hd_score, rayleigh_p, spatial_information, speed_score; cutoffs: the shuffles' cutoffs under the
+    same names with _cutoff, by keys. A missing score or cutoff means no.
+    """
+    df = scores.join(cutoffs, list(keys), "left")
+    over = lambda c: F.coalesce(F.col(c) > F.col(f"{c}_cutoff"), F.lit(False))
+    flags = {
+        "grid": over("grid_score"),
+        "border": over("border_score") & F.coalesce(F.col("border_score") > border, F.lit(False)),
+        "hd": over("hd_score") & F.coalesce(F.col("hd_score") > hd, F.lit(False)),
+        "hd_rayleigh": F.coalesce(F.col("rayleigh_p") < F.col("rayleigh_p_cutoff"), F.lit(False)),
+        "spatial": over("spatial_information"),
+        "speed": F.coalesce(F.abs("speed_score") > F.abs("speed_score_cutoff"), F.lit(False)),
+    }
+    df = df.withColumns(flags)
+    return df.withColumn("label", F.when(F.col("grid"), "G").when(F.col("border"), "B").when(F.col("spatial"), "NG").when(F.col("hd"), "HD").otherwise("NS"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import borders as O
+from ..operators import curation as K
 from ..operators import field_frames as E
 from ..operators import firing_fields as P
 from ..operators import maps as M
@@ -13,6 +14,7 @@ from ..operators import sessions as T
 from ..operators import shuffles as H
 from ..operators import significance as G
 from ..operators import spectra as Z
+from ..operators import statistics as S
 from ..operators import trials as L
 from ..operators import waveforms as V
 from .analysis import HALF, RATES, trial_rates
@@ -485,6 +487,41 @@ def x8_folded_intervals(spark, d):
     return G.folded(s, SESSION, "a", "b", "w").select("session_id", *r6("start", "stop", "weight"))
 
 
+
+@query("SELECT cluster_id, session_id, (coalesce(isolation > 0.9 AND noise_overlap < 0.05 AND peak_snr > 1 AND mean_firing_rate > 0, false) OR grp = 'BUILDING') AS is_good FROM cells")
+def f1_curation_with_bypass(spark, d):
+    c = view(spark, d, "cells").withColumn("by_hand", F.col("grp") == "BUILDING")
+    return K.curated(c, manual="by_hand").select("cluster_id", "session_id", "is_good")
+
+
+SHUFFLED_SCORE = SHIFTED + ", sc AS (SELECT h.session_id, h.cluster_id, h.shuffle_id, sqrt(pow(sum(sin(radians(bin - 179.0)) * h.n), 2) + pow(sum(cos(radians(bin - 179.0)) * h.n), 2)) / sum(h.n) AS hd_score FROM hist h GROUP BY ALL)"
+
+
+@query(SHUFFLED_SCORE + " SELECT session_id, cluster_id, round(avg(hd_score) + 2.326 * stddev_pop(hd_score), 5) AS cutoff, count(hd_score) AS n_shuffles FROM sc GROUP BY 1, 2")
+def r3_shuffled_cutoffs(spark, d):
+    m = H.shuffled_metrics(view(spark, d, "spikes").withColumnRenamed("t_sample", "t"), view(spark, d, "position"), 100, 5000000, 600000, CELL)
+    return S.shuffle_cutoffs(m, CELL, "hd_score", 2.326).select(*CELL, F.round("cutoff", 5).alias("cutoff"), "n_shuffles")
+
+
+@query()
+def r4_spatial_labels(spark, d):
+    shuffled = H.shuffled_metrics(view(spark, d, "spikes").withColumnRenamed("t_sample", "t"), view(spark, d, "position"), 100, 5000000, 600000, CELL)
+    cut = shuffled.groupBy(*CELL).agg((F.avg("hd_score") + 2.326 * F.stddev_pop("hd_score")).alias("hd_score_cutoff"), (F.avg("p") - 2.326 * F.stddev_pop("p")).alias("rayleigh_p_cutoff"))
+    none = {c: F.lit(None).cast("double") for c in ("grid_score", "border_score", "spatial_information", "speed_score", "grid_score_cutoff", "border_score_cutoff", "spatial_information_cutoff", "speed_score_cutoff")}
+    h = M.hd_histogram(joined(spark, d), CELL)
+    scores = M.hd_score(h, CELL).join(S.rayleigh(h, CELL).withColumnRenamed("p", "rayleigh_p"), CELL).withColumns({c: v for c, v in none.items() if not c.endswith("_cutoff")})
+    cut = cut.withColumns({c: v for c, v in none.items() if c.endswith("_cutoff")})
+    return K.spatial_labels(scores, cut, CELL).select(*CELL, "hd", "hd_rayleigh", "label")
+
+
+@query(SHUFFLED_SCORE + JOINED.replace("+ span AS", ", span0 AS").replace("JOIN span ", "JOIN span0 ").replace(" hit AS", " hit0 AS").replace("FROM hit h", "FROM hit0 h") + ", c0 AS (SELECT session_id, cluster_id, least(CAST(floor(hd + 180) AS INT), 359) AS bin, count(*) AS n FROM joined GROUP BY ALL), h0 AS (SELECT session_id, cluster_id, CAST(((bin + d) % 360 + 360) % 360 AS INT) AS bin, sum(n) AS n FROM c0, range(-11, 12) r(d) GROUP BY ALL), o0 AS (SELECT session_id, cluster_id, sqrt(pow(sum(sin(radians(bin - 179.0)) * n), 2) + pow(sum(cos(radians(bin - 179.0)) * n), 2)) / sum(n) AS hd FROM h0 GROUP BY ALL) SELECT o0.session_id, o0.cluster_id, round(50.0 * (sum(CAST(hd_score < hd AS INT)) + sum(CAST(hd_score <= hd AS INT))) / count(*), 4) AS percentile, 50.0 * (sum(CAST(hd_score < hd AS INT)) + sum(CAST(hd_score <= hd AS INT))) / count(*) > 95 AS directional FROM o0 JOIN sc ON o0.session_id = sc.session_id AND o0.cluster_id = sc.cluster_id GROUP BY 1, 2")
+def r9_directional_cells(spark, d):
+    shuffled = H.shuffled_metrics(view(spark, d, "spikes").withColumnRenamed("t_sample", "t"), view(spark, d, "position"), 100, 5000000, 600000, CELL)
+    own = M.hd_score(M.hd_histogram(joined(spark, d), CELL), CELL)
+    p = S.percentile_of_score(own, shuffled, CELL, "hd_score")
+    return p.select(*CELL, F.round("percentile", 4).alias("percentile"), (F.col("percentile") > 95).alias("directional"))
+
+
 # SQL for the queries on the coarse map, by the same expressions as for the map of place cells
 ORACLES |= {
     name: with_views(COARSE + sql)

@@ -124,10 +124,10 @@ def j9_field_pairs(spark, d):
     return tetrode_pairs(spark, d).where("a < b")
 
 
-@query("SELECT c.cluster_id, h.n_nationkey AS animal, h.n_name AS location FROM (SELECT * FROM cells WHERE metric > 0) c FULL OUTER JOIN (SELECT * FROM nation WHERE n_regionkey < 3) h ON c.session_id = h.n_nationkey")
+@query("SELECT c.cluster_id, h.n_nationkey AS animal, h.n_name AS location FROM cells c FULL OUTER JOIN nation h ON c.session_id = h.n_nationkey")
 def j10_histology(spark, d):
-    h = spark.read.parquet(f"{d}/nation.parquet").where("n_regionkey < 3").select(F.col("n_nationkey").alias("animal"), F.col("n_name").alias("location"))
-    c = view(spark, d, "cells").where("metric > 0")
+    h = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("animal"), F.col("n_name").alias("location"))
+    c = view(spark, d, "cells")
     return c.join(h, c.session_id == h.animal, "full_outer").select("cluster_id", "animal", "location")
 
 
@@ -144,11 +144,10 @@ def u2_split_stitched(spark, d):
     return J.split_stitched(view(spark, d, "spikes").withColumnRenamed("t_sample", "t"), stitches).select("session_id", "spike_idx", "recording", "t_local")
 
 
-@query("SELECT cluster_id, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM (SELECT cluster_id, t_sample AS t FROM spikes WHERE session_id = 0 UNION ALL SELECT cluster_id, t_sample + 5000000 FROM spikes WHERE session_id = 1) u GROUP BY 1")
+@query("SELECT session_id // 2 AS pair, cluster_id, count(*) AS n, min(t_sample + session_id % 2 * 5000000) AS first_t, max(t_sample + session_id % 2 * 5000000) AS last_t FROM spikes GROUP BY 1, 2")
 def u3_combined_clusters(spark, d):
-    s = view(spark, d, "spikes")
-    u = s.where("session_id = 0").select("cluster_id", F.col("t_sample").alias("t")).union(s.where("session_id = 1").select("cluster_id", F.col("t_sample") + 5000000))
-    return u.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    s = view(spark, d, "spikes").select(F.floor(F.col("session_id") / 2).alias("pair"), "cluster_id", (F.col("t_sample") + F.col("session_id") % 2 * 5000000).alias("t"))
+    return s.groupBy("pair", "cluster_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
 @query("+ r AS (SELECT session_id, count(*) * 1000 AS len FROM position GROUP BY 1), o AS (SELECT session_id, coalesce(sum(len) OVER (PARTITION BY session_id % 2 ORDER BY session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r) SELECT s.session_id % 2 AS animal, cluster_id, count(*) AS n, CAST(min(t_sample + off) AS BIGINT) AS first_t, CAST(max(t_sample + off) AS BIGINT) AS last_t FROM spikes s JOIN o ON s.session_id = o.session_id GROUP BY 1, 2")
@@ -175,10 +174,10 @@ def u8_first_and_last_pulses(spark, d):
     return T.ends(view(spark, d, "pulses"), SESSION, ["pulse"], 20, 50)
 
 
-@query("+ c AS (SELECT DISTINCT session_id, cluster_id FROM spikes), e AS (SELECT session_id, cluster_id, spike_idx % 10 AS k FROM spikes WHERE value > 300) SELECT session_id, cluster_id, CAST(k AS INT) AS shuffle_id FROM (SELECT c.*, r.k FROM c, range(10) r(k)) w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.session_id = w.session_id AND e.cluster_id = w.cluster_id AND e.k = w.k)")
+@query("+ c AS (SELECT DISTINCT session_id, cluster_id FROM spikes), e AS (SELECT session_id, cluster_id, spike_idx % 10 AS k FROM spikes WHERE value > 300) SELECT session_id, cluster_id, CAST(k AS INT) AS shuffle_id FROM (SELECT c.*, r.k FROM c, range(1000) r(k)) w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.session_id = w.session_id AND e.cluster_id = w.cluster_id AND e.k = w.k)")
 def u9_remaining_shuffles(spark, d):
     s = view(spark, d, "spikes")
-    return T.remaining(s, s.where("value > 300").withColumn("shuffle_id", (F.col("spike_idx") % 10).cast("int")), CELL, 10)
+    return T.remaining(s, s.where("value > 300").withColumn("shuffle_id", (F.col("spike_idx") % 10).cast("int")), CELL, 1000)
 
 
 KNOWN = """+ k AS (SELECT session_id, pos_idx, CASE WHEN x_px > 40 AND x_px < 360 THEN hd END AS v FROM position),
