@@ -81,6 +81,12 @@ def edges(df: DataFrame, keys, order, signal: str, threshold: Column) -> DataFra
     return df.withColumn("edge", F.coalesce(F.col("on") - F.lag("on").over(w), F.lit(0)))
 
 
+def led_threshold(df: DataFrame, keys, signal: str, deviations: float = 4.0) -> DataFrame:
+    """threshold: the median of a group's signal + deviations * its standard deviation (population)."""
+    level = df.groupBy(*keys).agg((F.percentile(signal, F.lit(0.5)) + deviations * F.stddev_pop(signal)).alias("threshold"))
+    return df.join(level, list(keys))
+
+
 def runs(df: DataFrame, keys, index: str) -> DataFrame:
     """Start and end of runs of consecutive integers."""
     w = over(keys, [index])
@@ -88,11 +94,30 @@ def runs(df: DataFrame, keys, index: str) -> DataFrame:
     return df.withColumn("__g", island).groupBy(*keys, "__g").agg(F.min(index).alias("start"), F.max(index).alias("end")).drop("__g")
 
 
-def trials(df: DataFrame, keys, order, x="x", drop=20.0) -> DataFrame:
-    """Trial number from 1: a new trial starts where the position falls by more than drop."""
+def trials(df: DataFrame, keys, order, x="x", drop=20.0, index: str | None = None, apart: float = 0.0) -> DataFrame:
+    """Trial number from 1: a new trial starts where the position falls by more than drop.
+
+    With index and apart, of starts closer than apart (in index) only the last of each close series counts.
+    """
     w = over(keys, order)
     new = F.when(F.col(x) - F.lag(x).over(w) < -drop, 1).otherwise(0)
-    return df.withColumn("__n", new).withColumn("trial", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("__n")
+    df = df.withColumn("__n", new)
+    if index:
+        nxt = F.last(F.when(F.col("__n") == 1, F.col(index)), ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1))
+        df = df.withColumn("__next", nxt).withColumn("__n", F.when(F.coalesce(F.col("__next") - F.col(index) < apart, F.lit(False)), 0).otherwise(F.col("__n"))).drop("__next")
+    return df.withColumn("trial", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("__n")
+
+
+def velocity(df: DataFrame, keys, order, x: str, index: str, lag: int, mask: int, drop: float = 20.0, scale: float = 5.0) -> DataFrame:
+    """velocity: the change of x over lag rows, by scale. Rows within mask of a trial's start are interpolated from those beside them."""
+    w = over(keys, order)
+    start = F.when(F.col(x) - F.lag(x).over(w) < -drop, F.col(index))
+    df = df.withColumns({"velocity": F.col(x) - F.lag(x, lag).over(w), "__start": start})
+    last = F.last("__start", ignorenulls=True)
+    df = df.withColumns({"__before": last.over(w.rowsBetween(Window.unboundedPreceding, 0)), "__after": last.over(onward(keys, order))})
+    near = F.coalesce(F.col(index) - F.col("__before") <= mask, F.lit(False)) | F.coalesce(F.col("__after") - F.col(index) <= mask, F.lit(False))
+    df = df.withColumn("velocity", F.when(~near, F.col("velocity"))).drop("__start", "__before", "__after")
+    return interpolate(df, keys, order, "velocity", index).withColumn("velocity", F.col("velocity") * scale)
 
 
 def restart_floor(df: DataFrame, keys, order, value: str) -> DataFrame:

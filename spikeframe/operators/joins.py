@@ -65,3 +65,15 @@ def correlogram(a: DataFrame, b: DataFrame, keys, window: int, bin_size: int) ->
     hit = a.withColumn("bucket", F.floor(F.col("ta") / window)).join(bb, [*keys, "bucket"])
     lag = F.col("tb") - F.col("ta")
     return hit.where((F.abs(lag) <= window) & (lag != 0)).groupBy(*keys, F.floor(lag / bin_size).alias("lag_bin")).agg(F.count("*").alias("n"))
+
+
+def normalised(counts: DataFrame, keys, n: str = "n") -> DataFrame:
+    """share: a correlogram's counts by the number of all pairs it counts."""
+    whole = counts.groupBy(*keys).agg(F.sum(n).alias("__all"))
+    return counts.join(whole, list(keys)).withColumn("share", F.col(n) / F.col("__all")).drop("__all")
+
+
+def correlogram_rates(counts: DataFrame, reference: DataFrame, keys, seconds: float, n: str = "n") -> DataFrame:
+    """rate: a correlogram's counts by the number of reference spikes (keys) and the bin's seconds, in Hz."""
+    size = reference.groupBy(*keys).agg(F.count("*").alias("__r"))
+    return counts.join(size, list(keys)).withColumn("rate", F.col(n) / (F.col("__r") * seconds)).drop("__r")

@@ -38,6 +38,21 @@ def modal(df: DataFrame, keys, value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__n"), F.col(value))).alias(value))
 
 
+def pulse_statistics(pulses: DataFrame, keys, start: str, end: str, rate: float, first: int = 2, last: int = 51) -> DataFrame:
+    """(keys, width, gap in whole ms, frequency, window in ms): most frequent width and gap of pulses first to last of trains that have more than last - 1.
+
+    frequency: 1000 / (width + gap), to one digit; window: 1000 / frequency where that is over 5 and even, else 200.
+    """
+    w = Window.partitionBy(*keys)
+    df = pulses.withColumns({"__k": F.row_number().over(w.orderBy(start)), "__c": F.count("*").over(w), "__next": F.lead(start).over(w.orderBy(start))})
+    df = df.where((F.col("__c") > last - 1) & F.col("__k").between(first, last))
+    ms = lambda x: F.floor(x * 1000 / rate)
+    df = df.withColumns({"width": ms(F.col(end) - F.col(start)), "gap": ms(F.col("__next") - F.col(end))})
+    both = modal(df, keys, "width").join(modal(df, keys, "gap"), list(keys)).withColumn("frequency", F.round(F.try_divide(F.lit(1000.0), (F.col("width") + F.col("gap")).cast("double")), 1))
+    even = (F.col("frequency") > 5) & (F.col("frequency") % 2 == 0)
+    return both.withColumn("window", F.when(even, 1000 / F.col("frequency")).otherwise(200.0))
+
+
 def stitched(recordings: DataFrame, keys, order: str, length: str) -> DataFrame:
     """offset: the summed length of a group's earlier recordings."""
     w = over(keys, [order]).rowsBetween(Window.unboundedPreceding, -1)

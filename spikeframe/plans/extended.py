@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..operators import behaviour as B
 from ..operators import borders as O
 from ..operators import curation as K
 from ..operators import field_frames as E
@@ -522,6 +523,68 @@ def r9_directional_cells(spark, d):
     return p.select(*CELL, F.round("percentile", 4).alias("percentile"), (F.col("percentile") > 95).alias("directional"))
 
 
+
+@query("+ t AS (SELECT session_id, median(sync_led) + 1 * stddev_pop(sync_led) AS level FROM position GROUP BY 1), o AS (SELECT p.session_id, pos_idx, CAST(sync_led > level AS INT) AS ison FROM position p JOIN t ON p.session_id = t.session_id), e AS (SELECT session_id, pos_idx, coalesce(ison - lag(ison) OVER (PARTITION BY session_id ORDER BY pos_idx), 0) AS edge FROM o) SELECT * FROM e WHERE edge <> 0")
+def w10_led_edges(spark, d):
+    p = B.led_threshold(view(spark, d, "position"), SESSION, "sync_led", 1.0)
+    return B.edges(p, SESSION, ["pos_idx"], "sync_led", F.col("threshold")).where("edge <> 0").select("session_id", "pos_idx", "edge")
+
+
+@query("""+ n AS (SELECT session_id, pos_idx, CASE WHEN x_px - lag(x_px) OVER (PARTITION BY session_id ORDER BY pos_idx) < -200 THEN 1 ELSE 0 END AS new FROM position),
+ m AS (SELECT *, min(CASE WHEN new = 1 THEN pos_idx END) OVER (PARTITION BY session_id ORDER BY pos_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM n),
+ k AS (SELECT session_id, pos_idx, CASE WHEN new = 1 AND (nxt IS NULL OR nxt - pos_idx >= 4) THEN 1 ELSE 0 END AS new FROM m)
+ SELECT session_id, pos_idx, CAST(sum(new) OVER (PARTITION BY session_id ORDER BY pos_idx) + 1 AS BIGINT) AS trial FROM k""")
+def w15_spaced_trials(spark, d):
+    return B.trials(view(spark, d, "position"), SESSION, ["pos_idx"], "x_px", 200.0, "pos_idx", 4).select("session_id", "pos_idx", "trial")
+
+
+@query("""+ s AS (SELECT session_id, pos_idx, x_px, CASE WHEN x_px - lag(x_px) OVER w < -300 THEN pos_idx END AS st, x_px - lag(x_px, 6) OVER w AS v FROM position WINDOW w AS (PARTITION BY session_id ORDER BY pos_idx)),
+ b AS (SELECT *, max(st) OVER (PARTITION BY session_id ORDER BY pos_idx) AS before, min(st) OVER (PARTITION BY session_id ORDER BY pos_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM s),
+ k AS (SELECT session_id, pos_idx, CASE WHEN coalesce(pos_idx - before <= 2, false) OR coalesce(after - pos_idx <= 2, false) THEN NULL ELSE v END AS v FROM b),
+ g AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN pos_idx END) OVER (PARTITION BY session_id ORDER BY pos_idx) AS ia, min(CASE WHEN v IS NOT NULL THEN pos_idx END) OVER (PARTITION BY session_id ORDER BY pos_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ib FROM k)
+ SELECT g.session_id, g.pos_idx, round(5 * CASE WHEN g.v IS NOT NULL THEN g.v WHEN ib IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (g.pos_idx - ia) / (ib - ia) END, 5) AS velocity FROM g LEFT JOIN k a ON a.session_id = g.session_id AND a.pos_idx = ia LEFT JOIN k b ON b.session_id = g.session_id AND b.pos_idx = ib""")
+def w17_velocity(spark, d):
+    return B.velocity(view(spark, d, "position"), SESSION, ["pos_idx"], "x_px", "pos_idx", 6, 2, 300.0).select("session_id", "pos_idx", F.round("velocity", 5).alias("velocity"))
+
+
+@query("""+ o AS (SELECT session_id, pos_idx, pos_idx - row_number() OVER (PARTITION BY session_id ORDER BY pos_idx) AS g FROM position WHERE sync_led > 5.5),
+ r AS (SELECT session_id, min(pos_idx) AS s, max(pos_idx) + 1 AS e FROM o GROUP BY session_id, g), q AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s) AS k, count(*) OVER (PARTITION BY session_id) AS c, lead(s) OVER (PARTITION BY session_id ORDER BY s) AS n FROM r),
+ z AS (SELECT session_id, CAST(floor((e - s) * 1000 / 30.0) AS BIGINT) AS width, CAST(floor((n - e) * 1000 / 30.0) AS BIGINT) AS gap FROM q WHERE c > 50 AND k BETWEEN 2 AND 51),
+ w AS (SELECT session_id, min_by(width, struct_pack(a := -c, b := width)) AS width FROM (SELECT session_id, width, count(*) AS c FROM z WHERE width IS NOT NULL GROUP BY 1, 2) x GROUP BY 1), h AS (SELECT session_id, min_by(gap, struct_pack(a := -c, b := gap)) AS gap FROM (SELECT session_id, gap, count(*) AS c FROM z WHERE gap IS NOT NULL GROUP BY 1, 2) x GROUP BY 1)
+ SELECT w.session_id, width, gap, round(1000.0::DOUBLE / (width + gap), 1) AS frequency, CASE WHEN round(1000.0::DOUBLE / (width + gap), 1) > 5 AND round(1000.0::DOUBLE / (width + gap), 1) % 2 = 0 THEN 1000 / round(1000.0::DOUBLE / (width + gap), 1) ELSE 200.0::DOUBLE END AS "window" FROM w JOIN h ON w.session_id = h.session_id""")
+def w13_pulse_statistics(spark, d):
+    runs = B.runs(view(spark, d, "position").where("sync_led > 5.5"), SESSION, "pos_idx").withColumn("end", F.col("end") + 1)
+    return T.pulse_statistics(runs, SESSION, "start", "end", 30.0)
+
+
+@query("+ c AS (SELECT a.session_id, a.cluster_id, CAST(floor((b.t_sample - a.t_sample) / 600) AS BIGINT) AS lag_bin, count(*) AS n FROM spikes a JOIN spikes b ON a.session_id = b.session_id AND a.cluster_id = b.cluster_id AND abs(b.t_sample - a.t_sample) <= 15000 AND b.t_sample <> a.t_sample GROUP BY 1, 2, 3), r AS (SELECT session_id, cluster_id, count(*) AS r FROM spikes GROUP BY 1, 2) SELECT c.session_id, c.cluster_id, lag_bin, n, round(n / sum(n) OVER (PARTITION BY c.session_id, c.cluster_id), 6) AS share, round(n / (r * 0.02::DOUBLE), 6) AS rate FROM c JOIN r ON c.session_id = r.session_id AND c.cluster_id = r.cluster_id")
+def c19_normalised_correlogram(spark, d):
+    from ..operators import joins as J
+
+    s = view(spark, d, "spikes")
+    c = J.correlogram(s.selectExpr("session_id", "cluster_id", "t_sample AS ta"), s.selectExpr("session_id", "cluster_id", "t_sample AS tb"), CELL, 15000, 600)
+    return J.correlogram_rates(J.normalised(c, CELL), s, CELL, 0.02).select(*CELL, "lag_bin", "n", *r6("share", "rate"))
+
+
+@query("+ b AS (SELECT session_id, trial, CAST(floor(x / 20) AS BIGINT) AS bin, avg(speed) AS v FROM track GROUP BY 1, 2, 3), s AS (SELECT session_id, trial, (bin + 0.5::DOUBLE) * 20 AS x FROM b WHERE v < 4.7) SELECT session_id, trial, count(*) FILTER (x > 90 AND x < 110) AS rewarded_stops, bool_or(x > 90 AND x < 110) AS rewarded FROM s GROUP BY 1, 2")
+def a15_rewarded_stops(spark, d):
+    b = view(spark, d, "track").groupBy("session_id", "trial", F.floor(F.col("x") / 20).alias("bin")).agg(F.avg("speed").alias("v")).where("v < 4.7")
+    x = (F.col("bin") + 0.5) * 20
+    inside = (x > 90) & (x < 110)
+    return b.groupBy("session_id", "trial").agg(F.count_if(inside).alias("rewarded_stops"), F.bool_or(inside).alias("rewarded"))
+
+
+@query("SELECT trial_type, CAST(floor(x / 10) AS BIGINT) AS bin, round(avg(speed), 6) AS speed FROM track GROUP BY ROLLUP (trial_type, CAST(floor(x / 10) AS BIGINT))")
+def a11_type_speeds(spark, d):
+    t = view(spark, d, "track").withColumn("bin", F.floor(F.col("x") / 10))
+    return t.rollup("trial_type", "bin").agg(F.round(F.avg("speed"), 6).alias("speed"))
+
+
+@query(JOINED + ", c AS (SELECT session_id, cluster_id, least(CAST(floor((hd + 180) / 18.0) AS BIGINT), 19) AS bin, count(*) AS n FROM joined GROUP BY ALL), o AS (SELECT session_id, least(CAST(floor((hd + 180) / 18.0) AS BIGINT), 19) AS bin, count(*) AS o FROM position GROUP BY ALL), g AS (SELECT DISTINCT session_id, cluster_id, r.bin FROM joined, range(20) r(bin)) SELECT g.session_id, g.cluster_id, g.bin, round(coalesce(coalesce(n, 0) / o, 0), 6) AS ratio FROM g LEFT JOIN c USING (session_id, cluster_id, bin) LEFT JOIN o USING (session_id, bin)")
+def a2_direction_rates(spark, d):
+    return E.direction_rates(joined(spark, d), view(spark, d, "position"), CELL, SESSION, 20).select(*CELL, "bin", *r6("ratio"))
+
+
 # SQL for the queries on the coarse map, by the same expressions as for the map of place cells
 ORACLES |= {
     name: with_views(COARSE + sql)
