@@ -14,12 +14,13 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, text_batches
+from . import textvec as tv
+from .storage import small_batches
+from .tokens import LOOKUP_BYTES, encoder
 
 #: Remainders in a block, the sequence numbers that a block owns, and the longest part of a document.
 BLOCK, SEQUENCES = 500, 1 << 24
@@ -67,36 +68,38 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _pieces(path: str, end_id: int, capacity: int) -> Callable:
-    tail = np.array([end_id], np.uint32).tobytes()
-
     def run(batches):
-        enc = encoder(path, False)
-        for batch in batches:
-            for row, texts in text_batches(batch.column(1)):
+        enc, before = encoder(path, False), 0
+        for batch in tv.released(batches):
+            for row, _, buf, offsets in tv.text_steps(batch.column(1), LOOKUP_BYTES):
+                counts, ids = enc.encode(buf, offsets)
                 source, start, length, crc, total = [], [], [], [], []
-                for i, ids in enumerate(enc.encode(texts)):
-                    ids += tail
-                    n = len(ids) // 4
+                ends = np.cumsum(counts)
+                for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
+                    raw = np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes()
+                    n = b - a + 1
                     whole = n // capacity * capacity
                     parts = -(-(n - whole) * PART // capacity)
                     cuts = [*range(0, whole + 1, capacity), *(whole + (n - whole) * (j + 1) // parts for j in range(parts))]
-                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                         source.append(row + i)
-                        start.append(a)
-                        length.append(b - a)
-                        crc.append(zlib.crc32(ids[4 * a : 4 * b]))
+                        start.append(lo)
+                        length.append(hi - lo)
+                        crc.append(zlib.crc32(raw[4 * lo : 4 * hi]))
                         total.append(n)
                 numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *numbers], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                salt = pa.array(np.array(source, np.int64) + before)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *numbers, salt], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+            before += batch.num_rows
 
     return run
 
 
 def _pack(capacity: int) -> Callable:
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
-        size = block["length"].to_numpy()
-        sequence, offset = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32")])
+        size = block.column("length").to_numpy()
+        sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         full = np.flatnonzero(size == capacity)
         sequence[full] = np.arange(len(full))
         rest = np.flatnonzero(size < capacity)
@@ -104,7 +107,8 @@ def _pack(capacity: int) -> Callable:
             at = rest[sorted(group)]
             sequence[at] = number
             offset[at] = np.cumsum(size[at]) - size[at]
-        return block.assign(sequence_id=block["block"] * SEQUENCES + sequence, offset=offset).drop(columns="block")
+        sequence += block.column("block")[0].as_py() * SEQUENCES
+        return block.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return run
 
@@ -113,11 +117,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     """Pieces of all documents in sequences of at most capacity tokens.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null texts are empty and have
-    the end token only. Repeated rows are packed once each; null ids are allowed. Other columns are ignored.
+    the end token only. Repeated rows are packed once each; null ids are allowed; neither lands in one block, since
+    blocks are dealt by id and by the row's place in its input file. Ids are cast to long. Other columns are ignored; an
+    empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = max(1, -(-docs.count() // BLOCK))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity), schema)
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.when(F.col("length") == capacity, F.col("start"))), F.lit(blocks)))
-    return pieces.groupBy("block").applyInPandas(_pack(capacity), f"{schema}, sequence_id long, offset long")
+    pieces = rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity), f"{schema}, salt long")  # salt: the row's number in its task
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "salt", F.when(F.col("length") == capacity, F.col("start"))), F.lit(blocks))).drop("salt")
+    return pieces.groupBy("block").applyInArrow(_pack(capacity), f"{schema}, sequence_id long, offset long")

@@ -101,6 +101,11 @@ def _hashes(buf: np.ndarray, start: np.ndarray, ends: list[np.ndarray], codes: n
     return out
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans buf[start[i]:end[i]] in rising order, upper and lower case apart."""
+    return _hashes(buf, start, [end], _CODES)[0]
+
+
 def running(flags: np.ndarray) -> np.ndarray:
     """How many flags are set before each position, and in all."""
     out = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)

@@ -2,9 +2,10 @@
 
 A text is split at spaces that follow a non-space character: no pre-token of the tokenizers
 used here spans such a place, so the pieces ("units") can be encoded one by one, however long the text.
-Units repeat across texts; each worker keeps the results of the units it has met (a bounded cache)
-and sends new ones to the library in batches balanced by bytes. Texts that could hold a special
-token, or are split otherwise than the rule allows, go to the library whole.
+Units repeat across texts; each worker keeps the results of the units it has met in sorted arrays (some
+20 bytes each, at most CACHE_UNITS) by a 64-bit hash, finds those of a whole batch of texts at once, and sends new ones to the
+library in batches balanced by bytes. Texts that could hold a special token, or are split otherwise than the
+rule allows, go to the library whole or at other safe places.
 """
 
 from __future__ import annotations
@@ -19,11 +20,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec as tv
+from .storage import small_batches
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units that a worker remembers, and bytes of new units in one library call.
-CACHE_UNITS, BATCH_BYTES = 800_000, 1 << 18
-_UNSAFE = 1 << 50
+#: Units that a worker remembers, recent ones that are merged at once, pieces of units, and bytes of new ones in one library call.
+CACHE_UNITS, RECENT, CACHE_PIECES, BATCH_BYTES = 1_500_000, 50_000, 150_000, 1 << 18
+#: Bytes of text that are looked up at once.
+LOOKUP_BYTES = 1 << 20
+_FIRST = np.uint64(0x5851F42D4C957F2D)
 _SAFE_SPLIT = regex.compile(r"(?<=\S) ")
 
 
@@ -40,6 +46,49 @@ def byte_batches(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[lis
         yield batch
 
 
+class UnitCache:
+    """Sizes and ids by hash, in a sorted array of old entries and a short one of recent ones."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))] * 2
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(size, place of the ids, whether known) of each key."""
+        size, place, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for hashes, sizes, places in self.parts:
+            if len(hashes):
+                at = np.searchsorted(hashes, keys)
+                at[at == len(hashes)] = 0
+                hit = hashes[at] == keys
+                size[hit], place[hit] = sizes[at[hit]], places[at[hit]]
+                known |= hit
+        return size, place, known
+
+    def full(self, more: int) -> bool:
+        return sum(len(h) for h, _, _ in self.parts) + more > CACHE_UNITS
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The places of the ids of new keys in rising order; ids: of all, one after the other (none where only sizes are wanted)."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        places = self.used + np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        self.used += len(ids)
+        self.parts[1] = self._merged(self.parts[1], (keys, sizes.astype(np.int32), places))
+        if len(self.parts[1][0]) > RECENT:
+            self.parts = [self._merged(*self.parts), (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        return places
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+
 class UnitEncoder:
     """Token ids or counts of whole texts by one tokenizer file."""
 
@@ -50,7 +99,7 @@ class UnitEncoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.specials = [t["content"].encode() for t in spec["added_tokens"]]
         self.lengths_only = lengths_only
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         self.lower = spec["normalizer"] is not None
@@ -63,91 +112,105 @@ class UnitEncoder:
         if self.lower:
             self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.units: dict = {}
-        self.words: dict = {}
-
-    def _value(self, ids: list[int]):
-        return len(ids) if self.lengths_only else np.array(ids, np.uint32).tobytes()
-
-    def _join(self, parts):
-        return sum(parts) if self.lengths_only else b"".join(parts)
+        self.units, self.odd = UnitCache(), {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _prepared(self, unit: str) -> str:
         import unicodedata
 
         return unicodedata.normalize("NFC", unit).lower() if self.lower else unit
 
-    def _learn(self, units: set) -> None:
-        """Puts new units into the cache; (unit, bool): whether a space goes before it."""
-        if len(self.words) > CACHE_UNITS:
-            self.words.clear()
-        pieces, plain = {}, []
-        for key in units:
-            unit, spaced = key if isinstance(key, tuple) else (key, True)
+    def _learned(self, units: list[str], spaced: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids one after the other) of units; spaced: whether a space goes before. A size of -1: not to be encoded alone."""
+        parts: list = []
+        for unit, space in zip(units, spaced, strict=True):
             if self.lower:
                 # lower case of these depends on what stands around them
-                if "Σ" in unit or "İ" in unit:
-                    plain.append((key, unit))
-                else:
-                    pieces[key] = self.pattern.findall(self._prepared(unit))
+                parts.append(unit if "Σ" in unit or "İ" in unit else self.pattern.findall(self._prepared(unit)))
             elif not unit or unit[-1].isspace():
-                self.units[key] = _UNSAFE
+                parts.append(None)
             else:
-                pieces[key] = self.pattern.findall(" " + unit if spaced else unit)
-        fresh = sorted({p for parts in pieces.values() for p in parts if p not in self.words})
-        for batch in byte_batches(fresh):
-            for piece, e in zip(batch, self.bare.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                self.words[piece] = self._value(e.ids)
-        for key, parts in pieces.items():
-            self.units[key] = self._join([self.words[p] for p in parts])
-        for key, unit in plain:
-            self.units[key] = self._value(self.whole.encode(unit, add_special_tokens=False).ids)
-
-    def _keys(self, units: list[str]) -> list:
-        if not self.lower:
-            units[0] = (units[0], False)
-        return units
-
-    def encode(self, texts: list[str]) -> list:
-        """Counts, or little-endian unsigned 32-bit ids as bytes."""
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        out: list = [None] * len(texts)
-        split, whole = [], []
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.specials):
-                whole.append(i)
-            elif text:
-                split.append((i, self._keys(text.split(" "))))
+                parts.append(self.pattern.findall(" " + unit if space else unit))
+        known = self.pieces
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        for batch in byte_batches({p for x in parts if isinstance(x, list) for p in x if p not in known}):
+            known.update(zip(batch, (tuple(e.ids) for e in self.bare.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
+        sizes, ids = [], []
+        for x in parts:
+            if x is None:
+                sizes.append(-1)
+                continue
+            before = len(ids)
+            if isinstance(x, str):
+                ids += self.whole.encode(x, add_special_tokens=False).ids
             else:
-                out[i] = self._value([])
-        self._learn({u for _, units in split for u in units if u not in self.units})
-        get = self.units.__getitem__
-        again = []
-        for i, units in split:
-            out[i] = self._join(map(get, units))
-            if self.lengths_only and out[i] >= _UNSAFE:
-                again.append((i, self._keys(_SAFE_SPLIT.split(texts[i]))))
-        missing = {u for _, units in again for u in units if u not in self.units or self.units[u] == _UNSAFE}
-        if again:
-            lengths = self._exact(missing)
-            for i, units in again:
-                out[i] = sum(lengths[u] if u in lengths else self.units[u] for u in units)
-        for i in whole:
-            out[i] = self._value(self.whole.encode(texts[i], add_special_tokens=False).ids)
-        return out
-
-    def _exact(self, keys: set) -> dict:
-        """Counts of units that begin or end with white space, by the library."""
-        keys = sorted(keys, key=str)
-        texts = [k[0] if isinstance(k, tuple) else " " + k for k in keys]
-        out = {}
+                for p in x:
+                    ids += known[p]
+            sizes.append(len(ids) - before)
+        return np.array(sizes, np.int64), np.array([] if self.lengths_only else ids, np.uint32)
+
+    def _exact(self, text: str) -> int:
+        """Count of a text that the units don't cover: it is split at spaces after other characters, and the parts go to the library."""
+        parts = [(u, i > 0) for i, u in enumerate(_SAFE_SPLIT.split(text))]
+        fresh = sorted({p for p in parts if p not in self.odd})
+        if len(self.odd) > 50_000:
+            self.odd, fresh = {}, sorted(set(parts))
         at = 0
-        for batch in byte_batches(texts):
+        for batch in byte_batches(" " + u if space else u for u, space in fresh):
             for e in self.whole.encode_batch_fast(batch, add_special_tokens=False):
-                out[keys[at]] = len(e.ids)
+                self.odd[fresh[at]] = len(e.ids)
                 at += 1
-        return out
+        return sum(self.odd[p] for p in parts)
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, all ids one after the other) of the texts buf[offsets[i]:offsets[i + 1]] in UTF-8; no ids where lengths are enough."""
+        texts = len(offsets) - 1
+        spaces = np.flatnonzero(buf == 32)
+        start, end = np.sort(np.concatenate([offsets[:-1], spaces + 1])), np.sort(np.concatenate([spaces, offsets[1:]]))
+        per = np.diff(np.searchsorted(spaces, offsets)) + 1
+        first = np.cumsum(per) - per
+        keys = tv.span_hashes(buf, start, end)
+        if not self.lower:
+            keys[first] ^= _FIRST  # no space before
+        keys, one, number = np.unique(keys, return_index=True, return_inverse=True)
+        size, place, known = self.units.find(keys)
+        if not known.all():
+            if self.units.full(int((~known).sum())):  # all units of the batch come again, so that their ids stand in the emptied cache
+                self.units.clear()
+                known[:] = False
+            one = one[~known]
+            begins = np.isin(one, first)
+            sizes, ids = self._learned([buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[one], end[one], strict=True)], (~begins).tolist())
+            size[~known], place[~known] = sizes, self.units.add(keys[~known], sizes, ids)
+        size, place = size[number], place[number]
+        empty = offsets[1:] == offsets[:-1]
+        size[first[empty]] = 0
+        unsafe = np.add.reduceat(size < 0, first) > 0 if texts else np.zeros(0, bool)
+        raw = buf.tobytes() if self.specials else b""
+        for special in self.specials:
+            at = raw.find(special)
+            while at >= 0:
+                unsafe[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(special, at + 1)
+        size[np.repeat(unsafe, per)] = 0
+        counts = np.add.reduceat(size, first) if texts else np.zeros(0, np.int64)
+        alone: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(unsafe):
+            text = buf[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
+            if self.lengths_only and not any(s in text.encode() for s in self.specials):
+                counts[i] = self._exact(text)
+            else:
+                found = self.whole.encode(text, add_special_tokens=False).ids
+                counts[i], alone[int(i)] = len(found), np.array(found, np.uint32)
+        if self.lengths_only:
+            return counts, np.zeros(0, np.uint32)
+        ends = np.cumsum(size)
+        ids = self.units.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(place - (ends - size), size)]
+        if alone:
+            parts = np.split(ids, np.cumsum(np.add.reduceat(size, first))[:-1])
+            ids = np.concatenate([alone.get(i, part) for i, part in enumerate(parts)])
+        return counts, ids
 
 
 _encoders: dict = {}
@@ -160,29 +223,23 @@ def encoder(path: str, lengths_only: bool) -> UnitEncoder:
     return _encoders[path, lengths_only]
 
 
-def text_batches(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of consecutive rows with about limit characters; nulls as empty texts."""
-    import pyarrow.compute as pc
-
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(column)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield a, [x or "" for x in column.slice(a, b - a).to_pylist()]
-
-
-def _counts(path: str, pass_on: int) -> Callable:
+def _counts(path: str) -> Callable:
     def run(batches):
         enc = encoder(path, True)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            counts = np.concatenate([np.array(enc.encode(texts), np.int64) for _, texts in text_batches(column)] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:pass_on], pa.array(counts)], [*batch.schema.names[:pass_on], "n_tokens"])
+        for batch in tv.released(batches):
+            for row, last, buf, offsets in tv.text_steps(batch.column(2), LOOKUP_BYTES):
+                counts, _ = enc.encode(buf, offsets)
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, last - row) for c in batch.columns[:2]), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row; a null text counts as an empty one, ids may be null or repeat."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row; a null text counts as an empty one, ids are passed on and may be null or repeat.
+
+    Other columns are ignored, whatever their names; an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
-    return rows.mapInArrow(_counts(tokenizer_path, 2), schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(_counts(tokenizer_path), schema).withColumn("over_limit", F.col("n_tokens") > limit)
