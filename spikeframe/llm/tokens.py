@@ -3,8 +3,8 @@
 A text is split at spaces that follow a non-space character: no pre-token of the tokenizers
 used here spans such a place, so the pieces ("units") can be encoded one by one, however long the text.
 Units repeat across texts; each worker keeps the results of the units it has met in sorted arrays (some
-20 bytes each, at most CACHE_UNITS) by a 64-bit hash, finds those of a whole batch of texts at once, and sends new ones to the
-library in batches balanced by bytes. Texts that could hold a special token, or are split otherwise than the
+24 bytes each, at most CACHE_UNITS) by a 64-bit hash, finds those of a whole batch of texts at once, and sends new ones to the
+library in batches balanced by bytes. A second hash is compared on each hit; where it differs, the text goes to the library. Texts that could hold a special token, or are split otherwise than the
 rule allows, go to the library whole or at other safe places.
 """
 
@@ -47,40 +47,42 @@ def byte_batches(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[lis
 
 
 class UnitCache:
-    """Sizes and ids by hash, in a sorted array of old entries and a short one of recent ones."""
+    """Sizes, ids and second hashes by hash, in a sorted array of old entries and a short one of recent ones."""
+
+    _NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))] * 2
+        self.parts = [self._NONE] * 2
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(size, place of the ids, whether known) of each key."""
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(size, place of the ids, whether known) of each key; a size of -1 where the second hash isn't that of the entry."""
         size, place, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        for hashes, sizes, places in self.parts:
+        for hashes, sizes, places, seconds in self.parts:
             if len(hashes):
                 at = np.searchsorted(hashes, keys)
                 at[at == len(hashes)] = 0
                 hit = hashes[at] == keys
-                size[hit], place[hit] = sizes[at[hit]], places[at[hit]]
+                size[hit], place[hit] = np.where(seconds[at[hit]] == checks[hit], sizes[at[hit]], -1), places[at[hit]]
                 known |= hit
         return size, place, known
 
     def full(self, more: int) -> bool:
-        return sum(len(h) for h, _, _ in self.parts) + more > CACHE_UNITS
+        return sum(len(p[0]) for p in self.parts) + more > CACHE_UNITS
 
-    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def add(self, keys: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The places of the ids of new keys in rising order; ids: of all, one after the other (none where only sizes are wanted)."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
         places = self.used + np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
         self.used += len(ids)
-        self.parts[1] = self._merged(self.parts[1], (keys, sizes.astype(np.int32), places))
+        self.parts[1] = self._merged(self.parts[1], (keys, sizes.astype(np.int32), places, checks))
         if len(self.parts[1][0]) > RECENT:
-            self.parts = [self._merged(*self.parts), (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+            self.parts = [self._merged(*self.parts), self._NONE]
         return places
 
     @staticmethod
@@ -170,20 +172,23 @@ class UnitEncoder:
         start, end = np.sort(np.concatenate([offsets[:-1], spaces + 1])), np.sort(np.concatenate([spaces, offsets[1:]]))
         per = np.diff(np.searchsorted(spaces, offsets)) + 1
         first = np.cumsum(per) - per
-        keys = tv.span_hashes(buf, start, end)
+        keys, checks = tv.span_hashes(buf, start, end)
+        checks = checks.astype(np.uint32)
         if not self.lower:
             keys[first] ^= _FIRST  # no space before
         keys, one, number = np.unique(keys, return_index=True, return_inverse=True)
-        size, place, known = self.units.find(keys)
+        size, place, known = self.units.find(keys, checks[one])
+        odd = checks != checks[one][number]  # units of the batch that share a hash only
         if not known.all():
             if self.units.full(int((~known).sum())):  # all units of the batch come again, so that their ids stand in the emptied cache
                 self.units.clear()
                 known[:] = False
-            one = one[~known]
+            fresh, one = checks[one[~known]], one[~known]
             begins = np.isin(one, first)
             sizes, ids = self._learned([buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[one], end[one], strict=True)], (~begins).tolist())
-            size[~known], place[~known] = sizes, self.units.add(keys[~known], sizes, ids)
+            size[~known], place[~known] = sizes, self.units.add(keys[~known], fresh, sizes, ids)
         size, place = size[number], place[number]
+        size[odd] = -1
         empty = offsets[1:] == offsets[:-1]
         size[first[empty]] = 0
         unsafe = np.add.reduceat(size < 0, first) > 0 if texts else np.zeros(0, bool)
