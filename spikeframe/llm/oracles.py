@@ -1,10 +1,11 @@
-"""DuckDB SQL that gives the rows of the queries op1, op4, op9 and op10 of this subpackage.
+"""DuckDB SQL that gives the rows of the queries op1, op4, op9, op10, op12 and op13 of this subpackage.
 
 Words, hashes, sketches (exact below 2048 rows), curve indexes and rules are made again from the tables.
 """
 
 from __future__ import annotations
 
+from . import language_id as L
 from . import quality_rules as Q
 from . import sharding as S
 from . import url_filter as U
@@ -117,5 +118,33 @@ WITH p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s
 SELECT page_id, host, path, rule, coalesce(listed, CASE WHEN fired.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN fired ON j.url = fired.url"""
 
 
+def _op12(top: int = 50) -> str:
+    terms = f"regexp_extract_all(translate(text, '{U._UPPER}', '{U._LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH sized AS (SELECT doc_id, row_number() OVER () AS row, {terms} AS ts FROM documents WHERE len({terms}) > 0),
+ total AS (SELECT count(*) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM sized),
+ held AS (SELECT row, t, count(*) AS tf FROM (SELECT row, unnest(ts) AS t FROM sized) GROUP BY ALL),
+ items AS (SELECT DISTINCT item_id, unnest({terms}) AS t FROM benchmark),
+ weight AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total WHERE t IN (SELECT t FROM items) GROUP BY t, nn),
+ part AS (SELECT row, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(ts) * nn) // ll))) AS c FROM held JOIN weight USING (t) JOIN sized USING (row), total),
+ found AS (SELECT item_id, row, CAST(sum(c) AS BIGINT) AS score FROM part JOIN items USING (t) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM found JOIN sized USING (row) WHERE score > 0 QUALIFY rank <= {top}"""
+
+
+OP13 = rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+ d AS (SELECT doc_id, row_number() OVER () AS row, lang, text, {_CRC.format("CAST(doc_id AS VARCHAR)")} % 4 = 2 AS held_out FROM documents, crc),
+ w AS (SELECT row, ' ' || w || ' ' AS w, count(*) AS c FROM (SELECT row, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+')) AS w FROM d) GROUP BY ALL),
+ g AS (SELECT row, substr(w, i, n) AS g, sum(c) AS c FROM w, range(1, 4) a(n), unnest(range(1, length(w) - n + 2)) b(i) WHERE substr(w, i, n) <> ' ' GROUP BY ALL),
+ learned AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(c) DESC, g) - 1 AS place FROM g JOIN d USING (row) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY place < {L.PROFILE}),
+ k AS (SELECT max(place) + 1 AS k FROM learned),
+ own AS (SELECT row, g, row_number() OVER (PARTITION BY row ORDER BY c DESC, g) - 1 AS place FROM g),
+ off AS (SELECT row, langs.lang, CAST(sum(coalesce(abs(own.place - learned.place), k)) AS DOUBLE) AS off, CAST(count(*) * any_value(k) AS DOUBLE) AS most
+   FROM own JOIN k ON own.place < k CROSS JOIN (SELECT DISTINCT lang FROM learned) langs LEFT JOIN learned ON learned.lang = langs.lang AND learned.g = own.g GROUP BY 1, 2),
+ best AS (SELECT row, lang, off, coalesce(lead(off) OVER (PARTITION BY row ORDER BY off, lang), most) AS after FROM off QUALIFY row_number() OVER (PARTITION BY row ORDER BY off, lang) = 1)
+SELECT doc_id, held_out, coalesce(CASE WHEN regexp_matches(text, '\p{{L}}') THEN best.lang END, '{L.UNKNOWN}') AS lang_pred,
+  CASE WHEN best.lang IS NULL OR NOT regexp_matches(text, '\p{{L}}') THEN 0.0::DOUBLE WHEN off + after > 0 THEN after / (off + after) ELSE 0.5::DOUBLE END AS score FROM d LEFT JOIN best USING (row)"""
+
+
 def oracles(rules: list[tuple[str, str, str]]) -> dict[str, str]:
-    return {"op1_quality_rules": _op1(), "op4_ngram_jaccard_join": OP4, "op9_sharding": _op9(), "op10_url_filters": _op10(rules)}
+    return {"op1_quality_rules": _op1(), "op4_ngram_jaccard_join": OP4, "op9_sharding": _op9(), "op10_url_filters": _op10(rules), "op12_ranked_search": _op12(), "op13_language_id": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, ngram_join, oracles, packing, quality_classifier, quality_rules, sharding, tokens, toxicity, url_filter
+from . import decontam, language_id, line_dedup, ngram_join, oracles, packing, periodic_runs, quality_classifier, quality_rules, ranked_search, sharding, tokens, toxicity, url_filter
 
 TOKEN_LIMIT, WINDOW, END_ID = 512, 2048, 1
 #: The listed URL rules (verdict, host, path).
@@ -73,11 +73,25 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, labels)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.run_digests(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")))
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.predict_language(table(spark, sf_dir, "documents"), id_hash(4) != 2)
+    return out.select("doc_id", (id_hash(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_packing, op4_ngram_jaccard_join, op5_decontamination, op6_token_counts, op7_line_dedup, op8_toxicity, op9_sharding, op10_url_filters, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_packing, op4_ngram_jaccard_join, op5_decontamination, op6_token_counts, op7_line_dedup, op8_toxicity, op9_sharding, op10_url_filters, op11_periodic_runs, op12_ranked_search, op13_language_id, pipeline)}
 ORACLES = oracles.oracles(URL_RULES)
