@@ -19,39 +19,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .storage import small_batches
+from .storage import cut, small_batches
 from .tokens import LOOKUP_BYTES, encoder
 
 #: Remainders in a block, the sequence numbers that a block owns, and the longest part of a document.
-BLOCK, SEQUENCES = 500, 1 << 24
+BLOCK, SEQUENCES = 1500, 1 << 24
 #: A remainder is cut into equal parts of at most this share of a window; smaller parts level better.
-PART = 3
+PART = 4
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
     """Indices of sizes in k groups of near-equal sums (Karmarkar-Karp, any k of 1 or more)."""
-    # a partition: negative imbalance, tie, sums of its non-empty groups in falling order, members of them
-    heap = [(-int(s), i, [int(s)], [[i]]) for i, s in enumerate(sizes)]
+    # a group is a node: an index of sizes, or one that joins two nodes; a partition: sums of its non-empty groups in falling order, and their nodes
+    below: list[tuple[int, int]] = []
+    # heap entries: negative imbalance, tie, the partition
+    heap: list = [(-int(s), i, np.array([s], np.int64), np.array([i])) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     if not heap:
         return [[] for _ in range(k)]
     tie = len(heap)
     while len(heap) > 1:
-        _, _, a, am = heapq.heappop(heap)
-        _, _, b, bm = heapq.heappop(heap)
-        over = len(a) + len(b) - k
-        if over > 0:  # the smallest of a meet the smallest of b in reverse, all others stay alone
-            keep_a, keep_b = len(a) - over, len(b) - over
-            joined = [(a[keep_a + i] + b[len(b) - 1 - i], am[keep_a + i] + bm[len(b) - 1 - i]) for i in range(over)]
-            parts = [*zip(a[:keep_a], am[:keep_a], strict=True), *zip(b[:keep_b], bm[:keep_b], strict=True), *joined]
-        else:
-            parts = [*zip(a, am, strict=True), *zip(b, bm, strict=True)]
-        parts.sort(key=lambda p: -p[0])
-        sums, members = [p[0] for p in parts], [p[1] for p in parts]
-        low = sums[-1] if len(sums) == k else 0
-        heapq.heappush(heap, (low - sums[0], tie, sums, members))
+        _, _, a, an = heapq.heappop(heap)
+        _, _, b, bn = heapq.heappop(heap)
+        over = max(0, len(a) + len(b) - k)
+        sums = np.concatenate([a, b[: len(b) - over]])
+        nodes = np.concatenate([an, bn[: len(b) - over]])
+        if over:  # the smallest of a meet the smallest of b in reverse, all others stay alone
+            sums[len(a) - over : len(a)] += b[len(b) - over :][::-1]
+            pairs = list(zip(an[len(a) - over :].tolist(), bn[len(b) - over :][::-1].tolist(), strict=True))
+            nodes[len(a) - over : len(a)] = np.arange(over) + len(sizes) + len(below)
+            below += pairs
+        order = np.argsort(-sums, kind="stable")
+        sums, nodes = sums[order], nodes[order]
+        low = int(sums[-1]) if len(sums) == k else 0
+        heapq.heappush(heap, (low - int(sums[0]), tie, sums, nodes))
         tie += 1
-    groups = heap[0][3]
+    groups: list[list[int]] = []
+    for node in heap[0][3].tolist():
+        members, open_ = [], [node]
+        while open_:
+            at = open_.pop()
+            if at < len(sizes):
+                members.append(at)
+            else:
+                open_ += below[at - len(sizes)]
+        groups.append(members)
     return [*groups, *([] for _ in range(k - len(groups)))]
 
 
@@ -126,5 +138,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     blocks = max(1, -(-docs.count() // BLOCK))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity), f"{schema}, salt long")  # salt: the row's number in its task
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "salt", F.when(F.col("length") == capacity, F.col("start"))), F.lit(blocks))).drop("salt")
+    # pieces are written once: a task that runs again may meet its rows in another order, and then numbers them otherwise
+    pieces = cut(pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "salt", F.when(F.col("length") == capacity, F.col("start"))), F.lit(blocks))).drop("salt"))
     return pieces.groupBy("block").applyInArrow(_pack(capacity), f"{schema}, sequence_id long, offset long")

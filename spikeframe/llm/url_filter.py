@@ -4,10 +4,16 @@ A URL becomes a set of tokens (host labels, path segments, query keys). FP-growt
 URLs that no listed rule decides finds token combinations; those that imply "block" with enough support (a share and a number
 of rows) and confidence (the lower end of its interval), and that no shorter such combination covers, become rules. An inverted index from token to rules
 matches them: a rule fires when all its tokens are met.
+
+What can't be a part of a longer rule is left out before mining, so that repeated URLs of many tokens don't bring all their
+subsets: tokens that are rules by themselves, tokens of too few bad rows, and tokens of every row. Tokens that stand in the very same
+rows are one item, and any of them meets it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +21,6 @@ from pyspark.sql import functions as F
 from .storage import bounded, cut
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK, ALLOW = "=block", "=allow"
 #: Fewest labelled rows that a rule rests on, and the width of the interval of its confidence.
 LEAST_ROWS, Z = 20, 1.64
 
@@ -50,32 +55,58 @@ def tokens(url: str = "url") -> Column:
     return F.filter(every, lambda x: F.length(x) > 2)
 
 
+def _good(bad: Column, n: Column, min_confidence: float) -> Column:
+    """Whether min_confidence is reached by the share of bad rows and by the lower end of its Wilson interval."""
+    share = bad / n
+    lower = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    return (share >= min_confidence) & (lower >= min_confidence)
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(rule, confidence, support) from rows (tokens, bad boolean); rule: sorted tokens that imply bad.
+    """(rule, any_of, confidence, support) from rows (tokens, bad boolean); rule: sorted tokens that imply bad; any_of: for each of them the tokens that stand in the same rows.
 
-    A rule has least_rows bad rows or more, and min_confidence is reached by the lower end of Wilson's interval of
+    A rule has least_rows bad rows or more (and a share of min_support), and min_confidence is reached by the lower end of Wilson's interval of
     its confidence. Empty input or none good enough: no rows. Repeated rows count as often as they occur.
     """
-    items = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(F.concat("tokens", F.array(F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items"))
-    total = items.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, least_rows / max(1, total))), minConfidence=min_confidence).fit(items)
-    bad = F.round(F.col("support") * total)
-    n, share = F.round(bad / F.col("confidence")), F.col("confidence")
-    lower = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (bad >= least_rows) & (lower >= min_confidence))
-    rules = rules.where(~F.array_contains("antecedent", ALLOW)).select(F.sort_array("antecedent").alias("rule"), "confidence", "support")
-    # a rule goes when a part of it is a rule: parts meet by their tokens, so only rules that share one are compared
-    parts = rules.select(F.col("rule").alias("part"), F.explode("rule").alias("token"))
-    wholes = rules.select("rule", F.explode("rule").alias("token"))
-    covered = wholes.join(parts, "token").groupBy("rule", "part").agg(F.count("*").alias("met")).where((F.col("met") == F.size("part")) & (F.size("part") < F.size("rule"))).select("rule").distinct()
-    return rules.join(covered, "rule", "left_anti")
+    rows = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(F.sort_array(F.array_distinct("tokens")).alias("tokens"), "bad")
+    sets = cut(rows.groupBy("tokens", "bad").agg(F.count("*").alias("n")))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    need = max(least_rows, math.ceil(min_support * total), 1)
+    # two 64-bit signatures of the rows that hold a token
+    each = sets.select(F.explode("tokens").alias("token"), "bad", "n", F.xxhash64("tokens", "bad").alias("a"), F.xxhash64(F.lit(1), "tokens", "bad").alias("b"))
+    held = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("k"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    held = cut(held.where(F.col("k") >= need).withColumn("alone", _good(F.col("k"), F.col("n"), min_confidence)))
+    found = held.where("alone").select(F.array("token").alias("rule"), F.array(F.array("token")).alias("any_of"), "k", "n")
+    items = held.where(~F.col("alone") & (F.col("n") < total)).groupBy("a", "b", "n").agg(F.array_sort(F.collect_set("token")).alias("same")).select("same", F.col("same")[0].alias("item"))
+    items = cut(items)
+    names = items.select("item", F.explode("same").alias("token"))
+    # each set of tokens by its items; few tokens are left, so hot ones aren't shuffled
+    reduced = cut(sets.select(F.xxhash64("tokens", "bad").alias("row"), "bad", "n", F.explode("tokens").alias("token")).join(bounded(names), "token").groupBy("row", "bad", "n").agg(F.array_sort(F.collect_set("item")).alias("items")).where(F.size("items") > 1))
+    bad = reduced.where("bad")
+    rows = bad.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if rows >= need:
+        fitted = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / rows)).fit(bad.select("items", F.explode(F.sequence(F.lit(1), "n"))).select("items"))
+        several = cut(fitted.freqItemsets.where(F.size("items") > 1).select(F.array_sort("items").alias("rule"), F.col("freq").alias("k")))
+        parts = several.select("rule", F.size("rule").alias("needs"), F.explode("rule").alias("item"))
+        met = reduced.where("not bad").select("row", "n", F.explode("items").alias("item")).join(bounded(parts), "item").groupBy("row", "n", "rule", "needs").agg(F.count("*").alias("met"))
+        fine = met.where("met = needs").groupBy("rule").agg(F.sum("n").alias("fine"))
+        several = several.join(fine, "rule", "left").withColumn("n", F.col("k") + F.coalesce("fine", F.lit(0))).where(_good(F.col("k"), F.col("n"), min_confidence))
+        several = cut(several.select("rule", "k", "n"))
+        # a rule goes when a part of it is a rule: its parts meet the rules by equality
+        masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("rule")) - 2).cast("long"))
+        part = F.transform(masks, lambda m: F.filter("rule", lambda x, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
+        covered = several.where(F.size("rule") > 2).select(F.col("rule").alias("whole"), F.explode(part).alias("rule")).join(several.select("rule"), "rule").select(F.col("whole").alias("rule")).distinct()
+        several = several.join(covered, "rule", "left_anti")
+        any_of = several.select("rule", "k", "n", F.posexplode("rule").alias("at", "item")).join(items, "item").groupBy("rule", "k", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "same"))), lambda x: x["same"]).alias("any_of"))
+        found = found.unionByName(any_of)
+    return found.select("rule", "any_of", (F.col("k") / F.col("n")).alias("confidence"), (F.col("k") / total).alias("support"))
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct url values of urls (url, tokens) that some rule matches."""
-    index = rules.select("rule", F.size("rule").alias("needs"), F.explode("rule").alias("token"))
+    """The distinct url values of urls (url, tokens) that some rule matches: one token or more of each part."""
+    index = rules.select("rule", F.size("rule").alias("needs"), F.posexplode("any_of").alias("part", "tokens")).select("rule", "needs", "part", F.explode("tokens").alias("token"))
     # rules are few, so hot tokens aren't shuffled
-    met = urls.select("url", F.explode("tokens").alias("token")).join(bounded(cut(index)), "token").groupBy("url", "rule", "needs").agg(F.count("*").alias("met"))
+    met = urls.select("url", F.explode("tokens").alias("token")).join(bounded(cut(index)), "token").groupBy("url", "rule", "needs").agg(F.countDistinct("part").alias("met"))
     return met.where("met = needs").select("url").distinct()
 
 
