@@ -3,26 +3,27 @@
 A line is routed by its number of tokens and its leading LEAD tokens to a leaf; tokens with a digit are
 variable fields. In a leaf, lines equal but for variable fields share a template. Longer lines are generalised
 as well: those of which SIMILAR of all positions agree share a template in which the others are
-variable. Such lines agree in the whole of one of some segments of their positions (there is one segment more than
-positions may differ), so lines meet by leaf and segment; each is compared with the first line of its segment,
-and joined ones are one template.
+variable (lines of fewer than LONG tokens aren't generalised: with the leading tokens alike, sentences that differ in one word would be
+templates). Such lines agree in the whole of one of some segments of their positions after the leading ones (there is one segment more than
+positions may differ), so lines meet by leaf and segment. In a segment some lines are leaders; each line is compared with all of them, those that are
+like none go on with new leaders, and so on until every line is a leader or like one. Joined lines are one template.
 
 A template that recurs across documents is dropped from all of them. Recurrence is counted in
 unrelated documents: distinct near-copy classes of the texts that hold the template, so copies of a document,
 which repeat all of its lines, don't make its lines templates, and neither copies nor repeats in one document
-hide a template. The classes come from one-permutation min-hashes of 5-word shingles: texts that agree in
-a band of them are linked when NEAR of all hashes agree (an estimate of a Jaccard similarity of 0.8 or more).
+hide a template. The classes come from one-permutation min-hashes of 5-word shingles: texts meet in
+bands of them, with leaders as above, and are linked when NEAR of all hashes agree (an estimate of a Jaccard similarity of 0.8 or more).
 
 Only hashes leave the text scan: 16 bytes a line, and 4 bytes per token of longer lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -36,7 +37,9 @@ MIN_TOKENS, MIN_FIXED, MIN_DOCUMENTS = 4, 3, 4
 SHINGLE = 5
 #: Min-hashes of a text, bands of them, and the share of equal hashes that links two texts (an estimate
 #: of 0.8 has a standard deviation of 0.035).
-BINS, BANDS, NEAR = 128, 16, 0.72
+BINS, BANDS, NEAR = 128, 32, 0.72
+#: Leaders of a group in the first round, and at most in a later one (each has eight times as many as the one before).
+LEADERS, MOST_LEADERS = 2, 512
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
 _DIGIT = np.zeros(256, bool)
@@ -78,14 +81,14 @@ def _flat(shapes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of forms (leaf, form, shape), a row (form, segment) for each segment: one more than positions that may differ."""
+    """Of forms (leaf, form, shape), a row (form, segment) for each segment of the positions after LEAD: one more than positions that may differ."""
     for batch in batches:
         if not batch.num_rows:
             continue
         flat, n = _flat(batch.column(2))
         parts = n - np.ceil(SIMILAR * n - 1e-9).astype(np.int64) + 1
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-        part = pos * np.repeat(parts, n) // np.repeat(n, n)
+        part = np.maximum(0, pos - LEAD) * np.repeat(parts, n) // np.repeat(n - LEAD, n)
         owner = np.repeat(np.arange(len(n)), n)
         first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
         code = np.add.reduceat(tv.mix(flat.astype(np.uint64) + (pos.astype(np.uint64) + np.uint64(1)) * _C), first)
@@ -102,17 +105,38 @@ def _alike(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array((any_ >= SIMILAR * n - 1e-9) & (2 * fixed >= n))
 
 
+def led(members: DataFrame, alike: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """Links (a, b) among members (node, group): in each group every node is a leader or linked to one.
+
+    alike takes pairs (a, b) and returns those that are alike. A round takes the first nodes of each group as leaders; nodes that are like none of
+    them stay for the next one, with eight times as many leaders, so most groups end after one or two rounds and many unlike nodes cost
+    few rounds. The first nodes are found before the shuffle, so a group of any size is dealt out.
+    """
+    links, many, left = None, LEADERS, members
+    while True:
+        order = Window.partitionBy("group").orderBy("node")
+        first = left.withColumn("at", F.row_number().over(order)).where(F.col("at") <= many + 1)
+        first = first.withColumn("more", F.max("at").over(Window.partitionBy("group"))).where((F.col("more") > 1) & (F.col("at") <= many))
+        leaders = scratch.keep(first.select("group", F.col("node").alias("b")))
+        met = scratch.keep(left.join(bounded(leaders), "group").where(F.col("node") > F.col("b")).select("group", F.col("node").alias("a"), "b"))
+        found = scratch.keep(alike(met.select("a", "b").distinct()))
+        links = found if links is None else links.union(found)
+        # a node that met leaders and is like none of them goes on, unless it is one
+        done = met.join(found, ["a", "b"]).select("group", F.col("a").alias("node")).union(leaders.select("group", F.col("b").alias("node"))).distinct()
+        left = scratch.keep(met.select("group", F.col("a").alias("node")).distinct().join(done, ["group", "node"], "left_anti"))
+        if left.isEmpty():
+            return links
+        many = min(8 * many, MOST_LEADERS)
+
+
 def generalised(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(form, template) of the forms of lines (leaf, form, shape) that share a template with another form of their leaf."""
     leaves = lines.where("length(shape) > 0").groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("leaf")
     forms = lines.where("length(shape) > 0").join(bounded(scratch.keep(leaves)), "leaf").groupBy("leaf", "form").agg(F.first("shape").alias("shape"))
     forms = scratch.keep(forms)
-    segments = scratch.keep(forms.mapInArrow(_segments, "form long, segment long"))
-    groups = segments.groupBy("segment").agg(F.min("form").alias("first"), F.max("form").alias("last")).where("first <> last").drop("last")
-    pairs = segments.join(bounded(scratch.keep(groups)), "segment").where("form <> first").select("form", "first").distinct()
-    shapes = forms.select("form", "shape")
-    both = pairs.join(shapes, "form").join(shapes.select(F.col("form").alias("first"), F.col("shape").alias("other")), "first")
-    links = both.where(_alike("shape", "other")).select(F.col("form").alias("a"), F.col("first").alias("b"))
+    segments = scratch.keep(forms.mapInArrow(_segments, "form long, segment long").select(F.col("form").alias("node"), F.col("segment").alias("group")))
+    left, right = forms.select(F.col("form").alias("a"), "shape"), forms.select(F.col("form").alias("b"), F.col("shape").alias("other"))
+    links = led(segments, lambda pairs: pairs.join(left, "a").join(right, "b").where(_alike("shape", "other")).select("a", "b"), scratch)
     return scratch.keep(ngram_join.components(links, scratch).select(F.col("node").alias("form"), F.col("label").alias("template")))
 
 
@@ -150,11 +174,9 @@ def copy_classes(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(text_key, copies_of) of those texts (text_key, text) that have near copies among them: the least key of each one's class."""
     one = texts.mapInArrow(_signatures, "text_key long, sketch binary, bands array<long>").groupBy("text_key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     signed = scratch.keep(one)
-    bands = signed.select("text_key", F.explode("bands").alias("band"))
-    firsts = bands.groupBy("band").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first <> last").drop("last")
-    pairs = scratch.keep(bands.join(bounded(scratch.keep(firsts)), "band").where("text_key <> first").select("text_key", "first").distinct())
-    both = pairs.join(signed.select("text_key", "sketch"), "text_key").join(signed.select(F.col("text_key").alias("first"), F.col("sketch").alias("other")), "first")
-    links = both.where(_near("sketch", "other")).select(F.col("text_key").alias("a"), F.col("first").alias("b"))
+    bands = scratch.keep(signed.select(F.col("text_key").alias("node"), F.explode("bands").alias("group")))
+    left, right = signed.select(F.col("text_key").alias("a"), "sketch"), signed.select(F.col("text_key").alias("b"), F.col("sketch").alias("other"))
+    links = led(bands, lambda pairs: pairs.join(left, "a").join(right, "b").where(_near("sketch", "other")).select("a", "b"), scratch)
     return ngram_join.components(links, scratch).select(F.col("node").alias("text_key"), F.col("label").alias("copies_of"))
 
 

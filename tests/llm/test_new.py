@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spikeframe.llm import language_id, periodic_runs, queries, ranked_search, textvec, tokens
+from spikeframe.llm import language_id, line_dedup, ngram_join, packing, periodic_runs, queries, ranked_search, textvec, tokens
+from spikeframe.llm.storage import Scratch
 
 CLASHES = ("number", "rank", "score", "lang_pred", "n_runs", "start", "place", "kind", "term", "i", "t")
 
@@ -232,3 +233,95 @@ def test_units_of_one_hash_are_not_taken_for_each_other(monkeypatch):
             counts, ids = encoder.encode(*step[2:])
             want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
             assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def dropped(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r.doc_id: r.dropped or [] for r in line_dedup.dedup_lines(docs).collect()}
+
+
+def word(rng):
+    return "".join(map(chr, rng.integers(97, 123, 7)))
+
+
+def test_templates_with_the_same_leading_words_are_all_found(spark):
+    rng = np.random.default_rng(7)
+    shapes = ["server reports that user opened {} session from {} today", "server reports that user deleted {} files under {} yesterday", "server reports that user printed {} pages with {} tonight"]
+    texts = ["\n".join([*(s.format(word(rng), word(rng)) for s in shapes), " ".join(word(rng) for _ in range(9))]) for _ in range(12)]
+    got = dropped(spark, texts)
+    assert all(got[i] == [0, 1, 2] for i in range(12))
+
+
+def test_recall_of_planted_templates_beside_one_another(spark):
+    """Twenty templates of one length and one beginning in one crowd of unlike lines that begin alike."""
+    rng = np.random.default_rng(8)
+    plans = []
+    for _ in range(20):
+        body = [word(rng) for _ in range(11)]
+        fields = rng.choice(np.arange(1, 11), 2, replace=False)
+        plans.append((body, fields))
+    texts, planted = [], []
+    for i in range(48):
+        lines, mine = [], set()
+        for p in rng.choice(20, 6, replace=False):
+            body = [word(rng) if j in plans[p][1] else w for j, w in enumerate(plans[p][0])]
+            mine.add(len(lines))
+            lines.append(" ".join(["we", "found", "that", *body]))
+            lines.append(" ".join(["we", "found", "that", *(word(rng) for _ in range(11))]))
+        planted.append(mine)
+        texts.append("\n".join(lines))
+    got = dropped(spark, texts)
+    assert sum(len(planted[i] & set(got[i])) for i in got) >= 0.97 * sum(map(len, planted))
+    assert not any(set(got[i]) - planted[i] for i in got)
+
+
+def test_near_copies_are_one_class(spark):
+    rng = np.random.default_rng(9)
+    texts, group = [], []
+    for g in range(40):
+        base = [word(rng) for _ in range(150)]
+        for c in range(6):
+            copy = list(base)
+            for j in rng.choice(150, 3 if c else 0, replace=False):  # some 15 of 146 shingles change: Jaccard about 0.8 with the base
+                copy[j] = word(rng)
+            texts.append(" ".join(copy))
+            group.append(g)
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "text_key long, text string")
+    found = {r.text_key: r.copies_of for r in line_dedup.copy_classes(table, Scratch(spark)).collect()}
+    assert all(group[found[i]] == group[i] for i in found)
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(146)} for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if group[a] == group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 150 and sum(found.get(a, a) == found.get(b, b) for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_leaders_reach_every_node_of_a_crowded_group(spark):
+    """In one group of 300 nodes of 60 kinds all nodes of a kind are joined."""
+    nodes = spark.range(300).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("group"))
+    scratch = Scratch(spark)
+    links = line_dedup.led(nodes, lambda pairs: pairs.where("a % 60 = b % 60"), scratch)
+    labels = {r.node: r.label for r in ngram_join.components(links, scratch).collect()}
+    assert labels == {i: i % 60 for i in range(60, 300)}  # the least one has no row
+
+
+def test_packing_finds_each_id_once_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(10)
+    docs = spark.createDataFrame([(i, " ".join(word(rng) for _ in range(int(rng.integers(0, 900))))) for i in range(200)], "doc_id long, text string")
+    path = queries.tokenizer("word_bpe_49k.json")
+    runs = []
+    for parts in (3, 7):
+        p = packing.pack(docs.repartition(parts, F.rand(parts)), path).toPandas().sort_values(["doc_id", "start"])
+        assert (p.groupby("doc_id").length.sum() == p.groupby("doc_id").doc_tokens.first()).all() and len(p.doc_id.unique()) == 200
+        assert (p.groupby("doc_id").start.apply(lambda s: s.iloc[0]) == 0).all() and p.groupby("sequence_id").length.sum().max() <= 2048
+        assert p.length.sum() / 2048 / p.sequence_id.nunique() > 0.97
+        runs.append(p[["doc_id", "start", "length", "ids_crc32"]].reset_index(drop=True))
+    assert runs[0].equals(runs[1])
+
+
+def test_differencing_keeps_every_part():
+    rng = np.random.default_rng(11)
+    for k in (1, 2, 5, 40):
+        sizes = rng.integers(1, 500, int(rng.integers(0, 90)))
+        groups = packing.differencing(sizes, k)
+        assert len(groups) == k and sorted(sum(groups, [])) == list(range(len(sizes)))
+        sums = [int(sizes[g].sum()) for g in groups]
+        assert k > 5 or len(sizes) < 40 or max(sums) - min(sums) <= 20
