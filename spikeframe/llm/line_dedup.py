@@ -37,9 +37,9 @@ MIN_TOKENS, MIN_FIXED, MIN_DOCUMENTS = 4, 3, 4
 SHINGLE = 5
 #: Min-hashes of a text, bands of them, and the share of equal hashes that links two texts (an estimate
 #: of 0.8 has a standard deviation of 0.035).
-BINS, BANDS, NEAR = 128, 32, 0.72
+BINS, BANDS, NEAR = 128, 16, 0.72
 #: Leaders of a group in the first round, and at most in a later one (each has eight times as many as the one before).
-LEADERS, MOST_LEADERS = 2, 512
+LEADERS, MOST_LEADERS = 1, 512
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
 _DIGIT = np.zeros(256, bool)
@@ -106,10 +106,10 @@ def _alike(left: pa.Array, right: pa.Array) -> pa.Array:
 
 
 def led(members: DataFrame, alike: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """Links (a, b) among members (node, group): in each group every node is a leader or linked to one.
+    """Links (a, b) among members (node, group): every node is linked, or was a leader or compared with all leaders in each of its groups.
 
-    alike takes pairs (a, b) and returns those that are alike. A round takes the first nodes of each group as leaders; nodes that are like none of
-    them stay for the next one, with eight times as many leaders, so most groups end after one or two rounds and many unlike nodes cost
+    alike takes pairs (a, b) and returns those that are alike. A round takes the first nodes of each group as leaders; nodes that are like no leader of
+    any group stay for the next one, with eight times as many leaders, so most groups end after one or two rounds and many unlike nodes cost
     few rounds. The first nodes are found before the shuffle, so a group of any size is dealt out.
     """
     links, many, left = None, LEADERS, members
@@ -121,9 +121,8 @@ def led(members: DataFrame, alike: Callable[[DataFrame], DataFrame], scratch: Sc
         met = scratch.keep(left.join(bounded(leaders), "group").where(F.col("node") > F.col("b")).select("group", F.col("node").alias("a"), "b"))
         found = scratch.keep(alike(met.select("a", "b").distinct()))
         links = found if links is None else links.union(found)
-        # a node that met leaders and is like none of them goes on, unless it is one
-        done = met.join(found, ["a", "b"]).select("group", F.col("a").alias("node")).union(leaders.select("group", F.col("b").alias("node"))).distinct()
-        left = scratch.keep(met.select("group", F.col("a").alias("node")).distinct().join(done, ["group", "node"], "left_anti"))
+        rest = met.select("group", F.col("a").alias("node")).distinct().join(leaders.withColumnRenamed("b", "node"), ["group", "node"], "left_anti")
+        left = scratch.keep(rest.join(found.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
         if left.isEmpty():
             return links
         many = min(8 * many, MOST_LEADERS)
