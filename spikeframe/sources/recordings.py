@@ -1,25 +1,14 @@
 """Recordings as tables: channel signals, sorted spikes, events, tracking of other sources, curation results, and exports for modelling.
 
-Binary files are one row each of Spark's binaryFile source and are decoded where they are read, a row per record.
+Binary files are read by ranges of records (sources/records.py), a row per record.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Layout of the acquisition system's files.
-HEADER_BYTES, RECORD_SAMPLES, RECORD_MARK = 1024, 1024, 10
-RECORD = np.dtype([("timestamp", "<i8"), ("n", "<u2"), ("recording", "<u2"), ("data", ">i2", RECORD_SAMPLES), ("mark", "u1", RECORD_MARK)])
-EVENT = np.dtype([("timestamp", "<i8"), ("sample", "<i2"), ("kind", "u1"), ("node", "u1"), ("event", "u1"), ("channel", "u1"), ("recording", "<u2")])
-# Entry types of matrix files by their code.
-MATRIX_TYPES = {-2: "u1", -3: "<f4", -4: "<i2", -5: "<i4", -6: "<u2", -7: "<f8", -8: "<u4"}
-
+from .records import RECORD_SAMPLES, RecordSource
 
 def _first_line(lines: DataFrame) -> DataFrame:
     """(file, first line) of text lines with their file."""
@@ -34,33 +23,21 @@ def tracking_files(spark: SparkSession, folder: str) -> DataFrame:
     return _first_line(lines).where(F.instr(stamp, "T") == 11).select("file")
 
 
-def _binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "content")
+def _records(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    spark.dataSource.register(RecordSource)
+    return spark.read.format(RecordSource.name()).options(kind=kind, path=path, **options).load()
 
 
-def read_continuous(spark: SparkSession, path: str) -> DataFrame:
+def read_continuous(spark: SparkSession, path: str, channels: list[int] | None = None, **options) -> DataFrame:
     """(file, channel, block_no, timestamp, recording, data array of microvolts) of channel files; channel: the number after CH in the name, or null.
 
-    A file that isn't a header and whole records of 1024 samples raises an error.
+    With channels, only their files are read. A file that isn't a header and whole records of 1024 samples raises an error.
     """
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, raw in zip(batch["file"], batch["content"], strict=True):
-                body = len(raw) - HEADER_BYTES
-                if body < 0 or body % RECORD.itemsize:
-                    raise ValueError(f"{file}: not a header and whole records")
-                scale = re.search(r"bitVolts\s*=\s*([0-9.eE+-]+)", raw[:HEADER_BYTES].decode("latin-1"))
-                rows = np.frombuffer(raw, RECORD, offset=HEADER_BYTES)
-                if (rows["n"] != RECORD_SAMPLES).any():
-                    raise ValueError(f"{file}: a record of another size")
-                channel = re.search(r"CH(\d+)", file.rsplit("/", 1)[-1])
-                for a in range(0, len(rows), 256):
-                    part = rows[a : a + 256]
-                    data = part["data"].astype(float) * (float(scale[1]) if scale else 1.0)
-                    yield pd.DataFrame({"file": file, "channel": int(channel[1]) if channel else None, "block_no": np.arange(a, a + len(part)), "timestamp": part["timestamp"], "recording": part["recording"].astype(int), "data": list(data)})
-
-    return _binary(spark, path, "*.continuous").mapInPandas(decode, "file string, channel int, block_no long, timestamp long, recording int, data array<double>")
+    if channels is not None:
+        if not channels:
+            return _records(spark, path, "continuous", **options).where("false")
+        options["channels"] = ",".join(map(str, channels))
+    return _records(spark, path, "continuous", **options)
 
 
 def samples(blocks: DataFrame) -> DataFrame:
@@ -68,24 +45,9 @@ def samples(blocks: DataFrame) -> DataFrame:
     return blocks.select("file", "channel", "block_no", F.posexplode("data").alias("pos", "value")).select("file", "channel", (F.col("block_no") * RECORD_SAMPLES + F.col("pos")).alias("t"), "value")
 
 
-def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+def read_matrices(spark: SparkSession, path: str, **options) -> DataFrame:
     """(file, col, values array): the columns of matrix files (a code, the size of an entry, the dimensions, entries column by column)."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, raw in zip(batch["file"], batch["content"], strict=True):
-                code, _, dims = np.frombuffer(raw, "<i4", 3)
-                wide = dims < 0  # a negative number of dimensions: they are 64 bits long
-                count = abs(int(dims))
-                if int(code) not in MATRIX_TYPES or not 2 <= count <= 6:
-                    raise ValueError(f"{file}: not a matrix file")
-                size = np.frombuffer(raw, "<i8" if wide else "<i4", count, 12)
-                values = np.frombuffer(raw, MATRIX_TYPES[int(code)], int(np.prod(size)), 12 + count * (8 if wide else 4))
-                columns = values.reshape(-1, int(size[0])).astype(float)
-                for a in range(0, len(columns), 10_000):
-                    yield pd.DataFrame({"file": file, "col": np.arange(a, min(a + 10_000, len(columns))), "values": list(columns[a : a + 10_000])})
-
-    return _binary(spark, path, "*.mda").mapInPandas(decode, "file string, col long, values array<double>")
+    return _records(spark, path, "matrices", **options)
 
 
 def sorted_spikes(matrices: DataFrame) -> DataFrame:
@@ -99,17 +61,9 @@ def cluster_frame(spikes: DataFrame, keys) -> DataFrame:
     return spikes.groupBy(*keys, "cluster_id").agg(F.sort_array(F.collect_list("t_sample")).alias("firing_times"), F.min_by("primary_channel", "spike_idx").alias("primary_channel"))
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, **options) -> DataFrame:
     """(file, event_no, timestamp, sample, kind, node, event, channel, recording) of event files; every whole record, the last one too."""
-    numbers = ["sample", "kind", "node", "event", "channel", "recording"]
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, raw in zip(batch["file"], batch["content"], strict=True):
-                rows = np.frombuffer(raw, EVENT, max(0, len(raw) - HEADER_BYTES) // EVENT.itemsize, HEADER_BYTES) if len(raw) > HEADER_BYTES else np.zeros(0, EVENT)
-                yield pd.DataFrame({"file": file, "event_no": np.arange(len(rows)), "timestamp": rows["timestamp"], **{n: rows[n].astype(int) for n in numbers}})
-
-    return _binary(spark, path, "*.events").mapInPandas(decode, "file string, event_no long, timestamp long, " + ", ".join(f"{n} int" for n in numbers))
+    return _records(spark, path, "events", **options)
 
 
 def live_channels(spark: SparkSession, path: str, channels: int = 16, per_tetrode: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spikeframe.sources import files, recordings
+from spikeframe.sources import files, recordings, records
 from spikeframe.streaming import rates
 
 
@@ -30,7 +30,7 @@ def test_session_metadata_and_quality(spark, tmp_path):
 
 
 def continuous(path, data, n=1024):
-    rows = np.zeros(len(data), recordings.RECORD)
+    rows = np.zeros(len(data), records.RECORD)
     rows["timestamp"], rows["n"], rows["recording"], rows["data"] = np.arange(len(data)) * 1024 + 500, n, 2, data
     path.write_bytes(b"header.bitVolts = 0.5;\n".ljust(1024) + rows.tobytes())
 
@@ -56,8 +56,55 @@ def test_matrices_and_clusters(spark, tmp_path):
     assert len(got) == 6 and {(r.cluster_id, tuple(r.firing_times), r.primary_channel) for r in got} == {(1, (20, 40), 3), (2, (10, 30), 5)}
 
 
+def test_files_are_read_by_ranges_of_records(spark, tmp_path):
+    """Many ranges give the rows of one, a task holds one chunk at a time, and only the wanted channels' files are opened."""
+    data = np.arange(40 * 1024).reshape(40, 1024) % 30000
+    for c in (1, 2, 11):
+        continuous(tmp_path / f"100_CH{c}.continuous", data + c)
+    whole = recordings.read_continuous(spark, str(tmp_path))
+    parts = recordings.read_continuous(spark, f"file:{tmp_path}", rangeBytes=3 * 2070)
+    assert whole.rdd.getNumPartitions() == 3 and parts.rdd.getNumPartitions() == 3 * 14
+    rows = lambda df: sorted((r.channel, r.block_no, r.timestamp, r.data[0], r.data[-1]) for r in df.collect())
+    assert rows(whole) == rows(parts) and len(rows(parts)) == 120
+    (tmp_path / "100_CH2.continuous").write_bytes(b"cut")
+    one = recordings.read_continuous(spark, str(tmp_path), channels=[11])
+    assert one.rdd.getNumPartitions() == 1 and [r.channel for r in one.select("channel").distinct().collect()] == [11]
+    assert recordings.read_continuous(spark, str(tmp_path), channels=[]).count() == 0
+    with pytest.raises(Exception, match="whole records"):
+        recordings.read_continuous(spark, str(tmp_path)).count()
+
+
+def test_matrices_of_several_dimensions_are_read_by_ranges(spark, tmp_path):
+    m = np.arange(2 * 3 * 50, dtype="<i2").reshape(2, 3, 50, order="F")
+    (tmp_path / "a.mda").write_bytes(np.array([-4, 2, 3, 2, 3, 50], "<i4").tobytes() + m.tobytes(order="F"))
+    (tmp_path / "b.mda").write_bytes(np.array([-4, 2, -2], "<i4").tobytes() + np.array([2, 150], "<i8").tobytes() + m.tobytes(order="F"))
+    df = recordings.read_matrices(spark, str(tmp_path), rangeBytes=64)
+    assert df.rdd.getNumPartitions() == 20
+    for name in ("a", "b"):
+        got = [tuple(r["values"]) for r in df.where(F.col("file").endswith(f"{name}.mda")).orderBy("col").collect()]
+        assert got == [tuple(map(float, c)) for c in m.reshape(2, 150, order="F").T]
+    (tmp_path / "c.mda").write_bytes(np.array([-4, 2, 2, 2, 99], "<i4").tobytes())
+    with pytest.raises(Exception, match="shorter"):
+        recordings.read_matrices(spark, str(tmp_path)).count()
+
+
+def test_a_file_of_three_gigabytes_is_read_by_many_tasks(spark, tmp_path):
+    """A sparse file: its records exist as zeros, so a record of size 0 is refused, and the ranges lie beyond 2 GB."""
+    columns = 50_000_000
+    with open(tmp_path / "big.mda", "wb") as f:
+        f.write(np.array([-7, 8, 2, 8, columns], "<i4").tobytes())
+        f.truncate(20 + columns * 64)
+        f.seek(20 + (columns - 1) * 64)
+        f.write(np.arange(8, dtype="<f8").tobytes())
+    reader = records.Reader({"path": str(tmp_path), "kind": "matrices"})
+    ranges = reader.partitions()
+    assert len(ranges) == 48 and ranges[-1].last == columns
+    last = list(reader.read(records.Range(ranges[-1].file, columns - 3, columns, ranges[-1].layout)))
+    assert last[0].column("values").to_pylist()[2] == [float(i) for i in range(8)] and last[0].column("col").to_pylist() == [columns - 3, columns - 2, columns - 1]
+
+
 def test_events_keep_the_last_record(spark, tmp_path):
-    rows = np.zeros(4, recordings.EVENT)
+    rows = np.zeros(4, records.EVENT)
     rows["timestamp"], rows["channel"], rows["event"] = [5, 6, 7, 8], 3, [1, 0, 1, 0]
     (tmp_path / "all.events").write_bytes(b" " * 1024 + rows.tobytes())
     (tmp_path / "none.events").write_bytes(b" " * 1024)
