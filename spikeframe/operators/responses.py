@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def best_lag(a: DataFrame, b: DataFrame, keys, index: str, most: int) -> DataFrame:
     """Lag of b behind a (at most most samples either way) with the most coinciding on-samples, the smallest lag on ties.
@@ -18,25 +20,50 @@ def best_lag(a: DataFrame, b: DataFrame, keys, index: str, most: int) -> DataFra
     return counts.groupBy(*keys).agg(F.min_by("lag", F.struct(-F.col("n"), F.col("lag"))).alias("lag"), F.max("n").alias("n"))
 
 
-def sequential_jumps(df: DataFrame, keys, order: list[str], x: str, y: str, t: str, most: float) -> DataFrame:
-    """accepted: false where the speed from the last accepted sample is above most. The state passes from row to row, so a session is one group."""
-    import numpy as np
+def sequential_jumps(df: DataFrame, keys, order: str, x: str, y: str, t: str, most: float, chunk: int = 50_000) -> DataFrame:
+    """accepted: false where the speed from the last accepted sample is above most, or a coordinate is missing.
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        xs, ys, ts = (pdf[c].to_numpy(float) for c in (x, y, t))
-        ok, last = np.zeros(len(pdf), bool), None
-        for i in range(len(pdf)):
-            if np.isnan(xs[i]) or np.isnan(ys[i]):
-                continue
-            far = last is not None and np.hypot(xs[i] - xs[last], ys[i] - ys[last]) > most * (ts[i] - ts[last])
-            if not far:
-                ok[i], last = True, i
-        return pdf.assign(accepted=ok)
-
-    from pyspark.sql.types import BooleanType, StructField, StructType
-
-    return df.groupBy(*keys).applyInPandas(run, StructType([*df.schema, StructField("accepted", BooleanType())]))
+    order: a numeric column, unique in a session. The last accepted sample passes from row to row, but samples soon agree whichever it was, so chunks of the order run
+    by themselves: first as if the last sample before them had been accepted, then those again for which another one was, until all seams
+    agree. Each round puts right the first seam that is wrong at least. A chunk is one group; nothing larger is.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kept = cut(df.withColumn("__c", F.floor(F.col(order) / chunk)))
+    numbers = kept.select(*keys, "__c", F.col(order).alias("__o"), *(F.col(c).cast("double").alias(n) for c, n in ((x, "__x"), (y, "__y"), (t, "__t"))))
+    far = Window.partitionBy(*keys).orderBy("__c")
+    place = "struct<__x:double,__y:double,__t:double>"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__o")
+        xs, ys, ts = (pdf[c].to_numpy(float) for c in ("__x", "__y", "__t"))
+        entry = pdf["__entry"].iloc[0]
+        last = (entry["__x"], entry["__y"], entry["__t"]) if entry else None
+        ok = np.zeros(len(pdf), bool)
+        for i in np.flatnonzero(~(np.isnan(xs) | np.isnan(ys) | np.isnan(ts))).tolist():
+            if last is None or np.hypot(xs[i] - last[0], ys[i] - last[1]) <= most * (ts[i] - last[2]):
+                ok[i], last = True, (float(xs[i]), float(ys[i]), float(ts[i]))
+        out = pdf.drop(columns=["__x", "__y", "__t", "__entry"]).assign(accepted=ok)
+        out["__exit"] = [dict(zip(("__x", "__y", "__t"), last, strict=True)) if last else None] * len(out)
+        return out
+
+    def ran(entries: DataFrame) -> DataFrame:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbers.select(*keys, "__c", "__o").schema)
+        return cut(numbers.join(entries, [*keys, "__c"]).groupBy(*keys, "__c").applyInPandas(run, f"{kinds}, accepted boolean, __exit {place}"))
+
+    whole = numbers.where("__x is not null and __y is not null and __t is not null")
+    tails = numbers.select(*keys, "__c").distinct().join(whole.groupBy(*keys, "__c").agg(F.max_by(F.struct("__x", "__y", "__t"), "__o").alias("__tail")), [*keys, "__c"], "left")
+    entries = cut(tails.withColumn("__entry", F.last("__tail", ignorenulls=True).over(far.rowsBetween(Window.unboundedPreceding, -1))).drop("__tail"))
+    done = ran(entries)
+    while True:
+        exits = done.groupBy(*keys, "__c").agg(F.first("__exit").alias("__exit")).withColumn("__next", F.lag("__exit").over(far))
+        wrong = cut(entries.join(exits, [*keys, "__c"]).where(~F.col("__entry").eqNullSafe(F.col("__next"))).select(*keys, "__c", F.col("__next").alias("__entry")))
+        if wrong.isEmpty():
+            break
+        done = cut(done.join(wrong.select(*keys, "__c"), [*keys, "__c"], "left_anti").unionByName(ran(wrong)))
+        entries = cut(entries.join(wrong.select(*keys, "__c"), [*keys, "__c"], "left_anti").unionByName(wrong))
+    return kept.join(done.select(*keys, F.col("__o").alias(order), "accepted"), [*keys, order]).drop("__c")
 
 
 def latency_test(spikes: DataFrame, pulses: DataFrame, session_keys, cell_keys, bin_size: int, windows: int) -> DataFrame:

@@ -92,25 +92,41 @@ def run_starts(df: DataFrame, keys, order, condition: Column) -> DataFrame:
     return df.where("__on AND NOT __before").drop("__on", "__before")
 
 
-def repaired_direction(df: DataFrame, keys, order: list[str], angle: str, t: str, most: float, rounds: int = 20) -> DataFrame:
-    """Turns angles by 180 degrees where they change faster than most degrees a second, until none does or for rounds passes.
+def repaired_direction(df: DataFrame, keys, order: str, angle: str, t: str, most: float, chunk: int = 100_000) -> DataFrame:
+    """Turns angles by 180 degrees where they change faster than most degrees a second from the angle before (nulls are passed over) and the turn makes the change smaller.
 
-    The state goes from sample to sample, so that a session is one group.
+    order: a numeric column with at most some rows for each of its whole values. An angle is turned or not, so a row is a map from the state of the row before it
+    to its own: fixed, the same, or the opposite. Maps are composed by a running count of opposites and the last fixed one, in chunks of
+    the order first and then over the chunks, so no session is one group. A second pass would turn nothing: a row keeps the better of both
+    angles, and the row before it stays as it is.
     """
-    import numpy as np
-
-    def repair(pdf):
-        pdf = pdf.sort_values(order)
-        a, when = pdf[angle].to_numpy(float).copy(), pdf[t].to_numpy(float)
-        for _ in range(rounds):
-            turned = False
-            for i in range(1, len(a)):
-                change = (a[i] - a[i - 1] + 180) % 360 - 180
-                if when[i] > when[i - 1] and abs(change) / (when[i] - when[i - 1]) > most and abs((change + 360) % 360 - 180) < abs(change):
-                    a[i] = (a[i] + 360) % 360 - 180
-                    turned = True
-            if not turned:
-                break
-        return pdf.assign(**{angle: np.where(np.isnan(a), None, a)})
-
-    return df.groupBy(*keys).applyInPandas(repair, df.schema)
+    near, far = Window.partitionBy(*keys, "__c").orderBy(order), Window.partitionBy(*keys).orderBy("__c")
+    df = df.withColumn("__c", F.floor(F.col(order) / chunk))
+    some = df.where(F.col(angle).isNotNull()).select(*keys, "__c", order, F.struct(F.col(angle).cast("double").alias("a"), F.col(t).cast("double").alias("t")).alias("__now"))
+    # the last angle of the chunks before
+    tails = some.groupBy(*keys, "__c").agg(F.max_by("__now", order).alias("__tail"))
+    tails = tails.withColumn("__tail", F.lag("__tail").over(far))
+    some = some.withColumn("__old", F.lag("__now").over(near)).join(tails, [*keys, "__c"])
+    old = F.coalesce("__old", "__tail")
+    fold = lambda x: F.pmod(x + 180.0, F.lit(360.0)) - 180.0
+
+    def turned(before: int) -> Column:
+        change = fold(F.col("__now.a") - old["a"] - 180.0 * before)
+        time = F.col("__now.t") - old["t"]
+        return F.coalesce((time > 0) & (F.abs(change) / time > most) & (F.abs(fold(change + 180.0)) < F.abs(change)), F.lit(False)).cast("int")
+
+    some = some.withColumns({"__0": turned(0), "__1": turned(1)})
+    some = some.withColumns({"__flip": F.sum(F.when(F.col("__0") > F.col("__1"), 1).otherwise(0)).over(near), "__set": F.when(F.col("__0") == F.col("__1"), F.col("__0"))})
+    fixed = F.last(F.when(F.col("__set").isNotNull(), F.struct(F.col("__set").alias("s"), F.col("__flip").alias("f"))), ignorenulls=True).over(near)
+    some = some.withColumn("__fixed", fixed)
+    # the map from the state before the chunk: fixed to value, or value added to it
+    some = some.withColumns({"__is": F.col("__fixed").isNotNull(), "__value": F.when(F.col("__fixed").isNotNull(), (F.col("__fixed.s") + F.col("__flip") - F.col("__fixed.f")) % 2).otherwise(F.col("__flip") % 2)})
+    whole = some.groupBy(*keys, "__c").agg(F.max_by(F.struct("__is", "__value"), order).alias("__m"))
+    whole = whole.withColumn("__odd", F.sum(F.when(~F.col("__m.__is"), F.col("__m.__value")).otherwise(0)).over(far))
+    start = F.last(F.when(F.col("__m.__is"), F.struct(F.col("__m.__value").alias("v"), F.col("__odd").alias("o"))), ignorenulls=True).over(far)
+    after = F.coalesce((start["v"] + F.col("__odd") - start["o"]) % 2, F.col("__odd") % 2)
+    whole = whole.withColumn("__after", after).select(*keys, "__c", F.coalesce(F.lag("__after").over(far), F.lit(0)).alias("__entry"))
+    state = F.when(F.col("__is"), F.col("__value")).otherwise((F.col("__value") + F.col("__entry")) % 2)
+    found = some.join(whole, [*keys, "__c"]).select(*keys, order, state.alias("__state"))
+    turn = F.when(F.coalesce(F.col("__state"), F.lit(0)) == 1, fold(F.col(angle) + 180.0)).otherwise(F.col(angle))
+    return df.join(found, [*keys, order], "left").withColumn(angle, turn).drop("__c", "__state")

@@ -192,10 +192,15 @@ def w4_circular_interpolation(spark, d):
     return T.interpolate_circular(p, SESSION, ORDER, "hd", "pos_idx").select("session_id", "pos_idx", F.round("hd", 5).alias("hd"))
 
 
-@query()
+FOLD = "(CASE WHEN ({0} + 180) % 360 < 0 THEN (({0} + 180) % 360 + 360) % 360 ELSE ({0} + 180) % 360 END - 180)"
+CHANGE = FOLD.format("(v.a - p.a - 180.0::DOUBLE * p.s)")
+TURN = f"CASE WHEN abs({CHANGE}) / (v.t - p.t) > 3600 AND abs({FOLD.format(f'({CHANGE} + 180)')}) < abs({CHANGE}) THEN 1 ELSE 0 END"
+
+
+@query(f"+ r AS (SELECT session_id, list(pos_idx ORDER BY pos_idx) AS i, list(hd ORDER BY pos_idx) AS h, list_reduce(list(struct_pack(a := hd, t := synced_time, s := 0, l := [0]) ORDER BY pos_idx), lambda p, v: struct_pack(a := v.a, t := v.t, s := {TURN}, l := list_append(p.l, {TURN}))) AS r FROM position GROUP BY 1), o AS (SELECT session_id, unnest(i) AS pos_idx, unnest(h) AS hd, unnest(r.l) AS s FROM r) SELECT session_id, pos_idx, pos_idx / 30.0::DOUBLE AS synced_time, round(CASE WHEN s = 1 THEN {FOLD.format('(hd + 180)')} ELSE hd END, 6) AS hd FROM o")
 def w5_direction_repair(spark, d):
     p = view(spark, d, "position").select("session_id", "pos_idx", "synced_time", "hd")
-    return T.repaired_direction(p, SESSION, ORDER, "hd", "synced_time", 3600.0)
+    return T.repaired_direction(p, SESSION, "pos_idx", "hd", "synced_time", 3600.0).select("session_id", "pos_idx", "synced_time", *r6("hd"))
 
 
 @query("+ e AS (SELECT session_id, max(synced_time) AS t_end FROM position GROUP BY 1), g AS (SELECT session_id, step, step / 12.0::DOUBLE AS t FROM (SELECT session_id, t_end, unnest(range(0, CAST(ceil(t_end * 12) AS BIGINT) + 1)) AS step FROM e) x WHERE step / 12.0::DOUBLE < t_end), a AS (SELECT g.*, p.synced_time AS ta, p.x_px AS va FROM g ASOF JOIN position p ON g.session_id = p.session_id AND g.t >= p.synced_time), b AS (SELECT a.*, p.synced_time AS tb, p.x_px AS vb FROM a ASOF JOIN position p ON a.session_id = p.session_id AND a.t <= p.synced_time) SELECT session_id, step, round(va + (vb - va) * CASE WHEN tb = ta THEN 0 ELSE (t - ta) / (tb - ta) END, 5) AS x_px FROM b")

@@ -63,10 +63,10 @@ def c29_best_rotation(spark, d):
     return R.best_rotation(h, SESSION, "cluster_id", "bin", 36, "n").select("session_id", "a", "b", "turn", F.round("r", 4).alias("r"))
 
 
-@query()
+@query("+ r AS (SELECT session_id, list(pos_idx ORDER BY pos_idx) AS i, list_reduce(list(struct_pack(x := x_px::DOUBLE, y := y_px::DOUBLE, t := synced_time, l := [true]) ORDER BY pos_idx), lambda p, v: CASE WHEN sqrt((v.x - p.x) * (v.x - p.x) + (v.y - p.y) * (v.y - p.y)) <= 4400 * (v.t - p.t) THEN struct_pack(x := v.x, y := v.y, t := v.t, l := list_append(p.l, true)) ELSE struct_pack(x := p.x, y := p.y, t := p.t, l := list_append(p.l, false)) END) AS r FROM position GROUP BY 1) SELECT session_id, unnest(i) AS pos_idx, unnest(r.l) AS accepted FROM r")
 def f4_sequential_jumps(spark, d):
     p = view(spark, d, "position").select("session_id", "pos_idx", "synced_time", "x_px", "y_px")
-    return R.sequential_jumps(p, SESSION, ORDER, "x_px", "y_px", "synced_time", 4400.0).select("session_id", "pos_idx", "accepted")
+    return R.sequential_jumps(p, SESSION, "pos_idx", "x_px", "y_px", "synced_time", 4400.0).select("session_id", "pos_idx", "accepted")
 
 
 @query("+ c AS (SELECT a.session_id, b.pos_idx - a.pos_idx AS lag, count(*) AS n FROM position a JOIN position b ON a.session_id = b.session_id AND abs(b.pos_idx - a.pos_idx) <= 60 WHERE a.sync_led > 7.5 AND b.x_px > 380 GROUP BY 1, 2) SELECT session_id, min_by(lag, struct_pack(a := -n, b := lag)) AS lag, max(n) AS n FROM c GROUP BY 1")

@@ -40,7 +40,7 @@ def test_hexagon_has_a_high_grid_score(spark):
 
 def test_sequential_jumps(spark):
     df = spark.createDataFrame([(1, i, x, 0.0, float(i)) for i, x in enumerate([0.0, 1.0, 50.0, 51.0, 2.0, None])], "k int, i int, x double, y double, t double")
-    assert [r.accepted for r in R.sequential_jumps(df, ["k"], ["i"], "x", "y", "t", 5.0).orderBy("i").collect()] == [True, True, False, False, True, False]
+    assert [r.accepted for r in R.sequential_jumps(df, ["k"], "i", "x", "y", "t", 5.0).orderBy("i").collect()] == [True, True, False, False, True, False]
 
 
 def test_lag(spark):
@@ -56,7 +56,7 @@ def test_circular_gap_takes_the_short_way(spark):
 
 def test_direction_flip_is_turned_back(spark):
     df = spark.createDataFrame([(1, i, v, float(i)) for i, v in enumerate([10.0, 12.0, -166.0, 16.0])], "k int, i int, hd double, t double")
-    assert [r.hd for r in T.repaired_direction(df, ["k"], ["i"], "hd", "t", 90.0).orderBy("i").collect()] == [10.0, 12.0, 14.0, 16.0]
+    assert [r.hd for r in T.repaired_direction(df, ["k"], "i", "hd", "t", 90.0).orderBy("i").collect()] == [10.0, 12.0, 14.0, 16.0]
 
 
 def test_square_arena(spark):
