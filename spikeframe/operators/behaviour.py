@@ -148,3 +148,58 @@ def gaussian_smooth(series: DataFrame, keys, index: str, value: str, sd: float)
     weight = F.exp(-F.pow(F.col(index) - F.col("__i"), F.lit(2)) / (2 * sd * sd))
     smooth = spread.groupBy(*keys, index).agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("smooth"))
     return series.join(smooth, [*keys, index], "left")
+
+
+def kernel_weights(sd: float):
+    """Gaussian weights over +-4 sd that sum to 1."""
+    import numpy as np
+
+    reach = int(4 * sd + 0.5)
+    w = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sd * sd))
+    return w / w.sum()
+
+
+def smoothed(df: DataFrame, keys, index: str, value: str, sd: float, edges: str = "reflect", out: str = "smooth", chunk: int = 100_000) -> DataFrame:
+    """Gaussian-weighted mean over +-4 sd of a series whose index goes from 0 without repeats; nulls and missing rows are left out.
+
+    edges: 'reflect' continues the series by its mirror image at both ends, 'zero' by zeros. The series is cut into chunks of the index; rows near
+    an end of a chunk, or of the series, are sent to the chunk beside it too, so a series of any length is many groups.
+    """
+    import numpy as np
+    import pandas as pd
+
+    w = kernel_weights(sd)
+    reach = len(w) // 2
+    size = df.groupBy(*keys).agg((F.max(index) + 1).cast("long").alias("__n"))
+    rows = df.select(*keys, F.col(index).cast("long").alias("__i"), F.col(value).cast("double").alias("__v")).join(size, list(keys))
+    i, n = F.col("__i"), F.col("__n")
+    places = F.array(i)
+    if edges == "reflect":
+        turns = F.sequence(-F.ceil(F.lit(reach) / (2 * n)) - 1, F.ceil(F.lit(reach) / (2 * n)) + 1)
+        images = F.concat(F.transform(turns, lambda k: i + 2 * n * k), F.transform(turns, lambda k: 2 * n * k - 1 - i))
+        places = F.when((i >= reach) & (i < n - reach), places).otherwise(F.filter(images, lambda at: (at >= -reach) & (at < n + reach)))
+    rows = rows.withColumn("__at", F.explode(places))
+    last = F.floor((n - 1) / chunk)
+    first_c, last_c = F.greatest(F.lit(0).cast("long"), F.floor((F.col("__at") - reach) / chunk)), F.least(last, F.floor((F.col("__at") + reach) / chunk))
+    rows = rows.withColumn("__c", F.explode(F.when(first_c <= last_c, F.sequence(first_c, last_c)).otherwise(F.array().cast("array<bigint>"))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, total = int(pdf["__c"].iloc[0]), int(pdf["__n"].iloc[0])
+        low, high = c * chunk, min((c + 1) * chunk, total)
+        values = np.full(high - low + 2 * reach, np.nan)
+        at = pdf["__at"].to_numpy() - low + reach
+        values[at] = pdf["__v"].to_numpy(float)
+        if edges == "zero":
+            values[: max(0, reach - low)] = 0.0
+            values[len(values) - max(0, high + reach - total) :] = 0.0
+        known = ~np.isnan(values)
+        sums, share = np.convolve(np.where(known, values, 0.0), w, "valid"), np.convolve(known.astype(float), w, "valid")
+        own = pdf[(pdf["__at"] == pdf["__i"]) & (pdf["__i"] >= low) & (pdf["__i"] < high)]
+        where = own["__i"].to_numpy() - low
+        with np.errstate(invalid="ignore", divide="ignore"):
+            result = np.where(share[where] > 1e-12, sums[where] / share[where], np.nan)
+        return own[[*keys, "__i"]].assign(**{out: result})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    found = rows.groupBy(*keys, "__c").applyInPandas(run, f"{kinds}, __i long, {out} double").withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+    return df.join(found.withColumnRenamed("__i", index), [*keys, index], "left")

@@ -38,8 +38,11 @@ def occupancy(df: DataFrame, keys, bin_px: float, radius: float, least: int, x="
     return n.withColumn("occupancy", F.when(F.col("n") >= least, F.col("n"))).drop("n")
 
 
-def _kernel_sums(df: DataFrame, keys, bin_px: float, smooth: float, x: str, y: str, name: str) -> DataFrame:
-    """(keys, bin_x, bin_y, name): sums of the kernel over a group's samples, for bins from 0 on."""
+def _kernel_sums(df: DataFrame, keys, bin_px: float, smooth: float, x: str, y: str, name: str, gather: bool = False) -> DataFrame:
+    """(keys, bin_x, bin_y, name): sums of the kernel over a group's samples, for bins from 0 on.
+
+    gather: for many groups of few samples; a group's samples are brought together first, so each gives few partial maps.
+    """
     import numpy as np
     import pandas as pd
 
@@ -55,7 +58,7 @@ def _kernel_sums(df: DataFrame, keys, bin_px: float, smooth: float, x: str, y: s
         for batch in batches:
             for _, g in batch.groupby(list(keys), dropna=False, sort=False):
                 (bx, gx), (by, gy) = factors(g["px"].to_numpy()), factors(g["py"].to_numpy())
-                sums = gx.T @ gy
+                sums = (gx * g["__c"].to_numpy()[:, None]).T @ gy
                 out = pd.DataFrame({"bin_x": np.repeat(bx, len(by)), "bin_y": np.tile(by, len(bx)), name: sums.ravel()})
                 out = out[out[name] > 0]
                 for k in reversed(list(keys)):
@@ -63,18 +66,22 @@ def _kernel_sums(df: DataFrame, keys, bin_px: float, smooth: float, x: str, y: s
                 yield out
 
     places = df.select(*keys, F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where("px is not null and py is not null")
+    if gather:  # the samples of a place and group count once
+        places = places.groupBy(*keys, "px", "py").agg(F.count("*").alias("__c")).repartition(*keys).sortWithinPartitions(*keys)
+    else:
+        places = places.withColumn("__c", F.lit(1).cast("long"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.select(*keys).schema)
     parts = places.mapInPandas(partial, f"{kinds}, bin_x long, bin_y long, {name} double")
     return parts.groupBy(*keys, "bin_x", "bin_y").agg(F.sum(name).alias(name))
 
 
-def rate_map(spikes: DataFrame, position: DataFrame, cell_keys, session_keys, bin_px: float, smooth: float, dt: float, least: int, x="x_px", y="y_px") -> DataFrame:
+def rate_map(spikes: DataFrame, position: DataFrame, cell_keys, session_keys, bin_px: float, smooth: float, dt: float, least: int, x="x_px", y="y_px", gather: bool = False) -> DataFrame:
     """Gaussian-kernel firing rates per bin, 0 where fewer than least positions lie within smooth of the bin.
 
     The kernel reaches 6 * smooth and is a product of one factor by column and one by row, so each batch of samples
     gives its own partial map as a product of two matrices, and partial maps are summed. Samples without a place are left out.
     """
-    top = _kernel_sums(spikes, cell_keys, bin_px, smooth, x, y, "__s")
+    top = _kernel_sums(spikes, cell_keys, bin_px, smooth, x, y, "__s", gather)
     base = _kernel_sums(position, session_keys, bin_px, smooth, x, y, "__p")
     seen = occupancy(position, session_keys, bin_px, smooth, least, x, y)
     out = top.join(base, [*session_keys, "bin_x", "bin_y"]).join(seen, [*session_keys, "bin_x", "bin_y"], "left")
@@ -92,10 +99,53 @@ def spatial_information(rates: DataFrame, occupied: DataFrame, cell_keys, sessio
     return df.join(mean, cell_keys).groupBy(*cell_keys).agg(F.try_divide(F.sum(term), F.first("mean")).alias("information"))
 
 
+def _direct(u, seen, dx: int, dy: int) -> tuple[float, float, float, float, float]:
+    """(mean, mean, variance, variance, covariance) of one shift, from its values."""
+    wide, high = u.shape
+    here = slice(max(0, dx), wide + min(0, dx)), slice(max(0, dy), high + min(0, dy))
+    there = slice(max(0, -dx), wide - max(0, dx)), slice(max(0, -dy), high - max(0, dy))
+    both = seen[here] & seen[there]
+    v, w = u[here][both], u[there][both]
+    v0, w0 = v.mean(), w.mean()
+    return v0, w0, ((v - v0) ** 2).mean(), ((w - w0) ** 2).mean(), ((v - v0) * (w - w0)).mean()
+
+
+def correlate_shifts(u, seen, least: int):
+    """(dx, dy, n, r) of a map u with itself for all shifts at which bins of seen meet: counts, sums, squares and products come from six products of spectra.
+
+    Where a variance is so small that the products lose its digits, the shift is computed from its values.
+    """
+    import numpy as np
+
+    wide, high = u.shape
+    centred = np.where(seen, u - u[seen].mean(), 0.0)
+    scale = max(float(np.abs(centred).max()), 1e-300)
+    shape = (2 * wide - 1, 2 * high - 1)
+    m, f, g = (np.fft.rfft2(a, shape) for a in (seen.astype(float), centred / scale, (centred / scale) ** 2))
+    back = lambda a, b: np.fft.irfft2(a * np.conj(b), shape)
+    n = np.rint(back(m, m)).astype(np.int64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        v0, w0 = back(f, m) / n, back(m, f) / n
+        vv, ww, vw = back(g, m) / n - v0**2, back(m, g) / n - w0**2, back(f, f) / n - v0 * w0
+    dx, dy = (a.ravel() for a in np.meshgrid(np.fft.ifftshift(np.arange(1 - wide, wide)), np.fft.ifftshift(np.arange(1 - high, high)), indexing="ij"))
+    n, vv, ww, vw = (a.ravel() for a in (n, vv, ww, vw))
+    base = u[seen].mean()
+    v0, w0 = v0.ravel() * scale + base, w0.ravel() * scale + base
+    vv, ww, vw = vv * scale**2, ww * scale**2, vw * scale**2
+    for i in np.flatnonzero((n > least) & (np.minimum(vv, ww) < 1e-5 * scale**2)):
+        v0[i], w0[i], vv[i], ww[i], vw[i] = _direct(u, seen, int(dx[i]), int(dy[i]))
+    varies = (n > least) & (vv > 1e-20 * v0**2) & (ww > 1e-20 * w0**2)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.where(varies, vw / np.sqrt(vv) / np.sqrt(ww), np.nan)
+    there = np.flatnonzero(n > 0)
+    there = there[np.lexsort((dy[there], dx[there]))]
+    return dx[there], dy[there], n[there], r[there]
+
+
 def autocorrelogram(rates: DataFrame, keys, least: int = 20) -> DataFrame:
     """Pearson correlation of a map with itself for each shift, over bins above zero in both; null at least or fewer.
 
-    A cell's map (some thousand bins) is one group, and each shift a comparison of two slices of it.
+    A cell's map (some thousand bins) is one group; all of its shifts come from products of spectra (correlate_shifts).
     """
     import numpy as np
     import pandas as pd
@@ -105,20 +155,7 @@ def autocorrelogram(rates: DataFrame, keys, least: int = 20) -> DataFrame:
         wide, high = x.max() - x.min() + 1, y.max() - y.min() + 1
         seen, u = np.zeros((wide, high), bool), np.zeros((wide, high))
         seen[x - x.min(), y - y.min()], u[x - x.min(), y - y.min()] = True, rate
-        out = []
-        for dx in range(1 - wide, wide):
-            for dy in range(1 - high, high):
-                here = slice(max(0, dx), wide + min(0, dx)), slice(max(0, dy), high + min(0, dy))
-                there = slice(max(0, -dx), wide - max(0, dx)), slice(max(0, -dy), high - max(0, dy))
-                both = seen[here] & seen[there]
-                n = int(both.sum())
-                if n:
-                    v, w = u[here][both], u[there][both]
-                    v0, w0 = v.mean(), w.mean()
-                    vv, ww = ((v - v0) ** 2).mean(), ((w - w0) ** 2).mean()
-                    varies = n > least and vv > 1e-20 * v0 * v0 and ww > 1e-20 * w0 * w0
-                    out.append((dx, dy, n, ((v - v0) * (w - w0)).mean() / np.sqrt(vv) / np.sqrt(ww) if varies else np.nan))
-        out = pd.DataFrame(out, columns=["dx", "dy", "n", "r"])
+        out = pd.DataFrame(dict(zip(("dx", "dy", "n", "r"), correlate_shifts(u, seen, least), strict=True)))
         for k in reversed(list(keys)):
             out.insert(0, k, pdf[k].iloc[0])
         return out

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scalar import keyed_draw
-from . import field_frames, joins, maps, statistics
+from . import borders, field_frames, firing_fields, joins, maps, similarity, statistics
 
 
-def time_shifts(spikes: DataFrame, n: int, length: int, guard: int, cell_keys, seed: str = "shift") -> DataFrame:
-    """n copies of each cell's spikes, t moved by the cell's and copy's own random offset in [guard, length - guard) and wrapped at length."""
-    offsets = spikes.select(*cell_keys).distinct().withColumn("shuffle_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    offsets = offsets.withColumn("__offset", F.lit(guard) + keyed_draw(F.lit(length - 2 * guard), F.lit(seed), *cell_keys, "shuffle_id"))
-    return spikes.join(offsets, list(cell_keys)).withColumn("t", F.pmod(F.col("t") + F.col("__offset"), F.lit(length))).drop("__offset")
+def time_shifts(spikes: DataFrame, n: int, length: int | str, guard: int, cell_keys, seed: str = "shift") -> DataFrame:
+    """n copies of each cell's spikes, t moved by the cell's and copy's own random offset in [guard, length - guard) and wrapped at length, a number or a column of spikes."""
+    named = [length] if isinstance(length, str) else []
+    length = F.col(length) if named else F.lit(length)
+    offsets = spikes.select(*cell_keys, *named).distinct().withColumn("shuffle_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    offsets = offsets.withColumn("__offset", F.lit(guard) + keyed_draw(length - 2 * guard, F.lit(seed), *cell_keys, "shuffle_id"))
+    return spikes.join(offsets.drop(*named), list(cell_keys)).withColumn("t", F.pmod(F.col("t") + F.col("__offset"), length)).drop("__offset")
 
 
 def shuffled_metrics(spikes: DataFrame, position: DataFrame, n: int, length: int, guard: int, cell_keys, ephys_rate: float = 30000.0) -> DataFrame:
@@ -26,6 +29,53 @@ def shuffled_metrics(spikes: DataFrame, position: DataFrame, n: int, length: int
     return maps.hd_score(hist, keys).join(statistics.rayleigh(hist, keys), keys).join(count, keys)
 
 
+#: Scores of a cell and of its shuffles.
+SCORES = ["hd_score", "rayleigh_p", "spatial_information", "grid_score", "border_score", "speed_score", "stability"]
+
+
+def scores(spikes: DataFrame, position: DataFrame, session_keys, keys, bin_px: float, smooth: float, dt: float, least: int, speed_sd: float, least_bins: int = 45, ephys_rate: float = 30000.0) -> DataFrame:
+    """keys and SCORES of spikes (keys, t_sample); keys: those of cells, or of cells and shuffles.
+
+    position: session_keys, pos_idx, synced_time, x_px, y_px, hd, half, speed. The position side is evaluated once for all keys. Maps are linear in the
+    counts by place, so a key's map is its counts times the kernel; its samples are brought together before, and everything after works on one map at a time. Scores
+    that a map has no ground for are null.
+    """
+    keys, session_keys = list(keys), list(session_keys)
+    hit = cut(joins.spikes_to_positions(spikes, position, ephys_rate))
+    hist = maps.hd_histogram(hit, keys)
+    rates = cut(maps.rate_map(hit, position, keys, session_keys, bin_px, smooth, dt, least, gather=True))
+    seen = cut(maps.occupancy(position, session_keys, bin_px, smooth, least))
+    shifts = cut(maps.autocorrelogram(rates, keys))
+    extent = seen.groupBy(*session_keys).agg((F.max("bin_x") + 1).alias("nx"), (F.max("bin_y") + 1).alias("ny"))
+    found = firing_fields.firing_fields(rates, keys, least_bins=least_bins).drop("max_rate").join(rates, [*keys, "bin_x", "bin_y"]).join(extent, session_keys)
+    out = spikes.select(*keys).distinct()
+    for part in (
+        maps.hd_score(hist, keys),
+        statistics.rayleigh(hist, keys).select(*keys, F.col("p").alias("rayleigh_p")),
+        maps.spatial_information(rates, seen, keys, session_keys).select(*keys, F.col("information").alias("spatial_information")),
+        firing_fields.grid_score(shifts, firing_fields.correlogram_peaks(shifts, keys), keys),
+        borders.border_score(found, keys),
+        similarity.smoothed_speed_score(spikes, position, session_keys, keys, "pos_idx", "synced_time", "speed", speed_sd, ephys_rate).drop("p"),
+        similarity.map_stability(hit, position, session_keys, keys, bin_px, smooth, dt, least, gather=True).select(*keys, F.col("r").alias("stability")),
+    ):
+        out = out.join(part, keys, "left")
+    return out
+
+
+def shuffled_scores(spikes: DataFrame, position: DataFrame, n: int, length: int | str, guard: int, session_keys, cell_keys, *rest, **more) -> DataFrame:
+    """scores of n time-shifted copies of each cell's spikes (t in samples, of length in all)."""
+    moved = cut(time_shifts(spikes, n, length, guard, cell_keys).withColumnRenamed("t", "t_sample"))
+    return scores(moved, position, session_keys, [*cell_keys, "shuffle_id"], *rest, **more)
+
+
+def score_cutoffs(shuffled: DataFrame, cell_keys, z: float = 2.326) -> DataFrame:
+    """(cell_keys, each of SCORES with _cutoff): the mean of the shuffles' scores + z * their standard deviation (population); for p values, and for speed where its mean is below 0, minus. Null scores don't count."""
+    up = lambda c: F.avg(c) + z * F.stddev_pop(c)
+    down = lambda c: F.avg(c) - z * F.stddev_pop(c)
+    rule = {"rayleigh_p": down("rayleigh_p"), "speed_score": F.when(F.avg("speed_score") < 0, down("speed_score")).otherwise(up("speed_score"))}
+    return shuffled.groupBy(*cell_keys).agg(*(rule.get(c, up(c)).alias(f"{c}_cutoff") for c in SCORES))
+
+
 def shuffled_stability(spikes: DataFrame, position: DataFrame, n: int, length: int, guard: int, session_keys, cell_keys, bins: int) -> DataFrame:
     """(cell_keys, shuffle_id, r): correlation of the halves' direction rates of each time-shifted copy. position: half, hd and what the join needs."""
     keys = [*cell_keys, "shuffle_id"]
