@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .behaviour import rolling_circular
@@ -168,3 +168,34 @@ def autocorrelogram(rates: DataFrame, keys, least: int = 20) -> DataFrame:
 def sparsity(rates: DataFrame, keys, value="rate") -> DataFrame:
     """Squared mean rate by the mean squared rate over the bins of a map."""
     return rates.groupBy(*keys).agg(F.try_divide(F.pow(F.avg(value), F.lit(2)), F.avg(F.col(value) * F.col(value))).alias("sparsity"))
+
+
+def coherence(rates: DataFrame, occupied: DataFrame, cell_keys, session_keys) -> DataFrame:
+    """(cell_keys, r, z): correlation of each bin's rate with the occupancy-weighted mean of its eight neighbours, and its Fisher score by the number of bins.
+
+    Only bins with occupancy count, as bins and as neighbours; neighbours without a rate add their occupancy only. A bin without neighbours has the mean 0.
+    """
+    from ..functions.scalar import safe_corr
+
+    share = occupied.where("occupancy is not null").select(*session_keys, "bin_x", "bin_y", "occupancy")
+    df = rates.join(share, [*session_keys, "bin_x", "bin_y"])
+    around = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y)))
+
+    def beside(what: DataFrame, keys, value: Column) -> DataFrame:
+        moved = what.withColumn("__d", around).withColumns({"bin_x": F.col("bin_x") + F.col("__d.x"), "bin_y": F.col("bin_y") + F.col("__d.y")})
+        return moved.groupBy(*keys, "bin_x", "bin_y").agg(F.sum(value).alias("__s"))
+
+    weight = beside(share, session_keys, F.col("occupancy").cast("double")).withColumnRenamed("__s", "__w")
+    near = beside(df, cell_keys, F.col("rate") * F.col("occupancy"))
+    both = df.join(near, [*cell_keys, "bin_x", "bin_y"], "left").join(weight, [*session_keys, "bin_x", "bin_y"], "left")
+    both = both.withColumn("__m", F.coalesce(F.try_divide(F.col("__s"), F.col("__w")), F.lit(0.0)))
+    r = both.groupBy(*cell_keys).agg(safe_corr("rate", "__m").alias("r"), F.count("*").alias("n"))
+    score = F.when(F.col("n") > 3, F.when(F.abs("r") < 1, F.atanh("r")) * F.sqrt(F.col("n") - 3.0))
+    return r.select(*cell_keys, "r", score.alias("z"))
+
+
+def uniform_information(rates: DataFrame, occupied: DataFrame, cell_keys, session_keys, least: float = 1e-4) -> DataFrame:
+    """(cell_keys, information): bits per spike as if all bins with occupancy had been visited for the same time; rates up to least add nothing."""
+    df = rates.join(occupied.where("occupancy is not null").select(*session_keys, "bin_x", "bin_y"), [*session_keys, "bin_x", "bin_y"])
+    r = df.groupBy(*cell_keys).agg(F.avg("rate").alias("__m"), F.avg(F.when(F.col("rate") > least, F.col("rate") * F.log2("rate")).otherwise(0.0)).alias("__h"))
+    return r.select(*cell_keys, F.when(F.col("__m") > 0, (F.col("__h") - F.col("__m") * F.log2("__m")) / F.col("__m")).alias("information"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import bars as Q
 from ..operators import behaviour as B
 from ..operators import curation as K
+from ..operators import maps as M
+from ..operators import responses as R
 from ..operators import sessions as T
 from ..operators import shuffles as H
 from ..operators import similarity as Y
-from .extended import kernel, seen_bins
+from .extended import PLACE, SHIFTED, kernel, place_map, seen_bins
 from .fixtures import view
 from .registry import CELL, SESSION, joined, query, r6
 
@@ -142,3 +145,131 @@ def c2_map_stability(spark, d):
     p = T.halves(view(spark, d, "position"), SESSION, "synced_time")
     s = view(spark, d, "places").select(*CELL, "pos_idx", "x_px", "y_px").join(p.select(*SESSION, "pos_idx", "half"), [*SESSION, "pos_idx"])
     return Y.map_stability(s, p, SESSION, CELL, BIN, SMOOTH, 1 / 30, 3).select(*CELL, F.round("r", 5).alias("r"), F.round("excluded", 5).alias("excluded"))
+
+
+NEAR = """, occ AS (SELECT session_id, bin_x, bin_y, n FROM seen), cell AS MATERIALIZED (SELECT m.session_id, cluster_id, m.bin_x, m.bin_y, rate, n FROM map m JOIN occ o ON m.session_id = o.session_id AND m.bin_x = o.bin_x AND m.bin_y = o.bin_y),
+ w_ AS (SELECT a.session_id, a.bin_x, a.bin_y, sum(b.n) AS w FROM occ a JOIN occ b ON a.session_id = b.session_id AND abs(a.bin_x - b.bin_x) <= 1 AND abs(a.bin_y - b.bin_y) <= 1 AND (a.bin_x <> b.bin_x OR a.bin_y <> b.bin_y) GROUP BY ALL),
+ s_ AS (SELECT a.session_id, a.cluster_id, a.bin_x, a.bin_y, sum(b.rate * b.n) AS s FROM cell a JOIN cell b ON a.session_id = b.session_id AND a.cluster_id = b.cluster_id AND abs(a.bin_x - b.bin_x) <= 1 AND abs(a.bin_y - b.bin_y) <= 1 AND (a.bin_x <> b.bin_x OR a.bin_y <> b.bin_y) GROUP BY ALL),
+ co AS (SELECT c.session_id, c.cluster_id, corr(rate, coalesce(s / w, 0)) AS r, count(*) AS n FROM cell c LEFT JOIN s_ USING (session_id, cluster_id, bin_x, bin_y) LEFT JOIN w_ ON w_.session_id = c.session_id AND w_.bin_x = c.bin_x AND w_.bin_y = c.bin_y GROUP BY 1, 2)"""
+
+
+@query(PLACE + NEAR + " SELECT session_id, cluster_id, round(r, 5) AS r, round(0.5 * ln((1 + r) / (1 - r)) * sqrt(n - 3), 4) AS z FROM co")
+def a9_coherence(spark, d):
+    seen = M.occupancy(view(spark, d, "position"), SESSION, 20.0, 30.0, 3)
+    return M.coherence(place_map(spark, d), seen, CELL, SESSION).select(*CELL, F.round("r", 5).alias("r"), F.round("z", 4).alias("z"))
+
+
+@query(PLACE + NEAR + ", h AS (SELECT session_id, cluster_id, avg(rate) AS m, avg(CASE WHEN rate > 0.0001 THEN rate * log2(rate) ELSE 0 END) AS h FROM cell GROUP BY 1, 2) SELECT session_id, cluster_id, round((h - m * log2(m)) / m, 5) AS information FROM h")
+def a9_uniform_information(spark, d):
+    seen = M.occupancy(view(spark, d, "position"), SESSION, 20.0, 30.0, 3)
+    return M.uniform_information(place_map(spark, d), seen, CELL, SESSION).select(*CELL, F.round("information", 5).alias("information"))
+
+
+#: A sparse pulse, and the light that follows it some samples later with a level of its own.
+STREAMS = """+ a AS (SELECT session_id, pos_idx, pos_idx / 30.0::DOUBLE AS t, CASE WHEN sync_led > 7.5 AND x_px >= 360 THEN 5.0 ELSE 0.0 END AS level FROM position), b AS (SELECT session_id, pos_idx + 70 + 13 * session_id AS pos_idx, (pos_idx + 70 + 13 * session_id) / 30.0::DOUBLE AS t, CASE WHEN sync_led > 7.5 AND x_px >= 360 THEN 20.0 ELSE (y_px % 1)::DOUBLE END AS level FROM position)"""
+
+
+@query(STREAMS + """, th AS (SELECT session_id, (max(t) - min(t)) / (count(*) - 1) AS dt, median(level) + 6 * stddev_pop(level) AS top FROM b GROUP BY 1),
+ oa AS (SELECT session_id, pos_idx FROM a WHERE level >= 2), ob AS (SELECT b.session_id, pos_idx FROM b JOIN th USING (session_id) WHERE level >= top),
+ c AS (SELECT oa.session_id, ob.pos_idx - oa.pos_idx AS lag, count(*) AS n FROM oa JOIN ob ON oa.session_id = ob.session_id GROUP BY 1, 2), l AS (SELECT session_id, min_by(lag, struct_pack(x := -n, y := lag)) AS lag FROM c GROUP BY 1),
+ st AS (SELECT session_id, min(t) AS t0 FROM a WHERE t >= 1 GROUP BY 1),
+ ai AS (SELECT a.session_id, min(pos_idx) FILTER (level >= 2) AS i FROM a JOIN st ON a.session_id = st.session_id WHERE t >= t0 GROUP BY 1), ta AS (SELECT a.session_id, a.t AS ta FROM a JOIN ai ON a.session_id = ai.session_id AND a.pos_idx = ai.i - 1 JOIN st ON st.session_id = a.session_id WHERE a.t >= t0),
+ e AS (SELECT b.session_id, pos_idx, t - lag * dt AS t, level >= top AS ison, t0 FROM b JOIN th USING (session_id) JOIN l USING (session_id) JOIN st USING (session_id)), b0 AS (SELECT session_id, min_by(pos_idx, struct_pack(x := abs(t - t0), y := pos_idx)) AS i0 FROM e GROUP BY 1),
+ bi AS (SELECT e.session_id, max(i0) AS i0, min(pos_idx) FILTER (ison) AS i FROM e JOIN b0 USING (session_id) WHERE pos_idx >= i0 GROUP BY 1), tb AS (SELECT e.session_id, e.t AS tb FROM e JOIN bi ON e.session_id = bi.session_id AND e.pos_idx = bi.i - 1 WHERE pos_idx >= i0)
+ SELECT l.session_id, lag, round(lag * dt, 6) AS coarse, round(ta - tb, 6) AS fine, coalesce(abs(ta - tb) < 2.5, false) AS ok FROM l JOIN th USING (session_id) LEFT JOIN ta USING (session_id) LEFT JOIN tb USING (session_id)""")
+def w11_synchronised(spark, d):
+    p = view(spark, d, "position")
+    on = (F.col("sync_led") > 7.5) & (F.col("x_px") >= 360)
+    late = F.col("pos_idx") + 70 + 13 * F.col("session_id")
+    a = p.select("session_id", "pos_idx", (F.col("pos_idx") / 30.0).alias("t"), F.when(on, 5.0).otherwise(0.0).alias("level"))
+    b = p.select("session_id", late.alias("pos_idx"), (late / 30.0).alias("t"), F.when(on, 20.0).otherwise((F.col("y_px") % 1).cast("double")).alias("level"))
+    out = R.synchronised(a, b, SESSION, "pos_idx", "t", "level", skip=1.0)
+    return out.groupBy("session_id", "lag", "ok").agg(F.round(F.first("coarse"), 6).alias("coarse"), F.round(F.first("fine"), 6).alias("fine")).select("session_id", "lag", "coarse", "fine", "ok")
+
+
+@query("""+ pu AS (SELECT DISTINCT session_id, pulse FROM pulses ), s AS (SELECT session_id, cluster_id, t_sample AS t FROM spikes ), ar AS (SELECT s.session_id, s.cluster_id, pulse, t - pulse AS o FROM s JOIN pu ON s.session_id = pu.session_id AND t >= pulse - 90000 AND t < pulse + 90000),
+ who AS (SELECT DISTINCT session_id, cluster_id FROM ar), tr AS (SELECT who.*, pulse FROM who JOIN pu USING (session_id)),
+ n AS (SELECT tr.session_id, tr.cluster_id, tr.pulse, count(*) FILTER (o >= -18000 AND o < 0) AS before, count(*) FILTER (o >= 0 AND o < 18000) AS after FROM tr LEFT JOIN ar USING (session_id, cluster_id, pulse) GROUP BY ALL),
+ v AS (SELECT session_id, cluster_id, 0 AS side, before AS v FROM n UNION ALL SELECT session_id, cluster_id, 1, after FROM n), c AS (SELECT session_id, cluster_id, v, count(*) FILTER (side = 0) AS a, count(*) AS t FROM v GROUP BY ALL),
+ k AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY session_id, cluster_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rank FROM c),
+ r AS (SELECT session_id, cluster_id, sum(a * rank) - CAST(sum(a) AS DOUBLE) * (sum(a) + 1) / 2 AS u, CAST(sum(a) AS DOUBLE) AS n, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM k GROUP BY ALL), su AS (SELECT session_id, cluster_id, CAST(sum(before) AS BIGINT) AS before, CAST(sum(after) AS BIGINT) AS after FROM n GROUP BY ALL)
+ SELECT session_id, cluster_id, before, after, round(CASE WHEN after < before THEN u END, 3) AS u, round(CASE WHEN after < before THEN greatest(0, abs(u - n * n / 2) - 0.5) / sqrt(n * n / 12 * (2 * n + 1 - ties / (2 * n * (2 * n - 1)))) END, 5) AS z FROM r JOIN su USING (session_id, cluster_id)""")
+def c18_inhibition_u(spark, d):
+    """Windows of 600 ms, since the spikes of these tables are sparse."""
+    return inhibited(spark, d).select(*CELL, "before", "after", F.round("u", 3).alias("u"), F.round("z", 5).alias("z"))
+
+
+def inhibited(spark, d, latency=None):
+    return R.inhibition(view(spark, d, "spikes").select(*CELL, F.col("t_sample").alias("t")), view(spark, d, "pulses").distinct(), SESSION, CELL, latency, 600, 3000)
+
+
+@query()
+def c18_inhibition_p(spark, d):
+    s = view(spark, d, "spikes").withColumnRenamed("t_sample", "t")
+    latency = R.latency_test(s, view(spark, d, "pulses").distinct(), SESSION, CELL, 3000, 10)
+    return inhibited(spark, d, latency).select(*CELL, "before", "after", "shift", F.round("u", 3).alias("u"), *r6("p"))
+
+
+@query("""+ pu AS (SELECT DISTINCT session_id, pulse FROM pulses ), s AS (SELECT session_id, cluster_id, t_sample AS t FROM spikes ),
+ f AS (SELECT s.session_id, s.cluster_id, pulse, w, min(t - (pulse + (w - 10) * 3000)) AS first_t FROM s JOIN pu ON s.session_id = pu.session_id AND t > pulse - 30000 AND t < pulse + 3000, range(11) q(w) WHERE t > pulse + (w - 10) * 3000 AND t < pulse + (w - 9) * 3000 GROUP BY ALL),
+ who AS (SELECT DISTINCT session_id, cluster_id FROM f), tr AS (SELECT session_id, count(*) AS trials FROM pu GROUP BY 1), c AS (SELECT session_id, cluster_id, w, first_t * 20 // 3000 AS step, count(*) AS c FROM f GROUP BY ALL),
+ z AS (SELECT who.session_id, who.cluster_id, w, -1 AS step, trials - coalesce((SELECT sum(c) FROM c WHERE c.session_id = who.session_id AND c.cluster_id = who.cluster_id AND c.w = q.w), 0) AS c FROM who JOIN tr USING (session_id), range(11) q(w)),
+ h AS MATERIALIZED (SELECT x.session_id, x.cluster_id, w, step, c / trials AS p FROM (SELECT * FROM c UNION ALL SELECT * FROM z WHERE c > 0) x JOIN tr USING (session_id)),
+ g AS (SELECT a.session_id, a.cluster_id, a.w AS wa, q.w AS wb, a.step, a.p, (a.p + coalesce(b.p, 0)) / 2 AS m FROM h a CROSS JOIN range(11) q(w) LEFT JOIN h b ON b.session_id = a.session_id AND b.cluster_id = a.cluster_id AND b.w = q.w AND b.step = a.step WHERE a.w <> q.w),
+ kl AS (SELECT session_id, cluster_id, wa, wb, sum(p * ln(p / m)) + ln(sum(m)) AS kl FROM g GROUP BY ALL),
+ d AS (SELECT x.session_id, x.cluster_id, x.wa, x.wb, round(sqrt(2 * greatest(0, (x.kl + y.kl) / 2)), 9) AS d FROM kl x JOIN kl y ON x.session_id = y.session_id AND x.cluster_id = y.cluster_id AND x.wa = y.wb AND x.wb = y.wa WHERE x.wa < x.wb),
+ t AS (SELECT session_id, cluster_id, median(d) AS distance FROM d WHERE wb = 10 GROUP BY 1, 2)
+ SELECT d.session_id, d.cluster_id, round(max(distance), 5) AS distance, round(max(distance) - median(d), 5) AS information, round(avg(CASE WHEN d >= distance THEN 1.0 ELSE 0.0 END), 6) AS p FROM d JOIN t ON d.session_id = t.session_id AND d.cluster_id = t.cluster_id WHERE wb < 10 GROUP BY 1, 2""")
+def c17_latency_distances(spark, d):
+    s = view(spark, d, "spikes").withColumnRenamed("t_sample", "t")
+    out = R.latency_test(s, view(spark, d, "pulses").distinct(), SESSION, CELL, 3000, 10)
+    return out.select(*CELL, F.round("distance", 5).alias("distance"), F.round("information", 5).alias("information"), *r6("p"))
+
+
+BARS = SHIFTED + """, o20 AS (SELECT session_id, least(CAST(floor((hd + 180) / 18.0) AS BIGINT), 19) AS bin, count(*) AS o FROM position GROUP BY ALL), q20 AS (SELECT session_id, cluster_id, shuffle_id, least(CAST(floor((hd + 180) / 18.0) AS BIGINT), 19) AS bin, count(*) AS n FROM hit JOIN position USING (session_id, pos_idx) GROUP BY ALL),
+ rs AS MATERIALIZED (SELECT w.session_id, w.cluster_id, w.shuffle_id, o20.bin, coalesce(n, 0) / o AS rate FROM (SELECT DISTINCT session_id, cluster_id, shuffle_id FROM o) w JOIN o20 USING (session_id) LEFT JOIN q20 USING (session_id, cluster_id, shuffle_id, bin)),
+ own_ AS (SELECT s.session_id, cluster_id, CAST(round_even(t_sample / (dt * 30000.0::DOUBLE), 0) AS BIGINT) AS pos_idx FROM spikes s JOIN span ON s.session_id = span.session_id WHERE t_sample / 30000.0::DOUBLE < t_max), q0 AS (SELECT session_id, cluster_id, least(CAST(floor((hd + 180) / 18.0) AS BIGINT), 19) AS bin, count(*) AS n FROM own_ JOIN position USING (session_id, pos_idx) GROUP BY ALL),
+ ro AS MATERIALIZED (SELECT w.session_id, w.cluster_id, o20.bin, coalesce(n, 0) / o AS rate FROM (SELECT DISTINCT session_id, cluster_id FROM spikes ) w JOIN o20 USING (session_id) LEFT JOIN q0 USING (session_id, cluster_id, bin)),
+ po AS (SELECT ro.session_id, ro.cluster_id, ro.bin, (count(*) FILTER (rs.rate < ro.rate) + count(*) FILTER (rs.rate <= ro.rate)) / (2.0::DOUBLE * count(*)) AS f, max(ro.rate) < quantile_cont(rs.rate, 0.05) OR max(ro.rate) > quantile_cont(rs.rate, 0.95) AS outside FROM ro JOIN rs ON ro.session_id = rs.session_id AND ro.cluster_id = rs.cluster_id AND ro.bin = rs.bin GROUP BY ALL),
+ p0 AS (SELECT session_id, cluster_id, bin, outside, least(1.0::DOUBLE, 2 * least(f, 1 - f)) AS p FROM po),
+ ps AS (SELECT session_id, cluster_id, shuffle_id, bin, least(1.0::DOUBLE, 2 * least(f, 1 - f)) AS p FROM (SELECT a.session_id, a.cluster_id, a.shuffle_id, a.bin, (count(*) FILTER (b.rate < a.rate) + count(*) FILTER (b.rate <= a.rate)) / (2.0::DOUBLE * count(*)) AS f FROM rs a JOIN rs b ON a.session_id = b.session_id AND a.cluster_id = b.cluster_id AND a.bin = b.bin AND a.shuffle_id <> b.shuffle_id GROUP BY ALL) x),
+ al AS (SELECT session_id, cluster_id, -1 AS shuffle_id, bin, p FROM p0 UNION ALL SELECT * FROM ps), rk AS (SELECT *, row_number() OVER (PARTITION BY session_id, cluster_id, shuffle_id ORDER BY p, bin) AS k, count(*) OVER (PARTITION BY session_id, cluster_id, shuffle_id) AS m FROM al),
+ ad AS (SELECT session_id, cluster_id, shuffle_id, min(p * m / k) OVER (PARTITION BY session_id, cluster_id, shuffle_id ORDER BY p, bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bh, max(p * (m - k + 1)) OVER (PARTITION BY session_id, cluster_id, shuffle_id ORDER BY p, bin ROWS UNBOUNDED PRECEDING) AS holm FROM rk),
+ sg AS MATERIALIZED (SELECT session_id, cluster_id, shuffle_id, count(*) FILTER (bh < 0.05) AS n_bh, count(*) FILTER (holm < 0.05) AS n_holm FROM ad GROUP BY ALL)"""
+
+
+def bars(spark, d):
+    """(observed, shuffled) direction bars of 18 degrees; 100 shuffles."""
+    p = view(spark, d, "position")
+    at = lambda df, keys: df.groupBy(*keys, F.least(F.floor((F.col("hd") + 180) / 18.0), F.lit(19)).alias("bin"))
+    time = at(p, SESSION).agg(F.count("*").alias("o"))
+    s = view(spark, d, "spikes")
+    moved = H.time_shifts(s.withColumnRenamed("t_sample", "t"), 100, 5000000, 600000, CELL).withColumnRenamed("t", "t_sample")
+    from ..operators import joins as J
+
+    keys = [*CELL, "shuffle_id"]
+    own = Q.bar_rates(at(joined(spark, d), CELL).agg(F.count("*").alias("n")), s.select(*CELL).distinct(), time, CELL, SESSION, "bin")
+    other = Q.bar_rates(at(J.spikes_to_positions(moved, p), keys).agg(F.count("*").alias("n")), moved.select(*keys).distinct(), time, keys, SESSION, "bin")
+    return own, other
+
+
+@query(BARS + " SELECT session_id, cluster_id, n_bh, n_holm, CAST((SELECT count(*) FROM p0 WHERE p0.session_id = sg.session_id AND p0.cluster_id = sg.cluster_id AND outside) AS BIGINT) AS n_outside FROM sg WHERE shuffle_id = -1")
+def r7_significant_bars(spark, d):
+    own, other = bars(spark, d)
+    p = Q.observed_p(own, other, CELL, "bin", "rate")
+    out = p.groupBy(*CELL).agg(F.count_if("outside").alias("n_outside"))
+    return Q.significant(p, CELL, "bin").join(out, CELL).select(*CELL, "n_bh", "n_holm", "n_outside")
+
+
+@query(BARS + " SELECT * FROM sg WHERE shuffle_id >= 0")
+def r8_shuffled_significant_bars(spark, d):
+    _, other = bars(spark, d)
+    return Q.significant(Q.shuffled_p(other, CELL, "bin", "rate"), [*CELL, "shuffle_id"], "bin")
+
+
+@query(BARS + ", dr AS (SELECT a.session_id, a.cluster_id, max(a.n_bh) AS n_bh, 50.0 * (count(*) FILTER (b.n_bh < a.n_bh) + count(*) FILTER (b.n_bh <= a.n_bh)) / count(*) AS percentile FROM sg a JOIN sg b ON a.session_id = b.session_id AND a.cluster_id = b.cluster_id WHERE a.shuffle_id = -1 AND b.shuffle_id >= 0 GROUP BY 1, 2) SELECT session_id, cluster_id, n_bh, round(percentile, 4) AS percentile, percentile > 95 AS directional FROM dr")
+def r9_directional_bars(spark, d):
+    own, other = bars(spark, d)
+    sure = Q.significant(Q.observed_p(own, other, CELL, "bin", "rate"), CELL, "bin")
+    out = Q.directional(sure, Q.significant(Q.shuffled_p(other, CELL, "bin", "rate"), [*CELL, "shuffle_id"], "bin"), CELL)
+    return out.select(*CELL, "n_bh", F.round("percentile", 4).alias("percentile"), "directional")
