@@ -145,3 +145,9 @@ def expected_ratio(observed: DataFrame, expected: DataFrame, keys) -> DataFrame:
     both = share(observed, "__o").join(share(expected, "__e"), [*keys, "bin"], "full_outer")
     add = lambda c: F.coalesce(c, F.lit(0.0)) + 1e-5
     return both.groupBy(*keys).agg(F.avg(F.abs(F.log(add("__o") / add("__e")))).alias("ratio"))
+
+
+def by_day(values: DataFrame, keys, day: str, value: str) -> DataFrame:
+    """values with day_no from 1, first_day, and change: the value by that of the first day, for every day that a key has."""
+    w = Window.partitionBy(*keys).orderBy(day)
+    return values.withColumns({"day_no": F.row_number().over(w), "first_day": F.first(day).over(w), "change": F.try_divide(F.col(value).cast("double"), F.first(value).over(w).cast("double"))})

@@ -319,11 +319,11 @@ def r10_stop_shuffle(spark, d):
     return H.shuffled_stops(stops, SESSION, 100, 100, 0.0, 200.0, 10.0).select("session_id", "shuffle_id", "bin", *r6("stops"))
 
 
-@query(BLOCKS + """, f_ AS (SELECT session_id, cluster_id, field_id, count(*) AS n, avg(x_px) AS x FROM inside GROUP BY ALL) SELECT cluster_id, field_id, max(CASE WHEN session_id = 0 THEN n END) AS day_0, max(CASE WHEN session_id = 1 THEN n END) AS day_1, max(CASE WHEN session_id = 2 THEN n END) AS day_2 FROM f_ GROUP BY 1, 2""")
+@query(BLOCKS + """, f_ AS (SELECT session_id, cluster_id, field_id, count(*) AS n FROM inside GROUP BY ALL), d_ AS (SELECT *, first_value(session_id) OVER w AS first_day, first_value(n) OVER w AS first_n, row_number() OVER w AS k FROM f_ WINDOW w AS (PARTITION BY cluster_id, field_id ORDER BY session_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT cluster_id, field_id, session_id AS day, CAST(k AS INT) AS day_no, n, first_day, round(n / first_n, 6) AS change FROM d_""")
 def r11_fields_by_day(spark, d):
+    """Each field's spikes on every day it is seen, by those of its first day; sessions stand for days."""
     n = inside(spark, d).groupBy(*FIELD).agg(F.count("*").alias("n"))
-    days = n.groupBy("cluster_id", "field_id").pivot("session_id", [0, 1, 2]).agg(F.max("n"))
-    return days.select("cluster_id", "field_id", *(F.col(str(k)).alias(f"day_{k}") for k in range(3)))
+    return H.by_day(n, ["cluster_id", "field_id"], "session_id", "n").select("cluster_id", "field_id", F.col("session_id").alias("day"), "day_no", "n", "first_day", F.round("change", 6).alias("change"))
 
 
 @query()

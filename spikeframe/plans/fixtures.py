@@ -1,4 +1,7 @@
-"""Canonical tables as views over the driver's tables, in Spark and in SQL with the same arithmetic."""
+"""Canonical tables as views over the driver's tables, in Spark and in SQL with the same arithmetic.
+
+Sessions keep their size and grow in number with the tables: some 6000 positions, 400 events that are spikes, and 60 cells each.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 POSITION = """
   SELECT session_id, pos_idx, pos_idx / 30.0D0 AS synced_time, x_px, y_px, hd, sync_led FROM (
-    SELECT l_suppkey % 10 AS session_id,
-           row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos_idx,
+    SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS session_id,
+           row_number() OVER (PARTITION BY CAST(floor(l_suppkey / 10) AS BIGINT) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos_idx,
            l_quantity * 8 AS x_px, l_extendedprice % 400 AS y_px, l_extendedprice % 360 - 180 AS hd, l_tax * 100 AS sync_led
     FROM lineitem) p"""
 SPIKES = """
-  SELECT user_id % 10 AS session_id, CAST(floor(user_id / 10) AS BIGINT) % 5 AS cluster_id, (event_id * 997) % 5000000 AS t_sample, event_id AS spike_idx, value
+  SELECT CAST(floor(user_id / 15) AS BIGINT) AS session_id, user_id % 5 AS cluster_id, (event_id * 997) % 5000000 AS t_sample, event_id AS spike_idx, value
   FROM events WHERE event_type IN ('click', 'view')"""
 PULSES = """
-  SELECT user_id % 10 AS session_id, (event_id * 997) % 5000000 AS pulse FROM events WHERE event_type = 'purchase'"""
+  SELECT CAST(floor(user_id / 15) AS BIGINT) AS session_id, (event_id * 997) % 5000000 AS pulse FROM events WHERE event_type = 'purchase'"""
 TRACK = """
-  SELECT l_suppkey % 10 AS session_id, l_orderkey AS trial, l_linenumber AS sample, l_partkey AS part, l_quantity * 4 AS x, l_discount * 100 AS speed,
+  SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS session_id, l_orderkey AS trial, l_linenumber AS sample, l_partkey AS part, l_quantity * 4 AS x, l_discount * 100 AS speed,
          CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS trial_type
   FROM lineitem"""
 CELLS = """
-  SELECT c_custkey AS cluster_id, c_nationkey AS session_id, c_acctbal AS metric, c_acctbal / 10000 AS isolation, abs(c_acctbal) / 100000 AS noise_overlap,
+  SELECT c_custkey AS cluster_id, CAST(floor(c_custkey / 60) AS BIGINT) AS session_id, c_acctbal AS metric, c_acctbal / 10000 AS isolation, abs(c_acctbal) / 100000 AS noise_overlap,
          c_acctbal / 1000 AS peak_snr, CAST(c_custkey % 7 AS DOUBLE) AS mean_firing_rate, c_mktsegment AS grp
   FROM customer"""
 WAVES = """
