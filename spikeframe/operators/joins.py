@@ -54,9 +54,11 @@ def in_field_bins(samples: DataFrame, field_bins: DataFrame, bin_px: float, x="x
     return s.join(field_bins, [*keys, "bin_x", "bin_y"])
 
 
-def split_stitched(spikes: DataFrame, stitches: DataFrame) -> DataFrame:
-    """Times of stitched recordings back in their own recording; stitches: recording, lo, hi (a short list)."""
-    return spikes.join(F.broadcast(stitches), (F.col("t") > F.col("lo")) & (F.col("t") <= F.col("hi"))).withColumn("t_local", F.col("t") - F.col("lo"))
+def split_stitched(spikes: DataFrame, stitches: DataFrame, width: int = 1 << 22) -> DataFrame:
+    """Times of stitched recordings back in their own recording; stitches: recording, lo, hi. They meet by buckets of width samples, the exact bounds decide."""
+    parts = stitches.withColumn("__b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    hit = spikes.withColumn("__b", F.floor(F.col("t") / width)).join(parts, "__b")
+    return hit.where((F.col("t") > F.col("lo")) & (F.col("t") <= F.col("hi"))).withColumn("t_local", F.col("t") - F.col("lo")).drop("__b")
 
 
 def correlogram(a: DataFrame, b: DataFrame, keys, window: int, bin_size: int) -> DataFrame:

@@ -123,3 +123,25 @@ def interval_histogram(pieces: DataFrame, keys, bins: int) -> DataFrame:
     p = pieces.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") * bins), F.least(F.lit(bins - 1).cast("long"), F.floor(F.col("stop") * bins)))))
     p = p.withColumns({"__c": F.col("bin") / bins, "__d": (F.col("bin") + 1) / bins})
     return p.groupBy(*keys, "bin").agg(F.sum(overlap("start", "stop", "__c", "__d") * bins * F.col("weight")).alias("weight"))
+
+
+def exposure_share(values: DataFrame, pieces: DataFrame, keys, value: str, out: str = "share") -> DataFrame:
+    """values with the share of all exposure below value modulo 1: the piecewise-linear distribution function of pieces (keys, start, stop, weight) as folded gives them.
+
+    One sort brings each value to the piece that holds it. Null where a key has no exposure, or the value is null.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys)
+    size = F.col("weight") * (F.col("stop") - F.col("start"))
+    before = F.coalesce(F.sum(size).over(w.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    held = pieces.withColumns({"__below": before, "__all": F.sum(size).over(w)})
+    row = F.struct(*(c for c in values.columns))
+    kind = values.select(row.alias("r")).schema["r"].dataType
+    piece = F.struct("start", "weight", "__below", "__all")
+    x = _double(value) - F.floor(_double(value))
+    both = held.select(*keys, F.col("start").cast("double").alias("__at"), F.lit(0).alias("__p"), piece.alias("__piece"), F.lit(None).cast(kind).alias("__row"))
+    both = both.unionByName(values.select(*keys, x.alias("__at"), F.lit(1).alias("__p"), F.lit(None).cast(both.schema["__piece"].dataType).alias("__piece"), row.alias("__row")))
+    at = F.last("__piece", ignorenulls=True).over(w.orderBy(F.asc_nulls_first("__at"), "__p").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("__in", at).where("__p = 1")
+    share = F.try_divide(F.col("__in.__below") + F.col("__in.weight") * (F.col("__at") - F.col("__in.start")), F.col("__in.__all"))
+    return both.select(*(F.col("__row")[c].alias(c) for c in values.columns), F.when(F.col("__at").isNotNull(), share).alias(out))

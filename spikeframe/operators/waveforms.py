@@ -85,3 +85,31 @@ def principal_components(df: DataFrame, keys, item: str, waveform: str, n: int =
     found = rows.select("__k", "__w").mapInPandas(sums, "__k string, __s array<double>").groupBy("__k").applyInPandas(add, "__k string, __axes array<double>, __zero array<double>")
     at = lambda i: F.aggregate(F.zip_with("__w", F.slice("__axes", i * F.size("__w") + 1, F.size("__w")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) - F.get("__zero", F.lit(i))
     return rows.join(found, "__k").select(*keys, item, F.array(*(at(i) for i in range(n))).alias("pc"))
+
+
+def matched_clusters(snippets: DataFrame, pairs: DataFrame, keys, session: str, cluster: str, item: str, waveform: str, n: int = 2) -> DataFrame:
+    """(keys, a, b, cluster_a, cluster_b, distance): clusters of session a and of session b that are one, for the rows (a, b) of pairs.
+
+    All sessions of a key (a tetrode) share one basis of principal components, and a cluster stands at the mean of its snippets. The nearest two clusters of both sessions
+    are matched first, then the nearest of those left, and so on, so each is matched once at most and the order of the sessions doesn't matter; equal
+    distances go by cluster. One key's clusters in two sessions are one group.
+    """
+    keys = list(keys)
+    pc = principal_components(snippets.withColumn("__id", F.struct(session, cluster, item)), keys, "__id", waveform, n)
+    place = pc.groupBy(*keys, F.col("__id")[session].alias("s"), F.col("__id")[cluster].alias("c")).agg(F.array(*(F.avg(F.col("pc")[i]) for i in range(n))).alias("at"))
+    left = pairs.select("a", "b").join(place.select(*keys, F.col("s").alias("a"), F.col("c").alias("cluster_a"), F.col("at").alias("__u")), "a")
+    both = left.join(place.select(*keys, F.col("s").alias("b"), F.col("c").alias("cluster_b"), F.col("at").alias("__v")), [*keys, "b"])
+    apart = F.sqrt(F.aggregate(F.zip_with("__u", "__v", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
+    near = both.select(*keys, "a", "b", "cluster_a", "cluster_b", apart.alias("distance"))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(__lo=pdf[["cluster_a", "cluster_b"]].min(axis=1), __hi=pdf[["cluster_a", "cluster_b"]].max(axis=1)).sort_values(["distance", "__lo", "__hi"], kind="stable")
+        kept, taken_a, taken_b = [], set(), set()
+        for i, (ca, cb) in enumerate(zip(pdf["cluster_a"], pdf["cluster_b"], strict=True)):
+            if ca not in taken_a and cb not in taken_b:
+                kept.append(i)
+                taken_a.add(ca)
+                taken_b.add(cb)
+        return pdf.iloc[kept].drop(columns=["__lo", "__hi"])
+
+    return near.groupBy(*keys, "a", "b").applyInPandas(match, near.schema)

@@ -12,7 +12,11 @@ from ..operators import maps as M
 from ..operators import responses as R
 from ..operators import sessions as T
 from ..operators import shuffles as H
+from ..operators import significance as G
 from ..operators import similarity as Y
+from ..operators import trials as L
+from ..operators import waveforms as V
+from .analysis import RATES, trial_rates
 from .extended import PLACE, SHIFTED, kernel, place_map, seen_bins
 from .fixtures import view
 from .registry import CELL, SESSION, joined, query, r6
@@ -273,3 +277,55 @@ def r9_directional_bars(spark, d):
     sure = Q.significant(Q.observed_p(own, other, CELL, "bin", "rate"), CELL, "bin")
     out = Q.directional(sure, Q.significant(Q.shuffled_p(other, CELL, "bin", "rate"), [*CELL, "shuffle_id"], "bin"), CELL)
     return out.select(*CELL, "n_bh", F.round("percentile", 4).alias("percentile"), "directional")
+
+
+#: Rates by trial and bin smoothed over bins, with zeros outside the track; bins that a trial has no time in are left out.
+TRACK = RATES + f""", {weights(1.0)}, top_ AS (SELECT session_id, cluster_id, trial, max(bin) + 1 AS n FROM rates GROUP BY ALL),
+ sm AS (SELECT p.session_id, p.cluster_id, p.trial, p.bin, sum(w * coalesce(q.rate, 0)) / sum(CASE WHEN p.bin + d < 0 OR p.bin + d >= t.n OR q.rate IS NOT NULL THEN w END) AS rate FROM rates p JOIN top_ t USING (session_id, cluster_id, trial) CROSS JOIN k LEFT JOIN rates q ON q.session_id = p.session_id AND q.cluster_id = p.cluster_id AND q.trial = p.trial AND q.bin = p.bin + d GROUP BY ALL)"""
+
+
+def smoothed_rates(spark, d):
+    out = B.smoothed(trial_rates(spark, d), [*CELL, "trial"], "bin", "rate", 1.0, "zero")
+    return out.withColumn("rate", F.col("smooth")).drop("smooth")
+
+
+@query(TRACK + " SELECT session_id, cluster_id, trial, bin, round(rate, 5) AS rate FROM sm")
+def a12_smoothed_trial_rates(spark, d):
+    return smoothed_rates(spark, d).select(*CELL, "trial", "bin", F.round("rate", 5).alias("rate"))
+
+
+@query(TRACK + " SELECT session_id, cluster_id, trial % 3 AS trial_type, bin, round(avg(rate), 5) AS rate, round(stddev_samp(rate) / sqrt(count(rate)), 5) AS sem FROM sm GROUP BY 1, 2, 3, 4")
+def a13_smoothed_track_maps(spark, d):
+    r = smoothed_rates(spark, d).groupBy(*CELL, (F.col("trial") % 3).alias("trial_type"), "bin")
+    return r.agg(F.round(F.avg("rate"), 5).alias("rate"), F.round(F.stddev_samp("rate") / F.sqrt(F.count("rate")), 5).alias("sem"))
+
+
+@query(f"""+ {weights(2.0)}, sp_ AS (SELECT session_id, pos_idx, x_px, sqrt(pow(x_px - lag(x_px) OVER w, 2) + pow(y_px - lag(y_px) OVER w, 2)) AS v FROM position WINDOW w AS (PARTITION BY session_id ORDER BY pos_idx)), b_ AS (SELECT session_id, pos_idx // 8 AS bin, avg(x_px) AS x_px, avg(v) AS speed FROM sp_ GROUP BY 1, 2), n_ AS (SELECT session_id, max(bin) + 1 AS n FROM b_ GROUP BY 1),
+ c_ AS (SELECT session_id, cluster_id, t_sample // 8000 AS bin, count(*) AS c FROM places GROUP BY ALL), g_ AS (SELECT w.session_id, w.cluster_id, b_.bin, b_.x_px, speed, coalesce(c, 0) AS c FROM (SELECT DISTINCT session_id, cluster_id FROM c_) w JOIN b_ ON b_.session_id = w.session_id LEFT JOIN c_ ON c_.session_id = w.session_id AND c_.cluster_id = w.cluster_id AND c_.bin = b_.bin)
+ SELECT p.session_id, p.cluster_id, p.bin, max(p.c) AS n, round(max(p.x_px), 5) AS x_px, round(max(p.speed), 5) AS speed, round(sum(w * q.c) / sum(w), 5) AS smooth FROM g_ p JOIN n_ ON n_.session_id = p.session_id, k JOIN g_ q ON q.session_id = p.session_id AND q.cluster_id = p.cluster_id AND q.bin = {MIRROR.format('p.bin + d')} GROUP BY 1, 2, 3""")
+def a18_smoothed_counts_in_time(spark, d):
+    """Spikes, mean place and mean speed in bins of 8 samples (some 250 ms), and the smoothed spikes."""
+    bins = moving(spark, d).groupBy("session_id", F.floor(F.col("pos_idx") / 8).alias("bin")).agg(F.avg("x_px").alias("x_px"), F.avg("speed").alias("speed"))
+    n = view(spark, d, "places").groupBy(*CELL, F.floor(F.col("t_sample") / 8000).alias("bin")).agg(F.count("*").alias("n"))
+    grid = n.select(*CELL).distinct().join(bins, SESSION).join(n, [*CELL, "bin"], "left").na.fill(0, ["n"])
+    return B.smoothed(grid, CELL, "bin", "n", 2.0).select(*CELL, "bin", "n", *(F.round(c, 5).alias(c) for c in ("x_px", "speed", "smooth")))
+
+
+@query("""+ f AS (SELECT session_id, t_sample / 1000000.0::DOUBLE AS a, t_sample / 1000000.0::DOUBLE + value / 100 AS b FROM spikes), ex AS (SELECT session_id, 0.0::DOUBLE AS x, ceil(b) - floor(a) - 1 AS w FROM f UNION ALL SELECT session_id, a - floor(a), 1 FROM f UNION ALL SELECT session_id, b - floor(b), CASE WHEN b - floor(b) > 0 THEN -1 ELSE 0 END FROM f),
+ br AS (SELECT session_id, x, sum(w) AS w FROM ex GROUP BY 1, 2), pc AS (SELECT session_id, x AS lo, coalesce(lead(x) OVER o, 1.0) AS hi, sum(w) OVER o AS w FROM br WINDOW o AS (PARTITION BY session_id ORDER BY x)),
+ al AS (SELECT session_id, sum(w * (hi - lo)) AS total FROM pc GROUP BY 1), v AS (SELECT session_id, spike_idx, t_sample / 700000.0::DOUBLE - floor(t_sample / 700000.0::DOUBLE) AS x FROM spikes ),
+ u AS (SELECT v.session_id, v.spike_idx, sum(w * greatest(0, least(hi, x) - lo)) / max(total) AS u FROM v JOIN pc ON pc.session_id = v.session_id AND lo <= x JOIN al ON al.session_id = v.session_id GROUP BY 1, 2),
+ i AS (SELECT session_id, u, row_number() OVER (PARTITION BY session_id ORDER BY u) AS i, count(*) OVER (PARTITION BY session_id) AS n FROM u) SELECT session_id, round(max(i / n - u) + max(u - (i - 1) / n), 5) AS kuiper FROM i GROUP BY 1""")
+def x8_kuiper_against_exposure(spark, d):
+    s = view(spark, d, "spikes")
+    pieces = G.folded(s.select("session_id", (F.col("t_sample") / 1000000.0).alias("a"), F.lit(1.0).alias("w"), (F.col("t_sample") / 1000000.0 + F.col("value") / 100).alias("b")), SESSION, "a", "b", "w")
+    values = G.exposure_share(s.select("session_id", "spike_idx", (F.col("t_sample") / 700000.0).alias("x")), pieces, SESSION, "x")
+    return G.kuiper_one(values, SESSION, F.col("share")).select("session_id", F.round("kuiper", 5).alias("kuiper"))
+
+
+@query()
+def c28_matched_clusters(spark, d):
+    """Clusters of the snippets of even and of odd number, which stand for two sessions."""
+    s = view(spark, d, "waves").select(F.lit(1).alias("tetrode"), (F.col("snippet_id") % 2).cast("int").alias("day"), "cluster_id", "snippet_id", "embedding")
+    pairs = s.select(F.lit(0).alias("a"), F.lit(1).alias("b")).limit(1)
+    return V.matched_clusters(s, pairs, ["tetrode"], "day", "cluster_id", "snippet_id", "embedding").select("cluster_a", "cluster_b", F.round("distance", 4).alias("distance"))

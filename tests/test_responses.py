@@ -8,7 +8,10 @@ from spikeframe.operators import bars as Q
 from spikeframe.operators import behaviour as B
 from spikeframe.operators import maps as M
 from spikeframe.operators import responses as R
+from spikeframe.operators import joins as J
+from spikeframe.operators import significance as G
 from spikeframe.operators import similarity as Y
+from spikeframe.operators import waveforms as V
 
 
 @pytest.mark.parametrize("block", [64, 1 << 16])
@@ -184,3 +187,31 @@ def test_coherence_equals_a_loop(spark):
     seen = spark.createDataFrame([(0, x, y, None if np.isnan(occ[x, y]) else int(occ[x, y])) for x, y in bins], "s int, bin_x long, bin_y long, occupancy long")
     r = M.coherence(rates, seen, ["s", "c"], ["s"]).first()
     assert abs(r.r - want) < 1e-9 and abs(r.z - np.arctanh(want) * np.sqrt(len(use) - 3)) < 1e-9
+
+
+def test_planted_clusters_are_found_again_in_any_order(spark):
+    rng = np.random.default_rng(8)
+    shape = rng.normal(0, 1, (4, 20))
+    rows, same = [], {}
+    for day in (1, 2):
+        names = rng.permutation(4).tolist()
+        for unit, name in enumerate(names):
+            same[day, unit] = name
+            rows += [(7, day, name, i, (shape[unit] + rng.normal(0, 0.1, 20)).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "tet int, day int, c int, i int, w array<double>")
+    pair = lambda a, b: {(r.cluster_a, r.cluster_b) for r in V.matched_clusters(df, spark.createDataFrame([(a, b)], "a int, b int"), ["tet"], "day", "c", "i", "w", 3).collect()}
+    assert pair(1, 2) == {(same[1, u], same[2, u]) for u in range(4)} == {(b, a) for a, b in pair(2, 1)}
+
+
+def test_shares_of_exposure_are_piecewise_linear(spark):
+    pieces = spark.createDataFrame([(1, 0.0, 0.25, 0.0), (1, 0.25, 0.5, 3.0), (1, 0.5, 1.0, 0.5)], "k int, start double, stop double, weight double")
+    values = spark.createDataFrame([(1, 0, 0.1), (1, 1, 0.25), (1, 2, 3.375), (1, 3, -0.5), (1, 4, 0.75), (1, 5, None), (2, 6, 0.3)], "k int, i int, x double")
+    got = {r.i: r.share for r in G.exposure_share(values, pieces, ["k"], "x").collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 0.375, 3: 0.75, 4: 0.875, 5: None, 6: None}
+
+
+def test_stitched_times_go_back_across_buckets(spark):
+    stitches = spark.createDataFrame([("a", 0, 100), ("b", 100, 5000), ("c", 5000, 5001)], "recording string, lo long, hi long")
+    spikes = spark.createDataFrame([(0,), (1,), (100,), (101,), (4999,), (5000,), (5001,), (6000,)], "t long")
+    got = sorted((r.recording, r.t_local) for r in J.split_stitched(spikes, stitches, 64).collect())
+    assert got == [("a", 1), ("a", 100), ("b", 1), ("b", 4899), ("b", 4900), ("c", 1)]
