@@ -56,6 +56,15 @@ def matrix_rows(column: str) -> Column:
     return F.flatten(F.transform(column, lambda line, i: F.transform(line, lambda v, j: F.struct(i.alias("row"), j.alias("col"), v.alias("value")))))
 
 
+def session_parts(name: str) -> dict[str, Column]:
+    """animal, day and stamp of a session named animal_yyyy-MM-dd_HH-mm-ss_more; null where the name has another form or no such date."""
+    form = r"^([^_]+)_(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})(_|$)"
+    part = lambda k: F.regexp_extract(name, form, k)
+    stamp = F.try_to_timestamp(F.concat(part(2), F.lit(" "), part(3)), F.lit("yyyy-MM-dd HH-mm-ss"))
+    fits = F.regexp_like(name, F.lit(form)) & stamp.isNotNull()
+    return {"animal": F.when(fits, part(1)), "day": F.when(fits, stamp.cast("date")), "stamp": F.when(fits, stamp)}
+
+
 def tag_values(tags: str) -> dict[str, Column]:
     """Running parameters in a '*'-separated tag string, with their defaults."""
     m = F.str_to_map(F.coalesce(F.col(tags), F.lit("")), F.lit(r"\*"), F.lit("="))

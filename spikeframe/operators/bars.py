@@ -14,6 +14,13 @@ def bar_rates(counts: DataFrame, whose: DataFrame, time: DataFrame, keys, sessio
     return grid.join(counts, [*keys, bar], "left").select(*keys, bar, (F.coalesce("n", F.lit(0)) / F.col("o")).alias("rate"))
 
 
+def bar_spread(shuffled: DataFrame, keys, bar: str, value: str = "rate") -> DataFrame:
+    """(keys, bar, mean, sd, low, high, up, down) over shuffles that all have every bar: 5th and 95th percentile, and their distances from the mean as error bars."""
+    out = shuffled.groupBy(*keys, bar).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("__q"))
+    low, high = F.col("__q")[0], F.col("__q")[1]
+    return out.select(*keys, bar, "mean", "sd", low.alias("low"), high.alias("high"), (high - F.col("mean")).alias("up"), (F.col("mean") - low).alias("down"))
+
+
 def two_tailed(below: Column, at_most: Column, n: Column) -> Column:
     """p of a score with so many of n others below it, and at most as high: twice the smaller tail of its percentile, 1 at most."""
     share = (below + at_most) / (2.0 * n)

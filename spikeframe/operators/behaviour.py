@@ -42,13 +42,28 @@ def running(df: DataFrame, keys, order, cut: float, x="x", y="y", t="t") -> Data
     return df.withColumn("step", (back + ahead) / 2).withColumn("running", F.coalesce(F.col("step") > cut, F.lit(False)))
 
 
-def interpolate(df: DataFrame, keys, order, column: str, row="idx") -> DataFrame:
-    """Linear by row number between known values; leading gaps stay null, trailing ones hold the last value."""
-    known = F.last(F.when(F.col(column).isNotNull(), F.struct(F.col(row).alias("i"), F.col(column).alias("v"))), ignorenulls=True)
-    df = df.withColumns({"__a": known.over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0)), "__b": known.over(onward(keys, order))})
-    line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * F.try_divide(F.col(row) - F.col("__a.i"), F.col("__b.i") - F.col("__a.i"))
-    value = F.when(F.col(column).isNotNull(), F.col(column)).otherwise(F.coalesce(line, F.when(F.col("__b").isNull(), F.col("__a.v"))))
-    return df.withColumn(column, value).drop("__a", "__b")
+def interpolate(df: DataFrame, keys, order, column: str | list[str], row="idx") -> DataFrame:
+    """Linear by row number between known values; leading gaps stay null, trailing ones hold the last value. Several columns share one sort each way."""
+    columns = [column] if isinstance(column, str) else column
+    before, after, found, filled = over(keys, order).rowsBetween(Window.unboundedPreceding, 0), onward(keys, order), {}, {}
+    for k, c in enumerate(columns):
+        known = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(row).alias("i"), F.col(c).alias("v"))), ignorenulls=True)
+        found |= {f"__a{k}": known.over(before), f"__b{k}": known.over(after)}
+        a, b = F.col(f"__a{k}"), F.col(f"__b{k}")
+        line = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col(row) - a["i"], b["i"] - a["i"])
+        filled[c] = F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.coalesce(line, F.when(b.isNull(), a["v"])))
+    return df.withColumns(found).withColumns(filled).drop(*found)
+
+
+def bead_tracking(df: DataFrame, keys, order, row="idx", left=("x_left", "y_left"), right=("x_right", "y_right")) -> DataFrame:
+    """x and y, the middle of both beads, and hd, the direction from the left bead to the right one in degrees.
+
+    Where a bead is missing all three are interpolated by row number, hd along the line and not the circle.
+    """
+    (xl, yl), (xr, yr) = left, right
+    hd = F.degrees(F.atan2(F.col(yr) - F.col(yl), F.col(xr) - F.col(xl)))
+    df = df.withColumns({"x": (F.col(xl) + F.col(xr)) / 2, "y": (F.col(yl) + F.col(yr)) / 2, "hd": hd})
+    return interpolate(df, keys, order, ["x", "y", "hd"], row)
 
 
 def heading(df: DataFrame, keys, order, x="x", y="y", out="heading", pad=True) -> DataFrame:

@@ -53,6 +53,15 @@ def zones(df: DataFrame, x: str, bounds: dict[str, tuple[float, float]]) -> Data
     return df.withColumn("zone", F.explode(F.array_compact(F.array(*hit))))
 
 
+def population_fields(fields: DataFrame, types: DataFrame, cell_keys, accepted: str = "accepted", spikes: str = "n_spikes", least: int = 400, wanted=("grid",), border: bool | None = None) -> DataFrame:
+    """Fields that enter a comparison of populations: accepted, of a cell whose type (types: cell_keys, cell_type) is wanted, with more than least spikes.
+
+    border: only fields with that value of the column border. Nulls count as not met.
+    """
+    kept = fields.join(types.select(*cell_keys, "cell_type"), list(cell_keys)).where(F.col(accepted) & F.col("cell_type").isin(*wanted) & (F.col(spikes) > least))
+    return kept if border is None else kept.where(F.col("border") == border)
+
+
 def border_fields(bins: DataFrame, keys, extent: DataFrame, map_keys) -> DataFrame:
     """border: whether a field has a bin in the first or last row or column of its map (extent: nx and ny by map_keys)."""
     edge = (F.col("bin_x") == 0) | (F.col("bin_y") == 0) | (F.col("bin_x") == F.col("nx") - 1) | (F.col("bin_y") == F.col("ny") - 1)
@@ -60,32 +69,64 @@ def border_fields(bins: DataFrame, keys, extent: DataFrame, map_keys) -> DataFra
 
 
 def square_arena(df: DataFrame, keys, x: str, y: str) -> DataFrame:
-    """Drops the less populated 1-pixel edge of the longer axis until both extents are equal.
+    """Drops the less populated 1-pixel edge of the longer axis until both extents, by rounded pixels, are equal; of equal edges the left or the upper one. Null positions go.
 
-    The loop runs on the counts of whole pixels of one session, not on its samples. Null positions go.
+    The left edge is what lies below the lowest rounded pixel + 1, the right one what lies above the highest - 1. Where a position falls depends on its whole
+    number and on its fraction being 0, below, at or above a half, so a session is the counts of such cells. A cell is visited once, when its edge goes.
     """
-    names = [f.name for f in df.select(*keys).schema]
-    px = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.round(x).cast("long").alias("__x"), F.round(y).cast("long").alias("__y"))
-    counts = px.groupBy(*keys, "__x", "__y").agg(F.count("*").alias("__n"))
-
-    def bounds(pdf):
-        first = pdf.iloc[0]
-        while len(pdf):
-            low, high = pdf[["__x", "__y"]].min(), pdf[["__x", "__y"]].max()
-            wide = high - low
-            if wide["__x"] == wide["__y"]:
+    import numpy as np
+    import pandas as pd
+
+    def cell(c: str) -> Column:
+        low = F.floor(c)
+        part = F.col(c) - low
+        return low * 4 + F.when(part == 0, 0).when(part < 0.5, 1).when(part == 0.5, 2).otherwise(3)
+
+    def nearest(at: int) -> int:
+        low, part = divmod(int(at), 4)
+        return low + (part == 3 or (part == 2 and low % 2 == 1))
+
+    schema = df.select(*keys).schema
+    names = [f.name for f in schema]
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"__x": cell(x), "__y": cell(y)})
+    counts = known.groupBy(*keys, "__x", "__y").agg(F.count("*").alias("__n"))
+
+    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, alive = pdf["__n"].to_numpy(np.int64), np.ones(len(pdf), bool)
+        values, at = zip(*(np.unique(pdf[c], return_inverse=True) for c in ("__x", "__y")), strict=True)
+        order = [np.argsort(a, kind="stable") for a in at]
+        starts = [np.searchsorted(a[o], np.arange(len(v) + 1)) for a, o, v in zip(at, order, values, strict=True)]
+        sums = [np.zeros(len(v), np.int64) for v in values]
+        for k in (0, 1):
+            np.add.at(sums[k], at[k], n)
+        low, high = [0, 0], [len(v) - 1 for v in values]
+        while True:
+            for k in (0, 1):
+                while low[k] <= high[k] and not sums[k][low[k]]:
+                    low[k] += 1
+                while low[k] <= high[k] and not sums[k][high[k]]:
+                    high[k] -= 1
+            if low[0] > high[0]:
+                return pd.DataFrame({**{c: pdf[c].iloc[:0] for c in names}, **{c: pd.Series(dtype="int64") for c in ("x0", "x1", "y0", "y1")}})
+            ends = [(nearest(values[k][low[k]]), nearest(values[k][high[k]])) for k in (0, 1)]
+            wide = [b - a for a, b in ends]
+            if wide[0] == wide[1]:
                 break
-            axis = "__x" if wide["__x"] > wide["__y"] else "__y"
-            at_low, at_high = (pdf.loc[pdf[axis] == v, "__n"].sum() for v in (low[axis], high[axis]))
-            pdf = pdf[pdf[axis] != (low[axis] if at_low <= at_high else high[axis])]
-        import pandas as pd
-
-        return pd.DataFrame([[*(first[k] for k in names), *pdf["__x"].agg(["min", "max"]), *pdf["__y"].agg(["min", "max"])]], columns=[*names, "x0", "x1", "y0", "y1"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", x0 long, x1 long, y0 long, y1 long"
-    limits = counts.groupBy(*keys).applyInPandas(bounds, schema)
-    kept = df.join(limits, keys).where(F.round(x).between(F.col("x0"), F.col("x1")) & F.round(y).between(F.col("y0"), F.col("y1")))
-    return kept.drop("x0", "x1", "y0", "y1")
+            k = int(wide[1] > wide[0])
+            first, last = np.searchsorted(values[k], 4 * (ends[k][0] + 1)), np.searchsorted(values[k], 4 * (ends[k][1] - 1), "right")
+            at_low, at_high = sums[k][low[k] : first].sum(), sums[k][last : high[k] + 1].sum()
+            gone = (low[k], first) if (at_low < at_high or (at_low == at_high and k == 0)) else (last, high[k] + 1)
+            rows = order[k][starts[k][gone[0]] : starts[k][gone[1]]]
+            rows = rows[alive[rows]]
+            alive[rows] = False
+            np.subtract.at(sums[1 - k], at[1 - k][rows], n[rows])
+            sums[k][gone[0] : gone[1]] = 0
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in names), values[0][low[0]], values[0][high[0]], values[1][low[1]], values[1][high[1]]]], columns=[*names, "x0", "x1", "y0", "y1"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    limits = counts.groupBy(*keys).applyInPandas(bounds, f"{kinds}, x0 long, x1 long, y0 long, y1 long")
+    kept = known.join(limits, list(keys)).where(F.col("__x").between(F.col("x0"), F.col("x1")) & F.col("__y").between(F.col("y0"), F.col("y1")))
+    return kept.drop("__x", "__y", "x0", "x1", "y0", "y1")
 
 
 def curated(clusters: DataFrame, isolation: float = 0.9, overlap: float = 0.05, snr: float = 1.0, manual: str | None = None) -> DataFrame:

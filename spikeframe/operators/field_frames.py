@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import distributions
 from ..functions.scalar import safe_corr
+from .responses import best_rotation
+from .similarity import circular_linear, pairwise_correlation
 
 
 def field_frame(field_bins: DataFrame, spikes_in: DataFrame, samples_in: DataFrame, keys) -> DataFrame:
@@ -48,6 +51,39 @@ def between_fields(rates: DataFrame, keys, item: str = "field_id", least: float
     return pairs.groupBy(*keys, "a", "b").agg(safe_corr("__a", "__b").alias("r"))
 
 
+def within_and_between(rates: DataFrame, keys, item: str = "field_id", least: float = 0.4) -> DataFrame:
+    """(keys, sample, r): correlations of both halves of the fields that reach least (sample 0), and of halves of different such fields of a cell (sample 1), for two-sample tests."""
+    own = half_correlation(rates, [*keys, item]).where(F.col("r") >= least).select(*keys, F.lit(0).alias("sample"), "r")
+    return own.union(between_fields(rates, keys, item, least).select(*keys, F.lit(1).alias("sample"), "r").where(F.col("r").isNotNull()))
+
+
+def field_pairs(rates: DataFrame, field_bins: DataFrame, keys, item: str, bins: int, value: str = "ratio") -> DataFrame:
+    """(keys, a, b, r, distance, turn): each two fields of a cell (a < b) with the correlation of their direction rates, the distance of their middles in bins of the map, and the
+    turn of b in direction bins with the highest correlation.
+
+    A field's middle is the median of its distinct columns and that of its rows, without their fractions. turn is null where no turn has a correlation.
+    """
+    middle = lambda c: F.floor((F.element_at(c, ((F.size(c) + 1) / 2).cast("int")) + F.element_at(c, (F.size(c) / 2).cast("int") + 1)) / 2)
+    spots = field_bins.groupBy(*keys, item).agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in ("bin_x", "bin_y")))
+    spots = spots.select(*keys, item, middle("bin_x").alias("x"), middle("bin_y").alias("y"))
+    side = lambda n: spots.select(*keys, F.col(item).alias(n), F.col("x").alias(f"__x{n}"), F.col("y").alias(f"__y{n}"))
+    apart = F.hypot((F.col("__xa") - F.col("__xb")).cast("double"), (F.col("__ya") - F.col("__yb")).cast("double"))
+    far = side("a").join(side("b"), list(keys)).where("a < b").select(*keys, "a", "b", apart.alias("distance"))
+    turned = best_rotation(rates, keys, item, "bin", bins, value).select(*keys, "a", "b", F.when(F.col("r").isNotNull(), F.col("turn")).alias("turn"))
+    same = [*keys, "a", "b"]
+    return pairwise_correlation(rates, keys, item, "bin", value).join(far, same).join(turned, same)
+
+
+def pair_trends(pairs: DataFrame, keys, bins: int) -> DataFrame:
+    """(keys, n, r, p, rho, rho_p) over pairs of fields with a correlation: that of distance with similarity, and the circular-linear one of the best turn with distance."""
+    known = pairs.where(F.col("r").isNotNull() & F.col("turn").isNotNull()).withColumn("angle", F.col("turn") * (360.0 / bins))
+    line = known.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr("distance", "r").alias("r"))
+    t = F.try_divide(F.col("r") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0)).cast("double")), F.sqrt(1 - F.col("r") * F.col("r")))
+    line = line.withColumn("__t", t).withColumn("p", distributions.student_p("__t", F.col("n").cast("double") - 2)).drop("__t")
+    turn = circular_linear(known, keys, "angle", "distance").select(*keys, "rho", F.col("p").alias("rho_p"))
+    return line.join(turn, list(keys))
+
+
 def against_shuffles(observed: DataFrame, shuffled: DataFrame, keys, value: str = "r") -> DataFrame:
     """(keys, observed, mean, sd, percentile): where the observed value lies among those of shuffles that have one."""
     both = observed.select(*keys, F.col(value).alias("observed")).join(shuffled.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v")), list(keys))

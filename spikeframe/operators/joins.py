@@ -61,12 +61,24 @@ def split_stitched(spikes: DataFrame, stitches: DataFrame, width: int = 1 << 22)
     return hit.where((F.col("t") > F.col("lo")) & (F.col("t") <= F.col("hi"))).withColumn("t_local", F.col("t") - F.col("lo")).drop("__b")
 
 
-def correlogram(a: DataFrame, b: DataFrame, keys, window: int, bin_size: int) -> DataFrame:
-    """Counts of b around a by lag bin, within window either way; equal times of the two are left out."""
+def correlogram(a: DataFrame, b: DataFrame, keys, window: int, bin_size: int, items=()) -> DataFrame:
+    """Counts of b around a by lag bin, within window either way; equal times of the two are left out. items: further columns of a or b to count by."""
     bb = b.withColumn("bucket", F.explode(F.array(*(F.floor(F.col("tb") / window) + d for d in (-1, 0, 1)))))
     hit = a.withColumn("bucket", F.floor(F.col("ta") / window)).join(bb, [*keys, "bucket"])
     lag = F.col("tb") - F.col("ta")
-    return hit.where((F.abs(lag) <= window) & (lag != 0)).groupBy(*keys, F.floor(lag / bin_size).alias("lag_bin")).agg(F.count("*").alias("n"))
+    return hit.where((F.abs(lag) <= window) & (lag != 0)).groupBy(*keys, *items, F.floor(lag / bin_size).alias("lag_bin")).agg(F.count("*").alias("n"))
+
+
+def tetrode_correlograms(spikes: DataFrame, session_keys, tetrode: str, cluster: str, t: str, window: int, bin_size: int, rate: float = 30000.0) -> DataFrame:
+    """(session_keys, tetrode, a, b, lag_bin, n, rate): cross- and auto-correlograms of all clusters of a tetrode, in Hz: counts by the spikes of a and the bin's seconds."""
+    side = lambda name: spikes.select(*session_keys, tetrode, F.col(cluster).alias(name), F.col(t).alias(f"t{name}"))
+    a, keys = side("a"), [*session_keys, tetrode]
+    return correlogram_rates(correlogram(a, side("b"), keys, window, bin_size, ("a", "b")), a, [*keys, "a"], bin_size / rate)
+
+
+def at_index(rows: DataFrame, values: DataFrame, keys, t: str, rate: float, row: str = "pos_idx") -> DataFrame:
+    """rows with the columns of values (keys, row and more) at the sample of their time: time by rate, rounded half to even. Rows without a sample go."""
+    return rows.withColumn(row, F.bround(F.col(t) * rate).cast("long")).join(values, [*keys, row])
 
 
 def normalised(counts: DataFrame, keys, n: str = "n") -> DataFrame:

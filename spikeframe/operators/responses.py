@@ -168,6 +168,19 @@ def around_pulses(spikes: DataFrame, pulses: DataFrame, session_keys, reach: int
     return hit.where((F.col("offset") >= -reach) & (F.col("offset") < reach)).drop("__b")
 
 
+def peristimulus_rates(around: DataFrame, pulses: DataFrame, session_keys, cell_keys, half: int, bins: int = 100, rate: float = 30000.0) -> DataFrame:
+    """(cell_keys, bin, n, hz): spikes of all pulses in equal bins from half samples before a pulse to half after it, and hz by the bin's seconds and the session's pulses.
+
+    around: see around_pulses; each of its cells has all bins. A smaller half than the reach of around is the zoom on the pulse.
+    """
+    width = 2 * half / bins
+    counts = around.where((F.col("offset") >= -half) & (F.col("offset") < half)).groupBy(*cell_keys, F.floor((F.col("offset") + half) / width).alias("bin")).agg(F.count("*").alias("n"))
+    trials = pulses.groupBy(*session_keys).agg(F.count("*").alias("__k"))
+    grid = around.select(*cell_keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    out = grid.join(counts, [*cell_keys, "bin"], "left").join(trials, list(session_keys)).na.fill(0, ["n"])
+    return out.select(*cell_keys, "bin", "n", (F.col("n") / (width / rate) / F.col("__k")).alias("hz"))
+
+
 def activation(around: DataFrame, cell_keys, side_ms: int, per_ms: int) -> DataFrame:
     """(cell_keys, start, end) in ms after the pulse: the first run of 1-ms bins with more spikes than the mean + 2 sd of the side_ms bins before it; single bins below don't end a run. Both 0 where no bin is above."""
     bins = around.select(*cell_keys).distinct().withColumn("ms", F.explode(F.sequence(F.lit(-side_ms), F.lit(side_ms - 1))))

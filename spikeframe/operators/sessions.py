@@ -59,6 +59,27 @@ def stitched(recordings: DataFrame, keys, order: str, length: str) -> DataFrame:
     return recordings.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)))
 
 
+def stitched_signals(signals: DataFrame, recordings: DataFrame, keys, recording: str, length: str, t: str = "t", out: str = "t_global") -> DataFrame:
+    """Samples (recording, t and more) of a group's recordings on one time axis; recordings: keys, recording, length."""
+    starts = stitched(recordings, keys, recording, length).select(*keys, recording, F.col("offset").alias("__off"))
+    return signals.join(starts, recording).withColumn(out, F.col(t) + F.col("__off")).drop("__off")
+
+
+def resampled_sync(ephys: DataFrame, tracking: DataFrame, keys, index: str, t: str, frame_t: str) -> DataFrame:
+    """Rows of ephys at the rate of tracking: frame k from 0 has the row whose index is k * ratio without its fraction, ratio being the mean time between frames by that between rows.
+
+    index: from 0 without gaps. A row finds the frames that it is for by itself, so only the two rates are joined; frames end with the rows.
+    """
+    gap = lambda c: F.try_divide(F.max(c) - F.min(c), (F.count("*") - 1).cast("double"))
+    rows = ephys.groupBy(*keys).agg(gap(t).alias("__e"), F.count("*").alias("__n"))
+    both = rows.join(tracking.groupBy(*keys).agg(gap(frame_t).alias("__v")), list(keys)).withColumn("__ratio", F.try_divide(F.col("__v"), F.col("__e"))).where("__ratio > 0")
+    df = ephys.join(both.select(*keys, "__ratio", F.floor(F.col("__n") / F.col("__ratio")).alias("__frames")), list(keys))
+    i, ratio = F.col(index), F.col("__ratio")
+    near = F.sequence(F.floor(i / ratio) - 1, F.floor((i + 1) / ratio) + 1)
+    mine = F.filter(near, lambda k: (k >= 0) & (k < F.col("__frames")) & (F.floor(k * ratio) == i))
+    return df.withColumn("frame", F.explode(mine)).drop("__ratio", "__frames")
+
+
 def halves(df: DataFrame, keys, t: str) -> DataFrame:
     """half: 1 before the middle of the session's time, else 2."""
     span = df.groupBy(*keys).agg(((F.max(t) + F.min(t)) / 2).alias("__mid"))
@@ -85,6 +106,29 @@ def goal_location(df: DataFrame, keys, x: str, in_goal: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.coalesce((F.max(inside) + F.min(inside)) / 2, F.lit(0.0)).alias("goal"))
 
 
+def goal_offset(df: DataFrame, keys, order, x: str, in_goal: Column) -> DataFrame:
+    """goal: the middle of a trial's (keys) positions inside the goal, 0 where there are none; offset: x - goal; edge: 1 where a row enters or leaves the goal, else 0."""
+    whole = Window.partitionBy(*keys)
+    df = df.withColumn("__in", F.coalesce(in_goal, F.lit(False)))
+    inside, now = F.when(F.col("__in"), F.col(x)), F.col("__in").cast("int")
+    goal = F.coalesce((F.max(inside).over(whole) + F.min(inside).over(whole)) / 2, F.lit(0.0))
+    edge = F.coalesce(F.abs(now - F.lag(now).over(over(keys, order))), F.lit(0))
+    return df.withColumns({"goal": goal, "edge": edge}).withColumn("offset", F.col(x) - F.col("goal")).drop("__in")
+
+
+def spaced_stops(stops: DataFrame, keys, at: str, least: float) -> DataFrame:
+    """Stops without those at most least after the stop before them, whether that one stays or not; nulls go."""
+    gap = F.col(at) - F.lag(at).over(over(keys, [at]))
+    return stops.where(F.col(at).isNotNull()).withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > least)).drop("__gap")
+
+
+def first_stops(starts: DataFrame, stops: DataFrame, keys, at: str) -> DataFrame:
+    """(keys, at, stop): for each start the first stop at or after it; starts without one go."""
+    both = starts.select(*keys, F.col(at).alias("__t"), F.lit(0).alias("__p")).union(stops.select(*keys, at, F.lit(1)))
+    following = F.last(F.when(F.col("__p") == 1, F.col("__t")), ignorenulls=True).over(onward(keys, ["__t", "__p"]))
+    return both.withColumn("stop", following).where("__p = 0 and stop is not null").select(*keys, F.col("__t").alias(at), "stop")
+
+
 def run_starts(df: DataFrame, keys, order, condition: Column) -> DataFrame:
     """Rows that meet the condition and whose predecessor doesn't."""
     met = F.coalesce(condition, F.lit(False))

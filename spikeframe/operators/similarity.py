@@ -63,6 +63,21 @@ def smoothed_speed_score(spikes: DataFrame, position: DataFrame, session_keys, c
     return per.select(*cell_keys, "speed_score", distributions.student_p("__t", n - 2).alias("p"))
 
 
+def speed_rates(spikes: DataFrame, samples: DataFrame, session_keys, cell_keys, speed: str, share: float = 0.005, rate: float = 30.0) -> DataFrame:
+    """(cell_keys, bin, n, rate in Hz) by bins of speed of width 1 that hold more than share of the session's samples; bins without spikes count 0.
+
+    The highest bin holds its upper end too. Rows without a speed are left out.
+    """
+    known = F.col(speed).isNotNull() & ~F.isnan(F.col(speed).cast("double"))
+    span = samples.where(known).groupBy(*session_keys).agg(F.floor(F.min(speed)).alias("__low"), F.ceil(F.max(speed)).alias("__top"), F.count("*").alias("__all")).where("__top > __low")
+    at = F.least(F.floor(speed), F.col("__top") - 1).alias("bin")
+    count = lambda df, keys, name: df.where(known).join(span, list(session_keys)).groupBy(*keys, "__all", at).agg(F.count("*").alias(name))
+    seen = count(samples, session_keys, "__o").where(F.col("__o") > share * F.col("__all")).drop("__all")
+    grid = spikes.select(*cell_keys).distinct().join(seen, list(session_keys)).join(count(spikes, cell_keys, "__n").drop("__all"), [*cell_keys, "bin"], "left")
+    n = F.coalesce("__n", F.lit(0).cast("long"))
+    return grid.select(*cell_keys, "bin", n.alias("n"), (n / F.col("__o") * rate).alias("rate"))
+
+
 def map_stability(spikes: DataFrame, position: DataFrame, session_keys, cell_keys, bin_px: float, smooth: float, dt: float, least: int, gather: bool = False) -> DataFrame:
     """(cell_keys, r, excluded): correlation of a cell's kernel maps of both halves over bins with occupancy in both, and the percentage of bins that have it in one half only."""
     rates = maps.rate_map(spikes, position, [*cell_keys, "half"], [*session_keys, "half"], bin_px, smooth, dt, least, gather=gather)

@@ -14,6 +14,14 @@ def circular_mean(df: DataFrame, keys, angle: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.degrees(F.atan2(s, c)).alias("mean_angle"), F.sqrt(-2 * F.log(F.hypot(s, c))).alias("circular_sd"))
 
 
+def modes_spread(modes: DataFrame, keys, item: str, angle: str) -> DataFrame:
+    """(keys, items, sd): circular standard deviation in degrees of all modes of a group, null unless two items or more have a mode. A mean vector below 1e-12 counts as 1e-12."""
+    a, known = F.radians(angle), F.col(angle).isNotNull()
+    length = F.least(F.lit(1.0), F.greatest(F.lit(1e-12), F.hypot(F.avg(F.sin(a)), F.avg(F.cos(a)))))
+    out = modes.groupBy(*keys).agg(F.countDistinct(F.when(known, F.col(item))).alias("items"), F.degrees(F.sqrt(-2 * F.log(length))).alias("sd"))
+    return out.withColumn("sd", F.when(F.col("items") > 1, F.col("sd")))
+
+
 def rayleigh(hist: DataFrame, keys, value="n") -> DataFrame:
     """Rayleigh p (Zar's form) from a 360-bin histogram as weights."""
     a = F.radians(F.col("bin") - 179.0)

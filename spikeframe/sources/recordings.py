@@ -130,6 +130,12 @@ def curated_clusters(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     return groups.join(info, keys).withColumn("unsorted", F.col("cluster_group") == "unsorted"), lost
 
 
+def with_curated(cells: DataFrame, curated: DataFrame, session_keys) -> DataFrame:
+    """Cells of the sorted sessions, and the cells curated by hand of sessions that have no sorting."""
+    missing = curated.join(cells.select(*session_keys).distinct(), list(session_keys), "left_anti")
+    return cells.unionByName(missing.select(*cells.columns))
+
+
 def pulse_series(parameters: DataFrame, pulses: DataFrame, keys, order: str) -> DataFrame:
     """Pulses (keys, pulse_id from 1) with the parameters of the series they lie in; parameters: keys, order, pulses (how many) and what is to be copied. Later pulses go."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -10,7 +10,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from spikeframe.plans import analysis, extended, preparation, registry, responses, scores  # noqa: E402, F401
+from spikeframe.plans import analysis, extended, populations, preparation, registry, responses, scores  # noqa: E402, F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
