@@ -258,8 +258,8 @@ def c16_modes_spread(spark, d):
 SAFE6 = "CASE WHEN var_pop({0}) > 1e-20 * pow(avg({0}), 2) AND var_pop({1}) > 1e-20 * pow(avg({1}), 2) THEN round(corr({0}, {1}), 6) END"
 PAIRS = BLOCKS + f""", sc AS (SELECT {FIELDS_}, {DIR}, count(*) AS n FROM inside GROUP BY ALL), oc AS (SELECT {FIELDS_}, {DIR}, count(*) AS o FROM around GROUP BY ALL), g_ AS (SELECT DISTINCT {FIELDS_}, r.bin FROM inside, range(20) r(bin)),
  rates AS MATERIALIZED (SELECT g_.*, coalesce(coalesce(n, 0) / o, 0) AS ratio FROM g_ LEFT JOIN sc USING ({FIELDS_}, bin) LEFT JOIN oc USING ({FIELDS_}, bin)),
- turns AS (SELECT a.session_id, a.cluster_id, a.field_id AS a, b.field_id AS b, CAST(k AS INT) AS turn, {SAFE6.format("a.ratio", "b.ratio")} AS r FROM rates a JOIN rates b ON a.session_id = b.session_id AND a.cluster_id = b.cluster_id AND a.field_id < b.field_id JOIN range(20) t(k) ON a.bin = (b.bin + k) % 20 GROUP BY ALL),
- best AS (SELECT *, row_number() OVER (PARTITION BY {CELLS_}, a, b ORDER BY r DESC NULLS LAST, turn) AS k FROM turns), own AS (SELECT {CELLS_}, a, b, r FROM turns WHERE turn = 0),
+ turns AS (SELECT a.session_id, a.cluster_id, a.field_id AS a, b.field_id AS b, CAST(k AS INT) AS turn, {SAFE6.format("a.ratio", "b.ratio")} AS r, corr(a.ratio, b.ratio) AS raw FROM rates a JOIN rates b ON a.session_id = b.session_id AND a.cluster_id = b.cluster_id AND a.field_id < b.field_id JOIN range(20) t(k) ON a.bin = (b.bin + k) % 20 GROUP BY ALL),
+ best AS (SELECT *, row_number() OVER (PARTITION BY {CELLS_}, a, b ORDER BY r DESC NULLS LAST, turn) AS k FROM turns), own AS (SELECT {CELLS_}, a, b, CASE WHEN r IS NOT NULL THEN raw END AS r FROM turns WHERE turn = 0),
  mid AS (SELECT {FIELDS_}, floor(median(DISTINCT bin_x)) AS x, floor(median(DISTINCT bin_y)) AS y FROM fields GROUP BY ALL),
  pairs AS (SELECT {CELLS_}, a, b, own.r, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS distance, CASE WHEN best.r IS NOT NULL THEN turn END AS turn FROM own JOIN best USING ({CELLS_}, a, b) JOIN mid p USING ({CELLS_}) JOIN mid q USING ({CELLS_}) WHERE best.k = 1 AND p.field_id = a AND q.field_id = b)"""
 
@@ -271,7 +271,7 @@ def place_pairs(spark, d):
 
 @query(PAIRS + f" SELECT {CELLS_}, a, b, round(r, 4) AS r, round(distance, 5) AS distance, turn FROM pairs")
 def c29_field_pairs(spark, d):
-    return place_pairs(spark, d).select(*CELL, "a", "b", F.round(F.round("r", 6), 4).alias("r"), *r5("distance"), "turn")
+    return place_pairs(spark, d).select(*CELL, "a", "b", F.round("r", 4).alias("r"), *r5("distance"), "turn")
 
 
 @query(PAIRS + """, k_ AS (SELECT session_id % 2 AS animal, r, distance, cos(radians(turn * 18.0::DOUBLE)) AS c, sin(radians(turn * 18.0::DOUBLE)) AS s FROM pairs WHERE r IS NOT NULL AND turn IS NOT NULL),
