@@ -90,7 +90,9 @@ WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), l
  r AS (SELECT doc_id, {TEXT} AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
  k AS (SELECT doc_id, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, CASE WHEN t = '' THEN 0 ELSE {_CRC.format("t")} END AS text_crc32, CAST(('0x' || substr(md5(t), 1, 15)) AS BIGINT) AS key, lang, source FROM r, crc),
  g AS (SELECT doc_id, size, text_crc32, key, min(lang) OVER p AS lang, min(source) OVER p AS source FROM k WINDOW p AS (PARTITION BY size, text_crc32, key)),
- h0 AS (SELECT g.*, {_CRC.format("lang")} % {top + 1} AS d0, {_CRC.format("source")} % {top + 1} AS d1, least({top}, CAST(floor(log2(size) * 2) AS BIGINT)) AS d2 FROM g, crc),
+ c AS (SELECT count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources FROM g),
+ o AS (SELECT *, dense_rank() OVER (ORDER BY lang) - 1 AS lang_rank, dense_rank() OVER (ORDER BY source) - 1 AS source_rank FROM g),
+ h0 AS (SELECT o.*, CASE WHEN langs > {top + 1} THEN lang_rank * {top + 1} // langs ELSE lang_rank END AS d0, CASE WHEN sources > {top + 1} THEN source_rank * {top + 1} // sources ELSE source_rank END AS d1, least({top}, CAST(floor(log2(size) * 2) AS BIGINT)) AS d2 FROM o, c),
  {", ".join(steps)},
  z AS (SELECT *, {turn} AS turn FROM {last}),
  n AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY {index}, text_crc32, key, doc_id) - 1 AS rank, count(*) OVER () AS total FROM z)

@@ -1,6 +1,7 @@
 """Shards along a Hilbert curve over metadata dimensions. DataFrame functions only.
 
-Language, source and size are quantised to BITS bits each; rows are sorted by the curve index (then
+Language, source and size are quantised to BITS bits each (names by their rank, so no two names share
+a cell unless there are more names than cells, and then only neighbours do); rows are sorted by the curve index (then
 by text, then by id) and cut into runs of equal row counts, so each shard covers a compact piece of
 the metadata space and file statistics prune on every dimension. Equal texts take the metadata of
 their group's smallest values and so stand together in the order.
@@ -62,6 +63,14 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return ranged.join(F.broadcast(starts), "__part").withColumn(out, F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__part", "__before")
 
 
+def name_places(rows: DataFrame, name: str, cells: int, out: str) -> DataFrame:
+    """Adds the cell, from 0 to cells - 1, of each name by its rank among the distinct names."""
+    ranked = cut(numbered(rows.select(name).distinct(), [name], "__rank"))
+    n = max(1, ranked.count())
+    cell = F.expr(f"(__rank * {cells}) div {n}") if n > cells else F.col("__rank")
+    return rows.join(bounded(ranked.select(name, cell.cast("int").alias(out))), name)
+
+
 def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, size, text_crc32, curve, shard and slot of every row; row counts of shards are at most one apart.
 
@@ -76,7 +85,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS, id_col: s
     several = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("lang").alias("glang"), F.min("source").alias("gsource")).where("n > 1")
     rows = rows.join(bounded(cut(several)), group, "left").withColumns({"lang": F.coalesce("glang", "lang"), "source": F.coalesce("gsource", "source")})
     top = (1 << bits) - 1
-    rows = rows.withColumns({"d0": F.pmod(F.crc32("lang"), F.lit(top + 1)), "d1": F.pmod(F.crc32("source"), F.lit(top + 1)), "d2": F.least(F.lit(top), F.floor(F.log2("size") * 2))})
+    rows = name_places(name_places(rows, "lang", top + 1, "d0"), "source", top + 1, "d1").withColumn("d2", F.least(F.lit(top), F.floor(F.log2("size") * 2)))
     rows = hilbert_index(rows, ["d0", "d1", "d2"], bits, "curve").select("doc_id", "size", "text_crc32", "key", "curve")
     ranked = numbered(rows, ["curve", "text_crc32", "key", "doc_id"], "rank")
     total = docs.count()

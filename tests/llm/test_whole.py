@@ -282,3 +282,10 @@ def test_repeated_rows_and_ties_are_packed_and_sharded_whole(spark):
     assert len(p) == 1500 and p.groupby("sequence_id").length.sum().max() <= 2048 and p.sequence_id.nunique() <= 1.2 * p.length.sum() / 2048 + 3
     s = sharding.hilbert_shards(docs, 8).toPandas().groupby("shard").slot.agg(["size", "max", "nunique"])
     assert s["size"].max() - s["size"].min() <= 1 and (s["max"] == s["size"] - 1).all() and (s["nunique"] == s["size"]).all()
+
+
+def test_names_have_cells_of_their_own_and_more_names_than_cells_keep_their_order(spark):
+    few = sharding.name_places(spark.createDataFrame([(f"n{i % 20}",) for i in range(500)], "name string"), "name", 32, "cell").distinct().toPandas()
+    assert len(few) == 20 and few.cell.nunique() == 20 and few.cell.max() == 19
+    many = sharding.name_places(spark.createDataFrame([(f"n{i:04d}",) for i in range(1000)], "name string"), "name", 32, "cell").toPandas().sort_values("name")
+    assert many.cell.is_monotonic_increasing and many.cell.value_counts().between(31, 32).all() and many.cell.nunique() == 32
