@@ -368,13 +368,34 @@ def x1_polar(spark, d):
     return view(spark, d, "position").select("session_id", "pos_idx", F.round(rho, 6).alias("rho"), F.round(phi, 6).alias("phi"))
 
 
-@query()
+THETA_INDEX = """+ k_ AS (SELECT d, 1.0::DOUBLE AS one, exp(-d * d / 50.0::DOUBLE) AS k FROM range(-20, 21) r(d)), kernel AS (SELECT d, k / (SELECT sum(k) FROM k_) AS k FROM k_),
+ g AS (SELECT d, sum(k) AS g FROM (SELECT d, k FROM kernel UNION ALL SELECT d + 1, k FROM kernel) GROUP BY 1),
+ f AS (SELECT k FROM range(30, 131) r(k) WHERE k BETWEEN 60 AND 100 OR k <= 50 OR k >= 110),
+ tap AS (SELECT tau, sum(g * w * cos(2 * pi() * k * i / 10000)) AS re, sum(g * w * sin(2 * pi() * k * i / 10000)) AS im, k FROM (SELECT tau, tau + d AS i, g, 0.5 - 0.5 * cos(2 * pi() * (tau + d) / 10000) AS w FROM range(-21, 10021) r(tau), g WHERE tau + d BETWEEN 0 AND 9999), f GROUP BY tau, k),
+ c AS (SELECT session_id, cluster_id, t_sample // 30 AS ms, count(*) AS n FROM spikes GROUP BY ALL),
+ e AS (SELECT session_id, cluster_id, segment, ms - 5000 * segment AS tau, n FROM c, range(0, 32) r(segment) WHERE ms - 5000 * segment BETWEEN -21 AND 10020),
+ p AS (SELECT session_id, cluster_id, segment, k, pow(sum(n * re), 2) + pow(sum(n * im), 2) AS p FROM e JOIN tap USING (tau) GROUP BY ALL),
+ h AS (SELECT session_id, cluster_id, k, sum(p) * k AS p FROM p GROUP BY session_id, cluster_id, k),
+ b AS (SELECT session_id, cluster_id, avg(p) FILTER (k BETWEEN 60 AND 100) AS theta, avg(p) FILTER (k NOT BETWEEN 60 AND 100) AS base FROM h GROUP BY ALL)
+ SELECT session_id, cluster_id, round((theta - base) / nullif(theta + base, 0), 6) AS theta_index FROM b"""
+
+
+@query(THETA_INDEX)
 def c21_theta_index(spark, d):
     s = view(spark, d, "spikes").withColumn("ms", F.floor(F.col("t_sample") / 30))
     return Z.theta_index(s, CELL, "ms", 166_667).select(*CELL, *r6("theta_index"))
 
 
-@query()
+CORRELOGRAM_THETA = """+ c AS (SELECT a.session_id, a.cluster_id, CAST(floor((b.t_sample - a.t_sample) / 30) AS BIGINT) AS lag, count(*)::DOUBLE AS n FROM spikes a JOIN spikes b ON a.session_id = b.session_id AND a.cluster_id = b.cluster_id AND abs(b.t_sample - a.t_sample) <= 30000 AND b.t_sample <> a.t_sample GROUP BY ALL),
+ v AS (SELECT session_id, cluster_id, lag + 1000 AS i, CASE WHEN lag = 0 THEN 0 ELSE n END AS v FROM c), m AS (SELECT session_id, cluster_id, sum(v) / 2001 AS mean FROM v GROUP BY ALL),
+ tap AS (SELECT i, k, (0.5 - 0.5 * cos(2 * pi() * i / 2001)) * cos(2 * pi() * k * i / 2001) AS re, (0.5 - 0.5 * cos(2 * pi() * i / 2001)) * sin(2 * pi() * k * i / 2001) AS im FROM range(0, 2001) a(i), range(1, 251) b(k)),
+ d AS (SELECT session_id, cluster_id, k, sum(v * re) AS re, sum(v * im) AS im FROM v JOIN tap USING (i) GROUP BY ALL),
+ p AS (SELECT session_id, cluster_id, k, pow(re + CASE WHEN k = 1 THEN mean * 2001 / 4 ELSE 0 END, 2) + pow(im, 2) AS p FROM d JOIN m USING (session_id, cluster_id)),
+ t AS (SELECT session_id, cluster_id, arg_max(k, (p, -k)) AS peak FROM p WHERE k * 1000 / 2001 BETWEEN 4 AND 11 GROUP BY ALL)
+ SELECT session_id, cluster_id, round(peak * 1000 / 2001, 6) AS peak_freq, avg(p) FILTER (abs(k - peak) <= 2) > 5 * avg(p) AS modulated FROM p JOIN t USING (session_id, cluster_id) GROUP BY session_id, cluster_id, peak"""
+
+
+@query(CORRELOGRAM_THETA)
 def c22_correlogram_theta(spark, d):
     from ..operators import joins as J
 
@@ -387,14 +408,28 @@ def signal_size(spark, d):
     return view(spark, d, "signal").agg(F.max("t")).first()[0] or 0
 
 
-@query()
+SPECTRUM = """+ z AS (SELECT max(t) + 1 AS size FROM signal), s AS (SELECT session_id, channel, segment, t - 30 * segment AS i, value::DOUBLE AS v, size FROM signal, z, range(-1, 1) r(b), LATERAL (SELECT t // 30 + b AS segment) WHERE segment BETWEEN 0 AND (size - 60) // 30),
+ tap AS (SELECT i, k, (0.5 - 0.5 * cos(2 * pi() * i / 60)) * cos(2 * pi() * k * i / 60) AS re, (0.5 - 0.5 * cos(2 * pi() * i / 60)) * sin(2 * pi() * k * i / 60) AS im FROM range(0, 60) a(i), range(0, 29, 4) b(k)),
+ d AS (SELECT session_id, channel, segment, k, max(size) AS size, sum(v * re) - CASE WHEN k = 0 THEN sum(v) / 2 ELSE 0 END AS re, sum(v * im) AS im FROM s JOIN tap USING (i) GROUP BY session_id, channel, segment, k)
+ SELECT session_id, channel, CAST(k // 4 AS INT) AS hz, round(sum(CASE WHEN k = 0 THEN 1 ELSE 2 END * (re * re + im * im) / (15 * 22.5::DOUBLE)) / ((max(size) - 60) // 30 + 1), 6) AS power FROM d GROUP BY session_id, channel, k"""
+
+
+@query(SPECTRUM)
 def c23_channel_spectrum(spark, d):
     s = view(spark, d, "signal")
     w = Z.welch(s, ["session_id", "channel"], "t", "value", 15.0, 60, signal_size(spark, d) + 1)
     return Z.interpolated_spectrum(w, ["session_id", "channel"], 7).select("session_id", "channel", "hz", *r6("power"))
 
 
-@query()
+EPOCH_BANDS = """+ s AS (SELECT session_id, channel, t // 30 AS epoch, t % 30 AS i, value::DOUBLE AS v FROM signal), w AS (SELECT session_id, channel, epoch FROM s GROUP BY ALL HAVING count(*) = 30),
+ tap AS (SELECT i, k, (0.5 - 0.5 * cos(2 * pi() * i / 30)) * cos(2 * pi() * k * i / 30) AS re, (0.5 - 0.5 * cos(2 * pi() * i / 30)) * sin(2 * pi() * k * i / 30) AS im FROM range(0, 30) a(i), range(1, 15) b(k) WHERE k <= 4 OR k >= 8),
+ d AS (SELECT session_id, channel, epoch, k, sum(v * re) + CASE WHEN k = 1 THEN sum(v) / 4 ELSE 0 END AS re, sum(v * im) AS im FROM s JOIN w USING (session_id, channel, epoch) JOIN tap USING (i) GROUP BY session_id, channel, epoch, k),
+ b AS (SELECT session_id, channel, epoch, avg(2 * (re * re + im * im) / (15 * 11.25::DOUBLE)) FILTER (k <= 4) AS slow, avg(2 * (re * re + im * im) / (15 * 11.25::DOUBLE)) FILTER (k >= 8) AS fast FROM d GROUP BY ALL),
+ m AS (SELECT session_id, channel, t // 30 AS epoch, avg(speed) AS mean_speed, median(speed) AS median_speed, max(speed) AS max_speed FROM signal GROUP BY ALL)
+ SELECT session_id, channel, epoch, round(slow, 6) AS slow, round(fast, 6) AS fast, round(mean_speed, 6) AS mean_speed, round(median_speed, 6) AS median_speed, round(max_speed, 6) AS max_speed FROM b JOIN m USING (session_id, channel, epoch)"""
+
+
+@query(EPOCH_BANDS)
 def c24_epoch_bands(spark, d):
     s = view(spark, d, "signal")
     bands = Z.epoch_bands(s, ["session_id", "channel"], "t", "value", 15.0, 30, {"slow": (0.5, 2), "fast": (4, 7)})
@@ -416,7 +451,15 @@ def c27_snippets(spark, d):
     return w.select("session_id", "cluster_id", "spike_idx", "tetrode", "channel", F.round(total, 4).alias("weighted"))
 
 
-@query()
+WAVEFORM_SHAPE = """+ u AS (SELECT cluster_id, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM waves), m AS (SELECT cluster_id, CAST(pos AS INT) AS pos, avg(v) AS v FROM u GROUP BY ALL),
+ t AS (SELECT cluster_id, pos AS peak, v AS height FROM m QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY abs(v) DESC, pos) = 1),
+ x AS (SELECT m.cluster_id, pos, peak, v * sign(height) AS y, CASE WHEN v * sign(height) >= abs(height) / 2 THEN 1 ELSE -1 END AS side FROM m JOIN t ON m.cluster_id = t.cluster_id),
+ o AS (SELECT *, side <> lag(side) OVER (PARTITION BY cluster_id ORDER BY pos) AS crosses FROM x), g AS (SELECT cluster_id, pos - lag(pos) OVER (PARTITION BY cluster_id ORDER BY pos) AS gap FROM o WHERE crosses),
+ h AS (SELECT cluster_id, max(gap) AS half_width FROM g GROUP BY 1), r AS (SELECT cluster_id, any_value(peak) AS peak_pos, arg_min(pos, (y, pos)) FILTER (pos > peak) AS trough_pos FROM x GROUP BY 1)
+ SELECT r.cluster_id, peak_pos, trough_pos, trough_pos - peak_pos AS peak_to_trough, half_width FROM r LEFT JOIN h ON r.cluster_id = h.cluster_id"""
+
+
+@query(WAVEFORM_SHAPE)
 def c26_waveform_shape(spark, d):
     u = view(spark, d, "waves").select("cluster_id", F.posexplode("embedding").alias("pos", "v"))
     return V.shape(u, ["cluster_id"], "pos", "v")
