@@ -244,13 +244,6 @@ def c36_rate_correlation(spark, d):
     return E.rate_correlation(side(1), side(2), CELL).select(*CELL, F.round("r", 5).alias("r"), "n")
 
 
-@query()
-def c36_half_against_shuffles(spark, d):
-    p = T.halves(view(spark, d, "position"), SESSION, "synced_time")
-    shuffled = H.shuffled_stability(view(spark, d, "spikes").withColumnRenamed("t_sample", "t"), p, 20, 5000000, 600000, SESSION, CELL, 20)
-    return E.against_shuffles(E.half_correlation(cell_half_rates(spark, d), CELL), shuffled, CELL).select(*CELL, *r6("observed", "mean", "sd", "percentile"))
-
-
 @query()
 def c35_directional_modes(spark, d):
     h = M.hd_histogram(view(spark, d, "places"), CELL)
@@ -274,6 +267,18 @@ SHIFTED = f"""+ span AS (SELECT session_id, (max(synced_time) - min(synced_time)
  hist AS (SELECT session_id, cluster_id, shuffle_id, CAST(((bin + d) % 360 + 360) % 360 AS INT) AS bin, sum(n) AS n FROM counts, range(-11, 12) r(d) GROUP BY ALL)"""
 
 
+HALVES_SHIFTED = SHIFTED.replace("range(100)", "range(20)") + """, own_ AS (SELECT s.session_id, cluster_id, -1 AS shuffle_id, CAST(round_even(t_sample / (dt * 30000.0::DOUBLE), 0) AS BIGINT) AS pos_idx FROM spikes s JOIN span ON s.session_id = span.session_id WHERE t_sample / 30000.0::DOUBLE < t_max),
+ at_ AS (SELECT h.session_id, cluster_id, shuffle_id, hd, synced_time FROM (SELECT session_id, cluster_id, shuffle_id, pos_idx FROM hit UNION ALL SELECT * FROM own_) h JOIN position p ON h.session_id = p.session_id AND h.pos_idx = p.pos_idx)""" + ratios("at_", "position", "session_id, cluster_id, shuffle_id", "session_id")
+
+
+@query(HALVES_SHIFTED + f""", r AS (SELECT session_id, cluster_id, shuffle_id, {SAFE.replace('round(corr({0}, {1}), 5)', 'corr({0}, {1})').format('a.ratio', 'b.ratio')} AS r FROM rates a JOIN rates b USING (session_id, cluster_id, shuffle_id, bin) WHERE a.half = 1 AND b.half = 2 GROUP BY ALL)
+ SELECT o.session_id, o.cluster_id, round(o.r, 6) AS observed, round(avg(v.r), 6) AS mean, round(stddev_pop(v.r), 6) AS sd, round(50.0::DOUBLE * (count(*) FILTER (v.r < o.r) + count(*) FILTER (v.r <= o.r)) / count(*), 6) AS percentile FROM r o JOIN r v ON o.session_id = v.session_id AND o.cluster_id = v.cluster_id WHERE o.shuffle_id = -1 AND v.shuffle_id >= 0 AND v.r IS NOT NULL GROUP BY o.session_id, o.cluster_id, o.r""")
+def c36_half_against_shuffles(spark, d):
+    p = T.halves(view(spark, d, "position"), SESSION, "synced_time")
+    shuffled = H.shuffled_stability(view(spark, d, "spikes").withColumnRenamed("t_sample", "t"), p, 20, 5000000, 600000, SESSION, CELL, 20)
+    return E.against_shuffles(E.half_correlation(cell_half_rates(spark, d), CELL), shuffled, CELL).select(*CELL, *r6("observed", "mean", "sd", "percentile"))
+
+
 @query(SHIFTED + " SELECT h.session_id, h.cluster_id, h.shuffle_id, round(sqrt(pow(sum(sin(radians(bin - 179.0)) * h.n), 2) + pow(sum(cos(radians(bin - 179.0)) * h.n), 2)) / sum(h.n), 5) AS hd_score, max(t.n) AS n FROM hist h JOIN total t ON h.session_id = t.session_id AND h.cluster_id = t.cluster_id AND h.shuffle_id = t.shuffle_id GROUP BY ALL")
 def r2_shuffled_metrics(spark, d):
     m = H.shuffled_metrics(view(spark, d, "spikes").withColumnRenamed("t_sample", "t"), view(spark, d, "position"), 100, 5000000, 600000, CELL)

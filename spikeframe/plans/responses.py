@@ -49,7 +49,19 @@ def c10_field_directions(spark, d):
     return M.hd_score(M.hd_histogram(inside, keys), keys).join(n, keys).select(*keys, *r6("hd_score"), "spikes")
 
 
-@query()
+#: SQL up to d, the distances of windows wa and wb, and t, a cell's median distance of the window after pulses.
+LATENCY = """+ pu AS (SELECT DISTINCT session_id, pulse FROM pulses ), s AS (SELECT session_id, cluster_id, t_sample AS t FROM spikes ),
+ f AS (SELECT s.session_id, s.cluster_id, pulse, w, min(t - (pulse + (w - 10) * 3000)) AS first_t FROM s JOIN pu ON s.session_id = pu.session_id AND t > pulse - 30000 AND t < pulse + 3000, range(11) q(w) WHERE t > pulse + (w - 10) * 3000 AND t < pulse + (w - 9) * 3000 GROUP BY ALL),
+ who AS (SELECT DISTINCT session_id, cluster_id FROM f), tr AS (SELECT session_id, count(*) AS trials FROM pu GROUP BY 1), c AS (SELECT session_id, cluster_id, w, first_t * 20 // 3000 AS step, count(*) AS c FROM f GROUP BY ALL),
+ z AS (SELECT who.session_id, who.cluster_id, w, -1 AS step, trials - coalesce((SELECT sum(c) FROM c WHERE c.session_id = who.session_id AND c.cluster_id = who.cluster_id AND c.w = q.w), 0) AS c FROM who JOIN tr USING (session_id), range(11) q(w)),
+ h AS MATERIALIZED (SELECT x.session_id, x.cluster_id, w, step, c / trials AS p FROM (SELECT * FROM c UNION ALL SELECT * FROM z WHERE c > 0) x JOIN tr USING (session_id)),
+ g AS (SELECT a.session_id, a.cluster_id, a.w AS wa, q.w AS wb, a.step, a.p, (a.p + coalesce(b.p, 0)) / 2 AS m FROM h a CROSS JOIN range(11) q(w) LEFT JOIN h b ON b.session_id = a.session_id AND b.cluster_id = a.cluster_id AND b.w = q.w AND b.step = a.step WHERE a.w <> q.w),
+ kl AS (SELECT session_id, cluster_id, wa, wb, sum(p * ln(p / m)) + ln(sum(m)) AS kl FROM g GROUP BY ALL),
+ d AS (SELECT x.session_id, x.cluster_id, x.wa, x.wb, round(sqrt(2 * greatest(0, (x.kl + y.kl) / 2)), 9) AS d FROM kl x JOIN kl y ON x.session_id = y.session_id AND x.cluster_id = y.cluster_id AND x.wa = y.wb AND x.wb = y.wa WHERE x.wa < x.wb),
+ t AS (SELECT session_id, cluster_id, median(d) AS distance FROM d WHERE wb = 10 GROUP BY 1, 2)"""
+
+
+@query(LATENCY + " SELECT d.session_id, d.cluster_id, round(max(distance), 6) AS distance, round(avg(CASE WHEN d >= distance THEN 1.0 ELSE 0.0 END), 6) AS p FROM d JOIN t ON d.session_id = t.session_id AND d.cluster_id = t.cluster_id WHERE wb < 10 GROUP BY 1, 2")
 def c17_latency_test(spark, d):
     s = view(spark, d, "spikes").withColumnRenamed("t_sample", "t")
     return R.latency_test(s, view(spark, d, "pulses").distinct(), SESSION, CELL, 3000, 10).select(*CELL, *r6("distance", "p"))
