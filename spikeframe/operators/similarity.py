@@ -78,9 +78,9 @@ def speed_rates(spikes: DataFrame, samples: DataFrame, session_keys, cell_keys,
     return grid.select(*cell_keys, "bin", n.alias("n"), (n / F.col("__o") * rate).alias("rate"))
 
 
-def map_stability(spikes: DataFrame, position: DataFrame, session_keys, cell_keys, bin_px: float, smooth: float, dt: float, least: int, gather: bool = False) -> DataFrame:
+def map_stability(spikes: DataFrame, position: DataFrame, session_keys, cell_keys, bin_px: float, smooth: float, dt: float, least: int) -> DataFrame:
     """(cell_keys, r, excluded): correlation of a cell's kernel maps of both halves over bins with occupancy in both, and the percentage of bins that have it in one half only."""
-    rates = maps.rate_map(spikes, position, [*cell_keys, "half"], [*session_keys, "half"], bin_px, smooth, dt, least, gather=gather)
+    rates = maps.rate_map(spikes, position, [*cell_keys, "half"], [*session_keys, "half"], bin_px, smooth, dt, least)
     seen = maps.occupancy(position, [*session_keys, "half"], bin_px, smooth, least).where("occupancy is not null")
     bins = seen.groupBy(*session_keys, "bin_x", "bin_y").agg(F.count("*").alias("__halves"))
     share = bins.groupBy(*session_keys).agg((100.0 * F.count_if(F.col("__halves") < 2) / F.count("*")).alias("excluded"))
