@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import in_groups
+
 
 def over(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -198,23 +200,38 @@ def smoothed(df: DataFrame, keys, index: str, value: str, sd: float, edges: str
     first_c, last_c = F.greatest(F.lit(0).cast("long"), F.floor((F.col("__at") - reach) / chunk)), F.least(last, F.floor((F.col("__at") + reach) / chunk))
     rows = rows.withColumn("__c", F.explode(F.when(first_c <= last_c, F.sequence(first_c, last_c)).otherwise(F.array().cast("array<bigint>"))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, total = int(pdf["__c"].iloc[0]), int(pdf["__n"].iloc[0])
-        low, high = c * chunk, min((c + 1) * chunk, total)
-        values = np.full(high - low + 2 * reach, np.nan)
-        at = pdf["__at"].to_numpy() - low + reach
-        values[at] = pdf["__v"].to_numpy(float)
-        if edges == "zero":
-            values[: max(0, reach - low)] = 0.0
-            values[len(values) - max(0, high + reach - total) :] = 0.0
-        known = ~np.isnan(values)
-        sums, share = np.convolve(np.where(known, values, 0.0), w, "valid"), np.convolve(known.astype(float), w, "valid")
-        own = pdf[(pdf["__at"] == pdf["__i"]) & (pdf["__i"] >= low) & (pdf["__i"] < high)]
-        where = own["__i"].to_numpy() - low
-        with np.errstate(invalid="ignore", divide="ignore"):
-            result = np.where(share[where] > 1e-12, sums[where] / share[where], np.nan)
-        return own[[*keys, "__i"]].assign(**{out: result})
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        """Series lie one after the other, each with its reach on both sides, so one convolution smooths them all."""
+        parts = []
+        at, i, c, total = (pdf[name].to_numpy() for name in ("__at", "__i", "__c", "__n"))
+        value = pdf["__v"].to_numpy(float)
+        wide = np.minimum((c[starts] + 1) * chunk, total[starts]) - c[starts] * chunk + 2 * reach
+        size, end = np.cumsum(wide), 0
+        while end < len(starts):
+            k = end
+            end = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + 4_000_000, "right")))
+            a, b = int(starts[k]), int(starts[end]) if end < len(starts) else len(pdf)
+            own = starts[k:end]
+            first = np.cumsum(wide[k:end]) - wide[k:end]
+            group = np.repeat(np.arange(end - k), np.diff(np.append(own, b)))
+            low = c[a:b] * chunk
+            values = np.full(int(wide[k:end].sum()), np.nan)
+            values[first[group] + at[a:b] - low + reach] = value[a:b]
+            if edges == "zero":
+                start, high = c[own] * chunk, np.minimum((c[own] + 1) * chunk, total[own])
+                before, after = np.maximum(0, reach - start), np.maximum(0, high + reach - total[own])
+                for d in range(reach):
+                    values[(first + d)[d < before]] = 0.0
+                    values[(first + wide[k:end] - 1 - d)[d < after]] = 0.0
+            known = ~np.isnan(values)
+            sums, share = np.convolve(np.where(known, values, 0.0), w, "same"), np.convolve(known.astype(float), w, "same")
+            mine = (at[a:b] == i[a:b]) & (i[a:b] >= low) & (i[a:b] < np.minimum(low + chunk, total[a:b]))
+            where = (first[group] + i[a:b] - low + reach)[mine]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                result = np.where(share[where] > 1e-12, sums[where] / share[where], np.nan)
+            parts.append(pdf[[*keys, "__i"]].iloc[a:b][mine].assign(**{out: result}))
+        return pd.concat(parts, ignore_index=True)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    found = rows.groupBy(*keys, "__c").applyInPandas(run, f"{kinds}, __i long, {out} double").withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+    found = in_groups(rows, [*keys, "__c"], run, f"{kinds}, __i long, {out} double").withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
     return df.join(found.withColumnRenamed("__i", index), [*keys, index], "left")

@@ -1,16 +1,21 @@
 """Spectra of spike trains and channels, theta scores and theta phase.
 
 Long signals are cut into segments; a segment (some ten thousand samples) is one group, so the length of a signal
-doesn't matter and segments run in parallel. Means over segments and bands are native aggregates.
+doesn't matter and segments run in parallel, many of them in one call. Means over segments and bands are native aggregates.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import group_of, in_groups, slices
+
+#: Samples of all segments that are transformed at once.
+CELLS = 2_000_000
+
 
 def _kinds(df: DataFrame, keys) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
@@ -23,12 +28,20 @@ def _with_keys(out: pd.DataFrame, pdf: pd.DataFrame, keys) -> pd.DataFrame:
 
 
 def power(values: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, power density) of one segment: mean removed, periodic Hann window, one-sided."""
-    n = len(values)
+    """(frequencies, power density) of one segment, or of each row of segments: mean removed, periodic Hann window, one-sided."""
+    n = values.shape[-1]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    p = np.abs(np.fft.rfft((values - values.mean()) * window)) ** 2 / (rate * (window**2).sum())
-    p[1 : (n + 1) // 2] *= 2
-    return np.arange(len(p)) * rate / n, p
+    p = np.abs(np.fft.rfft((values - values.mean(axis=-1, keepdims=True)) * window)) ** 2 / (rate * (window**2).sum())
+    p[..., 1 : (n + 1) // 2] *= 2
+    return np.arange(p.shape[-1]) * rate / n, p
+
+
+def _summed(rows: pd.DataFrame, starts: np.ndarray, keys, freq: np.ndarray, p: np.ndarray) -> pd.DataFrame:
+    """(keys, freq, p): spectra p of the segments that begin at starts, summed over those of equal keys."""
+    heads = rows[list(keys)].iloc[starts].reset_index(drop=True)
+    own = np.flatnonzero(np.diff(heads.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy(), prepend=-1))
+    p = np.add.reduceat(p, own, axis=0)
+    return heads.iloc[np.repeat(own, len(freq))].reset_index(drop=True).assign(freq=np.tile(freq, len(own)), p=p.ravel())
 
 
 def in_segments(df: DataFrame, keys, index: str, length: int, size: int, margin: int = 0) -> DataFrame:
@@ -49,15 +62,18 @@ def welch(df: DataFrame, keys, index: str, value: str, rate: float, length: int,
     """
     step = length // 2
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros(length)
-        v[pdf["__i"].to_numpy() - int(pdf["segment"].iloc[0]) * step] = pdf["__v"].to_numpy(float)
-        freq, p = power(v, rate)
-        keep = slice(None) if most is None else freq <= most
-        return _with_keys(pd.DataFrame({"freq": freq[keep], "p": p[keep]}), pdf, keys)
+    def run(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out, at, value = [], (rows["__i"] - rows["segment"] * step).to_numpy(), rows["__v"].to_numpy(float)
+        for a, b, first in slices(starts, len(rows), CELLS, length):
+            v = np.zeros((len(first), length))
+            v[group_of(first, b - a), at[a:b]] = value[a:b]
+            freq, p = power(v, rate)
+            keep = slice(None) if most is None else freq <= most
+            out.append(_summed(rows, first + a, keys, freq[keep], p[:, keep]))
+        return pd.concat(out, ignore_index=True)
 
     parts = in_segments(df.select(*keys, F.col(index).cast("long").alias("__i"), F.col(value).cast("double").alias("__v")), keys, "__i", length, size)
-    each = parts.groupBy(*keys, "segment").applyInPandas(run, f"{_kinds(df, keys)}, freq double, p double")
+    each = in_groups(parts, [*keys, "segment"], run, f"{_kinds(df, keys)}, freq double, p double")
     return each.groupBy(*keys, "freq").agg((F.sum("p") / ((size - length) // step + 1)).alias("power"))
 
 
@@ -71,17 +87,21 @@ def theta_index(spikes: DataFrame, keys, ms: str, size: int, length: int = 10_00
     kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sd * sd))
     kernel /= kernel.sum()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros(length + 2 * reach + 2)
-        v[pdf["__i"].to_numpy() - int(pdf["segment"].iloc[0]) * step + reach + 1] = pdf["n"].to_numpy(float)
-        smooth = np.convolve(v, kernel, "same")
-        smooth = (smooth[1:] + smooth[:-1])[reach : reach + length] / 2 * 500
-        freq, p = power(smooth, 1000.0)
-        keep = freq <= 15
-        return _with_keys(pd.DataFrame({"freq": freq[keep], "p": p[keep]}), pdf, keys)
+    wide, spread = length + 4 * reach + 2, np.arange(2 * reach + 1)
+
+    def run(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out, at, n = [], (rows["__i"] - rows["segment"] * step).to_numpy() + reach + 1, rows["n"].to_numpy(float)
+        for a, b, first in slices(starts, len(rows), CELLS, wide):
+            where = (group_of(first, b - a) * wide + at[a:b])[:, None] + spread  # each count gives its kernel, so empty stretches cost nothing
+            smooth = np.bincount(where.ravel(), (n[a:b, None] * kernel).ravel(), len(first) * wide).reshape(len(first), wide)
+            smooth = (smooth[:, 1:] + smooth[:, :-1])[:, 2 * reach : 2 * reach + length] / 2 * 500
+            freq, p = power(smooth, 1000.0)
+            keep = freq <= 15
+            out.append(_summed(rows, first + a, keys, freq[keep], p[:, keep]))
+        return pd.concat(out, ignore_index=True)
 
     counts = spikes.groupBy(*keys, F.col(ms).cast("long").alias("__i")).agg(F.count("*").alias("n"))
-    each = in_segments(counts, keys, "__i", length, size, reach + 1).groupBy(*keys, "segment").applyInPandas(run, f"{_kinds(spikes, keys)}, freq double, p double")
+    each = in_groups(in_segments(counts, keys, "__i", length, size, reach + 1), [*keys, "segment"], run, f"{_kinds(spikes, keys)}, freq double, p double")
     spectrum = each.groupBy(*keys, "freq").agg((F.sum("p") * F.col("freq")).alias("p"))
     band = lambda *ends: F.avg(F.when(sum((F.col("freq").between(a, b).cast("int") for a, b in ends), F.lit(0)) > 0, F.col("p")))
     bands = spectrum.groupBy(*keys).agg(band((6, 10)).alias("theta"), band((3, 5), (11, 13)).alias("base"))
@@ -113,13 +133,14 @@ def correlogram_theta(correlogram: DataFrame, keys, lag: str, n: str, reach: int
 
 def interpolated_spectrum(spectrum: DataFrame, keys, most: int = 20) -> DataFrame:
     """power at whole frequencies from 0 to most, linear between the two next ones."""
-    width = spectrum.groupBy(*keys).agg(F.min(F.when(F.col("freq") > 0, F.col("freq"))).alias("__w"))  # frequencies are multiples of the lowest
-    grid = width.withColumn("hz", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("__k", F.floor(F.col("hz") / F.col("__w") + 1e-9))
-    numbered = spectrum.join(width, list(keys)).select(*keys, F.round(F.col("freq") / F.col("__w")).cast("long").alias("__k"), "power")
-    after = numbered.select(*keys, (F.col("__k") - 1).alias("__k"), F.col("power").alias("__next"))
-    both = grid.join(numbered, [*keys, "__k"]).join(after, [*keys, "__k"], "left")
+    own = Window.partitionBy(*keys)
+    df = spectrum.withColumn("__w", F.min(F.when(F.col("freq") > 0, F.col("freq"))).over(own))  # frequencies are multiples of the lowest
+    df = df.withColumn("__k", F.round(F.col("freq") / F.col("__w")).cast("long"))
+    after = own.orderBy("__k")
+    df = df.withColumn("__next", F.when(F.lead("__k").over(after) == F.col("__k") + 1, F.lead("power").over(after)))
+    df = df.withColumn("hz", F.explode(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda hz: F.floor(hz / F.col("__w") + 1e-9) == F.col("__k"))))
     part = F.col("hz") / F.col("__w") - F.col("__k")
-    return both.select(*keys, "hz", (F.col("power") + (F.coalesce("__next", "power") - F.col("power")) * F.greatest(part, F.lit(0.0))).alias("power"))
+    return df.select(*keys, "hz", (F.col("power") + (F.coalesce("__next", "power") - F.col("power")) * F.greatest(part, F.lit(0.0))).alias("power"))
 
 
 #: Bands in Hz.
@@ -129,18 +150,23 @@ BANDS = {"theta": (4, 12), "low_gamma": (30, 60), "mid_gamma": (60, 120), "high_
 def epoch_bands(df: DataFrame, keys, index: str, value: str, rate: float, length: int, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
     """(keys, epoch, mean power of each band) for every whole epoch of length samples; null where a band has no frequency."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros(length)
-        v[pdf["__i"].to_numpy() % length] = pdf["__v"].to_numpy(float)
-        freq, p = power(v, rate)
-        mean = {b: [p[(freq >= lo) & (freq <= hi)].mean() if ((freq >= lo) & (freq <= hi)).any() else None] for b, (lo, hi) in bands.items()}
-        return _with_keys(pd.DataFrame({"epoch": [int(pdf["__i"].iloc[0]) // length], **mean}), pdf, keys)
+    def run(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        out, at, value = [], (rows["__i"] % length).to_numpy(), rows["__v"].to_numpy(float)
+        for a, b, first in slices(starts, len(rows), CELLS, length):
+            v = np.zeros((len(first), length))
+            v[group_of(first, b - a), at[a:b]] = value[a:b]
+            whole = np.diff(np.append(first, b - a)) == length
+            freq, p = power(v[whole], rate)
+            head = rows[[*keys, "__e"]].iloc[(first + a)[whole]].rename(columns={"__e": "epoch"}).reset_index(drop=True)
+            inside = {band: (freq >= lo) & (freq <= hi) for band, (lo, hi) in bands.items()}
+            out.append(head.assign(**{band: p[:, at_].mean(axis=1) if at_.any() else np.nan for band, at_ in inside.items()}))
+        return pd.concat(out, ignore_index=True)
 
     rows = df.select(*keys, F.col(index).cast("long").alias("__i"), F.col(value).cast("double").alias("__v"))
     rows = rows.withColumn("__e", F.floor(F.col("__i") / length))
-    whole = rows.groupBy(*keys, "__e").agg(F.count("*").alias("__c")).where(F.col("__c") == length).drop("__c")
     names = ", ".join(f"{b} double" for b in bands)
-    return rows.join(whole, [*keys, "__e"]).groupBy(*keys, "__e").applyInPandas(run, f"{_kinds(df, keys)}, epoch long, {names}")
+    found = in_groups(rows, [*keys, "__e"], run, f"{_kinds(df, keys)}, epoch long, {names}")
+    return found.withColumns({b: F.nanvl(b, F.lit(None).cast("double")) for b in bands})
 
 
 def band_filter(n: int, rate: float, low: float, high: float) -> np.ndarray:

@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spikeframe.operators import behaviour as B
 from spikeframe.operators import maps as M
+from spikeframe.operators import spectra as Z
+from spikeframe.operators.groups import in_groups
 
 
 def plan_lines(df):
@@ -37,3 +40,26 @@ def test_interleaved_sessions_give_their_own_maps(spark):
             if (7, bx, by) in found:
                 assert found[7, bx, by] == pytest.approx(30.0 if n >= 3 else 0.0)
     assert {s for s, _, _ in found} == set(range(40)) and not np.isnan(list(found.values())).any()
+
+
+def per_group(df):
+    return [line for line in plan_lines(df) if "FlatMapGroupsInPandas" in line]
+
+
+def test_small_groups_share_calls(spark):
+    s = spark.range(600).select((F.col("id") % 20).alias("cell"), F.floor(F.col("id") / 20).alias("t"), (F.col("id") * 7 % 11).cast("double").alias("value"))
+    for df in (Z.welch(s, ["cell"], "t", "value", 10.0, 10, 30), Z.epoch_bands(s, ["cell"], "t", "value", 10.0, 10, {"slow": (1, 2)}), Z.theta_index(s, ["cell"], "t", 20_000), B.smoothed(s, ["cell"], "t", "value", 1.0)):
+        assert not per_group(df)
+        assert {r.cell for r in df.collect()} == set(range(20))
+
+
+def test_groups_over_batches_are_whole(spark):
+    sizes = [1, 30, 3, 1, 1, 95, 7, 2]
+    rows = spark.createDataFrame([(k, i) for k, n in enumerate(sizes) for i in range(n)], "k long, i long").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        found = in_groups(rows, ["k"], lambda pdf, starts: pdf.iloc[starts][["k"]].assign(n=np.diff(np.append(starts, len(pdf)))), "k long, n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.k, r.n) for r in found) == list(enumerate(sizes))
