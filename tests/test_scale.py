@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spikeframe.operators import behaviour as B
 from spikeframe.operators import maps as M
+from spikeframe.operators import shuffles as H
 from spikeframe.operators import spectra as Z
 from spikeframe.operators.groups import in_groups
 
@@ -63,3 +64,23 @@ def test_groups_over_batches_are_whole(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted((r.k, r.n) for r in found) == list(enumerate(sizes))
+
+
+def test_expected_ratios_equal_those_of_repeated_bins(spark):
+    expected = spark.createDataFrame([(f, b, 1 + (f * b) % 5) for f in range(3) for b in range(8)], "f long, bin long, n long")
+    observed = spark.createDataFrame([(f, h, b, 1 + (f + h + b) % 3) for f in range(4) for h in range(6) for b in range(9) if (f * 7 + h * 3 + b) % 4 == 0 and h != 2], "f long, shuffle_id int, bin long, n long")
+    repeated = expected.withColumn("shuffle_id", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    key = lambda df: {(r.f, r.shuffle_id): round(r.ratio, 9) for r in df.collect()}
+    found = H.expected_ratios(observed, expected, ["f"], 6)
+    assert key(found) == key(H.expected_ratio(observed, repeated, ["f", "shuffle_id"]))
+
+
+def test_draws_grow_after_their_join(spark):
+    cells = spark.createDataFrame([(k, k % 2, 3) for k in range(8)], "cell long, session_id long, n long")
+    samples = spark.range(40).select((F.col("id") % 2).alias("session_id"), F.col("id").alias("pos_idx"))
+    for weight in (None, F.lit(1.0)):
+        df = H.drawn_samples(cells, samples, 5, ["session_id"], ["session_id", "cell"], "n", "seed", weight)
+        lines = plan_lines(df)
+        grown = next(k for k, line in enumerate(lines) if "Generate explode" in line and "__n" in line)
+        assert any("Exchange" in line for line in lines[grown : grown + 6]) and any("Join" in line for line in lines[grown : grown + 8])
+        assert df.count() == 8 * 5 * 3
