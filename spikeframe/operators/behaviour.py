@@ -17,6 +17,11 @@ def onward(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Sessions dealt to as many tasks as a shuffle may have, which adaptive execution doesn't merge: a task that sorts several times holds its rows once for each sort."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def speed(df: DataFrame, keys, order, x="x", y="y", t="t", out="speed") -> DataFrame:
     """Distance to the row before by the time between; null in a session's first row."""
     w = over(keys, order)
@@ -46,7 +51,7 @@ def running(df: DataFrame, keys, order, cut: float, x="x", y="y", t="t") -> Data
 
 def interpolate(df: DataFrame, keys, order, column: str | list[str], row="idx") -> DataFrame:
     """Linear by row number between known values; leading gaps stay null, trailing ones hold the last value. Several columns share one sort each way."""
-    columns = [column] if isinstance(column, str) else column
+    df, columns = dealt(df, keys), [column] if isinstance(column, str) else column
     before, after, found, filled = over(keys, order).rowsBetween(Window.unboundedPreceding, 0), onward(keys, order), {}, {}
     for k, c in enumerate(columns):
         known = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(row).alias("i"), F.col(c).alias("v"))), ignorenulls=True)
@@ -127,7 +132,7 @@ def trials(df: DataFrame, keys, order, x="x", drop=20.0, index: str | None = Non
 
 def velocity(df: DataFrame, keys, order, x: str, index: str, lag: int, mask: int, drop: float = 20.0, scale: float = 5.0) -> DataFrame:
     """velocity: the change of x over lag rows, by scale. Rows within mask of a trial's start are interpolated from those beside them."""
-    w = over(keys, order)
+    df, w = dealt(df, keys), over(keys, order)
     start = F.when(F.col(x) - F.lag(x).over(w) < -drop, F.col(index))
     df = df.withColumns({"velocity": F.col(x) - F.lag(x, lag).over(w), "__start": start})
     last = F.last("__start", ignorenulls=True)

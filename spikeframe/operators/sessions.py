@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .behaviour import onward, over
+from .behaviour import dealt, onward, over
 
 
 def interpolate_circular(df: DataFrame, keys, order, column: str, row="idx") -> DataFrame:
     """Angles in degrees over gaps along the shortest arc, from -180 to 180; gaps at the ends hold the nearest value."""
     known = F.last(F.when(F.col(column).isNotNull(), F.struct(F.col(row).alias("i"), F.col(column).alias("v"))), ignorenulls=True)
-    df = df.withColumns({"__a": known.over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0)), "__b": known.over(onward(keys, order))})
+    df = dealt(df, keys).withColumns({"__a": known.over(over(keys, order).rowsBetween(Window.unboundedPreceding, 0)), "__b": known.over(onward(keys, order))})
     arc = F.pmod(F.col("__b.v") - F.col("__a.v") + 180.0, F.lit(360.0)) - 180.0
     part = F.try_divide((F.col(row) - F.col("__a.i")).cast("double"), (F.col("__b.i") - F.col("__a.i")).cast("double"))
     line = F.pmod(F.col("__a.v") + arc * part + 180.0, F.lit(360.0)) - 180.0

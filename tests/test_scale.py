@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spikeframe.operators import behaviour as B
 from spikeframe.operators import maps as M
+from spikeframe.operators import sessions as T
 from spikeframe.operators import shuffles as H
 from spikeframe.operators import spectra as Z
 from spikeframe.operators.groups import in_groups
@@ -84,3 +85,11 @@ def test_draws_grow_after_their_join(spark):
         grown = next(k for k, line in enumerate(lines) if "Generate explode" in line and "__n" in line)
         assert any("Exchange" in line for line in lines[grown : grown + 6]) and any("Join" in line for line in lines[grown : grown + 8])
         assert df.count() == 8 * 5 * 3
+
+
+def test_sessions_sorted_several_times_stay_in_many_tasks(spark):
+    p = spark.range(60).select((F.col("id") % 6).alias("session_id"), F.col("id").alias("pos_idx"), F.when(F.col("id") % 5 > 0, F.col("id") % 7).cast("double").alias("v"))
+    keys, order = ["session_id"], ["pos_idx"]
+    for df in (B.interpolate(p, keys, order, "v", "pos_idx"), B.velocity(p, keys, order, "v", "pos_idx", 2, 1), T.interpolate_circular(p, keys, order, "v", "pos_idx")):
+        shuffles = [line for line in plan_lines(df) if line.startswith("Exchange")]
+        assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0]
