@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import in_groups
 from .statistics import corrected_p
 
 
@@ -57,3 +60,71 @@ def directional(own: DataFrame, others: DataFrame, keys, number: str = "n_bh", a
     share = 50.0 * (F.count_if(F.col("__o") < F.col(number)) + F.count_if(F.col("__o") <= F.col(number))) / F.count("*")
     out = both.groupBy(*keys, number).agg(share.alias("percentile"))
     return out.withColumn("directional", F.col("percentile") > above)
+
+
+def _percentile(ordered: np.ndarray, share: float) -> float:
+    """Percentile between neighbours of sorted values, with the rounding of F.percentile."""
+    at = (len(ordered) - 1) * share
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    if ordered[low] == ordered[high]:
+        return ordered[low]
+    return (high - at) * ordered[low] + (at - low) * ordered[high]
+
+
+def _adjusted(p: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of p, below level after Benjamini and Hochberg, and after Holm) of each row; nan is no p."""
+    ordered = np.sort(p, axis=1)  # equal p share their corrections whatever their order
+    known = ~np.isnan(ordered)
+    m, rank = known.sum(1), np.arange(1, p.shape[1] + 1)
+    bh = np.where(known, ordered * m[:, None] / rank, np.inf)
+    bh = np.minimum.accumulate(bh[:, ::-1], axis=1)[:, ::-1]
+    holm = np.maximum.accumulate(np.where(known, ordered * (m[:, None] - rank + 1), -np.inf), axis=1)
+    return m, (known & (np.minimum(1.0, bh) < level)).sum(1), (known & (np.minimum(1.0, holm) < level)).sum(1)
+
+
+def bar_tests(rates: DataFrame, keys, level: float = 0.05, shuffles: bool = True) -> DataFrame:
+    """(keys, shuffle_id, n_bh, n_holm, n_outside) of rates (keys, shuffle_id, rates: an array of bars): observed_p of the cell's own bars (shuffle_id -1) and shuffled_p of its shuffles', and the numbers of bars that significant gives.
+
+    n_outside: own bars outside the 5th to 95th percentile of the shuffles'; null for shuffles. Null bars have no p, and rows without any p go. A cell's shuffles are one group, many
+    cells share a call; shuffles=False gives the cells' own rows alone.
+    """
+    keys = list(keys)
+
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        found = []
+        for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+            copy = pdf["shuffle_id"].to_numpy()[a:b]
+            value = np.stack(pdf["rates"].to_numpy()[a:b]).astype(float)
+            own = copy < 0
+            rows = np.arange(b - a) if shuffles else np.flatnonzero(own)
+            p, outside = np.full((len(rows), value.shape[1]), np.nan), np.zeros(len(rows), np.int64)
+            mine = own[rows]
+            for bar in range(value.shape[1]):
+                others = np.sort(value[~own, bar])
+                others = others[: np.count_nonzero(~np.isnan(others))]
+                x = value[rows, bar]
+                n = np.where(mine, len(others), len(others) - 1)
+                lt, le = np.searchsorted(others, x, "left"), np.searchsorted(others, x, "right") - np.where(mine, 0, 1)
+                good = ~np.isnan(x) & (n > 0)
+                share = (lt + le) / (2.0 * np.where(good, n, 1))
+                p[:, bar] = np.where(good, np.minimum(1.0, 2 * np.minimum(share, 1 - share)), np.nan)
+                if len(others) and mine.any():
+                    outside += mine & ((x < _percentile(others, 0.05)) | (x > _percentile(others, 0.95)))
+            m, n_bh, n_holm = _adjusted(p, level)
+            keep = m > 0
+            found.append((a + rows[keep], n_bh[keep], n_holm[keep], np.where(mine, outside, -1)[keep]))
+        at, n_bh, n_holm, outside = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pdf.iloc[at][[*keys, "shuffle_id"]].assign(n_bh=n_bh, n_holm=n_holm, n_outside=outside)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rates.select(*keys).schema)
+    out = in_groups(rates.select(*keys, F.col("shuffle_id").cast("int").alias("shuffle_id"), "rates"), keys, run, f"{kinds}, shuffle_id int, n_bh long, n_holm long, n_outside long")
+    return out.withColumn("n_outside", F.when(F.col("n_outside") >= 0, F.col("n_outside")))
+
+
+def directional_tests(tests: DataFrame, keys, number: str = "n_bh", above: float = 95.0) -> DataFrame:
+    """directional for the rows of bar_tests, own and shuffles in one table."""
+    own = F.col("shuffle_id") < 0
+    both = tests.groupBy(*keys).agg(F.max(F.when(own, F.col(number))).alias(number), F.collect_list(F.when(~own, F.col(number))).alias("__o")).where(F.col(number).isNotNull() & (F.size("__o") > 0))
+    count = lambda f: F.size(F.filter("__o", f))
+    share = 50.0 * (count(lambda o: o < F.col(number)) + count(lambda o: o <= F.col(number))) / F.size("__o")
+    return both.select(*keys, number, share.alias("percentile")).withColumn("directional", F.col("percentile") > above)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions
@@ -91,6 +91,14 @@ def against_shuffles(observed: DataFrame, shuffled: DataFrame, keys, value: str
     return both.groupBy(*keys, "observed").agg(F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("sd"), (50.0 * below / F.count("*")).alias("percentile"))
 
 
+def against_own(values: DataFrame, keys, value: str = "r") -> DataFrame:
+    """against_shuffles of one table (keys, shuffle_id, value) in which the observed values have shuffle_id -1."""
+    own, w = F.col("shuffle_id") < 0, Window.partitionBy(*keys)
+    both = values.withColumns({"observed": F.max(F.when(own, F.col(value))).over(w), "__own": F.count_if(own).over(w)}).where((F.col("__own") > 0) & ~own & F.col(value).isNotNull())
+    below = F.count_if(F.col(value) < F.col("observed")) + F.count_if(F.col(value) <= F.col("observed"))
+    return both.groupBy(*keys, "observed").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), (50.0 * below / F.count("*")).alias("percentile"))
+
+
 def rate_correlation(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """(keys, r, n): correlation of two maps (keys, bin_x, bin_y, rate) over bins above zero in both."""
     a, b = (df.where("rate > 0").select(*keys, "bin_x", "bin_y", F.col("rate").alias(n)) for df, n in ((left, "__a"), (right, "__b")))

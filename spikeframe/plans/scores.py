@@ -236,39 +236,24 @@ BARS = SHIFTED + """, o20 AS (SELECT session_id, least(CAST(floor((hd + 180) / 1
 
 
 def bars(spark, d):
-    """(observed, shuffled) direction bars of 18 degrees; 100 shuffles."""
-    p = view(spark, d, "position")
-    at = lambda df, keys: df.groupBy(*keys, F.least(F.floor((F.col("hd") + 180) / 18.0), F.lit(19)).alias("bin"))
-    time = at(p, SESSION).agg(F.count("*").alias("o"))
-    s = view(spark, d, "spikes")
-    moved = H.time_shifts(s.withColumnRenamed("t_sample", "t"), 100, 5000000, 600000, CELL).withColumnRenamed("t", "t_sample")
-    from ..operators import joins as J
-
-    keys = [*CELL, "shuffle_id"]
-    own = Q.bar_rates(at(joined(spark, d), CELL).agg(F.count("*").alias("n")), s.select(*CELL).distinct(), time, CELL, SESSION, "bin")
-    other = Q.bar_rates(at(J.spikes_to_positions(moved, p), keys).agg(F.count("*").alias("n")), moved.select(*keys).distinct(), time, keys, SESSION, "bin")
-    return own, other
+    """Direction bars of 18 degrees of the cells and of 100 shuffles."""
+    p = view(spark, d, "position").withColumn("bin", F.least(F.floor((F.col("hd") + 180) / 18.0), F.lit(19)))
+    return H.shuffled_rates(view(spark, d, "spikes").withColumnRenamed("t_sample", "t"), p, 100, 5000000, 600000, SESSION, CELL, "bin", 20)
 
 
 @query(BARS + " SELECT session_id, cluster_id, n_bh, n_holm, CAST((SELECT count(*) FROM p0 WHERE p0.session_id = sg.session_id AND p0.cluster_id = sg.cluster_id AND outside) AS BIGINT) AS n_outside FROM sg WHERE shuffle_id = -1")
 def r7_significant_bars(spark, d):
-    own, other = bars(spark, d)
-    p = Q.observed_p(own, other, CELL, "bin", "rate")
-    out = p.groupBy(*CELL).agg(F.count_if("outside").alias("n_outside"))
-    return Q.significant(p, CELL, "bin").join(out, CELL).select(*CELL, "n_bh", "n_holm", "n_outside")
+    return Q.bar_tests(bars(spark, d), CELL, shuffles=False).select(*CELL, "n_bh", "n_holm", "n_outside")
 
 
 @query(BARS + " SELECT * FROM sg WHERE shuffle_id >= 0")
 def r8_shuffled_significant_bars(spark, d):
-    _, other = bars(spark, d)
-    return Q.significant(Q.shuffled_p(other, CELL, "bin", "rate"), [*CELL, "shuffle_id"], "bin")
+    return Q.bar_tests(bars(spark, d), CELL).where("shuffle_id >= 0").select(*CELL, "shuffle_id", "n_bh", "n_holm")
 
 
 @query(BARS + ", dr AS (SELECT a.session_id, a.cluster_id, max(a.n_bh) AS n_bh, 50.0 * (count(*) FILTER (b.n_bh < a.n_bh) + count(*) FILTER (b.n_bh <= a.n_bh)) / count(*) AS percentile FROM sg a JOIN sg b ON a.session_id = b.session_id AND a.cluster_id = b.cluster_id WHERE a.shuffle_id = -1 AND b.shuffle_id >= 0 GROUP BY 1, 2) SELECT session_id, cluster_id, n_bh, round(percentile, 4) AS percentile, percentile > 95 AS directional FROM dr")
 def r9_directional_bars(spark, d):
-    own, other = bars(spark, d)
-    sure = Q.significant(Q.observed_p(own, other, CELL, "bin", "rate"), CELL, "bin")
-    out = Q.directional(sure, Q.significant(Q.shuffled_p(other, CELL, "bin", "rate"), [*CELL, "shuffle_id"], "bin"), CELL)
+    out = Q.directional_tests(Q.bar_tests(bars(spark, d), CELL), CELL)
     return out.select(*CELL, "n_bh", F.round("percentile", 4).alias("percentile"), "directional")
 
 

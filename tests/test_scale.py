@@ -93,3 +93,60 @@ def test_sessions_sorted_several_times_stay_in_many_tasks(spark):
     for df in (B.interpolate(p, keys, order, "v", "pos_idx"), B.velocity(p, keys, order, "v", "pos_idx", 2, 1), T.interpolate_circular(p, keys, order, "v", "pos_idx")):
         shuffles = [line for line in plan_lines(df) if line.startswith("Exchange")]
         assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0]
+
+
+def hits(spark):
+    """Spikes and positions with gaps, repeated samples, nulls, cells without samples and samples without cells."""
+    rng = np.random.default_rng(11)
+    rows = [(s, k, k / 3.0, None if k % 17 == 0 else float(rng.integers(-180, 181))) for s in range(4) for k in range(90) if s < 3 or k % 4]
+    position = spark.createDataFrame([*rows, *rows[10:20], (7, 0, 0.0, 5.0)], "session_id long, pos_idx long, synced_time double, hd double")
+    spikes = [(s, c, int(t)) for s in range(5) for c in range(3) for t in rng.integers(0, 1000, 25 + 10 * c)]
+    return spark.createDataFrame([*spikes, (7, 0, 5)], "session_id long, cluster_id long, t long"), position
+
+
+def test_shuffled_rates_equal_joined_copies(spark):
+    from spikeframe.operators import bars as Q
+    from spikeframe.operators import joins as J
+
+    s, p = hits(spark)
+    cell, copy = ["session_id", "cluster_id"], ["session_id", "cluster_id", "shuffle_id"]
+    p = p.withColumn("bin", F.least(F.floor((F.col("hd") + 180) / 45), F.lit(7)))
+    rates = H.shuffled_rates(s, p, 12, 1000, 100, ["session_id"], cell, "bin", 8, ephys_rate=30.0)
+    lines = plan_lines(rates)
+    assert not any("explode" in line for line in lines) and not any("pos_idx" in line and "Join" in line for line in lines)  # no row for a copy's spike
+    moved = H.time_shifts(s, 12, 1000, 100, cell).withColumnRenamed("t", "t_sample")
+    both = moved.unionByName(s.select(*cell, F.col("t").alias("t_sample"), F.lit(-1).alias("shuffle_id")))
+    counts = J.spikes_to_positions(both, p, 30.0).groupBy(*copy, "bin").agg(F.count("*").alias("n"))
+    time = p.groupBy("session_id", "bin").agg(F.count("*").alias("o"))
+    long = Q.bar_rates(counts, both.select(*copy).distinct(), time, copy, ["session_id"], "bin")
+    wanted = {(r.session_id, r.cluster_id, r.shuffle_id, r.bin): r.rate for r in long.collect()}
+    found = {(r.session_id, r.cluster_id, r.shuffle_id, b): v for r in rates.collect() for b, v in enumerate(r.rates) if v is not None}
+    assert found == wanted and len(found) > 1000 and any(found.values())
+
+    own, other = long.where("shuffle_id < 0").drop("shuffle_id"), long.where("shuffle_id >= 0")
+    pairs = ((Q.observed_p(own, other, cell, "bin", "rate"), cell, "shuffle_id < 0"), (Q.shuffled_p(other, cell, "bin", "rate"), copy, "shuffle_id >= 0"))
+    tests = Q.bar_tests(rates, cell, level=0.4).cache()
+    for by, keys, which in pairs:
+        assert sorted(Q.significant(by, keys, "bin", 0.4).collect()) == sorted(tests.where(which).select(*keys, "n_bh", "n_holm").collect())
+    outside = {(r.session_id, r.cluster_id): r.n for r in pairs[0][0].groupBy(*cell).agg(F.count_if("outside").alias("n")).collect()}
+    assert outside == {(r.session_id, r.cluster_id): r.n_outside for r in Q.bar_tests(rates, cell, shuffles=False).collect()} and any(outside.values())
+    sure, rest = (Q.significant(by, keys, "bin", 0.4) for by, keys, _ in pairs)
+    assert sorted(Q.directional(sure, rest, cell).collect()) == sorted(Q.directional_tests(tests, cell).collect())
+
+
+def test_shuffled_stability_equals_joined_copies(spark):
+    from spikeframe.operators import field_frames as E
+    from spikeframe.operators import joins as J
+
+    s, p = hits(spark)
+    cell = ["session_id", "cluster_id"]
+    p, length = T.halves(p, ["session_id"], "synced_time"), 900_000
+    s = s.withColumn("t", F.col("t") * 900)
+    moved = H.time_shifts(s, 6, length, 9000, cell).unionByName(s.withColumn("shuffle_id", F.lit(-1))).withColumnRenamed("t", "t_sample")
+    keys = [*cell, "shuffle_id", "half"]
+    old = E.half_correlation(E.direction_rates(J.spikes_to_positions(moved, p), p, keys, ["session_id", "half"], 8), keys[:-1])
+    new = H.shuffled_stability(s, p, 6, length, 9000, ["session_id"], cell, 8)
+    key = lambda df: {(r.session_id, r.cluster_id, r.shuffle_id): None if r.r is None else round(r.r, 9) for r in df.collect()}
+    assert key(new) == key(old) and len(key(new)) > 50
+    against = lambda df: sorted((r.session_id, r.cluster_id, *(None if v is None else round(v, 9) for v in r[2:])) for r in df.collect())
+    assert against(E.against_own(new, cell)) == against(E.against_shuffles(old.where("shuffle_id < 0"), old.where("shuffle_id >= 0"), cell))
