@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions
 from ..functions.scalar import safe_corr
-from .responses import best_rotation
-from .similarity import circular_linear, pairwise_correlation
+from .groups import in_groups
+from .similarity import circular_linear
 
 
 def field_frame(field_bins: DataFrame, spikes_in: DataFrame, samples_in: DataFrame, keys) -> DataFrame:
@@ -42,19 +42,82 @@ def half_correlation(rates: DataFrame, keys) -> DataFrame:
     return side(1, "__a").join(side(2, "__b"), [*keys, "bin"]).groupBy(*keys).agg(safe_corr("__a", "__b").alias("r"))
 
 
+def _matrix(pdf: pd.DataFrame, row: np.ndarray, column: np.ndarray, value: str, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows in order, their values by column; nan where there is none)."""
+    names, at = np.unique(row, return_inverse=True)
+    out = np.full((len(names), bins), np.nan)
+    out[at, column] = pdf[value].to_numpy(float)
+    return names, out
+
+
+def _correlated(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values that both have, safe_corr) of each row of u with that of v; nan is no value."""
+    both = ~np.isnan(u) & ~np.isnan(v)
+    n = both.sum(1)
+    some = np.maximum(n, 1)
+    a, b = np.where(both, u, 0.0), np.where(both, v, 0.0)
+    ma, mb = a.sum(1) / some, b.sum(1) / some
+    a, b = np.where(both, a - ma[:, None], 0.0), np.where(both, b - mb[:, None], 0.0)
+    va, vb, ab = (a * a).sum(1) / some, (b * b).sum(1) / some, (a * b).sum(1) / some
+    varies = (n > 0) & (va > 1e-20 * ma**2) & (vb > 1e-20 * mb**2)
+    return n, np.divide(ab, np.sqrt(va) * np.sqrt(vb), out=np.full(len(n), np.nan), where=varies)
+
+
+#: Pairs of a cell that are correlated at once.
+PAIRS = 20_000
+
+
+def _pairs(rates: DataFrame, keys, item: str, columns: list[str], value: str, run, more: str) -> DataFrame:
+    """Rows of run(rows of a cell) as (keys, more), many cells in a call: a cell's histograms are one group."""
+    keys = list(keys)
+
+    def whole(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        found, at = [], []
+        for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+            for part in run(pdf.iloc[a:b]):
+                found.append(part)
+                at.append(np.full(len(part), a))
+        if not found:
+            return pdf.iloc[:0][keys].assign(**{c.split()[0]: pd.Series([], dtype=object) for c in more.split(", ")})
+        return pd.concat([pdf.iloc[np.concatenate(at)][keys].reset_index(drop=True), pd.concat(found, ignore_index=True)], axis=1)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rates.select(*keys).schema)
+    df = rates.select(*keys, item, *columns, F.col(value).cast("double").alias(value)).dropna(subset=[*keys, item, *columns, value])
+    return in_groups(df, keys, whole, f"{kinds}, {more}")
+
+
 def between_fields(rates: DataFrame, keys, item: str = "field_id", least: float = 0.4) -> DataFrame:
     """(keys, a, b, r): correlation of half 1 of field a with half 2 of field b (a and b differ) of one cell, for fields whose own halves correlate by least or more."""
-    stable = half_correlation(rates, [*keys, item]).where(F.col("r") >= least).select(*keys, item)
-    kept = rates.join(stable, [*keys, item])
-    side = lambda h, name: kept.where(F.col("half") == h).select(*keys, "bin", F.col(item).alias(name), F.col("ratio").alias(f"__{name}"))
-    pairs = side(1, "a").join(side(2, "b"), [*keys, "bin"]).where("a <> b")
-    return pairs.groupBy(*keys, "a", "b").agg(safe_corr("__a", "__b").alias("r"))
+    pairs = half_pairs(rates, keys, item, least)
+    return pairs.where("a <> b").select(*keys, "a", "b", F.nanvl("r", F.lit(None).cast("double")).alias("r"))
+
+
+def half_pairs(rates: DataFrame, keys, item: str = "field_id", least: float = 0.4) -> DataFrame:
+    """(keys, a, b, r): between_fields, and with a = b the correlations of the fields' own halves where they reach least. r is nan where a half is constant. A cell's fields are one group."""
+
+    def run(pdf: pd.DataFrame):
+        _, column = np.unique(pdf["bin"].to_numpy(), return_inverse=True)
+        half, field = pdf["half"].to_numpy(), pdf[item].to_numpy()
+        bins = int(column.max()) + 1
+        (names, u), (others, v) = (_matrix(pdf[half == h], field[half == h], column[half == h], "ratio", bins) for h in (1, 2))
+        names, i, j = np.intersect1d(names, others, return_indices=True)
+        u, v = u[i], v[j]
+        own = _correlated(u, v)[1]
+        good = own >= least  # false for nan
+        names, u, v, own = names[good], u[good], v[good], own[good]
+        for first in range(0, len(names) ** 2, PAIRS):
+            a, b = np.divmod(np.arange(first, min(len(names) ** 2, first + PAIRS)), len(names))
+            n, r = _correlated(u[a], v[b])
+            r = np.where(a == b, own[a], r)
+            yield pd.DataFrame({"a": names[a], "b": names[b], "r": r})[n > 0]
+
+    kind = rates.schema[item].dataType.simpleString()
+    return _pairs(rates.where("half in (1, 2)"), keys, item, ["half", "bin"], "ratio", run, f"a {kind}, b {kind}, r double")
 
 
 def within_and_between(rates: DataFrame, keys, item: str = "field_id", least: float = 0.4) -> DataFrame:
     """(keys, sample, r): correlations of both halves of the fields that reach least (sample 0), and of halves of different such fields of a cell (sample 1), for two-sample tests."""
-    own = half_correlation(rates, [*keys, item]).where(F.col("r") >= least).select(*keys, F.lit(0).alias("sample"), "r")
-    return own.union(between_fields(rates, keys, item, least).select(*keys, F.lit(1).alias("sample"), "r").where(F.col("r").isNotNull()))
+    return half_pairs(rates, keys, item, least).where(~F.isnan("r")).select(*keys, F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("sample"), "r")
 
 
 def field_pairs(rates: DataFrame, field_bins: DataFrame, keys, item: str, bins: int, value: str = "ratio") -> DataFrame:
@@ -69,9 +132,30 @@ def field_pairs(rates: DataFrame, field_bins: DataFrame, keys, item: str, bins:
     side = lambda n: spots.select(*keys, F.col(item).alias(n), F.col("x").alias(f"__x{n}"), F.col("y").alias(f"__y{n}"))
     apart = F.hypot((F.col("__xa") - F.col("__xb")).cast("double"), (F.col("__ya") - F.col("__yb")).cast("double"))
     far = side("a").join(side("b"), list(keys)).where("a < b").select(*keys, "a", "b", apart.alias("distance"))
-    turned = best_rotation(rates, keys, item, "bin", bins, value).select(*keys, "a", "b", F.when(F.col("r").isNotNull(), F.col("turn")).alias("turn"))
     same = [*keys, "a", "b"]
-    return pairwise_correlation(rates, keys, item, "bin", value).join(far, same).join(turned, same)
+    turned = paired_turns(rates, keys, item, "bin", bins, value)
+    r = F.transform("turns", lambda v: F.round(v, 6))
+    best = F.array_max(r)
+    return turned.where("n > 0").select(*same, F.col("turns")[0].alias("r"), F.when(best.isNotNull(), F.array_position(r, best).cast("int") - 1).alias("turn")).join(far, same).select(*same, "r", "distance", "turn")
+
+
+def paired_turns(hist: DataFrame, keys, item: str, bin_col: str, bins: int, value: str) -> DataFrame:
+    """(keys, a, b, n, turns): for each two items of a group (a < b) the correlations of a with b turned by 0 to bins - 1 bins, over bins that both have (n: without a turn); null where one is constant. A group's items come together, many groups in a call."""
+
+    def run(pdf: pd.DataFrame):
+        names, m = _matrix(pdf, pdf[item].to_numpy(), pdf[bin_col].to_numpy().astype(int) % bins, value, bins)
+        i, j = np.triu_indices(len(names), 1)
+        for first in range(0, len(i), PAIRS):
+            a, b = i[first : first + PAIRS], j[first : first + PAIRS]
+            u, v = m[a], m[b]
+            found = [_correlated(u, np.roll(v, k, axis=1)) for k in range(bins)]
+            ever = np.any([n > 0 for n, _ in found], axis=0)
+            turns = np.stack([r for _, r in found], axis=1)[ever]
+            yield pd.DataFrame({"a": names[a][ever], "b": names[b][ever], "n": found[0][0][ever], "turns": list(turns)})
+
+    kind = hist.schema[item].dataType.simpleString()
+    out = _pairs(hist, keys, item, [bin_col], value, run, f"a {kind}, b {kind}, n long, turns array<double>")
+    return out.withColumn("turns", F.transform("turns", lambda v: F.nanvl(v, F.lit(None).cast("double"))))
 
 
 def pair_trends(pairs: DataFrame, keys, bins: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.lineage import cut
 from ..operators import bars as Q
 from ..operators import behaviour as B
 from ..operators import curation as K
@@ -265,8 +266,9 @@ PAIRS = BLOCKS + f""", sc AS (SELECT {FIELDS_}, {DIR}, count(*) AS n FROM inside
 
 
 def place_pairs(spark, d):
-    rates = E.direction_rates(inside(spark, d).select(*FIELD, "hd"), around(spark, d).select(*FIELD, "hd"), FIELD, FIELD, 20)
-    return E.field_pairs(rates, fields(spark, d), CELL, "field_id", 20)
+    hits = cut(joined(spark, d))
+    rates = E.direction_rates(inside(spark, d, hits).select(*FIELD, "hd"), around(spark, d, hits=hits).select(*FIELD, "hd"), FIELD, FIELD, 20)
+    return E.field_pairs(rates, fields(spark, d, hits), CELL, "field_id", 20)
 
 
 @query(PAIRS + f" SELECT {CELLS_}, a, b, round(r, 4) AS r, round(distance, 5) AS distance, turn FROM pairs")

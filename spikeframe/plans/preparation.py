@@ -66,9 +66,9 @@ FIELDS = JOINED + f""", bins AS (SELECT session_id, cluster_id, {BINS}, count(*)
  fields AS (SELECT *, CAST(floor(bin_x / 3) * 4 + floor(bin_y / 3) AS BIGINT) AS field_id FROM bins WHERE n >= 2)"""
 
 
-def fields(spark, d):
-    """Bins with two spikes or more; blocks of three by three bins stand for fields."""
-    bins = joined(spark, d).groupBy(*CELL, F.floor(F.col("x_px") / 40).alias("bin_x"), F.floor(F.col("y_px") / 40).alias("bin_y")).agg(F.count("*").alias("n"))
+def fields(spark, d, hits=None):
+    """Bins with two spikes or more; blocks of three by three bins stand for fields. hits: spikes with their samples, where they are known."""
+    bins = (joined(spark, d) if hits is None else hits).groupBy(*CELL, F.floor(F.col("x_px") / 40).alias("bin_x"), F.floor(F.col("y_px") / 40).alias("bin_y")).agg(F.count("*").alias("n"))
     return bins.where("n >= 2").withColumn("field_id", F.floor(F.col("bin_x") / 3) * 4 + F.floor(F.col("bin_y") / 3))
 
 

@@ -150,3 +150,44 @@ def test_shuffled_stability_equals_joined_copies(spark):
     assert key(new) == key(old) and len(key(new)) > 50
     against = lambda df: sorted((r.session_id, r.cluster_id, *(None if v is None else round(v, 9) for v in r[2:])) for r in df.collect())
     assert against(E.against_own(new, cell)) == against(E.against_shuffles(old.where("shuffle_id < 0"), old.where("shuffle_id >= 0"), cell))
+
+
+def histograms(spark):
+    """Direction rates of fields by halves, with missing and null bins, constant fields, and a cell of one field."""
+    rng = np.random.default_rng(3)
+    rows = [(c, f, h, b, None if rng.random() < 0.05 else 2.0 if f == 4 else float(rng.integers(0, 4)) / 3 + (b % 4) * (f % 2)) for c in range(6) for f in range(1 if c == 5 else 7) for h in (1, 2) for b in range(8) if rng.random() < 0.9]
+    return spark.createDataFrame(rows, "session_id long, field_id long, half int, bin long, ratio double")
+
+
+def test_turns_of_pairs_equal_rotated_joins(spark):
+    from spikeframe.operators import field_frames as E
+    from spikeframe.operators import responses as R
+    from spikeframe.operators import similarity as Y
+
+    keys = ["session_id"]
+    rates = histograms(spark).where("half = 1 and ratio is not null")
+    bins = spark.createDataFrame([(c, f, f + k, f * k) for c in range(6) for f in range(7) for k in range(3)], "session_id long, field_id long, bin_x long, bin_y long")
+    df = E.field_pairs(rates, bins, keys, "field_id", 8)
+    assert not any(str(k) in line for line in plan_lines(df) for k in ("FlatMapGroups", "explode"))
+    found = {(r.session_id, r.a, r.b): (None if r.r is None else round(r.r, 9), r.turn) for r in df.collect()}
+    best = {(r.session_id, r.a, r.b): r.turn if r.r is not None else None for r in R.best_rotation(rates, keys, "field_id", "bin", 8, "ratio").collect()}
+    wanted = {(r.session_id, r.a, r.b): (None if r.r is None else round(r.r, 9), best[r.session_id, r.a, r.b]) for r in Y.pairwise_correlation(rates, keys, "field_id", "bin", "ratio").collect()}
+    assert found == wanted and len(found) == 5 * 21 and any(r is None for r, _ in found.values()) and any(t for _, t in found.values())
+
+
+def test_pairs_of_halves_equal_joined_ones(spark):
+    from spikeframe.functions.scalar import safe_corr
+    from spikeframe.operators import field_frames as E
+
+    keys, item, least = ["session_id"], ["session_id", "field_id"], 0.2
+    rates = histograms(spark)
+    own = E.half_correlation(rates, item).where(F.col("r") >= least)
+    kept = rates.join(own.select(*item), item)
+    side = lambda h, name: kept.where(F.col("half") == h).select("session_id", "bin", F.col("field_id").alias(name), F.col("ratio").alias(f"__{name}"))
+    pairs = side(1, "a").join(side(2, "b"), ["session_id", "bin"]).where("a <> b").groupBy("session_id", "a", "b").agg(safe_corr("__a", "__b").alias("r"))
+    rounded = lambda df, *c: sorted(tuple(r[x] for x in c) + (None if r.r is None else round(r.r, 9),) for r in df.collect())
+    df = E.between_fields(rates, keys, least=least)
+    assert sum("Exchange" in line for line in plan_lines(df)) == 1
+    assert rounded(df, "session_id", "a", "b") == rounded(pairs, "session_id", "a", "b") and pairs.count() > 5
+    both = own.select("session_id", F.lit(0).alias("sample"), "r").union(pairs.select("session_id", F.lit(1), "r").where("r is not null"))
+    assert rounded(E.within_and_between(rates, keys, least=least), "session_id", "sample") == rounded(both, "session_id", "sample")
