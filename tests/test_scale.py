@@ -191,3 +191,20 @@ def test_pairs_of_halves_equal_joined_ones(spark):
     assert rounded(df, "session_id", "a", "b") == rounded(pairs, "session_id", "a", "b") and pairs.count() > 5
     both = own.select("session_id", F.lit(0).alias("sample"), "r").union(pairs.select("session_id", F.lit(1), "r").where("r is not null"))
     assert rounded(E.within_and_between(rates, keys, least=least), "session_id", "sample") == rounded(both, "session_id", "sample")
+
+
+def test_snippets_meet_chunks(spark):
+    from spikeframe.operators import waveforms as V
+
+    rng = np.random.default_rng(8)
+    there = {(s, c, t): None if t % 23 == 0 else float(rng.integers(1, 99)) for s in range(2) for c in (1, 2, 3, 6) for t in range(-80, 300) if c < 3 or rng.random() < 0.5}
+    samples = spark.createDataFrame([(*k, v) for k, v in there.items()], "s long, channel int, t long, value double")
+    spikes = [(s, i, 1 + i % 2, int(t)) for s in range(3) for i, t in enumerate([*rng.integers(-100, 330, 40), 54, 64, 44, 45, -64, 1000])]
+    df = V.snippets(spark.createDataFrame(spikes, "s long, spike_idx long, tetrode int, t long"), samples, ["s"])
+    grown = next(k for k, line in enumerate(plan_lines(df)) if "Join" in line)
+    assert not any("pos" in line for line in plan_lines(df)[grown:]) and sum("Generate" in line for line in plan_lines(df)) == 2
+    found = {(r.s, r.spike_idx, r.channel): r.waveform for r in df.collect()}
+    assert len(found) == 4 * len(spikes)
+    for s, i, tetrode, t in spikes:
+        for c in range(4 * tetrode - 3, 4 * tetrode + 1):
+            assert found[s, i, c] == [there.get((s, c, x)) or 0.0 for x in range(t - 10, t + 20)]
