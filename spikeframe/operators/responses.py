@@ -204,8 +204,9 @@ def inhibition(spikes: DataFrame, pulses: DataFrame, session_keys, cell_keys, la
 
     around = around_pulses(spikes, pulses, session_keys, side_ms * per_ms)
     end = activation(around, cell_keys, side_ms, per_ms).select(*cell_keys, "end")
-    low = (latency.select(*cell_keys, F.col("p").alias("__p")) if latency is not None else end.select(*cell_keys, F.lit(None).cast("double").alias("__p"))).where(F.col("__p") < level)
-    shift = end.join(low, list(cell_keys), "left").select(*cell_keys, F.when(F.col("__p").isNotNull(), F.col("end")).otherwise(0).alias("shift"))
+    # rows of cells are written in between: else one task would hold the sorts and tables of all steps at once
+    low = (cut(latency.select(*cell_keys, F.col("p").alias("__p"))) if latency is not None else end.select(*cell_keys, F.lit(None).cast("double").alias("__p"))).where(F.col("__p") < level)
+    shift = cut(end.join(low, list(cell_keys), "left").select(*cell_keys, F.when(F.col("__p").isNotNull(), F.col("end")).otherwise(0).alias("shift")))
     size, at = window_ms * per_ms, F.col("offset") - F.col("shift") * per_ms
     hit = around.join(shift, list(cell_keys))
     per = hit.groupBy(*cell_keys, "pulse").agg(F.count_if((F.col("offset") >= -size) & (F.col("offset") < 0)).alias("before"), F.count_if((at >= 0) & (at < size)).alias("after"))

@@ -208,3 +208,15 @@ def test_snippets_meet_chunks(spark):
     for s, i, tetrode, t in spikes:
         for c in range(4 * tetrode - 3, 4 * tetrode + 1):
             assert found[s, i, c] == [there.get((s, c, x)) or 0.0 for x in range(t - 10, t + 20)]
+
+
+def test_inhibition_starts_from_written_cells(spark):
+    from spikeframe.operators import responses as R
+
+    keys = ["session_id", "cluster_id"]
+    s = spark.range(4000).select((F.col("id") % 4).alias("session_id"), (F.col("id") % 3).alias("cluster_id"), (F.col("id") * 7919 % 2_000_000).alias("t"))
+    p = spark.range(80).select((F.col("id") % 4).alias("session_id"), (F.col("id") * 25_000).alias("pulse"))
+    df = R.inhibition(s, p, ["session_id"], keys, R.latency_test(s, p, ["session_id"], keys, 3000, 10), 600, 3000)
+    lines = plan_lines(df)
+    assert any("ExistingRDD" in line for line in lines) and sum("Join" in line for line in lines) <= 8
+    assert df.count() == 12
