@@ -33,6 +33,8 @@ K1, B, BLOCK = 1.2, 0.75, 16
 #: Passages that run together, and contributions that are looked up at once.
 GROUP, LOOKUPS = 4096, 1 << 20
 THRESHOLD, OVERLAP, GRAM = 0.4, 0.6, 3
+#: Tables by term and block, or by passage and block, have at most so many entries; above, keys are sorted or searched.
+TABLE = 1 << 22
 #: An index shard holds at most so many items and characters; a larger benchmark takes several passes.
 SHARD_ITEMS, SHARD_CHARS = 20_000, 32 << 20
 MIN_WINDOW = 64
@@ -80,6 +82,13 @@ class Index:
     answer: list[np.ndarray]
     gram: list[int]
     window: int
+    spot: np.ndarray | None = None
+
+    def __post_init__(self):
+        """spot: the part of each term and block, -1 for none; not made for large indexes."""
+        if len(self.most) * self.blocks <= TABLE:
+            self.spot = np.full(len(self.most) * self.blocks, -1, np.int32)
+            self.spot[self.key] = np.arange(len(self.key))
 
     @staticmethod
     def build(rows: list[tuple[int, str]], whole: tuple[int, float, int, dict[int, int]] | None = None) -> Index:
@@ -129,6 +138,10 @@ class Index:
     def _parts(self, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which pair, part of the posting list) of those pairs of term and block that have one."""
         wanted = term * self.blocks + block
+        if self.spot is not None:
+            at = self.spot[wanted]
+            there = np.flatnonzero(at >= 0)
+            return there, at[there]
         at = np.searchsorted(self.key, wanted)
         at[at == len(self.key)] = 0
         there = np.flatnonzero(self.key[at] == wanted)
@@ -148,8 +161,14 @@ class Index:
         before = np.bincount(owner[~after], self.most[term[~after]], len(name))
         low = self.part[term[after]]
         pair, part = _spread(low, self.part[term[after] + 1] - low)
-        spot, number = np.unique(owner[after][pair] * self.blocks + self.key[part] % self.blocks, return_inverse=True)
-        bound = np.bincount(number, self.peak[part], len(spot)) + before[spot // self.blocks]
+        place = owner[after][pair] * self.blocks + self.key[part] % self.blocks
+        if len(name) * self.blocks <= TABLE:
+            bound = np.bincount(place, self.peak[part], len(name) * self.blocks)
+            spot = np.flatnonzero(bound > 0)
+            bound = bound[spot] + before[spot // self.blocks]
+        else:
+            spot, number = np.unique(place, return_inverse=True)
+            bound = np.bincount(number, self.peak[part], len(spot)) + before[spot // self.blocks]
         spot = spot[bound >= enough]
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         step = 0

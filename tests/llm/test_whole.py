@@ -289,3 +289,20 @@ def test_names_have_cells_of_their_own_and_more_names_than_cells_keep_their_orde
     assert len(few) == 20 and few.cell.nunique() == 20 and few.cell.max() == 19
     many = sharding.name_places(spark.createDataFrame([(f"n{i:04d}",) for i in range(1000)], "name string"), "name", 32, "cell").toPandas().sort_values("name")
     assert many.cell.is_monotonic_increasing and many.cell.value_counts().between(31, 32).all() and many.cell.nunique() == 32
+
+
+def test_decontamination_tables_equal_sorted_keys(monkeypatch):
+    from spikeframe.llm import textvec as tv
+
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(300)]
+    items = [(i, " ".join(rng.choice(words, 20)) + ". " + " ".join(rng.choice(words, 8))) for i in range(90)]
+    texts = [" ".join(rng.choice(words, 60)) + " " + items[k % 90][1] + " " + " ".join(rng.choice(words, 30 * (k % 5))) for k in range(120)]
+    raw = "".join(texts).encode()
+    split = tv.split_words(np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)]), tv.ALNUM)
+    dense = decontam.Index.build(items)
+    found = dense.leaks(split, len(texts), 0.3, 0.5)
+    monkeypatch.setattr(decontam, "TABLE", 0)
+    sparse = decontam.Index.build(items)
+    assert dense.spot is not None and sparse.spot is None
+    assert found == sparse.leaks(split, len(texts), 0.3, 0.5) and len(found) >= 120
