@@ -20,7 +20,7 @@ from ..operators import significance as G
 from ..operators import similarity as Y
 from ..operators import statistics as S
 from ..operators import waveforms as V
-from .extended import BLOCKS, CELLS_, DIR, DRAW, FIELD, FIELDS_, PEAKS, PLACE, around, field_half_rates, inside, place_map, ratios, with_bins
+from .extended import BLOCKS, CELLS_, DIR, DRAW, FIELD, FIELDS_, PEAKS, PLACE, around, field_half_rates, inside, place_tiles, ratios, with_bins
 from .fixtures import view, with_views
 from .preparation import fields
 from .registry import CELL, HIST, JOINED, ORACLES, ORDER, SESSION, joined, query, r6
@@ -171,8 +171,7 @@ TYPES = PLACE + GRID + ", joined AS (SELECT * FROM places )" + HIST[len(JOINED)
 
 
 def place_types(spark, d):
-    a = M.autocorrelogram(place_map(spark, d), CELL)
-    grid = P.grid_score(a, P.correlogram_peaks(a, CELL), CELL)
+    grid = P.map_grid_score(place_tiles(spark, d), CELL)
     hd = M.hd_score(M.hd_histogram(view(spark, d, "places"), CELL), CELL)
     return K.cell_types(hd.join(grid, CELL, "left"))
 

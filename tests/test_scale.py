@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spikeframe.operators import behaviour as B
+from spikeframe.operators import firing_fields as P
+from spikeframe.operators import joins as J
 from spikeframe.operators import maps as M
 from spikeframe.operators import sessions as T
 from spikeframe.operators import shuffles as H
@@ -220,3 +222,49 @@ def test_inhibition_starts_from_written_cells(spark):
     lines = plan_lines(df)
     assert any("ExistingRDD" in line for line in lines) and sum("Join" in line for line in lines) <= 8
     assert df.count() == 12
+
+
+def test_maps_are_joined_by_tiles(spark):
+    p = interleaved(spark)
+    joins = [line for line in plan_lines(M.rate_map(p, p, ["session_id", "cluster_id"], ["session_id"], 40.0, 60.0, 1 / 30, 3)) if "Join" in line]
+    assert joins and all("tile_x" in line for line in joins)
+
+
+def lit_places(spark, sessions=3, each=900, far=0):
+    """Positions of some sessions, and spikes whose times name a position."""
+    p = spark.range(sessions * each).select((F.col("id") % sessions).alias("session_id"), F.floor(F.col("id") / sessions).alias("pos_idx"))
+    p = p.select("*", (F.col("pos_idx") / 30.0).alias("synced_time"), (F.col("pos_idx") * 37 % 400 + far).cast("double").alias("x_px"), (F.col("pos_idx") * 91 % 397 + F.col("session_id")).cast("double").alias("y_px"))
+    near = "cos(x_px * 0.0605) + cos(x_px * 0.0302 + y_px * 0.0524) + cos(x_px * 0.0302 - y_px * 0.0524) > 0.5"
+    return p, p.where(near).selectExpr("session_id", "pos_idx % 2 AS cluster_id", "pos_idx * 1000 AS t_sample")
+
+
+@pytest.mark.parametrize("far", [0, 1000])
+def test_tiled_maps_equal_maps_by_rows(spark, far):
+    cell = ["session_id", "cluster_id"]
+    p, s = lit_places(spark, far=far)
+    key = lambda df, *more: {tuple(r[k] for k in (*cell, *more)): tuple(pytest.approx(v) for k, v in r.asDict().items() if k not in (*cell, *more)) for r in df.collect()}
+    rows = M.rate_map(J.spikes_to_positions(s, p), p, cell, ["session_id"], 20.0, 30.0, 1 / 30, 3).cache()
+    hit = J.spikes_to_positions(s, p)
+    for tiles in (M.rate_tiles(hit, p, cell, ["session_id"], 20.0, 30.0, 1 / 30, 3), M.spike_rate_tiles(s, p, cell, ["session_id"], 20.0, 30.0, 1 / 30, 3)):
+        tiles = tiles.cache()
+        found = key(M.bins_of_tiles(tiles, cell, "rate"), "bin_x", "bin_y")
+        assert len(found) > 2000 and found == key(rows, "bin_x", "bin_y")
+        shifts = M.autocorrelogram(rows, cell)
+        assert {k: n for k, (n, _) in key(M.map_autocorrelogram(tiles, cell), "dx", "dy").items()} == {k: n for k, (n, _) in key(shifts, "dx", "dy").items()}
+        peaks = P.correlogram_peaks(shifts, cell)
+        assert key(P.map_peaks(tiles, cell), "label") == key(peaks, "label")
+        scores = key(P.grid_score(shifts, peaks, cell))
+        assert scores and key(P.map_grid_score(tiles, cell)) == scores
+        fields = key(P.firing_fields(rows, cell, least_bins=4), "field_id", "bin_x", "bin_y")
+        assert key(P.map_fields(tiles, cell, least_bins=4).drop("rate"), "field_id", "bin_x", "bin_y") == fields
+
+
+def test_groups_over_batches_give_whole_maps(spark):
+    p = interleaved(spark)
+    whole = {(r.session_id, r.bin_x, r.bin_y): r.occupancy for r in M.occupancy(p, ["session_id"], 40.0, 60.0, 3).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {(r.session_id, r.bin_x, r.bin_y): r.occupancy for r in M.occupancy(p, ["session_id"], 40.0, 60.0, 3).collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
