@@ -17,7 +17,7 @@ from ..operators import similarity as Y
 from ..operators import trials as L
 from ..operators import waveforms as V
 from .analysis import RATES, trial_rates
-from .extended import PLACE, SHIFTED, kernel, place_map, seen_bins
+from .extended import PLACE, SHIFTED, kernel, place_tiles, seen_bins
 from .fixtures import view
 from .registry import CELL, SESSION, joined, query, r6
 from .responses import LATENCY
@@ -160,14 +160,14 @@ NEAR = """, occ AS (SELECT session_id, bin_x, bin_y, n FROM seen), cell AS MATER
 
 @query(PLACE + NEAR + " SELECT session_id, cluster_id, round(r, 5) AS r, round(0.5 * ln((1 + r) / (1 - r)) * sqrt(n - 3), 4) AS z FROM co")
 def a9_coherence(spark, d):
-    seen = M.occupancy(view(spark, d, "position"), SESSION, 20.0, 30.0, 3)
-    return M.coherence(place_map(spark, d), seen, CELL, SESSION).select(*CELL, F.round("r", 5).alias("r"), F.round("z", 4).alias("z"))
+    seen = M.occupancy_tiles(view(spark, d, "position"), SESSION, 20.0, 30.0, 30.0)
+    return M.map_coherence(place_tiles(spark, d, seen), seen, CELL, SESSION, 3).select(*CELL, F.round("r", 5).alias("r"), F.round("z", 4).alias("z"))
 
 
 @query(PLACE + NEAR + ", h AS (SELECT session_id, cluster_id, avg(rate) AS m, avg(CASE WHEN rate > 0.0001 THEN rate * log2(rate) ELSE 0 END) AS h FROM cell GROUP BY 1, 2) SELECT session_id, cluster_id, round((h - m * log2(m)) / m, 5) AS information FROM h")
 def a9_uniform_information(spark, d):
-    seen = M.occupancy(view(spark, d, "position"), SESSION, 20.0, 30.0, 3)
-    return M.uniform_information(place_map(spark, d), seen, CELL, SESSION).select(*CELL, F.round("information", 5).alias("information"))
+    seen = M.occupancy_tiles(view(spark, d, "position"), SESSION, 20.0, 30.0, 30.0)
+    return M.map_uniform_information(place_tiles(spark, d, seen), seen, CELL, SESSION, 3).select(*CELL, F.round("information", 5).alias("information"))
 
 
 #: A sparse pulse, and the light that follows it some samples later with a level of its own.

@@ -268,3 +268,15 @@ def test_groups_over_batches_give_whole_maps(spark):
         assert {(r.session_id, r.bin_x, r.bin_y): r.occupancy for r in M.occupancy(p, ["session_id"], 40.0, 60.0, 3).collect()} == whole
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_scores_of_tiled_maps_equal_those_by_rows(spark):
+    cell, session = ["session_id", "cluster_id"], ["session_id"]
+    p, s = lit_places(spark)
+    hit, seen = J.spikes_to_positions(s, p), M.occupancy_tiles(p, session, 20.0, 30.0, 30.0)
+    tiles, rows, occupied = (df.cache() for df in (M.rate_tiles(hit, p, cell, session, 20.0, 30.0, 1 / 30, 3, base=seen), M.rate_map(hit, p, cell, session, 20.0, 30.0, 1 / 30, 3), M.occupancy(p, session, 20.0, 30.0, 3)))
+    key = lambda df: {(r.session_id, r.cluster_id): tuple(pytest.approx(v) for v in r[2:]) for r in df.collect()}
+    assert key(M.map_coherence(tiles, seen, cell, session, 3)) == key(M.coherence(rows, occupied, cell, session))
+    assert key(M.map_uniform_information(tiles, seen, cell, session, 3)) == key(M.uniform_information(rows, occupied, cell, session))
+    assert key(M.map_information(tiles, seen, cell, session, 3)) == key(M.spatial_information(rows, occupied, cell, session))
+    assert len(key(M.map_coherence(tiles, seen, cell, session, 3))) == 6
