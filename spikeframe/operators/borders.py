@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .firing_fields import peaks_of, shifts_of
+from .maps import SessionMaps, on_maps
+
 
 def _score(bins: DataFrame, keys, coverage: list[Column], distance: Column, farthest: Column) -> DataFrame:
     """(cM - dm) / (cM + dm): the best coverage of any field, and the mean over fields of the rate-weighted distance by its greatest value on the map.
@@ -88,3 +91,21 @@ def grid_shape(peaks: DataFrame, keys) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in peaks.select(*keys).schema)
     shape = around.select(*keys, "cx", "cy").groupBy(*keys).applyInPandas(fit, f"{kinds}, ellipticity double")
     return turned.join(shape, list(keys))
+
+
+def map_grid_shape(tiles: DataFrame | SessionMaps, keys, above: float = 0.2, least: int = 20) -> DataFrame:
+    """grid_shape of the autocorrelogram peaks of tiled maps or SessionMaps: both figures of a map in one call."""
+
+    def shape(x0, y0, u, seen):
+        dx, dy, r = shifts_of(u, seen, least)
+        _, cx, cy, _, distance = peaks_of(dx[r > above], dy[r > above])
+        if len(distance) <= 7:
+            return np.zeros(0), np.zeros(0)
+        around = np.argsort(distance, kind="stable")[1:7]
+        angle = np.degrees(np.arctan2(cy[around], cx[around]))
+        ellipse = ellipticity(np.stack([cx[around], cy[around]], 1))
+        return np.array([angle[angle > 0].min(initial=np.inf)]), np.array([np.nan if ellipse is None else ellipse])
+
+    out = on_maps(tiles, keys, shape, "orientation double, ellipticity double")
+    null = F.lit(None).cast("double")
+    return out.select(*keys, F.when(F.col("orientation") < 360, F.col("orientation")).alias("orientation"), F.nanvl("ellipticity", null).alias("ellipticity"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .maps import correlate_shifts, cropped, on_maps
+from .maps import SessionMaps, correlate_shifts, cropped, on_maps
 
 #: Fixed value: what a bin of a field counts in later passes.
 TAKEN = -10.0
@@ -94,8 +94,8 @@ def firing_fields(rates: DataFrame, keys, share: float = 0.35, least_bins: int =
     return rates.select(*keys, "bin_x", "bin_y", "rate").groupBy(*keys).applyInPandas(find, _schema(rates, keys, "field_id long, bin_x long, bin_y long, max_rate double"))
 
 
-def map_fields(tiles: DataFrame, keys, share: float = 0.35, least_bins: int = 45, least_rate: float = 0.1) -> DataFrame:
-    """firing_fields of tiled maps, with the rate of each bin."""
+def map_fields(tiles: DataFrame | SessionMaps, keys, share: float = 0.35, least_bins: int = 45, least_rate: float = 0.1) -> DataFrame:
+    """firing_fields of tiled maps or SessionMaps, with the rate of each bin."""
     return on_maps(tiles, keys, lambda x0, y0, u, seen: fields_of(u, seen, x0, y0, share, least_bins, least_rate), "field_id long, bin_x long, bin_y long, max_rate double, rate double")
 
 
@@ -128,7 +128,7 @@ def correlogram_peaks(correlogram: DataFrame, keys, above: float = 0.2) -> DataF
     return high.groupBy(*keys).applyInPandas(find, _schema(correlogram, keys, PEAKS))
 
 
-def _shifts(u, seen, least: int):
+def shifts_of(u, seen, least: int):
     """(dx, dy, r) of a map's autocorrelogram where it isn't null."""
     seen = seen & (u > 0)
     if not seen.any():
@@ -138,11 +138,11 @@ def _shifts(u, seen, least: int):
     return dx[some], dy[some], r[some]
 
 
-def map_peaks(tiles: DataFrame, keys, above: float = 0.2, least: int = 20) -> DataFrame:
-    """correlogram_peaks of the autocorrelograms of tiled maps."""
+def map_peaks(tiles: DataFrame | SessionMaps, keys, above: float = 0.2, least: int = 20) -> DataFrame:
+    """correlogram_peaks of the autocorrelograms of tiled maps or SessionMaps."""
 
     def find(x0, y0, u, seen):
-        dx, dy, r = _shifts(u, seen, least)
+        dx, dy, r = shifts_of(u, seen, least)
         return peaks_of(dx[r > above], dy[r > above])
 
     return on_maps(tiles, keys, find, PEAKS)
@@ -157,37 +157,60 @@ def _corr(u, v):
     return (du * dv).mean() / (np.sqrt(a) * np.sqrt(b)) if a > 1e-20 * u.mean() ** 2 and b > 1e-20 * v.mean() ** 2 else np.nan
 
 
-def map_grid_score(tiles: DataFrame, keys, above: float = 0.2, least: int = 20) -> DataFrame:
-    """grid_score of the autocorrelograms of tiled maps: (keys, grid_score) of maps with a ring in which some shift meets a turned one."""
-
-    def score(x0, y0, u, seen):
-        dx, dy, r = _shifts(u, seen, least)
-        _, _, _, _, distance = peaks_of(dx[r > above], dy[r > above])
-        if len(distance) <= 7:
-            return (np.zeros(0),)
-        mean = np.sort(distance, kind="stable")[1:7].mean()
-        far = np.hypot(dx.astype(float), dy.astype(float))
-        ring = (far >= 0.25 * mean) & (far <= 1.25 * mean)
-        dx, dy, high = dx[ring], dy[ring], (r[ring] > above).astype(float)
-        side = int(np.ceil(1.25 * mean)) + 1
-        at = np.full((2 * side + 1, 2 * side + 1), np.nan)
-        at[dx + side, dy + side] = high
-        found, met = {}, False
-        for angle in (30, 60, 90, 120, 150):
-            c, s = np.cos(np.radians(float(angle))), np.sin(np.radians(float(angle)))
-            x, y = np.rint(dx * c - dy * s).astype(int) + side, np.rint(dx * s + dy * c).astype(int) + side
-            inside = (x >= 0) & (y >= 0) & (x <= 2 * side) & (y <= 2 * side)
-            v = np.where(inside, at[np.where(inside, x, 0), np.where(inside, y, 0)], np.nan)
-            both = ~np.isnan(v)
-            met, found[angle] = met or both.any(), _corr(high[both], v[both])
-        if not met:
-            return (np.zeros(0),)
-        # as for columns, least and greatest leave nulls out
-        low, high = np.array([found[60], found[120]]), np.array([found[30], found[90], found[150]])
-        some = not (np.isnan(low).all() or np.isnan(high).all())
-        return (np.array([np.nanmin(low) - np.nanmax(high) if some else np.nan]),)
-
-    out = on_maps(tiles, keys, score, "grid_score double")
+def grid_score_of(u, seen, above: float, least: int):
+    """The grid score of one map as an array, empty where map_grid_score has no row."""
+    dx, dy, r = shifts_of(u, seen, least)
+    _, _, _, _, distance = peaks_of(dx[r > above], dy[r > above])
+    if len(distance) <= 7:
+        return np.zeros(0)
+    mean = np.sort(distance, kind="stable")[1:7].mean()
+    far = np.hypot(dx.astype(float), dy.astype(float))
+    ring = (far >= 0.25 * mean) & (far <= 1.25 * mean)
+    dx, dy, high = dx[ring], dy[ring], (r[ring] > above).astype(float)
+    side = int(np.ceil(1.25 * mean)) + 1
+    at = np.full((2 * side + 1, 2 * side + 1), np.nan)
+    at[dx + side, dy + side] = high
+    found, met = {}, False
+    for angle in (30, 60, 90, 120, 150):
+        c, s = np.cos(np.radians(float(angle))), np.sin(np.radians(float(angle)))
+        x, y = np.rint(dx * c - dy * s).astype(int) + side, np.rint(dx * s + dy * c).astype(int) + side
+        inside = (x >= 0) & (y >= 0) & (x <= 2 * side) & (y <= 2 * side)
+        v = np.where(inside, at[np.where(inside, x, 0), np.where(inside, y, 0)], np.nan)
+        both = ~np.isnan(v)
+        met, found[angle] = met or both.any(), _corr(high[both], v[both])
+    if not met:
+        return np.zeros(0)
+    # as for columns, least and greatest leave nulls out
+    low, high = np.array([found[60], found[120]]), np.array([found[30], found[90], found[150]])
+    some = not (np.isnan(low).all() or np.isnan(high).all())
+    return np.array([np.nanmin(low) - np.nanmax(high) if some else np.nan])
+
+
+def map_grid_score(tiles: DataFrame | SessionMaps, keys, above: float = 0.2, least: int = 20) -> DataFrame:
+    """grid_score of the autocorrelograms of tiled maps or SessionMaps: (keys, grid_score) of maps with a ring in which some shift meets a turned one."""
+    out = on_maps(tiles, keys, lambda x0, y0, u, seen: (grid_score_of(u, seen, above, least),), "grid_score double")
+    return out.withColumn("grid_score", F.nanvl("grid_score", F.lit(None).cast("double")))
+
+
+def _direction_score(angle, window: int):
+    """maps.hd_score of maps.hd_histogram of one cell's angles, as an array; empty without angles."""
+    angle = angle[~np.isnan(angle)]
+    if not len(angle):
+        return np.zeros(0)
+    n = np.bincount(np.minimum(np.floor(angle + 180), 359).astype(int) % 360, minlength=360)
+    n = sum(np.roll(n, d) for d in range(-(window // 2), window - window // 2))
+    a = np.radians(np.arange(360) - 179.0)
+    return np.array([np.hypot((np.sin(a) * n).sum(), (np.cos(a) * n).sum()) / n.sum()])
+
+
+def cell_scores(maps: SessionMaps, keys, angle: str = "hd", window: int = 23, above: float = 0.2, least: int = 20) -> DataFrame:
+    """(keys, hd_score, grid_score) of cells with angles: maps.hd_score of the angles of their spikes and map_grid_score of their maps, null without one, from one pass over a session."""
+
+    def scores(x0, y0, u, seen, angles):
+        hd, grid = _direction_score(angles.astype(float), window), grid_score_of(u, seen, above, least)
+        return hd, grid if len(grid) == len(hd) else np.full(len(hd), np.nan)
+
+    out = maps.each(scores, "hd_score double, grid_score double", [angle])
     return out.withColumn("grid_score", F.nanvl("grid_score", F.lit(None).cast("double")))
 
 

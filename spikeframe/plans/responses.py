@@ -9,11 +9,11 @@ from ..operators import joins as J
 from ..operators import maps as M
 from ..operators import responses as R
 from .fixtures import view
-from .registry import CELL, HIST, ORDER, SESSION, coarse_tiles, hist, joined, query, r6
+from .registry import CELL, HIST, ORDER, SESSION, coarse_maps, hist, joined, query, r6
 
 
 def peaks(spark, d):
-    return P.map_peaks(coarse_tiles(spark, d), CELL)
+    return P.map_peaks(coarse_maps(spark, d), CELL)
 
 
 @query()
@@ -28,12 +28,12 @@ def c6_grid_spacing(spark, d):
 
 @query()
 def c7_grid_score(spark, d):
-    return P.map_grid_score(coarse_tiles(spark, d), CELL).select(*CELL, *r6("grid_score"))
+    return P.map_grid_score(coarse_maps(spark, d), CELL).select(*CELL, *r6("grid_score"))
 
 
 def found_fields(spark, d):
     """Fields of the coarse maps of these tables, whose bins are 40 pixels wide."""
-    return P.map_fields(coarse_tiles(spark, d), CELL, least_bins=2)
+    return P.map_fields(coarse_maps(spark, d), CELL, least_bins=2)
 
 
 @query()

@@ -280,3 +280,47 @@ def test_scores_of_tiled_maps_equal_those_by_rows(spark):
     assert key(M.map_uniform_information(tiles, seen, cell, session, 3)) == key(M.uniform_information(rows, occupied, cell, session))
     assert key(M.map_information(tiles, seen, cell, session, 3)) == key(M.spatial_information(rows, occupied, cell, session))
     assert len(key(M.map_coherence(tiles, seen, cell, session, 3))) == 6
+
+
+@pytest.mark.parametrize("far", [0, 1000])
+def test_maps_of_sessions_equal_tiled_ones(spark, far):
+    from spikeframe.operators import borders as O
+
+    cell, session = ["session_id", "cluster_id"], ["session_id"]
+    p, s = lit_places(spark, far=far)
+    hit = J.spikes_to_positions(s, p)
+    key = lambda df, *more: {tuple(r[k] for k in (*cell, *more)): tuple(None if v is None else pytest.approx(v) for k, v in r.asDict().items() if k not in (*cell, *more)) for r in df.collect()}
+    tiles = M.rate_tiles(hit, p, cell, session, 20.0, 30.0, 1 / 30, 3).cache()
+    placed, timed = (M.SessionMaps(x, p, cell, session, 20.0, 30.0, 1 / 30, 3, rate) for x, rate in ((hit, None), (s, 30000.0)))
+    peaks = P.map_peaks(tiles, cell)
+    for maps in (placed, timed):
+        df = P.map_peaks(maps, cell)
+        assert not any("tile_x" in line or "MapInPandas" in line for line in plan_lines(df)) and key(df, "label") == key(peaks, "label")
+        assert key(P.map_grid_score(maps, cell)) == key(P.map_grid_score(tiles, cell))
+        assert key(P.map_fields(maps, cell, least_bins=4), "field_id", "bin_x", "bin_y") == key(P.map_fields(tiles, cell, least_bins=4), "field_id", "bin_x", "bin_y")
+        assert key(M.map_autocorrelogram(maps, cell), "dx", "dy") == key(M.map_autocorrelogram(tiles, cell), "dx", "dy")
+        shapes = key(O.grid_shape(peaks, cell))
+        assert shapes and key(O.map_grid_shape(maps, cell)) == shapes
+
+
+def test_scores_of_cells_come_from_one_pass(spark):
+    cell, session = ["session_id", "cluster_id"], ["session_id"]
+    p, s = lit_places(spark)
+    hit = J.spikes_to_positions(s, p).select(*cell, "x_px", "y_px", F.when(F.col("x_px") % 3 > 0, F.col("y_px") * 0.9 - 180).alias("hd"))
+    # a cell without places, one without positions, one without a session and one without angles
+    more = spark.createDataFrame([(0, 7, None, None, 10.0), (0, 7, None, None, 180.0), (8, 0, 5.0, 5.0, -170.0), (None, 0, 5.0, 5.0, 30.0), (1, 8, 5.0, 5.0, None)], hit.schema)
+    hit = hit.union(more)
+    maps = M.SessionMaps(hit, p.union(p.limit(3).withColumn("session_id", F.lit(None).cast("long"))), cell, session, 20.0, 30.0, 1 / 30, 3)
+    key = lambda df: {(r.session_id, r.cluster_id): tuple(None if r[c] is None else pytest.approx(r[c]) for c in ("hd_score", "grid_score")) for r in df.collect()}
+    grid = P.map_grid_score(M.rate_tiles(hit, p, cell, session, 20.0, 30.0, 1 / 30, 3), cell)
+    wanted = key(M.hd_score(M.hd_histogram(hit, cell), cell).join(grid, cell, "left"))
+    df = P.cell_scores(maps, cell)
+    assert len(wanted) == 9 and any(g is not None for _, g in wanted.values()) and key(df) == wanted
+
+
+@pytest.mark.parametrize("name", ["c5_place_peaks", "c5_correlogram_peaks", "c7_place_grid_score", "c8_grid_shape", "c9_place_fields", "c9_firing_fields"])
+def test_positions_are_brought_together_once(spark, name):
+    import __spark_entry__
+
+    lines = plan_lines(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert sum("Exchange hashpartitioning" in line for line in lines) == 2 and sum("Window" in line for line in lines) == 1
