@@ -12,7 +12,6 @@ from ..operators import curation as K
 from ..operators import field_frames as E
 from ..operators import firing_fields as P
 from ..operators import joins as J
-from ..operators import maps as M
 from ..operators import responses as R
 from ..operators import sessions as T
 from ..operators import shuffles as H
@@ -20,7 +19,7 @@ from ..operators import significance as G
 from ..operators import similarity as Y
 from ..operators import statistics as S
 from ..operators import waveforms as V
-from .extended import BLOCKS, CELLS_, DIR, DRAW, FIELD, FIELDS_, PEAKS, PLACE, around, field_half_rates, inside, place_tiles, ratios, with_bins
+from .extended import BLOCKS, CELLS_, DIR, DRAW, FIELD, FIELDS_, PEAKS, PLACE, around, field_half_rates, inside, place_maps, ratios, with_bins
 from .fixtures import view, with_views
 from .preparation import fields
 from .registry import CELL, HIST, JOINED, ORACLES, ORDER, SESSION, joined, query, r6
@@ -171,9 +170,7 @@ TYPES = PLACE + GRID + ", joined AS (SELECT * FROM places )" + HIST[len(JOINED)
 
 
 def place_types(spark, d):
-    grid = P.map_grid_score(place_tiles(spark, d), CELL)
-    hd = M.hd_score(M.hd_histogram(view(spark, d, "places"), CELL), CELL)
-    return K.cell_types(hd.join(grid, CELL, "left"))
+    return K.cell_types(P.cell_scores(place_maps(spark, d), CELL))
 
 
 @query(TYPES + " SELECT session_id, cluster_id, round(hd_score, 6) AS hd_score, cell_type FROM types")

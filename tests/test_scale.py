@@ -318,7 +318,7 @@ def test_scores_of_cells_come_from_one_pass(spark):
     assert len(wanted) == 9 and any(g is not None for _, g in wanted.values()) and key(df) == wanted
 
 
-@pytest.mark.parametrize("name", ["c5_place_peaks", "c5_correlogram_peaks", "c7_place_grid_score", "c8_grid_shape", "c9_place_fields", "c9_firing_fields"])
+@pytest.mark.parametrize("name", ["c5_place_peaks", "c5_correlogram_peaks", "c7_place_grid_score", "c8_grid_shape", "c9_place_fields", "c9_firing_fields", "f14_place_cell_types"])
 def test_positions_are_brought_together_once(spark, name):
     import __spark_entry__
 
