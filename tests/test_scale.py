@@ -136,6 +136,18 @@ def test_shuffled_rates_equal_joined_copies(spark):
     assert sorted(Q.directional(sure, rest, cell).collect()) == sorted(Q.directional_tests(tests, cell).collect())
 
 
+def test_sums_of_copies_equal_those_of_their_spikes(spark):
+    s, _ = hits(spark)
+    cell = ["session_id", "cluster_id"]
+    more = spark.createDataFrame([(8, 0, None), (8, 1, None), (8, 1, 999), (8, 2, -1), (8, 2, 2500), (8, 2, 0), (None, 1, 3), (9, None, 4)], "session_id long, cluster_id long, t long")
+    s = s.unionByName(more)
+    df = H.shift_summaries(s, 40, 1000, 100, cell)
+    assert not any("Join" in line or "explode" in line for line in plan_lines(df))
+    old = H.time_shifts(s, 40, 1000, 100, cell).groupBy(*cell, "shuffle_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("t").alias("total"))
+    assert df.dtypes == old.dtypes
+    assert sorted(map(str, df.collect())) == sorted(map(str, old.collect())) and df.count() == 40 * 19
+
+
 def test_shuffled_stability_equals_joined_copies(spark):
     from spikeframe.operators import field_frames as E
     from spikeframe.operators import joins as J
