@@ -148,6 +148,26 @@ def test_sums_of_copies_equal_those_of_their_spikes(spark):
     assert sorted(map(str, df.collect())) == sorted(map(str, old.collect())) and df.count() == 40 * 19
 
 
+def test_shuffled_metrics_equal_joined_copies(spark):
+    from spikeframe.operators import statistics as S
+
+    s, p = hits(spark)
+    cell, copy = ["session_id", "cluster_id"], ["session_id", "cluster_id", "shuffle_id"]
+    p = p.withColumn("hd", F.when(F.col("pos_idx") != 3, F.when(F.col("pos_idx") == 5, F.col("hd") - 360).otherwise(F.col("hd"))))
+    s = s.unionByName(spark.createDataFrame([(1, 8, 9), (1, 9, None), (1, None, 5), (2, 8, 100), (2, 8, 9_999)], "session_id long, cluster_id long, t long"))
+    df = H.shuffled_metrics(s, p, 12, 1000, 100, cell, 30.0, own=True)
+    lines = plan_lines(df)
+    assert not any("explode" in line or "Join" in line for line in lines)  # no row for a copy's spike
+    moved = H.time_shifts(s, 12, 1000, 100, cell).withColumnRenamed("t", "t_sample")
+    both = moved.unionByName(s.where("cluster_id is not null").select(*cell, F.col("t").alias("t_sample"), F.lit(-1).alias("shuffle_id")))
+    hit = J.spikes_to_positions(both, p, 30.0)
+    hist = M.hd_histogram(hit, copy)
+    old = M.hd_score(hist, copy).join(S.rayleigh(hist, copy), copy).join(hit.groupBy(*copy).agg(F.count("*").alias("n")), copy)
+    key = lambda df: sorted((*r[:3], round(r.hd_score, 9), round(r.p, 9), r.n) for r in df.collect())
+    assert key(df) == key(old) and len(key(df)) > 150
+    assert key(H.shuffled_metrics(s, p, 12, 1000, 100, cell, 30.0)) == key(old.where("shuffle_id >= 0"))
+
+
 def test_shuffled_stability_equals_joined_copies(spark):
     from spikeframe.operators import field_frames as E
     from spikeframe.operators import joins as J
