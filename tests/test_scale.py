@@ -356,3 +356,11 @@ def test_positions_are_brought_together_once(spark, name):
 
     lines = plan_lines(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
     assert sum("Exchange hashpartitioning" in line for line in lines) == 2 and sum("Window" in line for line in lines) == 1
+
+
+@pytest.mark.parametrize("name", ["r3_shuffled_cutoffs"])
+def test_metrics_of_copies_come_from_one_meeting(spark, name):
+    from spikeframe.plans import extended
+    from spikeframe.plans.registry import QUERIES
+
+    assert extended and not any("Join" in line for line in plan_lines(QUERIES[name](spark, "/root/testdata/sf0.001")))
