@@ -358,7 +358,7 @@ def test_positions_are_brought_together_once(spark, name):
     assert sum("Exchange hashpartitioning" in line for line in lines) == 2 and sum("Window" in line for line in lines) == 1
 
 
-@pytest.mark.parametrize("name", ["r3_shuffled_cutoffs", "r4_spatial_labels"])
+@pytest.mark.parametrize("name", ["r3_shuffled_cutoffs", "r4_spatial_labels", "r9_directional_cells"])
 def test_metrics_of_copies_come_from_one_meeting(spark, name):
     from spikeframe.plans import extended
     from spikeframe.plans.registry import QUERIES
