@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions
 from ..functions.scalar import safe_corr
-from .groups import in_groups
+from .groups import group_of, in_groups
 from .similarity import circular_linear
 
 
@@ -195,53 +197,98 @@ def _bessel(kappa: np.ndarray, order: int) -> np.ndarray:
     return (np.exp(np.asarray(kappa)[..., None] * (np.cos(t) - 1)) * np.cos(order * t)).mean(-1)
 
 
-def von_mises_fit(weight: np.ndarray, k: int, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(log likelihood, means, concentrations, shares) of k von Mises components for weights of equal bins of the circle, by EM from spread starts."""
-    n = len(weight)
+@lru_cache(maxsize=1)
+def _concentrations(step: float = 0.005, most: float = 101.0):
+    """(kappa, exp(-kappa) * I0(kappa), its slope, I1(kappa) / I0(kappa), the slope of kappa over that length) at even steps of kappa, fine enough for cubic pieces."""
+    kappa = np.arange(0, most + step, step)
+    zero, one = (np.concatenate([_bessel(part, order) for part in np.array_split(kappa, 64)]) for order in (0, 1))
+    length = one / zero
+    slope = 1 / np.append(0.5, 1 - length[1:] / kappa[1:] - length[1:] ** 2)
+    return kappa, zero, one - zero, length, slope
+
+
+def _cubic(x, at, value, slope):
+    """Cubic pieces through values and slopes at rising places."""
+    k = np.clip(np.searchsorted(at, x, "right") - 1, 0, len(at) - 2)
+    wide = at[k + 1] - at[k]
+    u = (x - at[k]) / wide
+    v = 1 - u
+    return v * v * ((1 + 2 * u) * value[k] + u * wide * slope[k]) + u * u * ((1 + 2 * v) * value[k + 1] - v * wide * slope[k + 1])
+
+
+def von_mises_fits(weights: np.ndarray, k: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log likelihood, means, concentrations, shares) of k von Mises components for each row of weights of equal bins of the circle, by EM from spread starts; a row that is done leaves the others' steps."""
+    n = weights.shape[1]
+    kappas, zero, zero_slope, length, length_slope = _concentrations()
     angle = (np.arange(n) + 0.5) * 2 * np.pi / n - np.pi
-    peak = np.argmax(weight)
-    mean, kappa, share = angle[peak] + 2 * np.pi * np.arange(k) / k, np.full(k, 2.0), np.full(k, 1 / k)
-    total, before = weight.sum(), -np.inf
+    waves = np.stack([np.ones(n), np.cos(angle), np.sin(angle)])
+    left, w = np.arange(len(weights)), weights
+    mean = angle[weights.argmax(1)][:, None] + 2 * np.pi * np.arange(k) / k
+    kappa, share, before = np.full(mean.shape, 2.0), np.full(mean.shape, 1 / k), np.full(len(w), -np.inf)
+    found = np.empty(len(w)), *(np.empty(mean.shape) for _ in range(3))
     for _ in range(rounds):
-        density = np.exp(kappa[:, None] * (np.cos(angle - mean[:, None]) - 1)) / (2 * np.pi * _bessel(kappa, 0)[:, None]) * share[:, None]
-        mixed = np.maximum(density.sum(0), 1e-300)
-        value = float((weight * np.log(mixed)).sum())
-        if value - before < 1e-9 * max(1.0, abs(value)):
-            break
+        height = np.log(share / (2 * np.pi * _cubic(kappa, kappas, zero, zero_slope))) - kappa
+        density = np.exp(np.stack([height, kappa * np.cos(mean), kappa * np.sin(mean)], axis=-1) @ waves)
+        mixed = np.maximum(density.sum(1), 1e-300)
+        value = (w * np.log(mixed)).sum(1)
+        done = value - before < 1e-9 * np.maximum(1.0, np.abs(value))
+        if done.any():
+            for room, of in zip(found, (before, mean, kappa, share), strict=True):
+                room[left[done]] = of[done]
+            left, w, value, mixed, density = (a[~done] for a in (left, w, value, mixed, density))
+            if not len(left):
+                break
         before = value
-        part = density / mixed * weight
-        mass = np.maximum(part.sum(1), 1e-12)
-        c, s = (part * np.cos(angle)).sum(1) / mass, (part * np.sin(angle)).sum(1) / mass
-        mean, r, share = np.arctan2(s, c), np.clip(np.hypot(c, s), 0, 0.995), mass / total
-        low, high = np.zeros(k), np.full(k, 200.0)
-        for _ in range(40):  # the concentration whose mean length is r
-            kappa = (low + high) / 2
-            short = _bessel(kappa, 1) / _bessel(kappa, 0) < r
-            low, high = np.where(short, kappa, low), np.where(short, high, kappa)
-    return before, mean, kappa, share
-
-
-def directional_modes(hist: DataFrame, keys, value: str, bins: int = 360, most: int = 5) -> DataFrame:
+        density *= (w / mixed)[:, None, :]
+        mass, c, s = np.moveaxis(density @ waves.T, -1, 0)
+        mass = np.maximum(mass, 1e-12)
+        mean, share = np.arctan2(s, c), mass / w.sum(1)[:, None]
+        kappa = _cubic(np.clip(np.hypot(c, s) / mass, 0, 0.995), length, kappas, length_slope)
+    for room, of in zip(found, (before, mean, kappa, share), strict=True):
+        if len(left):
+            room[left] = of
+    return found
+
+
+def von_mises_fit(weight: np.ndarray, k: int, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """von_mises_fits of one row of weights."""
+    value, *more = (a[0] for a in von_mises_fits(np.asarray(weight, float)[None, :], k, rounds))
+    return float(value), *more
+
+
+def directional_modes(hist: DataFrame, keys, value: str, bins: int = 360, most: int = 5, window: int | None = None) -> DataFrame:
     """(keys, modes, mode, angle in degrees, kappa, share): the mixture of 1 to most von Mises components with the lowest BIC for each histogram.
 
-    The histogram of one field (bins rows) is a group; nothing is resampled, so the same histogram gives the same modes. Empty histograms give no row.
+    The histogram of one field (bins rows) is a group, many share a call and are fitted together; nothing is resampled, so the same histogram gives the same modes. window: odd width of a
+    circular sum that is taken of the histogram first, as in maps.hd_histogram. Empty histograms give no row.
     """
+    keys = list(keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        weight = np.zeros(bins)
-        np.add.at(weight, pdf["bin"].to_numpy(int), pdf["__v"].to_numpy(float))
-        best = None
-        if weight.sum() > 0:
-            for k in range(1, most + 1):
-                fit = von_mises_fit(weight, k)
-                bic = (3 * k - 1) * np.log(weight.sum()) - 2 * fit[0]
-                if best is None or bic < best[0] - 1e-9:
-                    best = (bic, k, *fit[1:])
-        out = pd.DataFrame({"modes": [best[1]] * best[1], "mode": range(best[1]), "angle": np.degrees(best[2]), "kappa": best[3], "share": best[4]}) if best else pd.DataFrame({"modes": [], "mode": [], "angle": [], "kappa": [], "share": []})
-        out = out.sort_values("share", ascending=False, kind="stable").assign(mode=range(len(out)))
-        for key in reversed(list(keys)):
-            out.insert(0, key, [pdf[key].iloc[0]] * len(out))
-        return out
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        weights = np.zeros((len(starts), bins))
+        np.add.at(weights, (group_of(starts, len(pdf)), pdf["bin"].to_numpy(int) % bins), pdf["__v"].to_numpy(float))
+        if window is not None:
+            weights = sum(np.roll(weights, d, axis=1) for d in range(-(window // 2), window - window // 2))
+        some = np.flatnonzero(weights.sum(1) > 0)
+        owner, columns = [], []
+        for first in range(0, len(some), 32):
+            rows = some[first : first + 32]
+            w = weights[rows]
+            fits = [von_mises_fits(w, k) for k in range(1, most + 1)]
+            bic = [(3 * k - 1) * np.log(w.sum(1)) - 2 * fit[0] for k, fit in enumerate(fits, 1)]
+            for i, row in enumerate(rows):
+                best = 0
+                for k in range(1, most):
+                    if bic[k][i] < bic[best][i] - 1e-9:
+                        best = k
+                _, mean, kappa, share = (a[i] for a in fits[best])
+                order = np.argsort(-share, kind="stable")
+                owner.append(np.full(best + 1, starts[row]))
+                columns.append((np.full(best + 1, best + 1), np.arange(best + 1), np.degrees(mean[order]), kappa[order], share[order]))
+        at = np.concatenate(owner) if owner else np.zeros(0, int)
+        names = ("modes", "mode", "angle", "kappa", "share")
+        values = [np.concatenate(c) for c in zip(*columns, strict=True)] if columns else [np.zeros(0)] * 5
+        return pdf[keys].iloc[at].reset_index(drop=True).assign(**dict(zip(names, values, strict=True)))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hist.select(*keys).schema)
-    return hist.select(*keys, "bin", F.col(value).alias("__v")).groupBy(*keys).applyInPandas(run, f"{kinds}, modes long, mode long, angle double, kappa double, share double")
+    return in_groups(hist.select(*keys, "bin", F.col(value).alias("__v")), keys, run, f"{kinds}, modes long, mode long, angle double, kappa double, share double")

@@ -364,3 +364,23 @@ def test_metrics_of_copies_come_from_one_meeting(spark, name):
     from spikeframe.plans.registry import QUERIES
 
     assert extended and not any("Join" in line for line in plan_lines(QUERIES[name](spark, "/root/testdata/sf0.001")))
+
+
+def test_modes_of_many_cells_are_fitted_together(spark):
+    from spikeframe.operators import field_frames as E
+
+    rng = np.random.default_rng(4)
+    rows = [(c, int(b), int(n)) for c in range(7) for b, n in enumerate(np.bincount(rng.integers(0, 360, 30 * c * c), minlength=360)) if n]
+    counts = spark.createDataFrame([*rows, (9, 3, 0)], "cell long, bin int, n long")
+    df = E.directional_modes(counts, ["cell"], "n", window=23)
+    assert "FlatMapGroups" not in str(plan_lines(df))
+    key = lambda df: sorted((r.cell, r.modes, r.mode, *(round(r[c], 6) for c in ("angle", "kappa", "share"))) for r in df.collect())
+    assert key(df) == key(E.directional_modes(M.rolling_circular(counts, ["cell"], 360, 23), ["cell"], "n")) and {r[0] for r in key(df)} == set(range(1, 7))
+    kappa = np.array([0.0, 1e-6, 0.3, 2.0, 17.0, 100.0])
+    for found, wanted in zip(E._cubic(E._bessel(kappa, 1) / E._bessel(kappa, 0), *(E._concentrations()[k] for k in (3, 0, 4))), kappa, strict=True):
+        assert abs(found - wanted) < 1e-9
+    weights = np.stack([np.bincount([b for c, b, n in rows if c == k for _ in range(n)], minlength=360) for k in range(1, 7)]).astype(float)
+    for k in (1, 3):
+        together = E.von_mises_fits(weights, k)
+        for i, w in enumerate(weights):
+            assert all(np.allclose(a[i], b, rtol=1e-9, atol=1e-12) for a, b in zip(together, E.von_mises_fit(w, k), strict=True))
