@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import behaviour as B
@@ -72,6 +73,10 @@ def fields(spark, d, hits=None):
     return bins.where("n >= 2").withColumn("field_id", F.floor(F.col("bin_x") / 3) * 4 + F.floor(F.col("bin_y") / 3))
 
 
+#: The rule of fields where a session's spikes and samples meet: the size of a bin, and the field of each bin.
+BLOCK = 40, lambda x, y, n: np.where(n >= 2, x // 3 * 4 + y // 3, -1)
+
+
 @query(FIELDS + f", seen AS (SELECT session_id, {BINS} FROM position), e AS (SELECT session_id, max(bin_x) + 1 AS nx, max(bin_y) + 1 AS ny FROM seen GROUP BY 1) SELECT f.session_id, cluster_id, field_id, bool_or(bin_x = 0 OR bin_y = 0 OR bin_x = nx - 1 OR bin_y = ny - 1) AS border FROM fields f JOIN e ON f.session_id = e.session_id GROUP BY 1, 2, 3")
 def f16_border_fields(spark, d):
     extent = view(spark, d, "position").groupBy("session_id").agg((F.floor(F.max("x_px") / 40) + 1).alias("nx"), (F.floor(F.max("y_px") / 40) + 1).alias("ny"))

@@ -384,3 +384,34 @@ def test_modes_of_many_cells_are_fitted_together(spark):
         together = E.von_mises_fits(weights, k)
         for i, w in enumerate(weights):
             assert all(np.allclose(a[i], b, rtol=1e-9, atol=1e-12) for a, b in zip(together, E.von_mises_fit(w, k), strict=True))
+
+
+def test_draws_in_groups_equal_drawn_samples(spark):
+    from spikeframe.operators import bars as Q
+
+    s, p = hits(spark)
+    s = s.withColumnRenamed("t", "t_sample")
+    p = p.withColumns({"x_px": F.when(F.col("pos_idx") != 11, F.col("pos_idx") * 7 % 5), "y_px": F.col("pos_idx") * 3 % 4})
+    cell, session, field = ["session_id", "cluster_id"], ["session_id"], ["session_id", "cluster_id", "field_id"]
+    hit = J.spikes_to_positions(s, p, 30000.0 / 1000)
+    few = s.withColumn("t_sample", F.col("t_sample") * 1000)
+    counted = hit.groupBy(*cell).agg(F.count("*").alias("n"))
+    key = lambda df, *c: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*c).collect())
+    old = H.direction_histograms(H.drawn_samples(counted, p.select(*session, "pos_idx", "hd"), 6, session, cell, "n", "seed"), cell, "hd", 8)
+    new = H.drawn_histograms(few, p, 6, session, cell, "seed", "hd", 8)
+    assert new.dtypes == old.dtypes and key(new, *cell, "shuffle_id", "bin", "n") == key(old, *cell, "shuffle_id", "bin", "n") and new.count() > 300
+    assert not any("Join" in line or "explode" in line for line in plan_lines(new))
+
+    rule = 2, lambda x, y, n: np.where(n >= 3, x + y, -1)
+    bins = {"bin_x": F.floor(F.col("x_px") / 2), "bin_y": F.floor(F.col("y_px") / 2)}
+    fields = hit.withColumns(bins).groupBy(*cell, *bins).agg(F.count("*").alias("n")).where("n >= 3").withColumn("field_id", F.col("bin_x") + F.col("bin_y"))
+    inside = hit.withColumns(bins).join(fields.drop("n"), [*cell, *bins]).groupBy(*field).agg(F.count("*").alias("n"))
+    around = p.withColumns(bins).join(fields.drop("n"), [*session, *bins]).select(*field, "pos_idx", "hd")
+    drawn = H.direction_histograms(H.drawn_samples(inside, around, 6, field, field, "n", "seed"), field, "hd", 8)
+    assert key(H.drawn_histograms(few, p, 6, session, cell, "seed", "hd", 8, rule), *field, "shuffle_id", "bin", "n") == key(drawn, *field, "shuffle_id", "bin", "n") and drawn.count() > 300
+    time = around.where("hd is not null").groupBy(*field, F.least(F.floor((F.col("hd") + 180) / 45), F.lit(7)).alias("bin")).agg(F.count("*").alias("o"))
+    ratios = H.expected_ratios(drawn, time.withColumnRenamed("o", "n"), field, 6)
+    assert key(H.drawn_ratios(few, p, 6, session, cell, "seed", "hd", 8, rule), *field, "shuffle_id", "ratio") == key(ratios, *field, "shuffle_id", "ratio")
+    rates = Q.bar_rates(drawn, drawn.select(*field, "shuffle_id").distinct(), time, [*field, "shuffle_id"], field, "bin")
+    names = [*field, "bin", "mean", "sd", "low", "high", "up", "down"]
+    assert key(H.drawn_spread(few, p, 6, session, cell, "seed", "hd", 8, 1.0, rule), *names) == key(Q.bar_spread(rates, field, "bin"), *names)
