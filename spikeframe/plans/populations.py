@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.lineage import cut
-from ..operators import bars as Q
 from ..operators import behaviour as B
 from ..operators import curation as K
 from ..operators import field_frames as E
@@ -21,7 +20,7 @@ from ..operators import statistics as S
 from ..operators import waveforms as V
 from .extended import BLOCKS, CELLS_, DIR, DRAW, FIELD, FIELDS_, PEAKS, PLACE, around, field_half_rates, inside, place_maps, ratios, with_bins
 from .fixtures import view, with_views
-from .preparation import fields
+from .preparation import BLOCK, fields
 from .registry import CELL, HIST, JOINED, ORACLES, ORDER, SESSION, joined, query, r6
 
 
@@ -234,12 +233,8 @@ ORACLES["r12_expected_ratio"] = with_views(
  s_ AS (SELECT {FIELDS_}, bin, avg(v) AS mean, stddev_pop(v) AS sd, quantile_cont(v, 0.05) AS low, quantile_cont(v, 0.95) AS high FROM v_ GROUP BY ALL)
  SELECT {FIELDS_}, bin, round(mean, 5) AS mean, round(sd, 5) AS sd, round(low, 5) AS low, round(high, 5) AS high, round(high - mean, 5) AS up, round(mean - low, 5) AS down FROM s_""")
 def a27_field_bar_spread(spark, d):
-    cells = inside(spark, d).groupBy(*FIELD).agg(F.count("*").alias("n"))
-    samples = around(spark, d).select(*FIELD, "pos_idx", "hd")
-    counts = H.direction_histograms(H.drawn_samples(cells, samples, 20, FIELD, FIELD, "n", "spread"), FIELD, "hd", 20)
-    time = samples.groupBy(*FIELD, F.least(F.floor((F.col("hd") + 180) / 18), F.lit(19)).alias("bin")).agg(F.count("*").alias("o"))
-    rates = Q.bar_rates(counts, counts.select(*FIELD, "shuffle_id").distinct(), time, [*FIELD, "shuffle_id"], FIELD, "bin")
-    return Q.bar_spread(rates.withColumn("rate", F.col("rate") * 30), FIELD, "bin").select(*FIELD, "bin", *r5("mean", "sd", "low", "high", "up", "down"))
+    spread = H.drawn_spread(view(spark, d, "spikes"), view(spark, d, "position"), 20, SESSION, CELL, "spread", "hd", 20, 30.0, BLOCK)
+    return spread.select(*FIELD, "bin", *r5("mean", "sd", "low", "high", "up", "down"))
 
 
 @query(BLOCKS + f""", c_ AS (SELECT {FIELDS_}, {DIR}, count(*) AS n FROM inside GROUP BY ALL), t_ AS (SELECT *, max(n) OVER (PARTITION BY {FIELDS_}) AS top FROM c_), a_ AS (SELECT {FIELDS_}, radians(bin * 18 - 171.0::DOUBLE) AS a FROM t_ WHERE n = top)
