@@ -23,6 +23,7 @@ from .registry import CELL, SESSION, joined, query, r6
 from .responses import LATENCY
 
 SD, BIN, SMOOTH, GUARD = 2.0, 40, 40, 20_000
+MAP_SCORES = ("spatial_information", "speed_score", "stability")
 
 
 def weights(sd: float) -> str:
@@ -49,8 +50,10 @@ def w21_zero_edges(spark, d):
 
 def moving(spark, d):
     """Position with half and speed, the distance to the sample before."""
-    w = Window.partitionBy("session_id").orderBy("pos_idx")
-    p = T.halves(view(spark, d, "position"), SESSION, "synced_time")
+    whole = Window.partitionBy("session_id")
+    w = whole.orderBy("pos_idx")
+    mid = (F.max("synced_time").over(whole) + F.min("synced_time").over(whole)) / 2
+    p = view(spark, d, "position").withColumn("half", F.when(F.col("synced_time") < mid, 1).otherwise(2))
     return p.withColumn("speed", F.hypot(F.col("x_px") - F.lag("x_px").over(w), F.col("y_px") - F.lag("y_px").over(w)))
 
 
@@ -80,18 +83,10 @@ def c1_speed_score_p(spark, d):
     return s.select(*CELL, F.round("speed_score", 5).alias("speed_score"), F.round("p", 8).alias("p"))
 
 
-def lengths(spark, d):
-    """The spikes of the place cells with their session's length in samples."""
-    length = view(spark, d, "position").groupBy(*SESSION).agg((F.count("*") * 1000).alias("length"))
-    return view(spark, d, "places").select(*CELL, F.col("t_sample").alias("t")).join(length, SESSION)
-
-
-def own_scores(spark, d):
-    return H.scores(view(spark, d, "places").select(*CELL, "t_sample"), moving(spark, d), SESSION, CELL, BIN, SMOOTH, 1 / 30, 3, SD, 4)
-
-
-def shuffled(spark, d, n):
-    return H.shuffled_scores(lengths(spark, d), moving(spark, d), n, "length", GUARD, SESSION, CELL, BIN, SMOOTH, 1 / 30, 3, SD, 4)
+def shuffled(spark, d, n, own=False, only=None):
+    """Scores of the place cells' shuffles; a session's length is 1000 samples for each of its positions."""
+    spikes = view(spark, d, "places").select(*CELL, F.col("t_sample").alias("t"))
+    return H.shuffled_scores(spikes, moving(spark, d), n, 1000, GUARD, SESSION, CELL, BIN, SMOOTH, 1 / 30, 3, SD, 4, own=own, only=only, per_sample=True)
 
 
 def scored(n: int) -> str:
@@ -117,7 +112,7 @@ def scored(n: int) -> str:
 
 @query(scored(6) + " SELECT o.session_id, o.cluster_id, o.shuffle_id, round(information, 5) AS spatial_information, round(r, 5) AS speed_score, round(stability, 5) AS stability FROM o LEFT JOIN info USING (session_id, cluster_id, shuffle_id) LEFT JOIN sp USING (session_id, cluster_id, shuffle_id) LEFT JOIN stab USING (session_id, cluster_id, shuffle_id)")
 def r2_shuffled_map_scores(spark, d):
-    return shuffled(spark, d, 6).select(*CELL, "shuffle_id", *(F.round(c, 5).alias(c) for c in ("spatial_information", "speed_score", "stability")))
+    return shuffled(spark, d, 6).select(*CELL, "shuffle_id", *(F.round(c, 5).alias(c) for c in MAP_SCORES))
 
 
 @query(scored(6) + " SELECT o.session_id, o.cluster_id, round(avg(information) + 2.326 * stddev_pop(information), 5) AS information_cutoff, round(avg(r) + CASE WHEN avg(r) < 0 THEN -2.326 ELSE 2.326 END * stddev_pop(r), 5) AS speed_cutoff, round(avg(stability) + 2.326 * stddev_pop(stability), 5) AS stability_cutoff FROM o LEFT JOIN info USING (session_id, cluster_id, shuffle_id) LEFT JOIN sp USING (session_id, cluster_id, shuffle_id) LEFT JOIN stab USING (session_id, cluster_id, shuffle_id) GROUP BY 1, 2")
@@ -134,7 +129,7 @@ def r2_shuffled_scores(spark, d):
 @query()
 def r4_cell_labels(spark, d):
     """All six flags from the cells' own scores and the cutoffs of their shuffles."""
-    labels = K.spatial_labels(own_scores(spark, d), H.score_cutoffs(shuffled(spark, d, 20), CELL), CELL)
+    labels = K.spatial_labels(shuffled(spark, d, 0, own=True), H.score_cutoffs(shuffled(spark, d, 20), CELL), CELL)
     return labels.select(*CELL, "grid", "border", "hd", "hd_rayleigh", "spatial", "speed", "label")
 
 

@@ -415,3 +415,61 @@ def test_draws_in_groups_equal_drawn_samples(spark):
     rates = Q.bar_rates(drawn, drawn.select(*field, "shuffle_id").distinct(), time, [*field, "shuffle_id"], field, "bin")
     names = [*field, "bin", "mean", "sd", "low", "high", "up", "down"]
     assert key(H.drawn_spread(few, p, 6, session, cell, "seed", "hd", 8, 1.0, rule), *names) == key(Q.bar_spread(rates, field, "bin"), *names)
+
+
+def scores_by_rows(spikes, position, session, keys, bin_px, smooth, dt, least, sd, least_bins, rate):
+    """The scores of keys by the operators of cells, one after the other, and joined."""
+    from spikeframe.operators import borders as O
+    from spikeframe.operators import similarity as Y
+    from spikeframe.operators import statistics as S
+
+    hit = J.spikes_to_positions(spikes, position, rate).localCheckpoint()
+    hist = M.hd_histogram(hit, keys)
+    rates = M.rate_map(hit, position, keys, session, bin_px, smooth, dt, least).localCheckpoint()
+    seen = M.occupancy(position, session, bin_px, smooth, least).localCheckpoint()
+    shifts = M.autocorrelogram(rates, keys)
+    extent = seen.groupBy(*session).agg((F.max("bin_x") + 1).alias("nx"), (F.max("bin_y") + 1).alias("ny"))
+    found = P.firing_fields(rates, keys, least_bins=least_bins).drop("max_rate").join(rates, [*keys, "bin_x", "bin_y"]).join(extent, session)
+    out = spikes.select(*keys).distinct()
+    for part in (
+        M.hd_score(hist, keys),
+        S.rayleigh(hist, keys).withColumnRenamed("p", "rayleigh_p"),
+        M.spatial_information(rates, seen, keys, session).withColumnRenamed("information", "spatial_information"),
+        P.grid_score(shifts, P.correlogram_peaks(shifts, keys), keys),
+        O.border_score(found, keys),
+        Y.smoothed_speed_score(spikes, position, session, keys, "pos_idx", "synced_time", "speed", sd, rate).drop("p"),
+        Y.map_stability(hit, position, session, keys, bin_px, smooth, dt, least).select(*keys, F.col("r").alias("stability")),
+    ):
+        out = out.join(part, keys, "left")
+    return out
+
+
+def test_scores_of_copies_equal_those_by_rows(spark):
+    rng = np.random.default_rng(6)
+    session, cell, copy = ["session_id"], ["session_id", "cluster_id"], ["session_id", "cluster_id", "shuffle_id"]
+    each, near = 700, lambda v, k: None if k % 41 == 0 else float(v)
+    rows = []
+    for s in range(3):
+        for k in range(each if s < 2 else 3):
+            x, y = rng.integers(0, 400, 2)
+            rows.append((s, k, k / 30.0, near(x, k + s), float(y), near(rng.integers(-180, 181), k), None if k == 0 else near(rng.integers(0, 30), k + 5)))
+    p = T.halves(spark.createDataFrame(rows, "session_id long, pos_idx long, synced_time double, x_px double, y_px double, hd double, speed double"), session, "synced_time").localCheckpoint()
+    fire = lambda c, x, y: c == 0 and (x or 0) < 120 or c == 1 and math.cos((x or 0) * 0.06) + math.cos((x or 0) * 0.03 + y * 0.052) + math.cos((x or 0) * 0.03 - y * 0.052) > 1.2 or c == 2 and (x or 0) > 390
+    spikes = [(r[0], c, r[1] * 1000) for r in rows for c in range(3) if fire(c, r[3], r[4])]
+    s = spark.createDataFrame([*spikes, (0, 7, 699_500), (1, 7, None), (1, 8, 5_000), (2, 9, 1_000)], "session_id long, cluster_id long, t long")
+    more = (20.0, 30.0, 1 / 30, 3, 2.0, 4)
+    df = H.shuffled_scores(s, p, 3, 700_000, 20_000, session, cell, *more, own=True)
+    assert not any("Join" in line or "explode" in line for line in plan_lines(df))  # no row for a copy's spike or map
+    moved = H.time_shifts(s, 3, 700_000, 20_000, cell).unionByName(s.withColumn("shuffle_id", F.lit(-1))).withColumnRenamed("t", "t_sample")
+    old = scores_by_rows(moved, p, session, copy, *more, 30000.0)
+    key = lambda df, *names: sorted(str(tuple(round(v, 8) + 0.0 if isinstance(v, float) else v for v in r)) for r in df.select(*copy, *names).collect())
+    assert key(df, *H.SCORES) == key(old, *H.SCORES) and df.count() == 4 * s.select(*cell).distinct().count()
+    for c in H.SCORES:
+        assert df.where(F.col(c).isNotNull()).count() > 3
+    few = H.shuffled_scores(s, p, 3, 700_000, 20_000, session, cell, *more, only=("speed_score", "stability"))
+    assert few.columns == [*copy, "speed_score", "stability"] and key(few, "speed_score", "stability") == key(old.where("shuffle_id >= 0"), "speed_score", "stability")
+    mine = H.score_cutoffs(df, cell, own=True)
+    wanted = H.score_cutoffs(old.where("shuffle_id >= 0"), cell).join(old.where("shuffle_id < 0"), cell)
+    names = [*H.SCORES, *(f"{c}_cutoff" for c in H.SCORES)]
+    rounded = lambda df: sorted(str(tuple(round(v, 7) + 0.0 if isinstance(v, float) else v for v in r)) for r in df.select(*cell, *names).collect())
+    assert rounded(mine) == rounded(wanted)
