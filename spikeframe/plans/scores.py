@@ -129,7 +129,7 @@ def r2_shuffled_scores(spark, d):
 @query()
 def r4_cell_labels(spark, d):
     """All six flags from the cells' own scores and the cutoffs of their shuffles."""
-    labels = K.spatial_labels(shuffled(spark, d, 0, own=True), H.score_cutoffs(shuffled(spark, d, 20), CELL), CELL)
+    labels = K.labelled(H.score_cutoffs(shuffled(spark, d, 20, own=True), CELL, own=True))
     return labels.select(*CELL, "grid", "border", "hd", "hd_rayleigh", "spatial", "speed", "label")
 
 
