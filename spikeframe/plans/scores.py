@@ -112,7 +112,7 @@ def scored(n: int) -> str:
 
 @query(scored(6) + " SELECT o.session_id, o.cluster_id, o.shuffle_id, round(information, 5) AS spatial_information, round(r, 5) AS speed_score, round(stability, 5) AS stability FROM o LEFT JOIN info USING (session_id, cluster_id, shuffle_id) LEFT JOIN sp USING (session_id, cluster_id, shuffle_id) LEFT JOIN stab USING (session_id, cluster_id, shuffle_id)")
 def r2_shuffled_map_scores(spark, d):
-    return shuffled(spark, d, 6).select(*CELL, "shuffle_id", *(F.round(c, 5).alias(c) for c in MAP_SCORES))
+    return shuffled(spark, d, 6, only=MAP_SCORES).select(*CELL, "shuffle_id", *(F.round(c, 5).alias(c) for c in MAP_SCORES))
 
 
 @query(scored(6) + " SELECT o.session_id, o.cluster_id, round(avg(information) + 2.326 * stddev_pop(information), 5) AS information_cutoff, round(avg(r) + CASE WHEN avg(r) < 0 THEN -2.326 ELSE 2.326 END * stddev_pop(r), 5) AS speed_cutoff, round(avg(stability) + 2.326 * stddev_pop(stability), 5) AS stability_cutoff FROM o LEFT JOIN info USING (session_id, cluster_id, shuffle_id) LEFT JOIN sp USING (session_id, cluster_id, shuffle_id) LEFT JOIN stab USING (session_id, cluster_id, shuffle_id) GROUP BY 1, 2")
