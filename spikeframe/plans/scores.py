@@ -117,7 +117,7 @@ def r2_shuffled_map_scores(spark, d):
 
 @query(scored(6) + " SELECT o.session_id, o.cluster_id, round(avg(information) + 2.326 * stddev_pop(information), 5) AS information_cutoff, round(avg(r) + CASE WHEN avg(r) < 0 THEN -2.326 ELSE 2.326 END * stddev_pop(r), 5) AS speed_cutoff, round(avg(stability) + 2.326 * stddev_pop(stability), 5) AS stability_cutoff FROM o LEFT JOIN info USING (session_id, cluster_id, shuffle_id) LEFT JOIN sp USING (session_id, cluster_id, shuffle_id) LEFT JOIN stab USING (session_id, cluster_id, shuffle_id) GROUP BY 1, 2")
 def r3_map_score_cutoffs(spark, d):
-    cut = H.score_cutoffs(shuffled(spark, d, 6), CELL)
+    cut = H.score_cutoffs(shuffled(spark, d, 6, only=MAP_SCORES), CELL)
     return cut.select(*CELL, *(F.round(f"{c}_cutoff", 5).alias(f"{name}_cutoff") for c, name in (("spatial_information", "information"), ("speed_score", "speed"), ("stability", "stability"))))
 
 
